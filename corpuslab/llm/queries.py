@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_main, jaccard_join, mixing, sharding
+from . import html_main, jaccard_join, language_id, license_scan, mixing, sharding, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def remainder(doc_id: Column, n: int) -> Column:
+    """crc32 of the id as text, modulo n: how rows are held out."""
+    return F.crc32(doc_id.cast("string")) % n
+
+
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), k=3, num=9, den=10)
 
@@ -22,6 +27,26 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return copies.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("n_passes")).alias("taken"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(remainder(F.col("doc_id"), 3) == 1, F.lit(False))
+    field = language_id.train(docs, lambda i: remainder(i, 3) != 1)
+    labelled = language_id.label_documents(docs.select("doc_id", "text"), field)
+    return labelled.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.label_documents(table(spark, sf_dir, "documents"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(remainder(F.col("doc_id"), 4) == 2, F.lit(False))
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), lambda i: remainder(i, 4) != 2)
+    scored = toxicity.score_documents(docs, model)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = html_main.extract_main_text(table(spark, sf_dir, "pages"))
     return pages.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
@@ -34,6 +59,9 @@ def op10_slot_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_mix_sources": op2_mix_sources,
+    "op4_language_id": op4_language_id,
+    "op7_license_scan": op7_license_scan,
+    "op8_toxicity": op8_toxicity,
     "op9_main_text": op9_main_text,
     "op10_slot_sharding": op10_slot_sharding,
 }
