@@ -21,3 +21,12 @@ def get_spark(cpus: int | None = None, partitions: int | None = None) -> SparkSe
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+
+
+def share_package(spark: SparkSession) -> SparkSession:
+    """Lets Python workers import this package, whatever folder the driver was started in."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    found = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in found.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (found, root) if x)
+    return spark
