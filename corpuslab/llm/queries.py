@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_main, jaccard_join, language_id, license_scan, mixing, sharding, toxicity
+from . import ann, html_main, jaccard_join, language_id, license_scan, mixing, sharding, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return copies.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("n_passes")).alias("taken"))
 
 
+def op3_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = F.coalesce(remainder(F.col("doc_id"), 3) == 1, F.lit(False))
@@ -59,6 +63,7 @@ def op10_slot_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_mix_sources": op2_mix_sources,
+    "op3_nearest_vectors": op3_nearest_vectors,
     "op4_language_id": op4_language_id,
     "op7_license_scan": op7_license_scan,
     "op8_toxicity": op8_toxicity,
