@@ -4,15 +4,17 @@ Equal vectors are joined to one class first, so that one vector held by many row
 once and stands in one leaf once. Trees are fitted on a bounded sample of classes: a node splits
 by the hyperplane halfway between two of its vectors, down to leaves of ``leaf_size``. Every
 class is then sent down every tree. A query walks all trees at once through one priority queue
-ordered by its margin to the splits passed so far, nearest side first, and visits the best
-``n_visits`` leaves of the forest. Rows and visits meet by (tree, leaf, slice), where large leaves
-are cut into slices, and the candidates are ranked by their exact cosine.
+ordered by the squared margins of the splits it would cross, nearest side first, and visits the
+best leaves of the forest. How many is measured: it is the number at which ``recall`` of the true
+neighbours of some sampled vectors in the sample are reached. Rows and visits meet by tree and
+group of leaves, and the candidates are ranked by their exact cosine.
 
-The index is bounded (``n_sample`` vectors), every row is indexed, and a leaf of the index grows
-with the rows only beyond the sample's bound, in slices of bounded size.
+The index is fitted on a bounded sample (``n_sample`` vectors), but every row is indexed. Rows
+beyond the sample's bound are cut into slices, and queries into blocks, so that what meets in one
+task is bounded: a block of queries meets each slice of the rows once.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components take no
-part; vectors of another dimension than the first class's are never neighbours of one another;
+part; vectors of another dimension than the smallest id's take no part;
 a row is never its own neighbour, equal vectors of other rows are; ties go to the smaller id;
 with fewer candidates than ``k``, all found are returned; an empty table gives no rows; repeated
 rows (same id) count once. Only the id and vector columns are read.
@@ -33,6 +35,10 @@ from pyspark.sql.window import Window
 from .common import written
 
 
+#: Leaves of neighbouring numbers (siblings and cousins) that are ranked in one group.
+LEAVES_TOGETHER = 16
+
+
 @dataclass(frozen=True)
 class Tree:
     """Inner nodes by number: normal, offset and children; a child below 0 is leaf ``-1 - child``."""
@@ -56,7 +62,7 @@ def grow(points: np.ndarray, leaf_size: int, rng: np.random.Generator) -> Tree:
         else:
             mine = len(normals)
             for _ in range(3):
-                a, b = points[rng.choice(rows, 2, replace=False)].astype(np.float64)
+                a, b = points[rng.choice(rows, 2, replace=False)]
                 normal = a - b
                 size = np.sqrt(normal @ normal)
                 if size > 0:
@@ -100,25 +106,46 @@ def visits_of(forest: list[Tree], point: np.ndarray, n_visits: int) -> list[tupl
     while queue and len(found) < n_visits:
         far, t, node = heapq.heappop(queue)
         while node >= 0:
-            margin = margins[t][node]
+            margin = float(margins[t][node])
             near = int(margin > 0)
-            heapq.heappush(queue, (max(far, abs(float(margin))), t, int(forest[t].children[node, 1 - near])))
+            heapq.heappush(queue, (far + margin * margin, t, int(forest[t].children[node, 1 - near])))
             node = int(forest[t].children[node, near])
         found.append((t, -1 - node))
     return found
 
 
+def visits_for_recall(forest: list[Tree], points: np.ndarray, k: int, recall: float, n_asked: int, rng: np.random.Generator) -> int:
+    """Leaves to visit so that this share of the true neighbours of sampled points is among them."""
+    n_leaves = sum(tree.n_leaves for tree in forest)
+    if len(points) < 2:
+        return n_leaves
+    leaves = [leaves_of(tree, points) for tree in forest]
+    first_seen = []
+    for i in rng.choice(len(points), min(n_asked, len(points)), replace=False):
+        scores = points @ points[i]
+        scores[i] = -np.inf
+        place = {visit: n for n, visit in enumerate(visits_of(forest, points[i], n_leaves))}
+        for j in np.argsort(-scores)[: min(k, len(points) - 1)]:
+            first_seen.append(min(place[t, int(at[j])] for t, at in enumerate(leaves)))
+    return int(np.quantile(first_seen, recall, method="higher")) + 1
+
+
 def usable(vector: Column) -> Column:
     """Whether a vector takes part."""
     whole = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     return F.coalesce((F.size(vector) > 0) & whole & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
+def vector_key(vector: str) -> Column:
+    """128 bits that stand for a vector, and its size."""
+    return F.struct(F.xxhash64(vector), F.xxhash64(F.lit(7), vector), F.size(vector)).alias("key")
+
+
 def vector_classes(rows: DataFrame, keep: int, id_col: str, vec_col: str) -> DataFrame:
     """Classes of equal vectors: key, the vector and the ``keep`` smallest ids."""
-    vector = F.col(vec_col).cast("array<double>")
+    vector = F.col(vec_col)
     good = rows.where(F.col(id_col).isNotNull() & usable(vector)).select(F.col(id_col).cast("long").alias("id"), vector.alias("v"))
-    good = good.withColumn("key", F.struct(F.xxhash64("v"), F.xxhash64(F.lit(7), "v"), F.size("v")))
+    good = good.select("id", "v", vector_key("v"))
     # Smallest ids first per key: Spark cuts each task's groups to ``keep`` before the shuffle.
     nth = F.dense_rank().over(Window.partitionBy("key").orderBy("id"))
     first = good.withColumn("nth", nth).where(F.col("nth") <= keep)
@@ -126,17 +153,18 @@ def vector_classes(rows: DataFrame, keep: int, id_col: str, vec_col: str) -> Dat
     return classes.select("c", "ids", "v", F.size("v").alias("dim"))
 
 
-def fit(classes: DataFrame, n_sample: int, n_trees: int, leaf_size: int, seed: int) -> tuple[list[Tree], int]:
-    """The forest on the ``n_sample`` classes with the smallest hashes, and the vectors' dimension."""
+def fit(classes: DataFrame, k: int, recall: float, n_sample: int, n_trees: int, leaf_size: int, n_asked: int, seed: int) -> tuple[list[Tree], int, int]:
+    """The forest on the ``n_sample`` classes with the smallest hashes, the leaves to visit and the dimension."""
     head = classes.orderBy("c").select("dim").first()
     if head is None:
-        return [], 0
+        return [], 0, 0
     sample = classes.where(F.col("dim") == head["dim"]).orderBy(F.xxhash64("c", F.lit(seed)), "c").limit(n_sample)
-    sample = sample.select("c", F.col("v").cast("array<float>").alias("v")).toPandas().sort_values("c")
-    points = np.array([np.asarray(v, np.float64) for v in sample["v"]])
-    points /= np.maximum(np.sqrt((points * points).sum(axis=1, keepdims=True)), 1e-300)
+    sample = sample.select("c", "v").collect()
+    sample.sort(key=lambda r: r["c"])
+    points = _unit([r["v"] for r in sample])
     rng = np.random.default_rng(seed)
-    return [grow(points.astype(np.float32), leaf_size, rng) for _ in range(n_trees)], head["dim"]
+    forest = [grow(points, leaf_size, rng) for _ in range(n_trees)]
+    return forest, visits_for_recall(forest, points, k, recall, n_asked, rng), head["dim"]
 
 
 def _unit(vectors) -> np.ndarray:
@@ -145,14 +173,44 @@ def _unit(vectors) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def best_of(visits: pd.DataFrame, held: pd.DataFrame, n_best: int) -> pd.DataFrame:
+    """The ``n_best`` rows by exact cosine for each query, leaf by leaf of one group of leaves."""
+    parts = []
+    leaves = held["leaf"].to_numpy()
+    order = np.argsort(leaves, kind="stable")
+    leaves = leaves[order]
+    ids, x = held["c"].to_numpy()[order], np.array([np.asarray(v, np.float64) for v in held["v"]])[order]
+    norms = np.sqrt((x * x).sum(axis=1))
+    for leaf, part in visits.groupby("leaf"):
+        low, high = np.searchsorted(leaves, [leaf, leaf + 1])
+        if low == high:
+            continue
+        y = np.array([np.asarray(v, np.float64) for v in part["qv"]])
+        y_norms = np.sqrt((y * y).sum(axis=1))
+        rough = (y @ x[low:high].T) / y_norms[:, None] / norms[low:high]
+        # Products of whole matrices may differ in the last bits: a margin keeps all that may tie.
+        n = min(n_best, high - low)
+        floor = -np.partition(-rough, n - 1, axis=1)[:, n - 1] - 1e-9
+        rows, columns = np.nonzero(rough >= floor[:, None])
+        own = x[low:high][columns]
+        scores = (own * y[rows]).sum(axis=1) / (norms[low:high][columns] * y_norms[rows])
+        parts.append(pd.DataFrame({"q": part["q"].to_numpy()[rows], "c": ids[low:high][columns], "score": scores}))
+    if not parts:
+        return pd.DataFrame({"q": [], "c": [], "score": []}).astype({"q": "int64", "c": "int64", "score": "float64"})
+    found = pd.concat(parts).sort_values(["q", "score", "c"], ascending=[True, False, True], kind="stable")
+    return found[found.groupby("q").cumcount() < n_best]
+
+
 def search(
     rows: DataFrame,
     is_query: Column,
     k: int = 5,
-    n_trees: int = 12,
-    n_visits: int = 96,
-    leaf_size: int = 32,
+    recall: float = 0.97,
+    n_trees: int = 8,
+    leaf_size: int = 128,
     n_sample: int = 60_000,
+    n_asked: int = 64,
+    query_block: int = 10_000,
     seed: int = 41,
     id_col: str = "vec_id",
     vec_col: str = "embedding",
@@ -160,51 +218,43 @@ def search(
     """query_id, rank, vec_id and score of the ``k`` nearest rows of each query row by cosine."""
     spark = rows.sparkSession
     classes = written(vector_classes(rows, k + 1, id_col, vec_col), "ann-classes")
-    forest, dim = fit(classes, n_sample, n_trees, leaf_size, seed)
-    shared = spark.sparkContext.broadcast(forest)  # bounded by the sample
+    forest, n_visits, dim = fit(classes, k, recall, n_sample, n_trees, leaf_size, n_asked, seed)
+    shared = spark.sparkContext.broadcast([(t.normals, t.offsets, t.children, t.n_leaves) for t in forest])  # bounded by the sample
     classes = classes.where(F.col("dim") == dim)
+
+    is_asked = rows.where(is_query).select(F.col(id_col).cast("long").alias("query_id")).where("query_id is not null").distinct()
+    asked = written(_asked(rows, is_asked, classes, id_col, vec_col), "ann-asked")
+    queries = classes.join(asked.select(F.col("q").alias("c")).distinct(), "c", "left_semi").select("c", "v")
     n_slices = max(1, -(-classes.count() // n_sample))
+    n_blocks = max(1, -(-queries.count() // query_block))
 
     def send(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        trees = [Tree(*t) for t in shared.value]
         for part in frames:
             if len(part):
                 points = _unit(part["v"])
-                for t, tree in enumerate(shared.value):
-                    yield pd.DataFrame({"tree": t, "leaf": leaves_of(tree, points), "slice": part["c"].to_numpy() % n_slices, "c": part["c"], "v": part["v"]})
+                for t, tree in enumerate(trees):
+                    leaves = leaves_of(tree, points)
+                    for block in range(n_blocks):
+                        yield pd.DataFrame({"tree": t, "nearby": leaves // LEAVES_TOGETHER, "slice": part["c"].to_numpy() % n_slices, "block": block, "leaf": leaves, "c": part["c"], "v": part["v"]})
 
     def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        trees = [Tree(*t) for t in shared.value]
         for part in frames:
             for c, v, point in zip(part["c"], part["v"], _unit(part["v"]) if len(part) else ()):
-                found = visits_of(shared.value, point, n_visits)
+                found = np.array(visits_of(trees, point, n_visits))
                 for s in range(n_slices):
-                    yield pd.DataFrame({"tree": [t for t, _ in found], "leaf": [x for _, x in found], "slice": s, "q": c, "qv": [v] * len(found)})
+                    yield pd.DataFrame({"tree": found[:, 0], "nearby": found[:, 1] // LEAVES_TOGETHER, "slice": s, "block": c % n_blocks, "leaf": found[:, 1], "q": c, "qv": [v] * len(found)})
 
     def rank(visits: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        if not len(visits) or not len(held):
-            return pd.DataFrame({"q": [], "c": [], "score": []}).astype({"q": "int64", "c": "int64"})
-        ids, x = held["c"].to_numpy(), np.array([np.asarray(v, np.float64) for v in held["v"]])
-        norms = np.sqrt((x * x).sum(axis=1))
-        parts = []
-        for q, v in zip(visits["q"], visits["qv"]):
-            y = np.asarray(v, np.float64)
-            scores = (x * y).sum(axis=1) / (norms * np.sqrt((y * y).sum()))
-            best = np.lexsort((ids, -scores))[: k + 1]
-            parts.append(pd.DataFrame({"q": q, "c": ids[best], "score": scores[best]}))
-        return pd.concat(parts)
-
-    columns = "tree int, leaf long, slice long"
-    is_asked = rows.where(is_query).select(F.col(id_col).cast("long").alias("query_id")).where("query_id is not null").distinct()
-    vectors = rows.select(F.col(id_col).cast("long").alias("query_id"), F.col(vec_col).cast("array<double>").alias("v"))
-    vectors = vectors.where(usable(F.col("v"))).dropDuplicates(["query_id"])
-    key = F.struct(F.xxhash64("v"), F.xxhash64(F.lit(7), "v"), F.size("v")).alias("key")
-    named = classes.select("c", key)
-    asked = written(is_asked.join(vectors.select("query_id", key), "query_id").join(named, "key").select("query_id", F.col("c").alias("q")), "ann-asked")
-
-    queries = classes.join(asked.select(F.col("q").alias("c")).distinct(), "c", "left_semi").select("c", "v")
-    visits = queries.repartition(spark.sparkContext.defaultParallelism).mapInPandas(walk, f"{columns}, q long, qv array<double>")
-    index = classes.select("c", "v").mapInPandas(send, f"{columns}, c long, v array<double>")
-    on = ["tree", "leaf", "slice"]
-    found = visits.groupBy(*on).cogroup(index.groupBy(*on)).applyInPandas(lambda a, b: rank(a, b), "q long, c long, score double")
+        return best_of(visits, held, k + 1)
+
+    kind = classes.schema["v"].dataType.simpleString()
+    columns = "tree int, nearby long, slice long, block long, leaf long"
+    visits = queries.repartition(spark.sparkContext.defaultParallelism).mapInPandas(walk, f"{columns}, q long, qv {kind}")
+    index = classes.select("c", "v").mapInPandas(send, f"{columns}, c long, v {kind}")
+    on = ["tree", "nearby", "slice", "block"]
+    found = visits.groupBy(*on).cogroup(index.groupBy(*on)).applyInPandas(rank, "q long, c long, score double")
     found = found.groupBy("q", "c").agg(F.max("score").alias("score"))
     best = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "c"))
     found = written(found.withColumn("nth", best).where(F.col("nth") <= k + 1).drop("nth"), "ann-found")
@@ -216,3 +266,10 @@ def search(
     own = F.filter("near", lambda x: x["vec_id"] != F.col("query_id"))
     answers = asked.join(lists, "q").select("query_id", F.posexplode(F.slice(own, 1, k)).alias("pos", "x"))
     return answers.select("query_id", (F.col("pos") + 1).alias("rank"), F.col("x.vec_id").alias("vec_id"), F.col("x.score").alias("score"))
+
+
+def _asked(rows: DataFrame, is_asked: DataFrame, classes: DataFrame, id_col: str, vec_col: str) -> DataFrame:
+    """The class of each query row."""
+    vectors = rows.select(F.col(id_col).cast("long").alias("query_id"), F.col(vec_col).alias("v")).where(usable(F.col("v")))
+    keyed = vectors.join(is_asked, "query_id", "left_semi").select("query_id", vector_key("v")).dropDuplicates(["query_id"])
+    return keyed.join(classes.select("c", vector_key("v")), "key").select("query_id", F.col("c").alias("q"))
