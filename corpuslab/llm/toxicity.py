@@ -32,7 +32,7 @@ WORD = re.compile(r"[^\W\d_]+")
 N_BITS = 18
 SIZES = (2, 3, 4, 5)
 #: Words whose n-grams a worker keeps.
-WORDS_KEPT = 200_000
+WORDS_KEPT = 100_000
 
 
 def ngrams(word: str) -> np.ndarray:
@@ -48,6 +48,8 @@ def features(text: str | None, known: dict[str, np.ndarray]) -> np.ndarray:
     found = []
     for word in set(WORD.findall(text.lower()) if text else ()):
         if word not in known:
+            if len(known) >= WORDS_KEPT:
+                known.clear()
             known[word] = ngrams(word)
         found.append(known[word])
     return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
@@ -68,15 +70,17 @@ def fit(texts: list[str | None], labels: list[int], prior: float = 10.0, least_r
     if not 0 < n_toxic < n:
         return Model(np.zeros(size), float(np.log(share / (1.0 - share))))
     known: dict[str, np.ndarray] = {}
-    found = [features(t, known) for t in texts]
-    ids = np.concatenate(found)
-    rows = np.repeat(np.arange(n), [len(x) for x in found])
-    with_it = np.bincount(ids, minlength=size)
-    toxic_with_it = np.bincount(ids, y[rows], size)
+    with_it, toxic_with_it = np.zeros(size), np.zeros(size)
+    for text, label in zip(texts, labels):
+        ids = features(text, known)
+        with_it[ids] += 1.0
+        toxic_with_it[ids] += label
     ratio = np.log((toxic_with_it + prior) / (with_it * (n_toxic / n) + prior))
     ratio[np.abs(ratio) < least_ratio] = 0.0
-    kept = ratio[ids] != 0.0
-    ids, rows = ids[kept], rows[kept]
+    # A second reading keeps the few features that count, so that memory follows those.
+    found = [ids[ratio[ids] != 0.0].astype(np.int32) for ids in (features(t, known) for t in texts)]
+    ids = np.concatenate(found)
+    rows = np.repeat(np.arange(n, dtype=np.int32), [len(x) for x in found])
     values = ratio[ids]
     w, g2 = np.zeros(size), np.full(size, 1e-8)
     b, b2 = float(np.log(share / (1.0 - share))), 1e-8
@@ -92,7 +96,7 @@ def fit(texts: list[str | None], labels: list[int], prior: float = 10.0, least_r
     return Model(ratio * w, float(b))
 
 
-def train(docs: DataFrame, labels: DataFrame, usable: Callable[[Column], Column], n_train: int = 12_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+def train(docs: DataFrame, labels: DataFrame, usable: Callable[[Column], Column], n_train: int = 8_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """A model of the ``n_train`` labelled rows with the smallest hashes among those ``usable`` by id."""
     marks = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
     marks = marks.where(F.col("label").isin(0, 1) & usable(F.col("id")))
