@@ -34,20 +34,55 @@ WORD = re.compile(r"[^\W\d_]+")
 LINE_BREAKS = re.compile(r"[\n\r]+")
 CHAIN = 256
 N_BITS = 16
+PREFIXES, SUFFIXES, INNER = (1, 2, 3), (1, 2, 3, 4), (2, 3)
 UNKNOWN = "und"
 #: Distinct words whose emissions a worker keeps, and words of a forward-backward pass.
-WORDS_KEPT = 300_000
+WORDS_KEPT = 600_000
 PASS_WORDS = 200_000
 
 
-def word_features(word: str) -> list[int]:
-    """Hashed affixes, inner n-grams and the word itself; equal slots count once."""
-    n = len(word)
-    names = [f"p{word[:i]}" for i in range(1, min(n, 3) + 1)]
-    names += [f"s{word[-i:]}" for i in range(1, min(n, 4) + 1)]
-    names += [f"g{word[i : i + 2]}" for i in range(n - 1)] + [f"t{word[i : i + 3]}" for i in range(n - 2)]
-    names.append(f"w{word}")
-    return sorted({xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) >> (64 - N_BITS) for x in names})
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(29))
+
+
+def featurize(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(feature, word) of many words at once: affixes, inner n-grams and the words themselves.
+
+    Code points are hashed by position arrays; a feature's kind and length are part of its hash.
+    """
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    starts = np.cumsum(lengths) - lengths
+    owner = np.repeat(np.arange(len(words)), lengths)
+    within = np.arange(len(points)) - starts[owner]
+    left = lengths[owner] - within
+    features, owners = [], []
+
+    def add(first: np.ndarray, n: int, kind: int) -> None:
+        h = np.full(len(first), kind * 16 + n, np.uint64)
+        for i in range(n):
+            h = (h + points[first + i]) * np.uint64(0x9E3779B97F4A7C15)
+        features.append(_mixed(h) >> np.uint64(64 - N_BITS))
+        owners.append(owner[first])
+
+    for n in PREFIXES:
+        add(starts[lengths >= n], n, 1)
+    for n in SUFFIXES:
+        add((starts + lengths - n)[lengths >= n], n, 2)
+    for n in INNER:
+        add(np.flatnonzero(left >= n), n, 3)
+    powers = _mixed(np.arange(1, int(lengths.max(initial=0)) + 1, dtype=np.uint64) * np.uint64(0x94D049BB133111EB))
+    upto = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mixed(points + np.uint64(7)) * powers[within])])
+    features.append(_mixed(upto[starts + lengths] - upto[starts]) >> np.uint64(64 - N_BITS))
+    owners.append(np.arange(len(words)))
+    return np.concatenate(features).astype(np.int64), np.concatenate(owners)
+
+
+def emissions(words: list[str], weights: np.ndarray) -> np.ndarray:
+    """Emission scores of words: sums of their features' weights."""
+    features, owner = featurize(words)
+    return np.stack([np.bincount(owner, weights[features, j], len(words)) for j in range(weights.shape[1])], axis=1)
 
 
 def chains(text: str) -> list[list[str]]:
@@ -58,19 +93,22 @@ def chains(text: str) -> list[list[str]]:
     return found
 
 
-def forward_backward(emit: np.ndarray, lengths: np.ndarray, trans: np.ndarray, want_pairs: bool = False):
-    """Label probabilities of each word of chains that lie one after another in ``emit``.
+def potentials(emit: np.ndarray) -> np.ndarray:
+    return np.exp(emit - emit.max(axis=1, keepdims=True))
+
+
+def forward_backward(psi: np.ndarray, lengths: np.ndarray, trans: np.ndarray, want_pairs: bool = False):
+    """Label probabilities of each word of chains that lie one after another in ``psi``.
 
     Chains advance together: step t handles the t-th word of every chain that has one. Returns
-    the probabilities in the order of ``emit`` and, if wanted, the expected label pairs.
+    the probabilities in the order of ``psi`` and, if wanted, the expected label pairs.
     """
-    n_labels = emit.shape[1]
+    n_labels = psi.shape[1]
     order = np.argsort(-lengths, kind="stable")
     starts = (np.cumsum(lengths) - lengths)[order]
     sizes = lengths[order]
     steps = int(sizes[0])
     active = np.searchsorted(-sizes, -np.arange(1, steps + 1), side="right")
-    psi = np.exp(emit - emit.max(axis=1, keepdims=True))
     move = np.exp(trans)
     alpha = np.empty_like(psi)
     before = np.full((len(order), n_labels), 1.0 / n_labels)
@@ -118,9 +156,7 @@ def fit(texts: list[str], langs: list[str], rounds: int = 15, rate: float = 0.3,
     if n_labels < 2 or not ids:
         return Field(labels, weights, trans)
     ids, gold, lengths = np.array(ids), np.array(gold), np.array(lengths)
-    found = [word_features(w) for w in types]
-    columns = np.concatenate(found).astype(np.int64)
-    rows = np.repeat(np.arange(len(types)), [len(x) for x in found])
+    columns, rows = featurize(list(types))
     observed = np.zeros((len(types), n_labels))
     np.add.at(observed, (ids, gold), 1.0)
     inner = np.ones(len(ids), bool)
@@ -129,13 +165,13 @@ def fit(texts: list[str], langs: list[str], rounds: int = 15, rate: float = 0.3,
     np.add.at(seen_pairs, (gold[np.flatnonzero(inner) - 1], gold[inner]), 1.0)
     w2, t2 = np.full_like(weights, 1e-8), np.full_like(trans, 1e-8)
     for _ in range(rounds):
-        by_type = np.stack([np.bincount(rows, weights[columns, j], len(types)) for j in range(n_labels)], axis=1)
+        by_type = potentials(np.stack([np.bincount(rows, weights[columns, j], len(types)) for j in range(n_labels)], axis=1))
         expected, pairs = np.zeros_like(observed), np.zeros_like(trans)
-        for words, part in passes(lengths):
-            probs, some = forward_backward(by_type[ids[words]], part, trans, True)
+        for span, part in passes(lengths):
+            probs, some = forward_backward(by_type[ids[span]], part, trans, True)
             pairs += some
             for j in range(n_labels):
-                expected[:, j] += np.bincount(ids[words], probs[:, j], len(types))
+                expected[:, j] += np.bincount(ids[span], probs[:, j], len(types))
         gap = (expected - observed) / len(ids)
         grad = np.stack([np.bincount(columns, gap[rows, j], size) for j in range(n_labels)], axis=1) + decay * weights
         w2 += grad * grad
@@ -156,61 +192,58 @@ def passes(lengths: np.ndarray) -> Iterator[tuple[slice, np.ndarray]]:
         first, begun = last, int(upto[last - 1])
 
 
-class _Emissions(dict):
-    """A growing table of the emissions of the words met so far."""
-
-    def __init__(self, field: Field) -> None:
-        super().__init__()
-        self.field = field
-        self.rows = np.zeros((1024, len(field.labels)))
-
-    def __missing__(self, word: str) -> int:
-        at = len(self)
-        if at == len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        self.rows[at] = self.field.weights[word_features(word)].sum(axis=0)
-        self[word] = at
-        return at
-
-
 class Labeller:
-    """Labels texts; between batches it forgets its words once there are too many."""
+    """Labels texts; it keeps the potentials of the words it has met, up to a bound."""
 
     def __init__(self, field: Field) -> None:
-        self.field, self.known = field, _Emissions(field)
+        self.field = field
+        self.known: dict[str, int] = {}
+        self.rows = np.zeros((1 << 14, len(field.labels)))
+
+    def look_up(self, words: list[str]) -> np.ndarray:
+        """Rows of the words in the table of potentials."""
+        if len(self.known) >= WORDS_KEPT:
+            self.known.clear()
+        new = list(set(words).difference(self.known))
+        if new:
+            at = len(self.known)
+            while at + len(new) > len(self.rows):
+                self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+            self.rows[at : at + len(new)] = potentials(emissions(new, self.field.weights))
+            self.known.update(zip(new, range(at, at + len(new))))
+        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
 
     def __call__(self, texts) -> tuple[list[str], list[float]]:
         langs, scores = [], []
         texts = list(texts)
         at = 0
         while at < len(texts):
-            ids: list[int] = []
+            words: list[str] = []
             lengths: list[int] = []
             counts: list[int] = []
-            while at < len(texts) and len(ids) < PASS_WORDS:
-                if len(self.known) >= WORDS_KEPT and not ids:
-                    self.known = _Emissions(self.field)
-                before = len(ids)
+            while at < len(texts) and len(words) < PASS_WORDS:
+                before = len(words)
                 for chain in chains(texts[at]) if texts[at] else ():
-                    ids.extend(map(self.known.__getitem__, chain))
+                    words.extend(chain)
                     lengths.append(len(chain))
-                counts.append(len(ids) - before)
+                counts.append(len(words) - before)
                 at += 1
-            self._label(np.array(ids, np.int64), np.array(lengths, np.int64), np.array(counts, np.int64), langs, scores)
+            self._label(words, np.array(lengths, np.int64), np.array(counts, np.int64), langs, scores)
         return langs, scores
 
-    def _label(self, ids, lengths, counts, langs, scores) -> None:
+    def _label(self, words, lengths, counts, langs, scores) -> None:
         labels = self.field.labels
-        if not labels or not len(ids):
+        if not labels or not words:
             langs.extend([UNKNOWN] * len(counts))
             scores.extend([0.0] * len(counts))
             return
+        ids = self.look_up(words)
         owner = np.repeat(np.arange(len(counts)), counts)
         sums = np.zeros((len(counts), len(labels)))
-        for words, part in passes(lengths):
-            probs, _ = forward_backward(self.known.rows[ids[words]], part, self.field.trans)
+        for span, part in passes(lengths):
+            probs, _ = forward_backward(self.rows[ids[span]], part, self.field.trans)
             for j in range(len(labels)):
-                sums[:, j] += np.bincount(owner[words], probs[:, j], len(counts))
+                sums[:, j] += np.bincount(owner[span], probs[:, j], len(counts))
         for total, n in zip(sums, counts):
             best = int(total.argmax())
             langs.append(labels[best] if n else UNKNOWN)
@@ -231,12 +264,23 @@ def train(docs: DataFrame, usable: Callable[[Column], Column], n_per_lang: int =
     return fit([r["text"] for r in sample], [r["lang"] for r in sample])
 
 
+_labeller: list = [None, None]
+
+
+def labeller_of(name: str, shared) -> Labeller:
+    """The worker's labeller for a field; a worker that runs several tasks keeps it."""
+    if _labeller[0] != name:
+        _labeller[:] = name, Labeller(shared.value)
+    return _labeller[1]
+
+
 def label_documents(docs: DataFrame, field: Field, text_col: str = "text") -> DataFrame:
     """``docs`` with the columns ``lang_pred`` and ``score``."""
     shared = docs.sparkSession.sparkContext.broadcast(field)  # half a MB for each label
+    name = xxhash.xxh3_64_hexdigest(field.weights.tobytes() + field.trans.tobytes())
 
     def label(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        labeller = Labeller(shared.value)
+        labeller = labeller_of(name, shared)
         for texts in batches:
             langs, scores = labeller(texts)
             yield pd.DataFrame({"lang_pred": langs, "score": scores})
@@ -245,12 +289,12 @@ def label_documents(docs: DataFrame, field: Field, text_col: str = "text") -> Da
     return docs.withColumn("__label", made).select(*[F.col(f"`{c}`") for c in docs.columns], "__label.lang_pred", "__label.score")
 
 
-def word_labels(text: str, field: Field) -> list[tuple[str, str, float]]:
+def word_labels(text: str | None, field: Field) -> list[tuple[str, str, float]]:
     """(word, label, probability) of each word of a text, for code-switched text."""
     found = chains(text or "")
-    known = _Emissions(field)
     if not found or not field.labels:
         return []
-    ids = np.array([known[w] for chain in found for w in chain])
-    probs, _ = forward_backward(known.rows[ids], np.array([len(c) for c in found]), field.trans)
-    return [(w, field.labels[int(p.argmax())], float(p.max())) for w, p in zip((w for c in found for w in c), probs)]
+    words = [w for chain in found for w in chain]
+    psi = potentials(emissions(words, field.weights))
+    probs, _ = forward_backward(psi, np.array([len(c) for c in found]), field.trans)
+    return [(w, field.labels[int(p.argmax())], float(p.max())) for w, p in zip(words, probs)]
