@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, html_main, jaccard_join, language_id, license_scan, mixing, sharding, toxicity
+from . import ann, decontaminate, html_main, jaccard_join, language_id, license_scan, line_dedup, mixing, sharding, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,16 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labelled.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only documents that lose lines are rewritten; every document is returned."""
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+
+
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each leaked item of each contaminated document."""
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("uid")
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.label_documents(table(spark, sf_dir, "documents"))
 
@@ -65,6 +75,8 @@ QUERIES = {
     "op2_mix_sources": op2_mix_sources,
     "op3_nearest_vectors": op3_nearest_vectors,
     "op4_language_id": op4_language_id,
+    "op5_line_dedup": op5_line_dedup,
+    "op6_decontaminate": op6_decontaminate,
     "op7_license_scan": op7_license_scan,
     "op8_toxicity": op8_toxicity,
     "op9_main_text": op9_main_text,
