@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -34,6 +35,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def released(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished work now.
+
+    Spark removes a shuffle's files once the driver's garbage collector has found its plan unused,
+    which may be long after; between steps that shuffle much, disk would hold all of them at once.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def word_array(text: Column) -> Column:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a text, JVM-side; null gives an empty array."""
     parts = F.split(F.coalesce(text, F.lit("")), "[\\x20\\x09-\\x0D]+")

@@ -37,13 +37,16 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import written
+from .common import released, written
 from .components import connected_components
 
 #: Segments beyond the fewest that guarantee an agreement: so many may be empty on both sides.
 SPARE = 2
 BAND_RATIO = 1.5
+#: The keys are joined in so many parts, one after another, which bounds the disk that shuffles take.
+KEY_PARTS = 3
 #: Distinct words whose hashes a worker keeps.
 WORDS_KEPT = 1 << 19
 
@@ -132,16 +135,16 @@ def segment_keys(h: np.ndarray, bands: Bands) -> np.ndarray:
     return np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
 
 
-def _sketcher(k: int, num: int, den: int):
+def _sketcher(k: int, num: int, den: int, with_keys: bool):
     def sketch(texts: pd.Series) -> pd.DataFrame:
         bands, rows = Bands(num, den), []
         for text in texts:
             h = shingles(text, k)
             name = xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None
-            rows.append((len(h), name, segment_keys(h, bands)))
-        return pd.DataFrame(rows, columns=["n", "class", "keys"])
+            rows.append((len(h), name, segment_keys(h, bands)) if with_keys else (len(h), name))
+        return pd.DataFrame(rows, columns=["n", "class", "keys"][: 2 + with_keys])
 
-    return F.pandas_udf(sketch, "n long, class binary, keys array<long>")
+    return F.pandas_udf(sketch, "n long, class binary" + ", keys array<long>" * with_keys)
 
 
 def _set_maker(k: int):
@@ -182,32 +185,40 @@ def jaccard_components(
 
     Two texts link when ``den * |x & y| >= num * |x | y|``.
     """
-    sketch = _sketcher(k, num, den)(F.col(text_col))
-    sketched = docs.select(F.col(id_col).alias("doc_id"), sketch.alias("s")).select("doc_id", "s.*")
-    sketched = written(sketched, "join-sketches")
-
+    named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    # Keys are as large as the texts: they are shuffled once, to one row for each class, and not kept for each document.
+    keyed = named.select("doc_id", _sketcher(k, num, den, True)("text").alias("s")).select("doc_id", "s.*").where("n > 0")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "keys"))
-    classes = sketched.where("n > 0").groupBy("class", "n").agg(least.alias("least"))
+    classes = keyed.groupBy("class", "n").agg(least.alias("least"))
     classes = classes.select(F.monotonically_increasing_id().alias("c"), "class", "n", F.col("least.doc_id").alias("min_id"), F.col("least.keys").alias("keys"))
     classes = written(classes, "join-classes")
+    released(docs.sparkSession)
 
     links = class_links(docs, classes, k, num, den, id_col, text_col)
     roots = connected_components(links, "x", "y")
     labelled = classes.join(roots.withColumnRenamed("node", "c"), "c", "left").select("class", "min_id", F.coalesce("root", "c").alias("root"))
-    named = labelled.groupBy("root").agg(F.min("min_id").alias("component_id"))
-    named = written(labelled.join(named, "root").select("class", "component_id"), "join-components")
-    found = sketched.drop("keys").join(named, "class", "left")
+    least = labelled.groupBy("root").agg(F.min("min_id").alias("component_id"))
+    components = written(labelled.join(least, "root").select("class", "component_id"), "join-components")
+    sketched = named.select("doc_id", _sketcher(k, num, den, False)("text").alias("s")).select("doc_id", "s.*")
+    found = sketched.join(components, "class", "left")
     return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def class_links(docs, classes: DataFrame, k: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
     """Links (x, y) between classes such that components are those of all links."""
+    spark = classes.sparkSession
     keyed = classes.select("c", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("c")).alias("members"))
-    shared = shared.where("size > 1")
+    members = None
+    for part in range(KEY_PARTS):
+        some = keyed.where(F.pmod("key", F.lit(KEY_PARTS)) == part)
+        shared = some.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+        found = written(some.join(shared, "key"), "join-shared")
+        members = found if members is None else members.union(found)
+        released(spark)
     # Blocks with the same members are one block.
-    blocks = shared.groupBy("size", "members").agg(F.min("key").alias("key"))
-    members = written(keyed.join(blocks.select("key", "size"), "key"), "join-members")
+    blocks = members.groupBy("key", "size").agg(F.bit_xor(F.xxhash64("c")).alias("members"))
+    blocks = blocks.groupBy("size", "members").agg(F.min("key").alias("key"))
+    members = written(members.join(blocks.select("key"), "key"), "join-members")
     degree = members.groupBy("c").agg(F.sum("size").alias("degree"))
     ranked = members.join(degree, "c").groupBy("key").agg(F.max(F.struct("degree", F.negative("c").alias("c"))).alias("top"))
     ranked = ranked.select("key", F.negative("top.c").alias("p"))
@@ -258,3 +269,18 @@ def _sets_of(wanted: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     found = wanted.withColumnRenamed("min_id", "wanted_id").join(texts, F.col("wanted_id").eqNullSafe(F.col("min_id")))
     found = found.select("x", "n", "class", _set_maker(k)("text").alias("made"))
     return found.where("made.class = class").select("x", "n", "made.set").dropDuplicates(["x"])
+
+
+def keep_one(docs: DataFrame, **options) -> DataFrame:
+    """One document of each component, that of the smallest id, in the columns of ``docs``.
+
+    Documents without words all stay, and so do documents without an id; of repeated rows (same
+    id and text) one stays.
+    """
+    components = jaccard_components(docs, **options)
+    kept = components.where((F.col("doc_id") == F.col("component_id")) | (F.col("n_shingles") == 0) | F.col("doc_id").isNull())
+    kept = kept.select(F.col("doc_id").alias("__kept")).distinct()
+    found = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
+    nth = Window.partitionBy("doc_id", "__text").orderBy("__text")
+    found = found.withColumn("__text", F.xxhash64("text")).withColumn("__nth", F.when(F.col("doc_id").isNull(), 1).otherwise(F.row_number().over(nth)))
+    return found.where("__nth = 1").drop("__nth", "__text")

@@ -274,8 +274,8 @@ def labeller_of(name: str, shared) -> Labeller:
     return _labeller[1]
 
 
-def label_documents(docs: DataFrame, field: Field, text_col: str = "text") -> DataFrame:
-    """``docs`` with the columns ``lang_pred`` and ``score``."""
+def label_documents(docs: DataFrame, field: Field, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
+    """``docs`` with the two columns named, in place of columns that have those names."""
     shared = docs.sparkSession.sparkContext.broadcast(field)  # half a MB for each label
     name = xxhash.xxh3_64_hexdigest(field.weights.tobytes() + field.trans.tobytes())
 
@@ -286,7 +286,8 @@ def label_documents(docs: DataFrame, field: Field, text_col: str = "text") -> Da
             yield pd.DataFrame({"lang_pred": langs, "score": scores})
 
     made = F.pandas_udf(label, "lang_pred string, score double")(F.col(text_col))
-    return docs.withColumn("__label", made).select(*[F.col(f"`{c}`") for c in docs.columns], "__label.lang_pred", "__label.score")
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in (lang_out, score_out)]
+    return docs.withColumn("__label", made).select(*kept, F.col("__label.lang_pred").alias(lang_out), F.col("__label.score").alias(score_out))
 
 
 def word_labels(text: str | None, field: Field) -> list[tuple[str, str, float]]:
