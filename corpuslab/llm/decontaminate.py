@@ -144,4 +144,4 @@ def clean_documents(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """The documents that leak no item, in the columns of ``docs``."""
     bad = leaks(docs, items, **options).select(F.col("uid").alias("__uid")).distinct()
     keyed = docs.withColumn("__uid", F.xxhash64("doc_id", "text", F.lit(11)))
-    return keyed.join(bad, "__uid", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return keyed.join(small_or_not(written(bad, "leak-documents")), "__uid", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

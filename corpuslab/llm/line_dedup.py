@@ -100,7 +100,8 @@ def dedup_lines(docs: DataFrame, gram_words: int = 25, window_words: int = 25, i
     spans = F.collect_set(F.struct("first_line", "last_line"))
     gone = written(runs.groupBy("uid").agg(F.array_sort(spans).alias("runs")), "dedup-runs")
     keyed = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    keyed = keyed.withColumn("uid", F.xxhash64("doc_id", "text", F.lit(3))).join(gone, "uid", "left")
+    # Runs grow with the documents, so both sides are always dealt by document.
+    keyed = keyed.withColumn("uid", F.xxhash64("doc_id", "text", F.lit(3))).join(gone.hint("merge"), "uid", "left")
     return keyed.select("doc_id", *cut(F.col("text"), F.col("runs")))
 
 
