@@ -1,12 +1,7 @@
-"""Registered queries and their oracle SQL."""
+"""All registered queries and their oracle SQL."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+from . import catalog_queries, curate_queries, eval_queries, stats_queries, stream_queries, text_queries  # noqa: F401
+from .base import ORACLE_SQL, QUERIES  # noqa: F401
+from .eval_queries import flagship  # noqa: F401
