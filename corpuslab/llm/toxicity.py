@@ -31,28 +31,44 @@ from pyspark.sql import functions as F
 WORD = re.compile(r"[^\W\d_]+")
 N_BITS = 18
 SIZES = (2, 3, 4, 5)
-#: Words whose n-grams a worker keeps.
-WORDS_KEPT = 100_000
-
-
-def ngrams(word: str) -> np.ndarray:
-    """Distinct hashed character n-grams of a word in boundary marks, and the whole word."""
-    marked = f"<{word}>"
-    grams = {marked[i : i + n] for n in SIZES for i in range(len(marked) - n + 1)} | {marked}
-    hashes = {xxhash.xxh3_64_intdigest(g.encode("utf-8", "surrogatepass")) >> (64 - N_BITS) for g in grams}
-    return np.array(sorted(hashes), np.int64)
-
-
-def features(text: str | None, known: dict[str, np.ndarray]) -> np.ndarray:
-    """Distinct hashed n-grams of a whole text; ``known`` keeps those of its words."""
-    found = []
-    for word in set(WORD.findall(text.lower()) if text else ()):
-        if word not in known:
-            if len(known) >= WORDS_KEPT:
-                known.clear()
-            known[word] = ngrams(word)
-        found.append(known[word])
-    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+#: Words whose n-grams a worker keeps, and texts whose new words are hashed together.
+WORDS_KEPT = 500_000
+TEXTS_TOGETHER = 200
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(29))
+
+
+def ngrams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(feature, word): the hashed n-grams of many words in boundary marks, and the whole words."""
+    marked = [f"<{w}>" for w in words]
+    lengths = np.fromiter(map(len, marked), np.int64, len(marked))
+    points = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    starts = np.cumsum(lengths) - lengths
+    owner = np.repeat(np.arange(len(marked)), lengths)
+    within = np.arange(len(points)) - starts[owner]
+    left = lengths[owner] - within
+    ids, owners = [], []
+    h = np.zeros(len(points), np.uint64)
+    for n in range(1, max(SIZES) + 1):
+        has = np.flatnonzero(left >= n)
+        h[has] = (h[has] + points[has + n - 1]) * np.uint64(0x9E3779B97F4A7C15)
+        if n in SIZES:
+            ids.append(_mixed(h[has] + np.uint64(n)) >> np.uint64(64 - N_BITS))
+            owners.append(owner[has])
+    powers = _mixed(np.arange(1, int(lengths.max(initial=0)) + 1, dtype=np.uint64) * np.uint64(0x94D049BB133111EB))
+    upto = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mixed(points + np.uint64(7)) * powers[within])])
+    ids.append(_mixed(upto[starts + lengths] - upto[starts]) >> np.uint64(64 - N_BITS))
+    owners.append(np.arange(len(marked)))
+    return np.concatenate(ids).astype(np.int64), np.concatenate(owners)
+
+
+def features(text: str | None) -> np.ndarray:
+    """Distinct hashed n-grams of a whole text."""
+    words = list(set(WORD.findall(text.lower()))) if text else []
+    return np.unique(ngrams(words)[0]) if words else np.zeros(0, np.int64)
 
 
 @dataclass(frozen=True)
@@ -69,16 +85,15 @@ def fit(texts: list[str | None], labels: list[int], prior: float = 10.0, least_r
     share = (n_toxic + 0.5) / (n + 1.0)
     if not 0 < n_toxic < n:
         return Model(np.zeros(size), float(np.log(share / (1.0 - share))))
-    known: dict[str, np.ndarray] = {}
     with_it, toxic_with_it = np.zeros(size), np.zeros(size)
     for text, label in zip(texts, labels):
-        ids = features(text, known)
+        ids = features(text)
         with_it[ids] += 1.0
         toxic_with_it[ids] += label
     ratio = np.log((toxic_with_it + prior) / (with_it * (n_toxic / n) + prior))
     ratio[np.abs(ratio) < least_ratio] = 0.0
     # A second reading keeps the few features that count, so that memory follows those.
-    found = [ids[ratio[ids] != 0.0].astype(np.int32) for ids in (features(t, known) for t in texts)]
+    found = [ids[ratio[ids] != 0.0].astype(np.int32) for ids in (features(t) for t in texts)]
     ids = np.concatenate(found)
     rows = np.repeat(np.arange(n, dtype=np.int32), [len(x) for x in found])
     values = ratio[ids]
@@ -108,33 +123,62 @@ def train(docs: DataFrame, labels: DataFrame, usable: Callable[[Column], Column]
     return fit([r["text"] for r in sample], [r["label"] for r in sample])
 
 
-class _Scorer(dict):
-    """Looks up a word's n-grams that count; most words have none."""
+class Scorer:
+    """Scores texts; it keeps the n-grams that count of the words it has met, up to a bound.
+
+    Most words have none and share one empty entry.
+    """
 
     def __init__(self, model: Model) -> None:
-        super().__init__()
         self.model = model
-
-    def __missing__(self, word: str) -> np.ndarray:
-        if len(self) >= WORDS_KEPT:
-            self.clear()
-        ids = ngrams(word)
-        self[word] = ids = ids[self.model.values[ids] != 0.0]
-        return ids
-
-    def score(self, text: str | None) -> float:
-        found = [ids for ids in map(self.__getitem__, set(WORD.findall(text.lower()) if text else ())) if len(ids)]
-        z = self.model.bias + (float(self.model.values[np.unique(np.concatenate(found))].sum()) if found else 0.0)
-        return float(1.0 / (1.0 + np.exp(-np.clip(z, -30.0, 30.0))))
+        self.known: dict[str, tuple[int, ...]] = {}
+
+    def learn(self, words: set[str]) -> None:
+        if len(self.known) >= WORDS_KEPT:
+            self.known.clear()
+        new = list(words.difference(self.known))
+        if not new:
+            return
+        ids, owner = ngrams(new)
+        counts = self.model.values[ids] != 0.0
+        found: dict[int, list[int]] = {}
+        for i, w in zip(ids[counts].tolist(), owner[counts].tolist()):
+            found.setdefault(w, []).append(i)
+        none: tuple[int, ...] = ()
+        self.known.update((w, tuple(found[n]) if n in found else none) for n, w in enumerate(new))
+
+    def __call__(self, texts) -> list[float]:
+        scores: list[float] = []
+        texts = list(texts)
+        values = self.model.values
+        for first in range(0, len(texts), TEXTS_TOGETHER):
+            sets = [set(WORD.findall(t.lower())) if t else set() for t in texts[first : first + TEXTS_TOGETHER]]
+            self.learn(set().union(*sets))
+            for words in sets:
+                ids = list({i for found in map(self.known.__getitem__, words) if found for i in found})
+                z = self.model.bias + (float(values[np.sort(np.array(ids))].sum()) if ids else 0.0)
+                scores.append(float(1.0 / (1.0 + np.exp(-min(30.0, max(-30.0, z))))))
+        return scores
+
+
+_scorer: list = [None, None]
+
+
+def scorer_of(name: str, shared) -> Scorer:
+    """The worker's scorer for a model; a worker that runs several tasks keeps it."""
+    if _scorer[0] != name:
+        _scorer[:] = name, Scorer(shared.value)
+    return _scorer[1]
 
 
 def score_documents(docs: DataFrame, model: Model, text_col: str = "text", out_col: str = "score") -> DataFrame:
     """``docs`` with one more column, the score of label 1 of the whole text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2 MB, whatever the input
+    name = xxhash.xxh3_64_hexdigest(model.values.tobytes()) + repr(model.bias)
 
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        scorer = _Scorer(shared.value)
+        scorer = scorer_of(name, shared)
         for texts in batches:
-            yield pd.Series([scorer.score(t) for t in texts], dtype="float64")
+            yield pd.Series(scorer(texts), dtype="float64")
 
     return docs.withColumn(out_col, F.pandas_udf(score, "double")(F.col(text_col)))
