@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import released, written
+from .common import released, small_batches, written
 from .components import connected_components
 
 #: Segments beyond the fewest that guarantee an agreement: so many may be empty on both sides.
@@ -48,7 +48,9 @@ BAND_RATIO = 1.5
 #: The keys are joined in so many parts, one after another, which bounds the disk that shuffles take.
 KEY_PARTS = 3
 #: Distinct words whose hashes a worker keeps.
-WORDS_KEPT = 1 << 19
+WORDS_KEPT = 1 << 17
+#: Rows with sets of shingles that a worker gets at a time.
+BATCH = 1000
 
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
@@ -191,7 +193,8 @@ def jaccard_components(
     least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "keys"))
     classes = keyed.groupBy("class", "n").agg(least.alias("least"))
     classes = classes.select(F.monotonically_increasing_id().alias("c"), "class", "n", F.col("least.doc_id").alias("min_id"), F.col("least.keys").alias("keys"))
-    classes = written(classes, "join-classes")
+    with small_batches(docs.sparkSession, BATCH):
+        classes = written(classes, "join-classes")
     released(docs.sparkSession)
 
     links = class_links(docs, classes, k, num, den, id_col, text_col)
@@ -228,14 +231,18 @@ def class_links(docs, classes: DataFrame, k: int, num: int, den: int, id_col: st
     involved = written(regions.select("x").union(regions.select("p")).distinct(), "join-involved")
     wanted = involved.join(classes.select(F.col("c").alias("x"), "class", "n", "min_id"), "x")
     texts = docs.select(F.col(id_col).alias("min_id"), F.col(text_col).alias("text"))
-    sets = written(_sets_of(wanted, texts, k), "join-sets")
+    with small_batches(spark, BATCH):
+        sets = written(_sets_of(wanted, texts, k), "join-sets")
+    released(spark)
 
     xs = sets.select("x", F.col("n").alias("nx"), F.col("set").alias("xset"))
     ps = sets.select(F.col("x").alias("p"), F.col("n").alias("np"), F.col("set").alias("pset"))
     placed = regions.join(xs, "x").join(ps, "p")
     placed = placed.withColumn("d", _differ(num, den)("xset", "pset")).select("x", "p", "nx", "np", "d.*")
     near = F.expr(f"{den} * (nx - n_own) >= {num} * (np + n_own)")
-    placed = written(placed.withColumn("near", near), "join-placed")
+    with small_batches(spark, BATCH):
+        placed = written(placed.withColumn("near", near), "join-placed")
+    released(spark)
 
     first = placed.where("near").select("x", F.col("p").alias("y"))
     roots = connected_components(first, "x", "y").select(F.col("node").alias("x"), "root")
@@ -258,7 +265,10 @@ def class_links(docs, classes: DataFrame, k: int, num: int, den: int, id_col: st
     ys = sets.select(F.col("x").alias("y"), F.col("n").alias("ny"), F.col("set").alias("yset"))
     met = written(pairs, "join-pairs").join(xs, "x").join(ys, "y").withColumn("i", _meeter()("xset", "yset"))
     second = met.where(f"{den} * i >= {num} * (nx + ny - i)").select("x", "y")
-    return first.union(written(second, "join-links"))
+    with small_batches(spark, BATCH):
+        second = written(second, "join-links")
+    released(spark)
+    return first.union(second)
 
 
 def _sets_of(wanted: DataFrame, texts: DataFrame, k: int) -> DataFrame:

@@ -37,7 +37,7 @@ N_BITS = 16
 PREFIXES, SUFFIXES, INNER = (1, 2, 3), (1, 2, 3, 4), (2, 3)
 UNKNOWN = "und"
 #: Distinct words whose emissions a worker keeps, and words of a forward-backward pass.
-WORDS_KEPT = 600_000
+WORDS_KEPT = 250_000
 PASS_WORDS = 200_000
 
 
