@@ -68,11 +68,14 @@ def contaminated_exact(pairs: DataFrame, training: DataFrame) -> DataFrame:
     return keys(pairs).join(keys(training).select("hash").distinct(), "hash", "left_semi").select("pair_id").distinct()
 
 
-def char_grams(value: Column, n: int = 5) -> Column:
-    """Distinct character n-grams of the normalised text."""
-    norm = text.hash_normal(value)
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(norm) - (n - 1), F.lit(1))), lambda i: F.substring(norm, i, n))
-    return F.array_distinct(F.filter(grams, lambda g: F.length(g) == n))
+def char_grams(norm: Column, n: int = 5) -> Column:
+    """Distinct n-grams of an array of characters.
+
+    ``norm`` must be a column, not an expression, which would be worked out again for each gram.
+    """
+    # Characters by position: a substring would be counted from the start of the text each time.
+    grams = F.transform(norm, lambda c, i: F.concat(c, *[F.get(norm, i + j) for j in range(1, n)]))
+    return F.array_distinct(F.filter(grams, lambda g: g.isNotNull()))
 
 
 def contaminated_ngrams(items: DataFrame, corpus: DataFrame, threshold: float = 0.3, n: int = 5) -> DataFrame:
@@ -80,11 +83,15 @@ def contaminated_ngrams(items: DataFrame, corpus: DataFrame, threshold: float =
 
     An inverted index: grams are joined, and only grams of items reach the join.
     """
-    a = items.select("item_id", text.hash_normal(F.col("text")).alias("t")).select("item_id", char_grams(F.col("t"), n).alias("g"))
-    b = corpus.select("doc_id", text.hash_normal(F.col("text")).alias("t")).select("doc_id", char_grams(F.col("t"), n).alias("g"))
-    a = a.select("item_id", F.size("g").alias("na"), F.explode("g").alias("gram"))
-    b = b.select("doc_id", F.size("g").alias("nb"), F.explode("g").alias("gram"))
-    met = b.join(a, "gram").groupBy("item_id", "doc_id", "na", "nb").agg(F.count("*").alias("hits"))
+    characters = F.filter(F.split(text.hash_normal(F.col("text")), ""), lambda c: c != "")
+    # Sizes are counted from the exploded rows: beside an explode, Spark would work an array's size
+    # out again for each of its elements.
+    grams = F.explode(char_grams(F.col("t"), n)).alias("gram")
+    a = items.select("item_id", characters.alias("t")).select("item_id", grams)
+    b = corpus.select("doc_id", characters.alias("t")).select("doc_id", grams)
+    na = a.groupBy("item_id").agg(F.count("*").alias("na"))
+    nb = b.groupBy("doc_id").agg(F.count("*").alias("nb"))
+    met = b.join(a, "gram").groupBy("item_id", "doc_id").agg(F.count("*").alias("hits")).join(na, "item_id").join(nb, "doc_id")
     share = F.col("hits") / F.least("na", "nb").cast("double")
     hits = met.withColumn("overlap", share).where(F.col("overlap") >= threshold)
     return hits.groupBy("item_id").agg(F.min("doc_id").alias("doc_id"), F.round(F.min_by("overlap", "doc_id"), 6).alias("overlap"))

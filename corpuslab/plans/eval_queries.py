@@ -190,10 +190,10 @@ def metric_distribution(spark, sf_dir):
 
 
 @query(f"""WITH {SEARCH}, {RUNS}, u AS (SELECT run, 'precision_at_k' AS metric, avg(precision_at_k) AS v FROM scored GROUP BY run UNION ALL SELECT run, 'jaccard', avg(jaccard) FROM scored GROUP BY run)
-SELECT metric, arg_max(run, v) AS best_run, arg_min(run, v) AS worst_run, round((max(v) - min(v)) * 100, 4) AS spread FROM u GROUP BY metric""")
+SELECT metric, first(run ORDER BY v DESC, run) AS best_run, first(run ORDER BY v, run) AS worst_run, round((max(v) - min(v)) * 100, 4) AS spread FROM u GROUP BY metric""")
 def run_spread(spark, sf_dir):
     long = scored_runs(spark, sf_dir).unpivot("run", ["precision_at_k", "jaccard"], "metric", "v").groupBy("run", "metric").agg(F.avg("v").alias("v"))
-    return long.groupBy("metric").agg(F.max_by("run", "v").alias("best_run"), F.min_by("run", "v").alias("worst_run"), F.round((F.max("v") - F.min("v")) * 100, 4).alias("spread"))
+    return long.groupBy("metric").agg(F.min_by("run", F.struct(-F.col("v"), "run")).alias("best_run"), F.min_by("run", F.struct("v", "run")).alias("worst_run"), F.round((F.max("v") - F.min("v")) * 100, 4).alias("spread"))
 
 
 @query(f"WITH {SEARCH}, {RUNS} SELECT item_id, round(max(jaccard) FILTER (WHERE run = 'a'), 6) AS a, round(max(jaccard) FILTER (WHERE run = 'b'), 6) AS b FROM scored GROUP BY item_id")

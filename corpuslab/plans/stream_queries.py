@@ -9,7 +9,7 @@ from .base import query
 
 
 @query("""WITH m AS (SELECT max(ts) - INTERVAL 1 HOUR AS mark FROM events)
-SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type, count(*) AS n, round(avg(value), 6) AS mean_value FROM events, m GROUP BY 1, 2, mark HAVING date_trunc('day', ts) + INTERVAL 1 DAY <= mark""")
+SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type, count(*) AS n, round(avg(value), 6) AS mean_value FROM events, m WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= mark GROUP BY 1, 2""")
 def tumbling_counts(spark, sf_dir):
     out = streams.run_to_end(streams.tumbling_counts(streams.read_events(spark, f"{sf_dir}/events.parquet")), "tumbling")
     return out.withColumn("start", F.col("start").cast("timestamp_ntz"))
