@@ -16,7 +16,8 @@ The Jaccard distance is a metric, and so is |x ^ y|, the size of the symmetric d
    linked to y, then x ^ p and y ^ p must meet (otherwise |x ^ y| = |x ^ p| + |y ^ p|, which is
    beyond the radius), so x and y agree on one of their first few differences. Pairs of one
    component, and pairs whose distances to the pivot differ by more than a link allows, are
-   never formed. The rest is verified on the whole sets.
+   never formed. The rest is verified on the whole sets. Blocks of a few members are paired
+   directly, and pairs that agree on too few segments for a link are left out.
 
 Plain Voronoi cells around sampled documents alone do not work for texts: nearly all distances
 are close to 1, so every document lies in the window of every cell. Step 2 takes their place on
@@ -47,6 +48,8 @@ SPARE = 2
 BAND_RATIO = 1.5
 #: The keys are joined in so many parts, one after another, which bounds the disk that shuffles take.
 KEY_PARTS = 3
+#: Blocks of up to so many classes are joined pair by pair, larger ones by differences to their pivot.
+SMALL_BLOCK = 16
 #: Distinct words whose hashes a worker keeps.
 WORDS_KEPT = 1 << 17
 #: Rows with sets of shingles that a worker gets at a time.
@@ -105,6 +108,10 @@ class Bands:
             self.edges.append(max(self.edges[-1] + 1, math.ceil(self.edges[-1] * self.ratio)))
         return int(np.searchsorted(self.edges, n, side="right")) - 1
 
+    def apart(self, n: int) -> int:
+        """The symmetric difference for which the segments of n's own band are made."""
+        return self.most_apart(self.edges[self.band(n) + 1] - 1) if n else 0
+
     def of(self, n: int) -> list[tuple[int, int, int]]:
         """(band, segments, differences) of a set of n elements: its own band and, within the window, the one below."""
         own = self.band(n)
@@ -143,10 +150,10 @@ def _sketcher(k: int, num: int, den: int, with_keys: bool):
         for text in texts:
             h = shingles(text, k)
             name = xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None
-            rows.append((len(h), name, segment_keys(h, bands)) if with_keys else (len(h), name))
-        return pd.DataFrame(rows, columns=["n", "class", "keys"][: 2 + with_keys])
+            rows.append((len(h), name, bands.apart(len(h)), segment_keys(h, bands)) if with_keys else (len(h), name))
+        return pd.DataFrame(rows, columns=["n", "class", "apart", "keys"][: 2 + 2 * with_keys])
 
-    return F.pandas_udf(sketch, "n long, class binary" + ", keys array<long>" * with_keys)
+    return F.pandas_udf(sketch, "n long, class binary" + ", apart long, keys array<long>" * with_keys)
 
 
 def _set_maker(k: int):
@@ -191,8 +198,8 @@ def jaccard_components(
     # Keys are as large as the texts: they are shuffled once, to one row for each class, and not kept for each document.
     keyed = named.select("doc_id", _sketcher(k, num, den, True)("text").alias("s")).select("doc_id", "s.*").where("n > 0")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "keys"))
-    classes = keyed.groupBy("class", "n").agg(least.alias("least"))
-    classes = classes.select(F.monotonically_increasing_id().alias("c"), "class", "n", F.col("least.doc_id").alias("min_id"), F.col("least.keys").alias("keys"))
+    classes = keyed.groupBy("class", "n", "apart").agg(least.alias("least"))
+    classes = classes.select(F.monotonically_increasing_id().alias("c"), "class", "n", "apart", F.col("least.doc_id").alias("min_id"), F.col("least.keys").alias("keys"))
     with small_batches(docs.sparkSession, BATCH):
         classes = written(classes, "join-classes")
     released(docs.sparkSession)
@@ -220,12 +227,13 @@ def class_links(docs, classes: DataFrame, k: int, num: int, den: int, id_col: st
         released(spark)
     # Blocks with the same members are one block.
     blocks = members.groupBy("key", "size").agg(F.bit_xor(F.xxhash64("c")).alias("members"))
-    blocks = blocks.groupBy("size", "members").agg(F.min("key").alias("key"))
-    members = written(members.join(blocks.select("key"), "key"), "join-members")
+    blocks = blocks.groupBy("size", "members").agg(F.min("key").alias("key"), F.count("*").alias("weight"))
+    members = written(members.join(blocks.select("key", "weight"), "key"), "join-members")
     degree = members.groupBy("c").agg(F.sum("size").alias("degree"))
     ranked = members.join(degree, "c").groupBy("key").agg(F.max(F.struct("degree", F.negative("c").alias("c"))).alias("top"))
     ranked = ranked.select("key", F.negative("top.c").alias("p"))
-    regions = members.join(ranked, "key").where("c <> p").select(F.col("c").alias("x"), "p").distinct()
+    regions = members.join(ranked, "key").where("c <> p")
+    regions = regions.groupBy(F.col("c").alias("x"), "p").agg(F.max(F.col("size") > SMALL_BLOCK).alias("large"))
     regions = written(regions, "join-regions")
 
     involved = written(regions.select("x").union(regions.select("p")).distinct(), "join-involved")
@@ -238,7 +246,7 @@ def class_links(docs, classes: DataFrame, k: int, num: int, den: int, id_col: st
     xs = sets.select("x", F.col("n").alias("nx"), F.col("set").alias("xset"))
     ps = sets.select(F.col("x").alias("p"), F.col("n").alias("np"), F.col("set").alias("pset"))
     placed = regions.join(xs, "x").join(ps, "p")
-    placed = placed.withColumn("d", _differ(num, den)("xset", "pset")).select("x", "p", "nx", "np", "d.*")
+    placed = placed.withColumn("d", _differ(num, den)("xset", "pset")).select("x", "p", "large", "nx", "np", "d.*")
     near = F.expr(f"{den} * (nx - n_own) >= {num} * (np + n_own)")
     with small_batches(spark, BATCH):
         placed = written(placed.withColumn("near", near), "join-placed")
@@ -248,7 +256,7 @@ def class_links(docs, classes: DataFrame, k: int, num: int, den: int, id_col: st
     roots = connected_components(first, "x", "y").select(F.col("node").alias("x"), "root")
     placed = placed.join(roots, "x", "left").withColumn("root", F.coalesce("root", "x"))
 
-    diffs = placed.select("p", "x", "nx", "n_own", "n_lost", "near", "root", F.explode("first").alias("e"))
+    diffs = placed.where("large").select("p", "x", "nx", "n_own", "n_lost", "near", "root", F.explode("first").alias("e"))
     diffs = written(diffs, "join-differences")
     a, b = diffs.alias("a"), diffs.alias("b")
     far, other = F.col("a.near") == F.lit(False), F.col("a.root") != F.col("b.root")
@@ -262,6 +270,7 @@ def class_links(docs, classes: DataFrame, k: int, num: int, den: int, id_col: st
     same = (F.col("a.p") == F.col("b.p")) & (F.col("a.e") == F.col("b.e"))
     pairs = a.join(b, same & far & other & once & sizes & window)
     pairs = pairs.select(F.col("a.x").alias("x"), F.col("b.x").alias("y")).distinct()
+    pairs = pairs.union(small_block_pairs(members, classes, roots, num, den)).distinct()
     ys = sets.select(F.col("x").alias("y"), F.col("n").alias("ny"), F.col("set").alias("yset"))
     met = written(pairs, "join-pairs").join(xs, "x").join(ys, "y").withColumn("i", _meeter()("xset", "yset"))
     second = met.where(f"{den} * i >= {num} * (nx + ny - i)").select("x", "y")
@@ -271,6 +280,27 @@ def class_links(docs, classes: DataFrame, k: int, num: int, den: int, id_col: st
     return first.union(second)
 
 
+def small_block_pairs(members: DataFrame, classes: DataFrame, roots: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs of different components that share enough small blocks, of ``SMALL_BLOCK`` members at most.
+
+    A linked pair agrees on all segments but as many as its symmetric difference touches. Where
+    it shares no large block (those are joined by differences), all its agreements are here, so
+    pairs with fewer are no links. A member meets ``SMALL_BLOCK`` others in a block at most.
+    """
+    small = members.where(F.col("size") <= SMALL_BLOCK).select("key", "weight", "c")
+    facts = small.select("c").distinct().join(classes.select("c", "n", "apart"), "c")
+    facts = facts.join(roots.select(F.col("x").alias("c"), "root"), "c", "left").withColumn("root", F.coalesce("root", "c"))
+    small = written(small.join(facts, "c"), "join-small")
+    a, b = small.alias("a"), small.alias("b")
+    met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.c") < F.col("b.c")) & (F.col("a.root") != F.col("b.root")))
+    met = met.where(F.expr(f"{den} * least(a.n, b.n) >= {num} * greatest(a.n, b.n)"))
+    met = met.select(
+        F.col("a.c").alias("x"), F.col("b.c").alias("y"), "a.weight",
+        F.expr(f"if(a.n <= b.n, a.apart, b.apart) + 1 - floor((a.n + b.n) * {den - num} / {den + num})").alias("needed"),
+    )
+    return met.groupBy("x", "y").agg(F.sum("weight").alias("weight"), F.max("needed").alias("needed")).where("weight >= needed").select("x", "y")
+
+
 def _sets_of(wanted: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     """Whole shingle sets of classes, made again from one text of each.
 
