@@ -16,8 +16,10 @@ The Jaccard distance is a metric, and so is |x ^ y|, the size of the symmetric d
    linked to y, then x ^ p and y ^ p must meet (otherwise |x ^ y| = |x ^ p| + |y ^ p|, which is
    beyond the radius), so x and y agree on one of their first few differences. Pairs of one
    component, and pairs whose distances to the pivot differ by more than a link allows, are
-   never formed. The rest is verified on the whole sets. Blocks of a few members are paired
-   directly, and pairs that agree on too few segments for a link are left out.
+   never formed. The rest is verified on the whole sets. Blocks of a few members need no pivot:
+   they are paired directly, and pairs that agree on too few segments for a link are left out.
+   Of those, each class is verified with the partner that agrees with it most first, and with
+   others only where that leaves them in different components.
 
 Plain Voronoi cells around sampled documents alone do not work for texts: nearly all distances
 are close to 1, so every document lies in the window of every cell. Step 2 takes their place on
@@ -32,6 +34,7 @@ rows. Only the id and text columns are read.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -40,12 +43,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import released, small_batches, written
+from .common import released, removed, small_batches, written
 from .components import connected_components
 
-#: Segments beyond the fewest that guarantee an agreement: so many may be empty on both sides.
+#: Segments beyond the fewest that guarantee an agreement: so many may be empty on both sides. Sets
+#: with more empty segments have keys of those too, which they share with many others; one more for
+#: every eight differences leaves hardly any such sets.
 SPARE = 2
-BAND_RATIO = 1.5
+DIFFERENCES_PER_SPARE = 8
+BAND_RATIO = 1.25
 #: The keys are joined in so many parts, one after another, which bounds the disk that shuffles take.
 KEY_PARTS = 3
 #: Blocks of up to so many classes are joined pair by pair, larger ones by differences to their pivot.
@@ -113,7 +119,7 @@ class Bands:
         return self.most_apart(self.edges[self.band(n) + 1] - 1) if n else 0
 
     def of(self, n: int) -> list[tuple[int, int, int]]:
-        """(band, segments, differences) of a set of n elements: its own band and, within the window, the one below."""
+        """(band, segments, spare ones) of a set of n elements: its own band and, within the window, the one below."""
         own = self.band(n)
         bands = [own]
         if own and (self.edges[own] - 1) * self.den >= n * self.num:
@@ -122,23 +128,24 @@ class Bands:
         for band in bands:
             apart = self.most_apart(self.edges[band + 1] - 1)
             if apart:
-                found.append((band, apart + 1 + SPARE, apart))
+                spare = SPARE + apart // DIFFERENCES_PER_SPARE
+                found.append((band, apart + 1 + spare, spare))
         return found
 
 
 def segment_keys(h: np.ndarray, bands: Bands) -> np.ndarray:
-    """Keys of a set's segments in its bands. Empty segments have one only where a set has more than ``SPARE``."""
+    """Keys of a set's segments in its bands. Empty segments have one only where a set has more than the spare ones."""
     if not len(h):
         return np.zeros(0, np.int64)
     upto = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mixed(h ^ _M1))])
     keys = []
-    for band, m, _ in bands.of(len(h)):
+    for band, m, spare in bands.of(len(h)):
         cuts = np.searchsorted(h, np.arange(1, m, dtype=np.uint64) * np.uint64((1 << 64) // m))
         cuts = np.concatenate([[0], cuts, [len(h)]])
         sizes = np.diff(cuts)
         sums = upto[cuts[1:]] - upto[cuts[:-1]]
         key = _mixed(_mixed(sums + sizes.astype(np.uint64) * _M2) + np.arange(m, dtype=np.uint64) * _M3 + np.full(m, band, np.uint64) * _M1)
-        if (sizes == 0).sum() <= SPARE:
+        if (sizes == 0).sum() <= spare:
             key = key[sizes > 0]
         keys.append(key)
     return np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
@@ -204,9 +211,9 @@ def jaccard_components(
         classes = written(classes, "join-classes")
     released(docs.sparkSession)
 
-    links = class_links(docs, classes, k, num, den, id_col, text_col)
-    roots = connected_components(links, "x", "y")
-    labelled = classes.join(roots.withColumnRenamed("node", "c"), "c", "left").select("class", "min_id", F.coalesce("root", "c").alias("root"))
+    members, facts = blocks(classes)
+    links = class_links(docs, members, facts, k, num, den, id_col, text_col)
+    labelled = facts.join(_roots(links).withColumnRenamed("node", "c"), "c", "left").select("class", "min_id", F.coalesce("root", "c").alias("root"))
     least = labelled.groupBy("root").agg(F.min("min_id").alias("component_id"))
     components = written(labelled.join(least, "root").select("class", "component_id"), "join-components")
     sketched = named.select("doc_id", _sketcher(k, num, den, False)("text").alias("s")).select("doc_id", "s.*")
@@ -214,30 +221,45 @@ def jaccard_components(
     return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def class_links(docs, classes: DataFrame, k: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
-    """Links (x, y) between classes such that components are those of all links."""
+def blocks(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The members of each block (those that are alike as one, with their number as weight), and the classes without keys.
+
+    The table ``classes`` is deleted.
+    """
     spark = classes.sparkSession
     keyed = classes.select("c", F.explode("keys").alias("key"))
-    members = None
+    parts = []
     for part in range(KEY_PARTS):
         some = keyed.where(F.pmod("key", F.lit(KEY_PARTS)) == part)
         shared = some.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-        found = written(some.join(shared, "key"), "join-shared")
-        members = found if members is None else members.union(found)
+        parts.append(written(some.join(shared, "key"), "join-shared"))
         released(spark)
+    members = reduce(DataFrame.union, parts)
     # Blocks with the same members are one block.
-    blocks = members.groupBy("key", "size").agg(F.bit_xor(F.xxhash64("c")).alias("members"))
-    blocks = blocks.groupBy("size", "members").agg(F.min("key").alias("key"), F.count("*").alias("weight"))
-    members = written(members.join(blocks.select("key", "weight"), "key"), "join-members")
-    degree = members.groupBy("c").agg(F.sum("size").alias("degree"))
-    ranked = members.join(degree, "c").groupBy("key").agg(F.max(F.struct("degree", F.negative("c").alias("c"))).alias("top"))
+    alike = members.groupBy("key", "size").agg(F.bit_xor(F.xxhash64("c")).alias("members"))
+    alike = alike.groupBy("size", "members").agg(F.min("key").alias("key"), F.count("*").alias("weight"))
+    members = written(members.join(alike.select("key", "weight"), "key"), "join-members")
+    facts = written(classes.drop("keys"), "join-facts")
+    removed(classes, *parts)
+    released(spark)
+    return members, facts
+
+
+def class_links(docs: DataFrame, members: DataFrame, facts: DataFrame, k: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
+    """Links (x, y) between classes such that components are those of all links. The table ``members`` is deleted."""
+    spark = members.sparkSession
+    candidates = written(small_block_pairs(members, facts, num, den), "join-candidates")
+
+    large = members.where(F.col("size") > SMALL_BLOCK)
+    degree = large.groupBy("c").agg(F.sum("size").alias("degree"))
+    ranked = large.join(degree, "c").groupBy("key").agg(F.max(F.struct("degree", F.negative("c").alias("c"))).alias("top"))
     ranked = ranked.select("key", F.negative("top.c").alias("p"))
-    regions = members.join(ranked, "key").where("c <> p")
-    regions = regions.groupBy(F.col("c").alias("x"), "p").agg(F.max(F.col("size") > SMALL_BLOCK).alias("large"))
+    regions = large.join(ranked, "key").where("c <> p").select(F.col("c").alias("x"), "p").distinct()
     regions = written(regions, "join-regions")
+    removed(members)
 
-    involved = written(regions.select("x").union(regions.select("p")).distinct(), "join-involved")
-    wanted = involved.join(classes.select(F.col("c").alias("x"), "class", "n", "min_id"), "x")
+    involved = regions.select("x").union(regions.select("p")).union(candidates.select("x")).union(candidates.select("y")).distinct()
+    wanted = written(involved, "join-involved").join(facts.select(F.col("c").alias("x"), "class", "n", "min_id"), "x")
     texts = docs.select(F.col(id_col).alias("min_id"), F.col(text_col).alias("text"))
     with small_batches(spark, BATCH):
         sets = written(_sets_of(wanted, texts, k), "join-sets")
@@ -246,17 +268,21 @@ def class_links(docs, classes: DataFrame, k: int, num: int, den: int, id_col: st
     xs = sets.select("x", F.col("n").alias("nx"), F.col("set").alias("xset"))
     ps = sets.select(F.col("x").alias("p"), F.col("n").alias("np"), F.col("set").alias("pset"))
     placed = regions.join(xs, "x").join(ps, "p")
-    placed = placed.withColumn("d", _differ(num, den)("xset", "pset")).select("x", "p", "large", "nx", "np", "d.*")
+    placed = placed.withColumn("d", _differ(num, den)("xset", "pset")).select("x", "p", "nx", "np", "d.*")
     near = F.expr(f"{den} * (nx - n_own) >= {num} * (np + n_own)")
     with small_batches(spark, BATCH):
         placed = written(placed.withColumn("near", near), "join-placed")
     released(spark)
 
-    first = placed.where("near").select("x", F.col("p").alias("y"))
-    roots = connected_components(first, "x", "y").select(F.col("node").alias("x"), "root")
-    placed = placed.join(roots, "x", "left").withColumn("root", F.coalesce("root", "x"))
+    links = placed.where("near").select("x", F.col("p").alias("y"))
+    candidates = _between(candidates, _roots(links))
+    best = candidates.groupBy("x").agg(F.max(F.struct("weight", F.negative("y").alias("y"))).alias("best"))
+    links = links.union(_verified(best.select("x", F.negative("best.y").alias("y")), sets, num, den))
+    roots = _roots(links)
+    pairs = _between(candidates, roots).select("x", "y")
 
-    diffs = placed.where("large").select("p", "x", "nx", "n_own", "n_lost", "near", "root", F.explode("first").alias("e"))
+    placed = placed.join(roots.withColumnRenamed("node", "x"), "x", "left").withColumn("root", F.coalesce("root", "x"))
+    diffs = placed.select("p", "x", "nx", "n_own", "n_lost", "near", "root", F.explode("first").alias("e"))
     diffs = written(diffs, "join-differences")
     a, b = diffs.alias("a"), diffs.alias("b")
     far, other = F.col("a.near") == F.lit(False), F.col("a.root") != F.col("b.root")
@@ -268,37 +294,52 @@ def class_links(docs, classes: DataFrame, k: int, num: int, den: int, id_col: st
         f"(abs(a.n_own - b.n_own) + abs(a.n_lost - b.n_lost)) * {den + num} <= (a.nx + b.nx) * {den - num}"
     )
     same = (F.col("a.p") == F.col("b.p")) & (F.col("a.e") == F.col("b.e"))
-    pairs = a.join(b, same & far & other & once & sizes & window)
-    pairs = pairs.select(F.col("a.x").alias("x"), F.col("b.x").alias("y")).distinct()
-    pairs = pairs.union(small_block_pairs(members, classes, roots, num, den)).distinct()
+    met = a.join(b, same & far & other & once & sizes & window)
+    met = met.select(F.col("a.x").alias("x"), F.col("b.x").alias("y"))
+    return links.union(_verified(met.union(pairs).distinct(), sets, num, den))
+
+
+def _roots(links: DataFrame) -> DataFrame:
+    return connected_components(links, "x", "y")
+
+
+def _between(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs whose ends are in different components."""
+    of_x = roots.select(F.col("node").alias("x"), F.col("root").alias("rx"))
+    of_y = roots.select(F.col("node").alias("y"), F.col("root").alias("ry"))
+    apart = F.coalesce("rx", "x") != F.coalesce("ry", "y")
+    return pairs.join(of_x, "x", "left").join(of_y, "y", "left").where(apart).drop("rx", "ry")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs that are links, by their whole sets."""
+    spark = pairs.sparkSession
+    xs = sets.select("x", F.col("n").alias("nx"), F.col("set").alias("xset"))
     ys = sets.select(F.col("x").alias("y"), F.col("n").alias("ny"), F.col("set").alias("yset"))
     met = written(pairs, "join-pairs").join(xs, "x").join(ys, "y").withColumn("i", _meeter()("xset", "yset"))
-    second = met.where(f"{den} * i >= {num} * (nx + ny - i)").select("x", "y")
     with small_batches(spark, BATCH):
-        second = written(second, "join-links")
+        links = written(met.where(f"{den} * i >= {num} * (nx + ny - i)").select("x", "y"), "join-links")
     released(spark)
-    return first.union(second)
+    return links
 
 
-def small_block_pairs(members: DataFrame, classes: DataFrame, roots: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of different components that share enough small blocks, of ``SMALL_BLOCK`` members at most.
+def small_block_pairs(members: DataFrame, facts: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (x < y) that share enough small blocks, of ``SMALL_BLOCK`` members at most, and how many.
 
     A linked pair agrees on all segments but as many as its symmetric difference touches. Where
     it shares no large block (those are joined by differences), all its agreements are here, so
     pairs with fewer are no links. A member meets ``SMALL_BLOCK`` others in a block at most.
     """
     small = members.where(F.col("size") <= SMALL_BLOCK).select("key", "weight", "c")
-    facts = small.select("c").distinct().join(classes.select("c", "n", "apart"), "c")
-    facts = facts.join(roots.select(F.col("x").alias("c"), "root"), "c", "left").withColumn("root", F.coalesce("root", "c"))
-    small = written(small.join(facts, "c"), "join-small")
+    small = small.join(facts.select("c", "n", "apart"), "c")
     a, b = small.alias("a"), small.alias("b")
-    met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.c") < F.col("b.c")) & (F.col("a.root") != F.col("b.root")))
+    met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.c") < F.col("b.c")))
     met = met.where(F.expr(f"{den} * least(a.n, b.n) >= {num} * greatest(a.n, b.n)"))
     met = met.select(
         F.col("a.c").alias("x"), F.col("b.c").alias("y"), "a.weight",
         F.expr(f"if(a.n <= b.n, a.apart, b.apart) + 1 - floor((a.n + b.n) * {den - num} / {den + num})").alias("needed"),
     )
-    return met.groupBy("x", "y").agg(F.sum("weight").alias("weight"), F.max("needed").alias("needed")).where("weight >= needed").select("x", "y")
+    return met.groupBy("x", "y").agg(F.sum("weight").alias("weight"), F.max("needed").alias("needed")).where("weight >= needed").select("x", "y", "weight")
 
 
 def _sets_of(wanted: DataFrame, texts: DataFrame, k: int) -> DataFrame:
