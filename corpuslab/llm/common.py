@@ -62,6 +62,26 @@ def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
             spark.conf.set(name, before)
 
 
+#: Whole texts that Python gets at a time.
+TEXTS_PER_BATCH = 1000
+
+
+def short_batches(spark: SparkSession) -> None:
+    """From now on hands Python ``TEXTS_PER_BATCH`` rows at a time at most: a lazy result is planned later, by its user."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name, "10000")) > TEXTS_PER_BATCH:
+        spark.conf.set(name, str(TEXTS_PER_BATCH))
+
+
+def arrow_udf(function, kind: str):
+    """A Pandas UDF that runs once for each row.
+
+    Spark copies a deterministic one into each filter on its result and runs it there again, in a
+    second set of Python workers.
+    """
+    return F.pandas_udf(function, kind).asNondeterministic()
+
+
 def released(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of finished work now.
 

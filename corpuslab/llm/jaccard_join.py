@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import released, removed, small_batches, written
+from .common import arrow_udf, released, removed, small_batches, written
 from .components import connected_components
 
 #: Segments beyond the fewest that guarantee an agreement: so many may be empty on both sides. Sets
@@ -160,7 +160,7 @@ def _sketcher(k: int, num: int, den: int, with_keys: bool):
             rows.append((len(h), name, bands.apart(len(h)), segment_keys(h, bands)) if with_keys else (len(h), name))
         return pd.DataFrame(rows, columns=["n", "class", "apart", "keys"][: 2 + 2 * with_keys])
 
-    return F.pandas_udf(sketch, "n long, class binary" + ", apart long, keys array<long>" * with_keys)
+    return arrow_udf(sketch, "n long, class binary" + ", apart long, keys array<long>" * with_keys)
 
 
 def _set_maker(k: int):
@@ -168,7 +168,7 @@ def _set_maker(k: int):
         sets = [shingles(t, k) for t in texts]
         return pd.DataFrame({"class": [xxhash.xxh3_128_digest(h.tobytes()) for h in sets], "set": [h.view(np.int64) for h in sets]})
 
-    return F.pandas_udf(make, "class binary, set array<long>")
+    return arrow_udf(make, "class binary, set array<long>")
 
 
 def _differ(num: int, den: int):
@@ -184,14 +184,14 @@ def _differ(num: int, den: int):
             rows.append((len(own), len(lost), first.view(np.int64)))
         return pd.DataFrame(rows, columns=["n_own", "n_lost", "first"])
 
-    return F.pandas_udf(differ, "n_own long, n_lost long, first array<long>")
+    return arrow_udf(differ, "n_own long, n_lost long, first array<long>")
 
 
 def _meeter():
     def meet(xs: pd.Series, ys: pd.Series) -> pd.Series:
         return pd.Series([len(np.intersect1d(np.asarray(x), np.asarray(y), assume_unique=True)) for x, y in zip(xs, ys)], dtype="int64")
 
-    return F.pandas_udf(meet, "long")
+    return arrow_udf(meet, "long")
 
 
 def jaccard_components(

@@ -30,6 +30,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import arrow_udf, short_batches
+
 WORD = re.compile(r"[^\W\d_]+")
 LINE_BREAKS = re.compile(r"[\n\r]+")
 CHAIN = 256
@@ -38,7 +40,7 @@ PREFIXES, SUFFIXES, INNER = (1, 2, 3), (1, 2, 3, 4), (2, 3)
 UNKNOWN = "und"
 #: Distinct words whose emissions a worker keeps, and words of a forward-backward pass.
 WORDS_KEPT = 250_000
-PASS_WORDS = 200_000
+PASS_WORDS = 100_000
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -276,6 +278,7 @@ def labeller_of(name: str, shared) -> Labeller:
 
 def label_documents(docs: DataFrame, field: Field, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
     """``docs`` with the two columns named, in place of columns that have those names."""
+    short_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(field)  # half a MB for each label
     name = xxhash.xxh3_64_hexdigest(field.weights.tobytes() + field.trans.tobytes())
 
@@ -285,7 +288,7 @@ def label_documents(docs: DataFrame, field: Field, text_col: str = "text", lang_
             langs, scores = labeller(texts)
             yield pd.DataFrame({"lang_pred": langs, "score": scores})
 
-    made = F.pandas_udf(label, "lang_pred string, score double")(F.col(text_col))
+    made = arrow_udf(label, "lang_pred string, score double")(F.col(text_col))
     kept = [F.col(f"`{c}`") for c in docs.columns if c not in (lang_out, score_out)]
     return docs.withColumn("__label", made).select(*kept, F.col("__label.lang_pred").alias(lang_out), F.col("__label.score").alias(score_out))
 

@@ -28,6 +28,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import arrow_udf, short_batches
+
 WORD = re.compile(r"[^\W\d_]+")
 N_BITS = 18
 SIZES = (2, 3, 4, 5)
@@ -173,6 +175,7 @@ def scorer_of(name: str, shared) -> Scorer:
 
 def score_documents(docs: DataFrame, model: Model, text_col: str = "text", out_col: str = "score") -> DataFrame:
     """``docs`` with one more column, the score of label 1 of the whole text."""
+    short_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2 MB, whatever the input
     name = xxhash.xxh3_64_hexdigest(model.values.tobytes()) + repr(model.bias)
 
@@ -181,4 +184,4 @@ def score_documents(docs: DataFrame, model: Model, text_col: str = "text", out_c
         for texts in batches:
             yield pd.Series(scorer(texts), dtype="float64")
 
-    return docs.withColumn(out_col, F.pandas_udf(score, "double")(F.col(text_col)))
+    return docs.withColumn(out_col, arrow_udf(score, "double")(F.col(text_col)))
