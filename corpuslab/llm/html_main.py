@@ -138,7 +138,9 @@ class _Lines(HTMLParser):
                 return
 
     def handle_data(self, data: str) -> None:
-        self.parts.append(data)
+        # An inline element set aside (a script in a paragraph) ends no line: its text goes here.
+        if not self.aside or any(aside and name in BLOCKS for name, aside in self.open):
+            self.parts.append(data)
 
 
 def smoothed(ratios: np.ndarray, sigma: float) -> np.ndarray:
