@@ -88,7 +88,7 @@ def rebalance(old: SlotMap, sizes: dict[int, int], n_shards: int) -> SlotMap:
     """The next version for ``n_shards`` shards, moving as few bytes as it takes.
 
     Slots of shards that no longer exist move first; then slots leave the fullest shard for the
-    emptiest while that narrows the gap between them.
+    emptiest while that narrows the gap between them. Where shards are added, they alone take slots.
     """
     shards = list(old.shards)
     held = [0] * n_shards
@@ -108,9 +108,10 @@ def rebalance(old: SlotMap, sizes: dict[int, int], n_shards: int) -> SlotMap:
 
     for slot in sorted(homeless, key=lambda s: (-sizes.get(s, 0), s)):
         move(slot, min(range(n_shards), key=lambda i: (held[i], i)))
+    takers = range(old.n_shards, n_shards) if n_shards > old.n_shards else range(n_shards)
     for _ in range(len(shards)):
         full = max(range(n_shards), key=lambda i: (held[i], -i))
-        free = min(range(n_shards), key=lambda i: (held[i], i))
+        free = min(takers, key=lambda i: (held[i], i))
         gap = held[full] - held[free]
         fits = [s for s in own[full] if 0 < sizes.get(s, 0) < gap]
         if not fits:
