@@ -51,7 +51,8 @@ def t_p_value(t: Column, df: Column) -> Column:
     """Two-tailed; the normal tail above 100 degrees of freedom, the beta function below."""
 
     def small(ts: pd.Series, dfs: pd.Series) -> pd.Series:
-        return pd.Series([None if pd.isna(x) or pd.isna(n) else incomplete_beta(n / 2.0, 0.5, n / (n + x * x)) for x, n in zip(ts, dfs)], dtype="float64")
+        # Rows of one pair come here too: Spark runs Python before the condition that leaves them out.
+        return pd.Series([None if pd.isna(x) or pd.isna(n) or n <= 0 else incomplete_beta(n / 2.0, 0.5, n / (n + x * x)) for x, n in zip(ts, dfs)], dtype="float64")
 
     exact = F.pandas_udf(small, "double")(t, df.cast("double"))
     return F.least(F.lit(1.0), F.when(df > 100, 2.0 * normal_tail(F.abs(t))).otherwise(exact))
