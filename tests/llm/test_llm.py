@@ -186,6 +186,17 @@ def test_decontamination_brute_force(spark, sf_dir):
     assert got == expected
 
 
+def test_decontamination_reordered(spark):
+    """Halves that stand swapped, and a copy with words put in, lie on no diagonal of the item."""
+    w, junk = [f"w{i}" for i in range(30)], [f"j{i}" for i in range(12)]
+    docs = [(1, junk + w[15:] + w[:15] + junk), (2, w[15:] + w[:15]), (3, junk + w[:15] + junk + w[15:]), (4, w[10:20] + w[:10] + w[20:])]
+    docs = spark.createDataFrame([(i, " ".join(x)) for i, x in docs], "doc_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(w)), (2, "a b c d e f a b c d e f")], "item_id long, text string")
+    docs = docs.union(spark.createDataFrame([(5, "f a b c d e f a b c d e")], docs.schema))
+    got = {(r["doc_id"], r["item_id"]): (r["start_word"], round(r["similarity"], 3)) for r in decontaminate.leaks(docs, items).collect()}
+    assert got == {(1, 1): (12, 0.846), (2, 1): (0, 0.846), (5, 2): (0, 0.875)}
+
+
 def test_license_scan(spark):
     docs = [(1, "Licensed under CC BY-NC 4.0. All rights reserved"), (2, "GNU General Public License and general PUBLIC license"), (3, None), (4, "cc-by all rights, reserved. Unrelated"),
             (5, "Permission is hereby granted, free of charge, to any person who is obtaining a copy of this software")]
