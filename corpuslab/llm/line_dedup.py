@@ -9,7 +9,14 @@ laid over each other at that offset, the match is extended both ways to the long
 lines, and runs of at least ``gram_words`` words are deleted from the later document. First
 occurrences are kept, so every deleted passage remains once.
 
-Each fingerprint is matched with its first position only, so a passage in a third of all
+The first position of a fingerprint may hold a part of the passage only, and the rest stand first
+elsewhere. So in the documents that share a fingerprint, all grams are joined with their first
+positions too, both those that start at a line and those that end at one: these cover every line
+of every run of ``gram_words`` words or more, whichever document holds it first. Together, each
+line with words in a run of ``gram_words + window_words`` words that stands earlier is deleted.
+Wordless lines at the ends of a run go where the first position of a fingerprint has them.
+
+Each gram is matched with its first position only, so a passage in a third of all
 documents makes as many rows as it has copies, and joins on it can be split by Spark at will.
 
 Defined cases: null texts stay null with no lines; empty texts have one empty line; empty lines
@@ -59,8 +66,43 @@ def fingerprints(lines: DataFrame, gram_words: int, window_words: int) -> DataFr
     return chosen.select("doc_id", "uid", F.col("best.gram").alias("gram"), F.negative("best.at").alias("line")).distinct()
 
 
+def later_grams(lines: DataFrame, gram_words: int) -> DataFrame:
+    """uid, first_line, last_line, and the first place, of each gram of a document that stands earlier.
+
+    Grams are the fewest lines from a line on, or up to a line, that hold ``gram_words`` words, with
+    the wordless lines between.
+    """
+    each = lines.select("doc_id", "uid", F.posexplode(F.arrays_zip("hashes", "words")).alias("line", "x"))
+    each = each.select("doc_id", "uid", "line", F.col("x.hashes").alias("h"), F.col("x.words").cast("long").alias("n"))
+    before = Window.partitionBy("uid").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
+    each = each.withColumn("nth", F.coalesce(F.sum(F.when(F.col("n") > 0, 1).otherwise(0)).over(before), F.lit(0)))
+    # A line with words, and the wordless ones right before it.
+    block = each.groupBy("uid", "nth").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.struct("line", "h", "n"))).alias("held"))
+    last = F.element_at("held", -1)
+    block = block.select("doc_id", "uid", last["line"].alias("line"), last["h"].alias("h"), last["n"].alias("n"), F.xxhash64(F.col("held.h")).alias("g"))
+    block = block.where("n > 0")
+    placed = block.withColumn("place", F.coalesce(F.sum("n").over(before), F.lit(0))).withColumn("after", F.col("place") + F.col("n"))
+    found = None
+    for frame in (
+        Window.partitionBy("uid").orderBy("place").rangeBetween(0, gram_words - 1),
+        Window.partitionBy("uid").orderBy("after").rangeBetween(1 - gram_words, 0),
+    ):
+        gram = placed.select(
+            "doc_id", "uid", F.min("line").over(frame).alias("first_line"), F.max("line").over(frame).alias("last_line"),
+            F.sum("n").over(frame).alias("n_words"), F.first("h").over(frame).alias("h"), F.collect_list("g").over(frame).alias("gs"),
+        ).where(F.col("n_words") >= gram_words)
+        # What stands right before its first line is no part of a gram.
+        gram = gram.withColumn("gram", F.xxhash64("h", F.slice("gs", 2, F.greatest(F.size("gs") - 1, F.lit(0))))).drop("h", "gs")
+        found = gram if found is None else found.union(gram)
+    grams = written(found.distinct(), "dedup-grams")
+    first = grams.groupBy("gram").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "uid", "first_line")).alias("first")).where("copies > 1")
+    first = first.select("gram", F.col("first.doc_id").alias("of_id"), F.col("first.uid").alias("of_uid"), F.col("first.first_line").alias("of_line"))
+    met = grams.join(first, "gram").where((F.col("uid") != F.col("of_uid")) | (F.col("first_line") != F.col("of_line")))
+    return met.select("uid", "first_line", "last_line", "of_id", "of_line", "n_words")
+
+
 def repeated_runs(docs: DataFrame, gram_words: int = 25, window_words: int = 25, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """uid, first_line, last_line, and the run's first place (of_id, of_line), of each later run."""
+    """uid, first_line, last_line, and the run's first place (of_id, of_line), of each later run or gram."""
     lines = written(line_table(docs, id_col, text_col), "dedup-lines")
     prints = written(fingerprints(lines, gram_words, window_words), "dedup-prints")
     first = prints.groupBy("gram").agg(
@@ -88,15 +130,26 @@ def repeated_runs(docs: DataFrame, gram_words: int = 25, window_words: int = 25,
     runs = laid.select("uid", "of_id", "offset", "words", F.explode(runs).alias("run"))
     size = F.aggregate(F.slice("words", F.col("run.first_line") + 1, F.col("run.last_line") - F.col("run.first_line") + 1), F.lit(0), lambda a, n: a + n)
     runs = runs.withColumn("n_words", size).where(F.col("n_words") >= gram_words)
-    return runs.select(
+    runs = runs.select(
         "uid", F.col("run.first_line").alias("first_line"), F.col("run.last_line").alias("last_line"), "of_id",
         (F.col("run.first_line") - F.col("offset")).alias("of_line"), "n_words",
     )
+    sharing = diagonals.select("uid").union(diagonals.select(F.col("of_uid").alias("uid"))).distinct()
+    return runs.unionByName(later_grams(lines.join(sharing, "uid", "left_semi"), gram_words))
+
+
+def merged(runs: DataFrame) -> DataFrame:
+    """uid, first_line and last_line of runs that overlap or touch, as one."""
+    order = Window.partitionBy("uid").orderBy("first_line", "last_line")
+    before = F.max("last_line").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    starts = runs.select("uid", "first_line", "last_line").distinct().withColumn("starts", F.coalesce(F.col("first_line") > before + 1, F.lit(True)).cast("int"))
+    groups = starts.withColumn("nth", F.sum("starts").over(order.rowsBetween(Window.unboundedPreceding, 0))).groupBy("uid", "nth")
+    return groups.agg(F.min("first_line").alias("first_line"), F.max("last_line").alias("last_line")).drop("nth")
 
 
 def dedup_lines(docs: DataFrame, gram_words: int = 25, window_words: int = 25, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text without later repeats, and the deleted lines of each row."""
-    runs = repeated_runs(docs, gram_words, window_words, id_col, text_col)
+    runs = merged(repeated_runs(docs, gram_words, window_words, id_col, text_col))
     spans = F.collect_set(F.struct("first_line", "last_line"))
     gone = written(runs.groupBy("uid").agg(F.array_sort(spans).alias("runs")), "dedup-runs")
     keyed = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))

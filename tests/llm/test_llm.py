@@ -164,6 +164,26 @@ def test_line_dedup(spark):
     assert got[5]["text"] is None and got[6]["text"] == "" and got[2]["deleted_lines"] == [2, 3, 4, 5]
 
 
+def test_line_dedup_truncated_first_copy(spark):
+    """A run is deleted whole although its first fingerprint may stand in a document that holds a part of it."""
+    rnd = random.Random(5)
+    def own(name):
+        return [" ".join(f"{name}l{i}w{rnd.randrange(999)}" for _ in range(10)) for i in range(5)]
+
+    docs = []
+    for case in range(40):
+        run = [" ".join(f"r{case}l{i}w{rnd.randrange(999)}" for _ in range(10)) for i in range(6)]
+        run.insert(4, "")
+        docs += [(own(f"{case}a"), run[2:6], own(f"{case}A")), *((own(f"{case}{x}"), run, own(f"{case}{x.upper()}")) for x in "bcd")]
+    rows = [(i, "\n".join(x + y + z)) for i, (x, y, z) in enumerate(docs)]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, (head, _, tail) in enumerate(docs):
+        if i % 4 == 0:
+            assert got[i] == rows[i][1]
+        if i % 4 > 1:
+            assert got[i] == "\n".join(head + tail)
+
+
 def test_decontamination_brute_force(spark, sf_dir):
     rows = queries.op6_decontaminate(spark, sf_dir).collect()
     got = {(r["doc_id"], r["item_id"]): round(r["similarity"], 9) for r in rows}
