@@ -6,7 +6,10 @@ Gaussian over neighbouring lines, and lines at or above one standard deviation a
 of content. The content region is the innermost element that holds nine tenths of that cluster's text;
 in an ``article`` or ``main`` element it is the whole of it, elsewhere it runs from the first
 line of the cluster to the last, with the headings right above. Elements that mark themselves as
-navigation, header, footer, sidebar, notice, advert, form or reader comments are left out.
+navigation, header, footer, sidebar, notice, advert, form or reader comments are left out; class
+names that tell a state (``has-sidebar``, ``with-menu``) do not mark an element, and a marked
+block is not left out where it wraps the page's content: a main element, the only articles, or
+nearly all text that is neither marked nor in links.
 
 Defined cases: null, empty or text-free html gives ''; broken or unclosed tags never fail (an
 end tag without its start is skipped); repeated pages give equal rows; whole pages are read,
@@ -44,28 +47,43 @@ MARKS = frozenset(
     "subscribe subscription signup login search pagination pager toolbar widget widgets skip".split()
 )
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
+#: After these words a class name tells what the page has, not what the element is.
+STATES = frozenset("has with no without".split())
 #: Elements whose names say that they hold the content whatever their classes are.
 WHOLE = frozenset(("html", "body", "main", "article"))
 
 
-def _set_aside(tag: str, attrs: list, within: bool) -> bool:
-    """Whether an element holds no content. within: it is inside an article or main element."""
+def _names_itself(value: str) -> bool:
+    """Whether a class or id names its element as something else than content."""
+    for name in value.lower().split():
+        for token in re.split(r"[^a-z0-9]+", name):
+            if token in STATES:
+                break
+            if token in MARKS:
+                return True
+    return False
+
+
+def _set_aside(tag: str, attrs: list, within: bool) -> tuple[bool, bool]:
+    """Whether an element holds no content, and whether its class or id says so. within: it is inside an article or main element."""
     if tag in HIDDEN or (tag == "header" and not within):
-        return True
+        return True, False
+    marked = False
     for name, value in attrs:
         if name == "hidden":
-            return True
+            return True, False
         if not value or tag in WHOLE:
             continue
-        if name in ("class", "id") and not MARKS.isdisjoint(re.split(r"[^a-z0-9]+", value.lower())):
-            return True
+        if name in ("class", "id") and _names_itself(value):
+            marked = True
         if name == "role" and value.lower() in ROLES:
-            return True
+            return True, False
         if name == "aria-hidden" and value.lower() == "true":
-            return True
+            return True, False
         if name == "style" and "display:none" in value.replace(" ", "").lower():
-            return True
-    return False
+            return True, False
+    # Inline elements wrap no page.
+    return (False, True) if marked and tag in BLOCKS else (marked, False)
 
 
 class _Lines(HTMLParser):
@@ -73,7 +91,7 @@ class _Lines(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool]] = []  # name, set aside
+        self.open: list[tuple[str, bool, bool]] = []  # name, set aside, marked
         self.aside = 0
         self.boxes: list[tuple[int, str]] = [(0, "html")]  # containers open now
         self.n_boxes = 1
@@ -81,16 +99,24 @@ class _Lines(HTMLParser):
         self.tags = 0
         self.heading = False
         self.lines: list[tuple[str, int, tuple, bool, bool]] = []
+        self.links = 0
+        self.plain = 0  # characters of the line outside links
+        self.marks: list[int] = []  # marked elements open now
+        self.main: list[bool] = []  # of each marked element, whether it holds a main element
+        self.articles: list[tuple] = []  # of each article, the marked elements around it
+        self.facts: list[tuple[tuple, int]] = []  # of each line, the marked elements around it and its characters outside links
 
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
             self.lines.append((text, self.tags, tuple(self.boxes), self.aside > 0, self.heading))
+            self.facts.append((tuple(self.marks), self.plain))
             self.tags = 0
+        self.plain = 0
         self.parts.clear()
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag in CLOSES_P and any(name == "p" for name, _ in self.open[-8:]):
+        if tag in CLOSES_P and any(name == "p" for name, *_ in self.open[-8:]):
             self._close("p")
         if tag in ("li", "dd", "dt", "tr", "td", "th") and self.open and self.open[-1][0] == tag:
             self._close(tag)
@@ -102,8 +128,17 @@ class _Lines(HTMLParser):
         if tag in VOID:
             return
         within = any(name in ("article", "main") for _, name in self.boxes)
-        aside = _set_aside(tag, attrs, within)
-        self.open.append((tag, aside))
+        aside, marked = _set_aside(tag, attrs, within)
+        self.open.append((tag, aside, marked))
+        if marked:
+            self.marks.append(len(self.main))
+            self.main.append(False)
+        self.links += tag == "a"
+        if tag == "main" and not self.aside:
+            for mark in self.marks:
+                self.main[mark] = True
+        if tag == "article" and not self.aside:
+            self.articles.append(tuple(self.marks))
         self.aside += aside
         if tag in ("article", "main", "section", "div", "td", "body"):
             self.boxes.append((self.n_boxes, tag))
@@ -122,14 +157,17 @@ class _Lines(HTMLParser):
         if tag in BLOCKS:
             self.flush()
         self.tags += 1
-        if any(name == tag for name, _ in self.open):
+        if any(name == tag for name, *_ in self.open):
             self._close(tag)
 
     def _close(self, tag: str) -> None:
         self.flush() if tag in BLOCKS else None
         while self.open:
-            name, aside = self.open.pop()
+            name, aside, marked = self.open.pop()
             self.aside -= aside
+            self.links -= name == "a"
+            if marked:
+                self.marks.pop()
             if name in ("article", "main", "section", "div", "td", "body") and len(self.boxes) > 1:
                 self.boxes.pop()
             if name in HEADINGS:
@@ -139,8 +177,32 @@ class _Lines(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         # An inline element set aside (a script in a paragraph) ends no line: its text goes here.
-        if not self.aside or any(aside and name in BLOCKS for name, aside in self.open):
+        if not self.aside or any(aside and name in BLOCKS for name, aside, _ in self.open):
             self.parts.append(data)
+            if not self.links:
+                self.plain += len("".join(data.split()))
+
+
+    def content(self) -> list[tuple[str, int, tuple, bool, bool]]:
+        """The lines that are not set aside; marked elements, the outer ones first, stay where they wrap the content."""
+        lines = [(line, marks, n) for (marks, n), line in zip(self.facts, self.lines) if not line[3]]
+        mine = [0] * len(self.main)
+        for _, marks, n in lines:
+            for mark in marks:
+                mine[mark] += n
+        total = sum(n for _, _, n in lines)
+        inside = {mark for marks in self.articles for mark in marks}
+        wrappers: set[int] = set()
+        rest, outside = None, False
+        for mark, has_main in enumerate(self.main):
+            if rest is None:
+                rest = sum(n for _, marks, n in lines if wrappers.issuperset(marks))
+                outside = any(wrappers.issuperset(marks) for marks in self.articles)
+            most = 2 * mine[mark] > total and mine[mark] >= 9 * rest
+            if has_main or most or (mark in inside and not outside and mine[mark] >= rest):
+                wrappers.add(mark)
+                rest = None
+        return [line for line, marks, _ in lines if wrappers.issuperset(marks)]
 
 
 def smoothed(ratios: np.ndarray, sigma: float) -> np.ndarray:
@@ -158,7 +220,7 @@ def main_text(html: str | None, sigma: float = 1.0) -> str:
     parser.feed(html)
     parser.close()
     parser.flush()
-    lines = [x for x in parser.lines if not x[3]]
+    lines = parser.content()
     if not lines:
         return ""
     ratios = smoothed(np.array([len(text) / max(1, tags) for text, tags, *_ in lines]), sigma)

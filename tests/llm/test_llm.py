@@ -251,6 +251,21 @@ def test_main_text(page, expected):
     assert html_main.main_text(page) == expected
 
 
+@pytest.mark.parametrize(
+    "page, expected",
+    [
+        ('<div class="site has-sidebar"><p>Whole text of a page.</p></div>', "Whole text of a page."),
+        ('<div id="page" class="with-menu no-comments"><article><p>An article.</p></article></div>', "An article."),
+        ('<div class="menu-theme"><div class="nav"><a href="/">Home</a></div><div><p>The long text of the page itself.</p></div><div class="comments"><p>A reader wrote much more than the page itself holds, on and on.</p></div></div>', "The long text of the page itself."),
+        ('<div class="ads-on"><main><p>Main text.</p></main></div><p>x</p>', "Main text."),
+        ('<article><p>Short.</p></article><div id="comments"><article><p>A reader wrote much more than the page itself holds.</p></article></div>', "Short."),
+        ('<div><p>Text of the page here.</p></div><div class="sidebar has-text"><p>Something else that is at the side.</p></div>', "Text of the page here."),
+    ],
+)
+def test_main_text_wrappers(page, expected):
+    assert html_main.main_text(page) == expected
+
+
 def test_sharding(spark, sf_dir):
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     rows = queries.op10_slot_sharding(spark, sf_dir).collect()
