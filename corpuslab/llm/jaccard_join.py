@@ -39,7 +39,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -201,12 +201,24 @@ def jaccard_components(
 
     Two texts link when ``den * |x & y| >= num * |x | y|``.
     """
+    found = _labelled(docs, k, num, den, id_col, text_col)
+    return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def _row(doc_id: Column, text: Column) -> Column:
+    """128 bits that name a row: ids may be null or repeated."""
+    return F.struct(F.xxhash64(doc_id, text, F.lit(1)).alias("a"), F.xxhash64(doc_id, text, F.lit(2)).alias("b"))
+
+
+def _labelled(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, row, n (shingles), root (one for each component) and component_id of each row."""
     named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    named = named.withColumn("row", _row(F.col("doc_id"), F.col("text")))
     # Keys are as large as the texts: they are shuffled once, to one row for each class, and not kept for each document.
-    keyed = named.select("doc_id", _sketcher(k, num, den, True)("text").alias("s")).select("doc_id", "s.*").where("n > 0")
-    least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "keys"))
+    keyed = named.select("doc_id", "row", _sketcher(k, num, den, True)("text").alias("s")).select("doc_id", "row", "s.*").where("n > 0")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "keys"))
     classes = keyed.groupBy("class", "n", "apart").agg(least.alias("least"))
-    classes = classes.select(F.monotonically_increasing_id().alias("c"), "class", "n", "apart", F.col("least.doc_id").alias("min_id"), F.col("least.keys").alias("keys"))
+    classes = classes.select(F.monotonically_increasing_id().alias("c"), "class", "n", "apart", F.col("least.doc_id").alias("min_id"), F.col("least.row").alias("row"), F.col("least.keys").alias("keys"))
     with small_batches(docs.sparkSession, BATCH):
         classes = written(classes, "join-classes")
     released(docs.sparkSession)
@@ -215,10 +227,9 @@ def jaccard_components(
     links = class_links(docs, members, facts, k, num, den, id_col, text_col)
     labelled = facts.join(_roots(links).withColumnRenamed("node", "c"), "c", "left").select("class", "min_id", F.coalesce("root", "c").alias("root"))
     least = labelled.groupBy("root").agg(F.min("min_id").alias("component_id"))
-    components = written(labelled.join(least, "root").select("class", "component_id"), "join-components")
-    sketched = named.select("doc_id", _sketcher(k, num, den, False)("text").alias("s")).select("doc_id", "s.*")
-    found = sketched.join(components, "class", "left")
-    return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    components = written(labelled.join(least, "root").select("class", "root", "component_id"), "join-components")
+    sketched = named.select("doc_id", "row", _sketcher(k, num, den, False)("text").alias("s")).select("doc_id", "row", "s.*")
+    return sketched.join(components, "class", "left")
 
 
 def blocks(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -259,10 +270,13 @@ def class_links(docs: DataFrame, members: DataFrame, facts: DataFrame, k: int, n
     removed(members)
 
     involved = regions.select("x").union(regions.select("p")).union(candidates.select("x")).union(candidates.select("y")).distinct()
-    wanted = written(involved, "join-involved").join(facts.select(F.col("c").alias("x"), "class", "n", "min_id"), "x")
-    texts = docs.select(F.col(id_col).alias("min_id"), F.col(text_col).alias("text"))
+    wanted = written(involved, "join-involved").join(facts.select(F.col("c").alias("x"), "class", "n", "row"), "x")
+    texts = docs.select(_row(F.col(id_col), F.col(text_col)).alias("row"), F.col(text_col).alias("text"))
+    # Written before repeated rows are dropped, so that they meet no more than once in a task.
+    texts = written(texts.join(wanted.select("row"), "row", "left_semi"), "join-texts")
     with small_batches(spark, BATCH):
-        sets = written(_sets_of(wanted, texts, k), "join-sets")
+        sets = written(_sets_of(wanted, texts.dropDuplicates(["row"]), k), "join-sets")
+    removed(texts)
     released(spark)
 
     xs = sets.select("x", F.col("n").alias("nx"), F.col("set").alias("xset"))
@@ -343,25 +357,22 @@ def small_block_pairs(members: DataFrame, facts: DataFrame, num: int, den: int)
 
 
 def _sets_of(wanted: DataFrame, texts: DataFrame, k: int) -> DataFrame:
-    """Whole shingle sets of classes, made again from one text of each.
-
-    Another text under the same id has another class and is left out.
-    """
-    found = wanted.withColumnRenamed("min_id", "wanted_id").join(texts, F.col("wanted_id").eqNullSafe(F.col("min_id")))
-    found = found.select("x", "n", "class", _set_maker(k)("text").alias("made"))
-    return found.where("made.class = class").select("x", "n", "made.set").dropDuplicates(["x"])
+    """Whole shingle sets of classes, made again from the row of each that was chosen; ``texts`` has each row once."""
+    found = wanted.join(texts, "row").select("x", "n", "class", _set_maker(k)("text").alias("made"))
+    return found.where("made.class = class").select("x", "n", "made.set")
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
+def keep_one(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each component, that of the smallest id, in the columns of ``docs``.
 
-    Documents without words all stay, and so do documents without an id; of repeated rows (same
-    id and text) one stays.
+    Of documents with the same smallest id one stays, by a hash of its text. Documents without
+    words all stay, and so do documents without an id; of repeated rows (same id and text) one
+    stays.
     """
-    components = jaccard_components(docs, **options)
-    kept = components.where((F.col("doc_id") == F.col("component_id")) | (F.col("n_shingles") == 0) | F.col("doc_id").isNull())
-    kept = kept.select(F.col("doc_id").alias("__kept")).distinct()
-    found = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
-    nth = Window.partitionBy("doc_id", "__text").orderBy("__text")
-    found = found.withColumn("__text", F.xxhash64("text")).withColumn("__nth", F.when(F.col("doc_id").isNull(), 1).otherwise(F.row_number().over(nth)))
-    return found.where("__nth = 1").drop("__nth", "__text")
+    labelled = written(_labelled(docs, k, num, den, id_col, text_col).select("doc_id", "row", "n", "root"), "join-labelled")
+    first = labelled.where("n > 0 AND doc_id IS NOT NULL").groupBy("root").agg(F.min(F.struct("doc_id", "row")).alias("first"))
+    kept = first.select(F.col("first.row").alias("__row")).union(labelled.where("n = 0 OR doc_id IS NULL").select("row")).distinct()
+    found = docs.withColumn("__row", _row(F.col(id_col), F.col(text_col))).join(kept, "__row", "left_semi")
+    nth = F.row_number().over(Window.partitionBy("__row").orderBy("__row"))
+    found = found.withColumn("__nth", F.when(F.col(id_col).isNull(), 1).otherwise(nth))
+    return found.where("__nth = 1").select(*[F.col(f"`{c}`") for c in docs.columns])

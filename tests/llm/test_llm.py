@@ -76,6 +76,26 @@ def test_jaccard_join_brute_force(spark, monkeypatch, k, num, den, small):
     assert got == {i: (len(sets[i]), roots[i]) for i in range(len(texts))}
 
 
+def test_jaccard_join_null_and_repeated_ids(spark, monkeypatch):
+    """Ids that are null or repeated make no pairs of their own, and do not keep duplicates."""
+    long = [" ".join(f"t{n}w{i}" for i in range(40)) for n in range(30)]
+    near = [" ".join([*t.split()[:-1], "other"]) for t in long]
+    made = []
+    maker = jaccard_join._sets_of
+
+    def counted(wanted, texts, k):
+        made.append((wanted.join(texts, "row").count(), wanted.count()))
+        return maker(wanted, texts, k)
+
+    monkeypatch.setattr(jaccard_join, "_sets_of", counted)
+    rows = [(None, t) for t in long + near] + [(None, long[0])] * 5
+    found = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(found) == len(rows) and all(a == b for a, b in made) and made[0][1] > 0
+    docs = spark.createDataFrame([(1, long[0]), (2, near[0]), (2, long[1]), (3, near[1]), (3, long[2]), (4, near[2]), (4, long[2]), (1, near[0])], "doc_id long, text string")
+    kept = jaccard_join.keep_one(docs).collect()
+    assert sorted(r["doc_id"] for r in kept) == [1, 2, 3] and {r["text"] for r in kept if r["doc_id"] > 1} == {long[1], long[2]}
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "a long, b long")
     got = {r["node"]: r["root"] for r in connected_components(links).collect()}
