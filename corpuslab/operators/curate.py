@@ -97,12 +97,19 @@ def contaminated_ngrams(items: DataFrame, corpus: DataFrame, threshold: float =
     return hits.groupBy("item_id").agg(F.min("doc_id").alias("doc_id"), F.round(F.min_by("overlap", "doc_id"), 6).alias("overlap"))
 
 
-def similar_vectors(rows: DataFrame, threshold: float, n_blocks: int = 8, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+#: Rows of a block of vectors on average.
+BLOCK_ROWS = 2048
+
+
+def similar_vectors(rows: DataFrame, threshold: float, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """Pairs i < j of rows with a cosine of at least ``threshold``: a stated all-pairs operator, in blocks.
 
-    Rows are dealt into blocks by hash; each pair of blocks meets once, as one matrix product.
+    Rows are dealt into blocks by hash; each pair of blocks meets once, as one matrix product. The
+    number of blocks follows from the number of rows, so that a product is bounded.
     """
-    base = rows.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v"), F.pmod(F.xxhash64(id_col), F.lit(n_blocks)).cast("int").alias("b"))
+    base = rows.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v")).where("id IS NOT NULL")
+    n_blocks = max(1, -(-base.count() // BLOCK_ROWS))
+    base = base.withColumn("b", F.pmod(F.xxhash64("id", "v"), F.lit(n_blocks)).cast("int"))
     spread = base.select("id", "v", "b", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("o"))
     spread = spread.select("id", "v", "b", F.least("b", "o").alias("lo"), F.greatest("b", "o").alias("hi"))
 

@@ -57,18 +57,31 @@ def cosine(a: Column, b: Column) -> Column:
     return F.coalesce(dot(a, b) / F.nullif(norms, F.lit(0.0)), F.lit(0.0))
 
 
-def vector_topk(rows: DataFrame, is_query: Column, k: int, n_blocks: int = 8, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+#: Rows and queries that meet in one group on average: with them a group's memory is bounded at any size of the input.
+BLOCK_ROWS, BLOCK_QUERIES = 4096, 1024
+
+
+def blocks_for(rows: int, size: int) -> int:
+    return max(1, -(-rows // size))
+
+
+def vector_topk(rows: DataFrame, is_query: Column, k: int, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """query_id, vec_id, score and rank of each query's ``k`` nearest other rows: an exact scan in blocks.
 
-    Every block of rows meets the queries once, as matrix products; each keeps k rows a query.
+    Every block of rows meets every block of queries once, as a matrix product; each keeps the
+    ``k`` rows of a query that come first at the precision and in the order of the result. The
+    numbers of blocks follow from the numbers of rows and queries.
     """
-    base = rows.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v"), is_query.alias("asked"))
-    queries = base.where("asked").select(F.col("id").alias("q"), F.col("v").alias("qv"), F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("b"))
-    blocks = base.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int").alias("b"))
+    base = rows.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v"), is_query.alias("asked")).where("id IS NOT NULL")
+    n, asked = base.agg(F.count("*"), F.count(F.when(F.col("asked"), 1))).first()
+    n_blocks, n_groups = blocks_for(n, BLOCK_ROWS), blocks_for(asked, BLOCK_QUERIES)
+    dealt = F.xxhash64("id", "v")
+    queries = base.where("asked").select(F.col("id").alias("q"), F.col("v").alias("qv"), F.pmod(dealt, F.lit(n_groups)).cast("int").alias("g"), F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("b"))
+    blocks = base.select("id", "v", F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1))).alias("g"), F.pmod(dealt, F.lit(n_blocks)).cast("int").alias("b"))
 
     def scan(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         if not len(asked) or not len(held):
-            return pd.DataFrame({"q": [], "id": [], "score": []}).astype({"q": "int64", "id": "int64"})
+            return pd.DataFrame({"q": [], "id": [], "score": []}).astype({"q": "int64", "id": "int64", "score": "float64"})
 
         def unit(vectors) -> np.ndarray:
             x = np.array([np.asarray(v, np.float64) for v in vectors])
@@ -76,12 +89,12 @@ def vector_topk(rows: DataFrame, is_query: Column, k: int, n_blocks: int = 8, id
 
         scores = unit(asked["qv"]) @ unit(held["v"]).T
         ids, parts = held["id"].to_numpy(), []
-        for q, row in zip(asked["q"], scores):
-            best = np.lexsort((ids, -np.round(row, 9)))[: k + 1]
+        for q, row in zip(asked["q"], np.round(scores, 6)):
+            best = np.lexsort((ids, -row, ids == q))[:k]
             parts.append(pd.DataFrame({"q": q, "id": ids[best], "score": row[best]}))
         return pd.concat(parts)
 
-    met = queries.groupBy("b").cogroup(blocks.groupBy("b")).applyInPandas(scan, "q long, id long, score double")
+    met = queries.groupBy("g", "b").cogroup(blocks.groupBy("g", "b")).applyInPandas(scan, "q long, id long, score double")
     met = met.where("q <> id").withColumn("score", F.round("score", 6))
     order = Window.partitionBy("q").orderBy(F.desc("score"), "id")
     top = met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
@@ -91,20 +104,41 @@ def vector_topk(rows: DataFrame, is_query: Column, k: int, n_blocks: int = 8, id
 def maxsim(candidates: DataFrame, tokens: DataFrame) -> DataFrame:
     """Late interaction: the sum over query tokens of the best dot product with a document token.
 
-    ``candidates`` has (query_id, doc_id), ``tokens`` (owner, token_vectors array<array<float>>).
+    ``candidates`` has (query_id, doc_id), ``tokens`` one row for each token: (owner, token,
+    vector), with ``token`` naming it within its owner. Tokens of a pair meet in blocks, however
+    many an owner has: the best of each query token in each block, then over all, then the sum.
     """
-    q = tokens.select(F.col("owner").alias("query_id"), F.col("token_vectors").alias("qt"))
-    d = tokens.select(F.col("owner").alias("doc_id"), F.col("token_vectors").alias("dt"))
-
-    def score(qs: pd.Series, ds: pd.Series) -> pd.Series:
-        out = []
-        for a, b in zip(qs, ds):
-            x, y = (np.array([np.asarray(t, np.float64) for t in m]) for m in (a, b))
-            out.append(float((x @ y.T).max(axis=1).sum()) if len(x) and len(y) else 0.0)
-        return pd.Series(out)
-
-    met = candidates.join(q, "query_id").join(d, "doc_id")
-    scored = met.select("query_id", "doc_id", F.round(F.pandas_udf(score, "double")("qt", "dt"), 6).alias("score"))
+    counts = tokens.groupBy("owner").agg(F.count("*").alias("n"))
+    n_q = F.greatest(F.ceil(F.col("n") / BLOCK_QUERIES), F.lit(1)).cast("int")
+    n_d = F.greatest(F.ceil(F.col("n") / BLOCK_ROWS), F.lit(1)).cast("int")
+    of_q = counts.select(F.col("owner").alias("query_id"), n_q.alias("nq"))
+    of_d = counts.select(F.col("owner").alias("doc_id"), n_d.alias("nd"))
+    pairs = candidates.join(of_q, "query_id").join(of_d, "doc_id")
+
+    def dealt(side: str, own: str, other: str) -> DataFrame:
+        """Each token of one side in its own block, for each block of the other."""
+        mine = tokens.select(F.col("owner").alias(side), "token", "vector")
+        met = pairs.join(mine, side).withColumn("own", F.pmod(F.xxhash64("token"), F.col(own)).cast("int"))
+        return met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+
+    left = dealt("query_id", "nq", "nd").select("query_id", "doc_id", F.col("own").alias("qb"), F.col("other").alias("db"), "token", "vector")
+    right = dealt("doc_id", "nd", "nq").select("query_id", "doc_id", F.col("other").alias("qb"), F.col("own").alias("db"), "vector")
+    kinds = {f.name: f.dataType.simpleString() for f in left.schema}
+    out = f"query_id {kinds['query_id']}, doc_id {kinds['doc_id']}, token {kinds['token']}, best double"
+
+    def score(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        found = asked[["query_id", "doc_id", "token"]]
+        if not len(asked) or not len(held):
+            return found[:0].assign(best=np.zeros(0))
+        x, y = (np.array([np.asarray(v, np.float64) for v in side["vector"]]) for side in (asked, held))
+        return found.assign(best=(x @ y.T).max(axis=1))
+
+    keys = ["query_id", "doc_id", "qb", "db"]
+    # Both sides come of the same tables: new names tell their columns apart.
+    left, right = left.toDF(*left.columns), right.toDF("query_id_", "doc_id_", "qb_", "db_", "vector")
+    best = left.groupBy(*keys).cogroup(right.groupBy(*[f"{c}_" for c in keys])).applyInPandas(score, out)
+    best = best.groupBy("query_id", "doc_id", "token").agg(F.max("best").alias("best"))
+    scored = best.groupBy("query_id", "doc_id").agg(F.round(F.sum("best"), 6).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     return scored.withColumn("rank", F.row_number().over(order))
 

@@ -111,9 +111,9 @@ s AS (SELECT query_id, doc_id, round(sum(m), 6) AS score FROM b GROUP BY ALL), m
 
 def _labels(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings")
-    tokens = rows.groupBy(F.col("label").alias("owner")).agg(F.collect_list("embedding").alias("token_vectors"))
+    tokens = rows.select(F.col("label").alias("owner"), F.col("vec_id").alias("token"), F.col("embedding").alias("vector"))
     owners = rows.select("label").distinct()
-    pairs = owners.withColumnRenamed("label", "query_id").withColumn("k", F.lit(1)).join(owners.select(F.col("label").alias("doc_id"), F.lit(1).alias("k")), "k").drop("k")
+    pairs = owners.withColumnRenamed("label", "query_id").crossJoin(owners.withColumnRenamed("label", "doc_id"))
     return pairs, tokens
 
 

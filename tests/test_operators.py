@@ -125,3 +125,31 @@ def test_versions(spark, tmp_path):
     assert sinks.write_version(pairs, path, 1, published=True) == 1
     assert sinks.write_version(pairs, path, 2) == 1
     assert sinks.write_version(pairs.union(pairs), path, 2) == 2
+
+
+def test_vectors_in_bounded_blocks(spark, monkeypatch):
+    """Small blocks, ties at the precision of the result, and many tokens of one owner give what a whole scan gives."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from corpuslab.operators import curate, retrieval
+
+    monkeypatch.setattr(retrieval, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(retrieval, "BLOCK_QUERIES", 8)
+    monkeypatch.setattr(curate, "BLOCK_ROWS", 16)
+    x = np.random.default_rng(4).normal(size=(120, 6))
+    # Ties in the sixth digit: the smaller id comes first although its score is lower in the ninth.
+    for i in range(1, 9):
+        x[i] = x[0] + (9 - i) * 1e-5 * np.eye(6)[i % 6]
+    rows = spark.createDataFrame([(i, "a" if i < 90 else "b", [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, label string, embedding array<double>")
+    unit = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+    cos = np.round(unit @ unit.T, 6)
+    got = {(r["query_id"], r["rank"]): r["vec_id"] for r in retrieval.vector_topk(rows, F.col("vec_id") % 4 == 0, 3).collect()}
+    assert got == {(q, n + 1): v for q in range(0, 120, 4) for n, v in enumerate(sorted((i for i in range(120) if i != q), key=lambda i: (-cos[q, i], i))[:3])}
+    pairs = {(r["i"], r["j"]) for r in curate.similar_vectors(rows, 0.5).collect()}
+    assert pairs == {(i, j) for i in range(120) for j in range(i + 1, 120) if cos[i, j] >= 0.5}
+    tokens = rows.select(F.col("label").alias("owner"), F.col("vec_id").alias("token"), F.col("embedding").alias("vector"))
+    asked = spark.createDataFrame([(q, d) for q in "ab" for d in "ab"], "query_id string, doc_id string")
+    scores = {(r["query_id"], r["doc_id"]): r["score"] for r in retrieval.maxsim(asked, tokens).collect()}
+    part = {"a": x[:90], "b": x[90:]}
+    assert all(abs(scores[q, d] - (part[q] @ part[d].T).max(axis=1).sum()) < 1e-5 for q in "ab" for d in "ab") and len(scores) == 4
