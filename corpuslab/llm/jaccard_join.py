@@ -9,21 +9,23 @@ The Jaccard distance is a metric, and so is |x ^ y|, the size of the symmetric d
    window of its upper edge. The range of shingle hashes is cut into more segments than a linked
    pair's symmetric difference can touch, so a linked pair agrees on a whole segment; classes
    that agree on a segment share a block.
-3. Every block has a pivot, the member that agrees with most others, and a pivot's region holds
-   the members of its blocks: a class on several boundaries is copied into several regions.
-   Exact distances to the pivot link what lies within the radius. What remains is joined inside
-   the region again, on the differences to the pivot: if x lies outside the pivot's radius and is
-   linked to y, then x ^ p and y ^ p must meet (otherwise |x ^ y| = |x ^ p| + |y ^ p|, which is
-   beyond the radius), so x and y agree on one of their first few differences. Pairs of one
-   component, and pairs whose distances to the pivot differ by more than a link allows, are
-   never formed. The rest is verified on the whole sets. Blocks of a few members need no pivot:
-   they are paired directly, and pairs that agree on too few segments for a link are left out.
-   Of those, each class is verified with the partner that agrees with it most first, and with
-   others only where that leaves them in different components.
-
-Plain Voronoi cells around sampled documents alone do not work for texts: nearly all distances
-are close to 1, so every document lies in the window of every cell. Step 2 takes their place on
-the first level.
+3. Every block, of whatever size, has a pivot, the member that agrees with most others, and a
+   pivot's region holds the members of its blocks: a class on several boundaries is copied into
+   several regions. Each member's exact distance to the pivot is worked out, and members within
+   the radius are linked with it, one link each. Where a region still holds members of different
+   components, it is joined once more inside, on the differences to the pivot: if x lies outside
+   the radius and is linked to y, then x ^ p and y ^ p meet (otherwise |x ^ y| = |x ^ p| + |y ^ p|
+   is beyond the radius), so x and y are in the subregion of a first difference they share. What
+   stands before that difference on either side is no part of the other, which bounds |x ^ y| from
+   below: pairs beyond the radius by that bound are never formed, nor are pairs of one component.
+   The rest is verified on the whole sets, for each class the likeliest partner in a component
+   first, and others only where that leaves them apart.
+
+Voronoi cells around sampled documents alone, with the triangle inequality's windows, do not work
+for texts: nearly all distances are close to 1, so every document lies in the window of every cell.
+Step 2 takes their place on the first level. Inside a region of near copies windows of distances
+to pivots prune nothing either, since all distances are about as large as the radius itself; the
+differences tell the members apart.
 
 Defined cases: words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z; texts with fewer words
 than a shingle count as one shingle; null and wordless texts have no shingles and link with
@@ -53,9 +55,7 @@ SPARE = 2
 DIFFERENCES_PER_SPARE = 8
 BAND_RATIO = 1.25
 #: The keys are joined in so many parts, one after another, which bounds the disk that shuffles take.
-KEY_PARTS = 3
-#: Blocks of up to so many classes are joined pair by pair, larger ones by differences to their pivot.
-SMALL_BLOCK = 16
+KEY_PARTS = 6
 #: Distinct words whose hashes a worker keeps.
 WORDS_KEPT = 1 << 17
 #: Rows with sets of shingles that a worker gets at a time.
@@ -114,10 +114,6 @@ class Bands:
             self.edges.append(max(self.edges[-1] + 1, math.ceil(self.edges[-1] * self.ratio)))
         return int(np.searchsorted(self.edges, n, side="right")) - 1
 
-    def apart(self, n: int) -> int:
-        """The symmetric difference for which the segments of n's own band are made."""
-        return self.most_apart(self.edges[self.band(n) + 1] - 1) if n else 0
-
     def of(self, n: int) -> list[tuple[int, int, int]]:
         """(band, segments, spare ones) of a set of n elements: its own band and, within the window, the one below."""
         own = self.band(n)
@@ -151,16 +147,21 @@ def segment_keys(h: np.ndarray, bands: Bands) -> np.ndarray:
     return np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
 
 
-def _sketcher(k: int, num: int, den: int, with_keys: bool):
+def _sketcher(k: int, num: int, den: int):
+    """Size and 128-bit name of a text's set, and the keys of its segments, dealt into ``KEY_PARTS``."""
+    parts = [f"k{i}" for i in range(KEY_PARTS)]
+
     def sketch(texts: pd.Series) -> pd.DataFrame:
         bands, rows = Bands(num, den), []
         for text in texts:
             h = shingles(text, k)
             name = xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None
-            rows.append((len(h), name, bands.apart(len(h)), segment_keys(h, bands)) if with_keys else (len(h), name))
-        return pd.DataFrame(rows, columns=["n", "class", "apart", "keys"][: 2 + 2 * with_keys])
+            keys = segment_keys(h, bands)
+            part = keys.view(np.uint64) % np.uint64(KEY_PARTS)
+            rows.append((len(h), name, *(keys[part == i] for i in range(KEY_PARTS))))
+        return pd.DataFrame(rows, columns=["n", "class", *parts])
 
-    return arrow_udf(sketch, "n long, class binary" + ", apart long, keys array<long>" * with_keys)
+    return arrow_udf(sketch, "n long, class binary, " + ", ".join(f"{c} array<long>" for c in parts))
 
 
 def _set_maker(k: int):
@@ -214,66 +215,64 @@ def _labelled(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_col
     """doc_id, row, n (shingles), root (one for each component) and component_id of each row."""
     named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     named = named.withColumn("row", _row(F.col("doc_id"), F.col("text")))
-    # Keys are as large as the texts: they are shuffled once, to one row for each class, and not kept for each document.
-    keyed = named.select("doc_id", "row", _sketcher(k, num, den, True)("text").alias("s")).select("doc_id", "row", "s.*").where("n > 0")
-    least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "keys"))
-    classes = keyed.groupBy("class", "n", "apart").agg(least.alias("least"))
-    classes = classes.select(F.monotonically_increasing_id().alias("c"), "class", "n", "apart", F.col("least.doc_id").alias("min_id"), F.col("least.row").alias("row"), F.col("least.keys").alias("keys"))
     with small_batches(docs.sparkSession, BATCH):
-        classes = written(classes, "join-classes")
-    released(docs.sparkSession)
-
-    members, facts = blocks(classes)
+        keyed = written(named.select("doc_id", "row", _sketcher(k, num, den)("text").alias("s")).select("doc_id", "row", "s.*"), "join-keyed")
+    rows = written(keyed.select("doc_id", "row", "n", "class"), "join-rows")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("least")
+    facts = rows.where("n > 0").groupBy("class", "n").agg(least)
+    facts = facts.select(F.monotonically_increasing_id().alias("c"), "class", "n", F.col("least.doc_id").alias("min_id"), F.col("least.row").alias("row"))
+    facts = written(facts, "join-facts")
+
+    members = blocks(keyed, facts)
     links = class_links(docs, members, facts, k, num, den, id_col, text_col)
     labelled = facts.join(_roots(links).withColumnRenamed("node", "c"), "c", "left").select("class", "min_id", F.coalesce("root", "c").alias("root"))
     least = labelled.groupBy("root").agg(F.min("min_id").alias("component_id"))
     components = written(labelled.join(least, "root").select("class", "root", "component_id"), "join-components")
-    sketched = named.select("doc_id", "row", _sketcher(k, num, den, False)("text").alias("s")).select("doc_id", "row", "s.*")
-    return sketched.join(components, "class", "left")
+    removed(facts)
+    return rows.join(components, "class", "left")
 
 
-def blocks(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The members of each block (those that are alike as one, with their number as weight), and the classes without keys.
+def blocks(keyed: DataFrame, facts: DataFrame) -> DataFrame:
+    """The members (key, c) of each block of two classes or more; blocks with the same members are one block.
 
-    The table ``classes`` is deleted.
+    Until the members are known, 64 bits stand for a class: should two classes share them, a block
+    has a member too many, which costs a comparison. The table ``keyed`` is deleted.
     """
-    spark = classes.sparkSession
-    keyed = classes.select("c", F.explode("keys").alias("key"))
+    spark = keyed.sparkSession
     parts = []
     for part in range(KEY_PARTS):
-        some = keyed.where(F.pmod("key", F.lit(KEY_PARTS)) == part)
-        shared = some.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-        parts.append(written(some.join(shared, "key"), "join-shared"))
+        some = keyed.select(F.xxhash64("class").alias("h"), F.explode(f"k{part}").alias("key"))
+        shared = some.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select("key")
+        parts.append(written(some.join(shared, "key").distinct(), "join-shared"))
         released(spark)
+    removed(keyed)
     members = reduce(DataFrame.union, parts)
-    # Blocks with the same members are one block.
-    alike = members.groupBy("key", "size").agg(F.bit_xor(F.xxhash64("c")).alias("members"))
-    alike = alike.groupBy("size", "members").agg(F.min("key").alias("key"), F.count("*").alias("weight"))
-    members = written(members.join(alike.select("key", "weight"), "key"), "join-members")
-    facts = written(classes.drop("keys"), "join-facts")
-    removed(classes, *parts)
+    alike = members.groupBy("key").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("h")).alias("a"), F.bit_xor(F.xxhash64("h", F.lit(1))).alias("b"))
+    alike = alike.groupBy("size", "a", "b").agg(F.min("key").alias("key")).select("key")
+    named = members.join(alike, "key").join(facts.select(F.xxhash64("class").alias("h"), "c"), "h").select("key", "c")
+    named = written(named, "join-members")
+    removed(*parts)
     released(spark)
-    return members, facts
+    return named
 
 
 def class_links(docs: DataFrame, members: DataFrame, facts: DataFrame, k: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
     """Links (x, y) between classes such that components are those of all links. The table ``members`` is deleted."""
     spark = members.sparkSession
-    candidates = written(small_block_pairs(members, facts, num, den), "join-candidates")
-
-    large = members.where(F.col("size") > SMALL_BLOCK)
-    degree = large.groupBy("c").agg(F.sum("size").alias("degree"))
-    ranked = large.join(degree, "c").groupBy("key").agg(F.max(F.struct("degree", F.negative("c").alias("c"))).alias("top"))
-    ranked = ranked.select("key", F.negative("top.c").alias("p"))
-    regions = large.join(ranked, "key").where("c <> p").select(F.col("c").alias("x"), "p").distinct()
-    regions = written(regions, "join-regions")
+    sizes = members.groupBy("key").agg(F.count("*").alias("size"))
+    degree = members.join(sizes, "key").groupBy("c").agg(F.sum("size").alias("degree"))
+    pivots = members.join(degree, "c").groupBy("key").agg(F.max(F.struct("degree", F.negative("c").alias("c"))).alias("top"))
+    placed = members.join(pivots.select("key", F.negative("top.c").alias("p")), "key").where("c <> p")
+    of_block = written(placed.select("key", F.col("c").alias("x"), "p"), "join-regions")
     removed(members)
+    regions = of_block.select("x", "p").distinct()
 
-    involved = regions.select("x").union(regions.select("p")).union(candidates.select("x")).union(candidates.select("y")).distinct()
+    involved = of_block.select("x").union(of_block.select("p")).distinct()
     wanted = written(involved, "join-involved").join(facts.select(F.col("c").alias("x"), "class", "n", "row"), "x")
     texts = docs.select(_row(F.col(id_col), F.col(text_col)).alias("row"), F.col(text_col).alias("text"))
     # Written before repeated rows are dropped, so that they meet no more than once in a task.
     texts = written(texts.join(wanted.select("row"), "row", "left_semi"), "join-texts")
+    released(spark)
     with small_batches(spark, BATCH):
         sets = written(_sets_of(wanted, texts.dropDuplicates(["row"]), k), "join-sets")
     removed(texts)
@@ -288,29 +287,40 @@ def class_links(docs: DataFrame, members: DataFrame, facts: DataFrame, k: int, n
         placed = written(placed.withColumn("near", near), "join-placed")
     released(spark)
 
-    links = placed.where("near").select("x", F.col("p").alias("y"))
-    candidates = _between(candidates, _roots(links))
-    best = candidates.groupBy("x").agg(F.max(F.struct("weight", F.negative("y").alias("y"))).alias("best"))
+    links = written(placed.where("near").select("x", F.col("p").alias("y")), "join-links")
+    pairs = written(region_pairs(of_block, placed, _roots(links), num, den), "join-candidates")
+    removed(of_block, placed)
+    released(spark)
+    # The partner in each component that shares most subregions first, the others if that is no link.
+    best = pairs.groupBy("x", "root_y").agg(F.max(F.struct("shared", F.negative("y").alias("y"))).alias("best"))
     links = links.union(_verified(best.select("x", F.negative("best.y").alias("y")), sets, num, den))
-    roots = _roots(links)
-    pairs = _between(candidates, roots).select("x", "y")
+    rest = _between(pairs.select("x", "y"), _roots(links))
+    return links.union(_verified(rest, sets, num, den))
 
-    placed = placed.join(roots.withColumnRenamed("node", "x"), "x", "left").withColumn("root", F.coalesce("root", "x"))
-    diffs = placed.select("p", "x", "nx", "n_own", "n_lost", "near", "root", F.explode("first").alias("e"))
+
+def region_pairs(of_block: DataFrame, placed: DataFrame, roots: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (x, y) of different components that the differences to their pivots leave possible: x, y, root_y, shared."""
+    root = F.coalesce("root", "x").alias("root")
+    of_block = of_block.join(roots.withColumnRenamed("node", "x"), "x", "left").select("key", "x", "p", root)
+    mixed = of_block.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+    mixed = of_block.join(mixed, "key").select("x", "p", "root").distinct()
+    diffs = placed.join(mixed, ["x", "p"]).select("p", "x", "nx", "n_own", "n_lost", "near", "root", F.posexplode("first").alias("at", "e"))
     diffs = written(diffs, "join-differences")
-    a, b = diffs.alias("a"), diffs.alias("b")
-    far, other = F.col("a.near") == F.lit(False), F.col("a.root") != F.col("b.root")
+    shared = diffs.groupBy("p", "e").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.bool_and("near").alias("all_near"))
+    diffs = diffs.join(shared.where("lo <> hi AND NOT all_near").select("p", "e"), ["p", "e"])
+    a, b = diffs.where("NOT near").alias("a"), diffs.alias("b")
+    same = (F.col("a.p") == F.col("b.p")) & (F.col("a.e") == F.col("b.e")) & (F.col("a.root") != F.col("b.root"))
     once = F.col("b.near") | (F.col("a.x") < F.col("b.x"))
     sizes = F.expr(f"{den} * least(a.nx, b.nx) >= {num} * greatest(a.nx, b.nx)")
-    # |x ^ y| of a linked pair is at most (|x| + |y|) * (den - num) / (den + num); the distances to
-    # the pivot, and x's and y's own and lost parts each, differ by no more than that.
-    window = F.expr(
-        f"(abs(a.n_own - b.n_own) + abs(a.n_lost - b.n_lost)) * {den + num} <= (a.nx + b.nx) * {den - num}"
-    )
-    same = (F.col("a.p") == F.col("b.p")) & (F.col("a.e") == F.col("b.e"))
-    met = a.join(b, same & far & other & once & sizes & window)
-    met = met.select(F.col("a.x").alias("x"), F.col("b.x").alias("y"))
-    return links.union(_verified(met.union(pairs).distinct(), sets, num, den))
+    # At the first difference that both have, what stands before it is only x's or only y's. What
+    # follows differs by no less than its numbers do: own and lost differences apart.
+    own = F.expr("abs(a.n_own - a.at - b.n_own + b.at) + abs(a.n_lost - b.n_lost)")
+    lost = F.expr("abs(a.n_own + a.n_lost - a.at - b.n_own - b.n_lost + b.at)")
+    least = F.col("a.at") + F.col("b.at") + F.when(F.col("a.at") < F.col("a.n_own"), own).otherwise(lost)
+    within = least * (den + num) <= (F.col("a.nx") + F.col("b.nx")) * (den - num)
+    met = a.join(b, same & once & sizes & within)
+    met = met.select(F.col("a.x").alias("x"), F.col("b.x").alias("y"), F.col("b.root").alias("root_y"))
+    return met.groupBy("x", "y", "root_y").agg(F.count("*").alias("shared"))
 
 
 def _roots(links: DataFrame) -> DataFrame:
@@ -337,25 +347,6 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     return links
 
 
-def small_block_pairs(members: DataFrame, facts: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (x < y) that share enough small blocks, of ``SMALL_BLOCK`` members at most, and how many.
-
-    A linked pair agrees on all segments but as many as its symmetric difference touches. Where
-    it shares no large block (those are joined by differences), all its agreements are here, so
-    pairs with fewer are no links. A member meets ``SMALL_BLOCK`` others in a block at most.
-    """
-    small = members.where(F.col("size") <= SMALL_BLOCK).select("key", "weight", "c")
-    small = small.join(facts.select("c", "n", "apart"), "c")
-    a, b = small.alias("a"), small.alias("b")
-    met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.c") < F.col("b.c")))
-    met = met.where(F.expr(f"{den} * least(a.n, b.n) >= {num} * greatest(a.n, b.n)"))
-    met = met.select(
-        F.col("a.c").alias("x"), F.col("b.c").alias("y"), "a.weight",
-        F.expr(f"if(a.n <= b.n, a.apart, b.apart) + 1 - floor((a.n + b.n) * {den - num} / {den + num})").alias("needed"),
-    )
-    return met.groupBy("x", "y").agg(F.sum("weight").alias("weight"), F.max("needed").alias("needed")).where("weight >= needed").select("x", "y", "weight")
-
-
 def _sets_of(wanted: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     """Whole shingle sets of classes, made again from the row of each that was chosen; ``texts`` has each row once."""
     found = wanted.join(texts, "row").select("x", "n", "class", _set_maker(k)("text").alias("made"))

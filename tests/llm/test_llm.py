@@ -63,10 +63,9 @@ def roots_of(sets, linked):
     return [find(i) for i in range(len(sets))]
 
 
-@pytest.mark.parametrize("k, num, den, small", [(3, 9, 10, 16), (3, 9, 10, 2), (5, 4, 5, 16), (5, 4, 5, 2)])
-def test_jaccard_join_brute_force(spark, monkeypatch, k, num, den, small):
-    monkeypatch.setattr(jaccard_join, "SMALL_BLOCK", small)
-    texts = families(k + small)
+@pytest.mark.parametrize("k, num, den, seed", [(3, 9, 10, 16), (3, 9, 10, 2), (5, 4, 5, 16), (5, 4, 5, 2)])
+def test_jaccard_join_brute_force(spark, k, num, den, seed):
+    texts = families(k + seed)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), k, num, den).collect()}
     sets = []
     for t in texts:
