@@ -4,21 +4,30 @@ A page's parser events are cut into lines: runs of text between block-level tags
 a text-to-tag ratio, its characters over the tags met in it. The ratios are smoothed with a
 Gaussian over neighbouring lines, and lines at or above one standard deviation are the cluster
 of content. The content region is the innermost element that holds nine tenths of that cluster's text;
-in an ``article`` or ``main`` element it is the whole of it, elsewhere it runs from the first
-line of the cluster to the last, with the headings right above. Elements that mark themselves as
-navigation, header, footer, sidebar, notice, advert, form or reader comments are left out; class
-names that tell a state (``has-sidebar``, ``with-menu``) do not mark an element, and a marked
-block is not left out where it wraps the page's content: a main element, the only articles, or
-nearly all text that is neither marked nor in links.
-
-Defined cases: null, empty or text-free html gives ''; broken or unclosed tags never fail (an
-end tag without its start is skipped); repeated pages give equal rows; whole pages are read,
-however long. Only the named column is read, other columns stay as they are.
+in an ``article`` or ``main`` element it is the whole of it, since an article's short lines are
+content too, elsewhere it runs from the first line of the cluster to the last, with the headings
+right above. Scripts, styles, controls and elements that are not shown are left out with all they
+hold. Elements that mark themselves as navigation, header, footer, sidebar, notice, advert, form or
+reader comments, by name, role or class, are weighed: they are left out unless they wrap the page's
+content. A class name or a form does where it is around a main element, the only articles, or
+nearly all text outside links; ``nav``, ``aside``, ``footer`` and their like where a main element
+is inside, or where their end tag is missing and they swallowed the only articles or most of the
+text. Class names that tell a state (``has-sidebar``, ``with-menu``) mark nothing.
+
+An element covers consecutive lines, so it is kept as a range of them: memory and time follow the
+page's length, however deep its elements are nested.
+
+Defined cases: null, empty or text-free html gives ''; broken or unclosed tags and malformed
+declarations never fail (an end tag without its start is skipped, a declaration that the parser
+does not know is a comment); repeated pages give equal rows; whole pages are read, however long.
+Only the named column is read, other columns stay as they are.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
+from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import numpy as np
@@ -34,10 +43,9 @@ BLOCKS = frozenset(
     "option p pre section select summary table tbody td template textarea tfoot th thead title tr ul".split()
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-HIDDEN = frozenset(
-    "head title script style noscript template iframe svg canvas object button select textarea option form nav aside "
-    "footer dialog menu".split()
-)
+HIDDEN = frozenset("head title script style noscript template iframe svg canvas object button select textarea option dialog".split())
+BESIDE = frozenset("nav aside footer menu".split())
+BOXES = frozenset("article main section div td body".split())
 CLOSES_P = BLOCKS - {"body", "html", "head", "title", "option"}
 # Words by which elements name themselves as something else than content.
 MARKS = frozenset(
@@ -64,55 +72,80 @@ def _names_itself(value: str) -> bool:
     return False
 
 
-def _set_aside(tag: str, attrs: list, within: bool) -> tuple[bool, bool]:
-    """Whether an element holds no content, and whether its class or id says so. within: it is inside an article or main element."""
-    if tag in HIDDEN or (tag == "header" and not within):
-        return True, False
-    marked = False
+def _role_of(tag: str, attrs: list, within: bool) -> str:
+    """What an element is by itself: 'hidden', 'beside' the content, 'marked' as something else, or ''.
+
+    within: it stands inside an article or main element.
+    """
+    if tag in HIDDEN:
+        return "hidden"
+    found = "beside" if tag in BESIDE or (tag == "header" and not within) else "marked" if tag == "form" else ""
     for name, value in attrs:
-        if name == "hidden":
-            return True, False
+        if name == "hidden" or (name == "aria-hidden" and value and value.lower() == "true"):
+            return "hidden"
         if not value or tag in WHOLE:
             continue
-        if name in ("class", "id") and _names_itself(value):
-            marked = True
-        if name == "role" and value.lower() in ROLES:
-            return True, False
-        if name == "aria-hidden" and value.lower() == "true":
-            return True, False
         if name == "style" and "display:none" in value.replace(" ", "").lower():
-            return True, False
+            return "hidden"
+        if name == "role" and value.lower() in ROLES:
+            found = "beside"
+        if name in ("class", "id") and not found and _names_itself(value):
+            found = "marked"
     # Inline elements wrap no page.
-    return (False, True) if marked and tag in BLOCKS else (marked, False)
+    return "hidden" if found and tag not in BLOCKS else found
+
 
+@dataclass
+class _Element:
+    """The lines, articles and main elements that begin inside an element, as ranges."""
 
-class _Lines(HTMLParser):
-    """Collects (text, tags, innermost containers, kind) of each line of a page."""
+    tag: str
+    role: str
+    lines: tuple[int, int]
+    articles: tuple[int, int]
+    mains: tuple[int, int]
+    closed: bool = False  # by its own end tag
+
+
+class _Page(HTMLParser):
+    """Collects a page's lines, and the elements around them that can hold content or be set aside."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, bool]] = []  # name, set aside, marked
-        self.aside = 0
-        self.boxes: list[tuple[int, str]] = [(0, "html")]  # containers open now
-        self.n_boxes = 1
+        self.open: list[tuple[str, str, _Element | None]] = []
+        self.count: Counter = Counter()  # open elements by name
+        self.hidden = 0
+        self.hidden_blocks = 0
+        self.articles = 0
+        self.mains = 0
+        self.boxes: list[_Element] = []
+        self.weighed: list[_Element] = []
         self.parts: list[str] = []
         self.tags = 0
-        self.heading = False
-        self.lines: list[tuple[str, int, tuple, bool, bool]] = []
-        self.links = 0
-        self.plain = 0  # characters of the line outside links
-        self.marks: list[int] = []  # marked elements open now
-        self.main: list[bool] = []  # of each marked element, whether it holds a main element
-        self.articles: list[tuple] = []  # of each article, the marked elements around it
-        self.facts: list[tuple[tuple, int]] = []  # of each line, the marked elements around it and its characters outside links
+        self.dropped = False  # text since the last line was hidden
+        self.plain_now = 0
+        # Of each line: its text, the tags met in it, its characters outside links, whether it is a heading.
+        self.texts: list[str] = []
+        self.n_tags: list[int] = []
+        self.plain: list[int] = []
+        self.heading: list[bool] = []
+
+    def parse_html_declaration(self, i: int) -> int:
+        try:
+            return super().parse_html_declaration(i)
+        except AssertionError:
+            return self.parse_bogus_comment(i)
 
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            self.lines.append((text, self.tags, tuple(self.boxes), self.aside > 0, self.heading))
-            self.facts.append((tuple(self.marks), self.plain))
+            self.texts.append(text)
+            self.n_tags.append(self.tags)
+            self.plain.append(self.plain_now)
+            self.heading.append(any(self.count[h] for h in HEADINGS))
+        if text or self.dropped:
             self.tags = 0
-        self.plain = 0
+        self.plain_now, self.dropped = 0, False
         self.parts.clear()
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
@@ -127,82 +160,110 @@ class _Lines(HTMLParser):
         self.tags += 1
         if tag in VOID:
             return
-        within = any(name in ("article", "main") for _, name in self.boxes)
-        aside, marked = _set_aside(tag, attrs, within)
-        self.open.append((tag, aside, marked))
-        if marked:
-            self.marks.append(len(self.main))
-            self.main.append(False)
-        self.links += tag == "a"
-        if tag == "main" and not self.aside:
-            for mark in self.marks:
-                self.main[mark] = True
-        if tag == "article" and not self.aside:
-            self.articles.append(tuple(self.marks))
-        self.aside += aside
-        if tag in ("article", "main", "section", "div", "td", "body"):
-            self.boxes.append((self.n_boxes, tag))
-            self.n_boxes += 1
-        if tag in HEADINGS:
-            self.heading = True
+        role = _role_of(tag, attrs, bool(self.count["article"] or self.count["main"]))
+        element = None
+        if not self.hidden and (role in ("beside", "marked") or tag in BOXES):
+            element = _Element(tag, role, (len(self.texts), -1), (self.articles, -1), (self.mains, -1))
+            (self.weighed if role else self.boxes).append(element)
+            if role and tag in BOXES:
+                self.boxes.append(element)
+        if not self.hidden:
+            self.articles += tag == "article"
+            self.mains += tag == "main"
+        self.open.append((tag, role, element))
+        self.count[tag] += 1
+        self.hidden += role == "hidden"
+        self.hidden_blocks += role == "hidden" and tag in BLOCKS
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
-        if tag in VOID:
-            self.handle_starttag(tag, attrs)
-        else:
-            self.handle_starttag(tag, attrs)
+        self.handle_starttag(tag, attrs)
+        if tag not in VOID:
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCKS:
             self.flush()
         self.tags += 1
-        if any(name == tag for name, *_ in self.open):
+        if self.count[tag]:
             self._close(tag)
 
-    def _close(self, tag: str) -> None:
-        self.flush() if tag in BLOCKS else None
+    def _close(self, tag: str | None) -> None:
+        """Ends the innermost open element of that name, and those inside it; all elements where it is None."""
+        if tag is None or tag in BLOCKS:
+            self.flush()
         while self.open:
-            name, aside, marked = self.open.pop()
-            self.aside -= aside
-            self.links -= name == "a"
-            if marked:
-                self.marks.pop()
-            if name in ("article", "main", "section", "div", "td", "body") and len(self.boxes) > 1:
-                self.boxes.pop()
-            if name in HEADINGS:
-                self.heading = False
+            name, role, element = self.open.pop()
+            if name in BLOCKS and self.parts:
+                self.flush()
+            self.count[name] -= 1
+            self.hidden -= role == "hidden"
+            self.hidden_blocks -= role == "hidden" and name in BLOCKS
+            if element is not None:
+                element.lines = (element.lines[0], len(self.texts))
+                element.articles = (element.articles[0], self.articles)
+                element.mains = (element.mains[0], self.mains)
+                element.closed = name == tag
             if name == tag:
                 return
 
     def handle_data(self, data: str) -> None:
-        # An inline element set aside (a script in a paragraph) ends no line: its text goes here.
-        if not self.aside or any(aside and name in BLOCKS for name, aside, _ in self.open):
-            self.parts.append(data)
-            if not self.links:
-                self.plain += len("".join(data.split()))
-
-
-    def content(self) -> list[tuple[str, int, tuple, bool, bool]]:
-        """The lines that are not set aside; marked elements, the outer ones first, stay where they wrap the content."""
-        lines = [(line, marks, n) for (marks, n), line in zip(self.facts, self.lines) if not line[3]]
-        mine = [0] * len(self.main)
-        for _, marks, n in lines:
-            for mark in marks:
-                mine[mark] += n
-        total = sum(n for _, _, n in lines)
-        inside = {mark for marks in self.articles for mark in marks}
-        wrappers: set[int] = set()
+        # An inline element set aside (a script in a paragraph) ends no line.
+        if self.hidden:
+            self.dropped |= self.hidden_blocks > 0 and not data.isspace()
+            return
+        self.parts.append(data)
+        if not self.count["a"]:
+            self.plain_now += len("".join(data.split()))
+
+    def kept(self) -> np.ndarray:
+        """Whether each line is content: no element that is set aside is around it."""
+        plain = np.array(self.plain, np.int64)
+        over_lines, beside_lines, over_articles = _Cover(len(self.texts)), _Cover(len(self.texts)), _Cover(self.articles)
+
+        def cover(element: _Element, by: int) -> None:
+            over_lines.add(element.lines, by)
+            over_articles.add(element.articles, by)
+            if element.role == "beside":
+                beside_lines.add(element.lines, by)
+
+        def swallowed(element: _Element) -> bool:
+            only = element.articles[1] > element.articles[0] and not (over_articles.depth() == 0).any()
+            return only or 2 * plain[slice(*element.lines)].sum() > plain.sum()
+
+        for element in self.weighed:
+            cover(element, 1)
+        for element in self.weighed:
+            if element.role == "beside" and (element.mains[1] > element.mains[0] or (not element.closed and swallowed(element))):
+                cover(element, -1)
+        upto = np.concatenate([[0], np.cumsum(np.where(beside_lines.depth() == 0, plain, 0))])
         rest, outside = None, False
-        for mark, has_main in enumerate(self.main):
+        for element in self.weighed:
+            if element.role != "marked":
+                continue
             if rest is None:
-                rest = sum(n for _, marks, n in lines if wrappers.issuperset(marks))
-                outside = any(wrappers.issuperset(marks) for marks in self.articles)
-            most = 2 * mine[mark] > total and mine[mark] >= 9 * rest
-            if has_main or most or (mark in inside and not outside and mine[mark] >= rest):
-                wrappers.add(mark)
+                rest = int(plain[over_lines.depth() == 0].sum())
+                outside = bool((over_articles.depth() == 0).any())
+            mine = int(upto[element.lines[1]] - upto[element.lines[0]])
+            most = 2 * mine > upto[-1] and mine >= 9 * rest
+            has_article = element.articles[1] > element.articles[0]
+            if element.mains[1] > element.mains[0] or most or (has_article and not outside and mine >= rest):
+                cover(element, -1)
                 rest = None
-        return [line for line, marks, _ in lines if wrappers.issuperset(marks)]
+        return over_lines.depth() == 0
+
+
+class _Cover:
+    """How many ranges cover each of n places."""
+
+    def __init__(self, n: int) -> None:
+        self.change = np.zeros(n + 1, np.int64)
+
+    def add(self, places: tuple[int, int], by: int) -> None:
+        self.change[places[0]] += by
+        self.change[places[1]] -= by
+
+    def depth(self) -> np.ndarray:
+        return np.cumsum(self.change)[:-1]
 
 
 def smoothed(ratios: np.ndarray, sigma: float) -> np.ndarray:
@@ -216,31 +277,40 @@ def smoothed(ratios: np.ndarray, sigma: float) -> np.ndarray:
 def main_text(html: str | None, sigma: float = 1.0) -> str:
     if not html:
         return ""
-    parser = _Lines()
-    parser.feed(html)
-    parser.close()
-    parser.flush()
-    lines = parser.content()
-    if not lines:
+    page = _Page()
+    page.feed(html)
+    page.close()
+    page._close(None)
+    lines = np.flatnonzero(page.kept())
+    if not len(lines):
         return ""
-    ratios = smoothed(np.array([len(text) / max(1, tags) for text, tags, *_ in lines]), sigma)
-    core = ratios >= min(ratios.std(), ratios.max())
-    held: dict[tuple[int, str], int] = {}
-    for (text, _, boxes, _, _), is_core in zip(lines, core):
-        if is_core:
-            for box in boxes:
-                held[box] = held.get(box, 0) + len(text)
-    most = max(held.values())
-    region = max((box for box, n in held.items() if 10 * n >= 9 * most), key=lambda box: box[0])
-    whole = next((box for line in lines for box in line[2] if box[1] in ("article", "main") and 2 * held.get(box, 0) > most), None)
+    sizes = np.array([len(page.texts[i]) for i in lines], np.float64)
+    ratios = smoothed(sizes / np.maximum(1, np.array(page.n_tags)[lines]), sigma)
+    core = np.zeros(len(page.texts), bool)
+    core[lines] = ratios >= min(ratios.std(), ratios.max())
+    weight = np.zeros(len(page.texts))
+    weight[lines] = sizes
+    upto = np.concatenate([[0.0], np.cumsum(np.where(core, weight, 0.0))])
+
+    def held(box: _Element) -> float:
+        return upto[box.lines[1]] - upto[box.lines[0]]
+
+    def text_of(chosen) -> str:
+        return "\n\n".join(page.texts[i] for i in chosen)
+
+    whole = next((box for box in page.boxes if box.tag in ("article", "main") and 2 * held(box) > upto[-1]), None)
     if whole is not None:
-        return "\n\n".join(text for text, _, boxes, _, _ in lines if whole in boxes)
-    inside = [i for i, line in enumerate(lines) if region in line[2]]
-    chosen = [i for i in inside if core[i]]
-    first, last = chosen[0], chosen[-1]
-    while first - 1 in inside and lines[first - 1][4]:
-        first -= 1
-    return "\n\n".join(lines[i][0] for i in inside if first <= i <= last)
+        return text_of(lines[(whole.lines[0] <= lines) & (lines < whole.lines[1])])
+    first, last = 0, len(page.texts)
+    for box in page.boxes:
+        if 10 * held(box) >= 9 * upto[-1]:
+            first, last = box.lines
+    inside = lines[(first <= lines) & (lines < last)]
+    chosen = np.flatnonzero(core[inside])
+    start, stop = chosen[0], chosen[-1]
+    while start and page.heading[inside[start - 1]]:
+        start -= 1
+    return text_of(inside[start : stop + 1])
 
 
 def _extract(html: pd.Series) -> pd.Series:
