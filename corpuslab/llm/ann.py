@@ -2,20 +2,23 @@
 
 Equal vectors are joined to one class first, so that one vector held by many rows is searched
 once and stands in one leaf once. Trees are fitted on a bounded sample of classes: a node splits
-by the hyperplane halfway between two of its vectors, down to leaves of ``leaf_size``. Every
-class is then sent down every tree. A query walks all trees at once through one priority queue
-ordered by the squared margins of the splits it would cross, nearest side first, and visits the
-best leaves of the forest. How many is measured: it is the number at which ``recall`` of the true
-neighbours of some sampled vectors in the sample are reached. Rows and visits meet by tree and
-group of leaves, and the candidates are ranked by their exact cosine.
-
-The index is fitted on a bounded sample (``n_sample`` vectors), but every row is indexed. Rows
-beyond the sample's bound are cut into slices, and queries into blocks, so that what meets in one
-task is bounded: a block of queries meets each slice of the rows once.
+by the hyperplane halfway between two of its vectors, down to leaves of ``leaf_size`` of the
+sample. Below that every tree goes on by as many levels as the whole table needs for leaves of that
+size: a level splits by the side of a random hyperplane through the mean of the leaf it stands in,
+so the model stays bounded while leaves hold no more rows of a larger table. Every class is sent
+down every tree. A query walks all trees at once through one priority queue ordered by the squared
+margins of the splits it would cross, nearest side first, and visits the best leaves of the forest.
+How many is measured: the true neighbours of a few sampled vectors are found by a scan of the whole
+table, and queries visit as many leaves as it takes until ``recall`` of those are met. Rows and
+visits meet by tree and group of leaves, and the candidates are ranked by their exact cosine.
+
+The index is fitted on a bounded sample (``n_sample`` vectors), but every row is indexed, once for
+each tree, and a query's visits are sent once for each group of leaves: what is shuffled grows in
+proportion to rows and queries, and what meets in one task is a few leaves.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components take no
-part; vectors of another dimension than the smallest id's take no part;
-a row is never its own neighbour, equal vectors of other rows are; ties go to the smaller id;
+part; vectors of one dimension are searched among themselves, each dimension with a forest of its
+own; a row is never its own neighbour, equal vectors of other rows are; ties go to the smaller id;
 with fewer candidates than ``k``, all found are returned; an empty table gives no rows; repeated
 rows (same id) count once. Only the id and vector columns are read.
 """
@@ -24,7 +27,8 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import astuple, dataclass, replace
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -41,24 +45,28 @@ LEAVES_TOGETHER = 16
 
 @dataclass(frozen=True)
 class Tree:
-    """Inner nodes by number: normal, offset and children; a child below 0 is leaf ``-1 - child``."""
+    """Inner nodes by number: normal, offset and children; a child below 0 is leaf ``-1 - child``.
+
+    Each leaf of the fitted tree is split again by ``directions`` through its mean; the final leaf's
+    number is the fitted leaf's, followed by one bit for each of them.
+    """
 
     normals: np.ndarray
     offsets: np.ndarray
     children: np.ndarray
-    n_leaves: int
+    means: np.ndarray
+    directions: np.ndarray
 
 
 def grow(points: np.ndarray, leaf_size: int, rng: np.random.Generator) -> Tree:
     """A tree over unit vectors. Nodes that no hyperplane splits are halved at random."""
-    normals, offsets, children = [], [], []
-    n_leaves = 0
+    normals, offsets, children, means = [], [], [], []
     stack = [(np.arange(len(points)), -1, 0)]
     while stack:
         rows, parent, side = stack.pop()
         if len(rows) <= leaf_size:
-            mine = -1 - n_leaves
-            n_leaves += 1
+            mine = -1 - len(means)
+            means.append(points[rows].mean(axis=0) if len(rows) else np.zeros(points.shape[1]))
         else:
             mine = len(normals)
             for _ in range(3):
@@ -83,8 +91,15 @@ def grow(points: np.ndarray, leaf_size: int, rng: np.random.Generator) -> Tree:
             stack.append((rows[~right], mine, 0))
         if parent >= 0:
             children[parent][side] = mine
-    dim = points.shape[1] if points.ndim == 2 else 0
-    return Tree(np.array(normals).reshape(-1, dim), np.array(offsets), np.array(children, np.int64).reshape(-1, 2), n_leaves)
+    dim = points.shape[1]
+    return Tree(np.array(normals).reshape(-1, dim), np.array(offsets), np.array(children, np.int64).reshape(-1, 2), np.array(means), np.zeros((0, dim)))
+
+
+def deepened(tree: Tree, n_levels: int, rng: np.random.Generator) -> Tree:
+    """The tree with so many more levels of random directions, orthogonal ones as far as they go."""
+    dim = tree.normals.shape[1]
+    rows = [np.linalg.qr(rng.normal(size=(dim, dim)))[0] for _ in range(-(-n_levels // dim))]
+    return replace(tree, directions=np.concatenate([*rows, np.zeros((0, dim))])[:n_levels])
 
 
 def leaves_of(tree: Tree, points: np.ndarray) -> np.ndarray:
@@ -94,40 +109,53 @@ def leaves_of(tree: Tree, points: np.ndarray) -> np.ndarray:
         node = at[inner]
         margin = np.einsum("ij,ij->i", points[inner], tree.normals[node]) - tree.offsets[node]
         at[inner] = tree.children[node, (margin > 0).astype(np.int64)]
-    return -1 - at
+    leaf, n_levels = -1 - at, len(tree.directions)
+    if not n_levels:
+        return leaf
+    bits = (points - tree.means[leaf]) @ tree.directions.T > 0
+    return (leaf << n_levels) | (bits.astype(np.int64) << np.arange(n_levels)).sum(axis=1)
 
 
-def visits_of(forest: list[Tree], point: np.ndarray, n_visits: int) -> list[tuple[int, int]]:
-    """(tree, leaf) of the best leaves for a query, over all trees through one queue."""
+def visits_of(forest: list[Tree], point: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(tree, leaf) for a query, the best first, over all trees through one queue."""
     margins = [tree.normals @ point - tree.offsets for tree in forest]
-    queue = [(0.0, t, 0 if len(tree.offsets) else -1) for t, tree in enumerate(forest)]
+    below: dict[tuple[int, int], np.ndarray] = {}
+    queue = [(0.0, t, 0 if len(tree.offsets) else -1, 0, 0) for t, tree in enumerate(forest)]
     heapq.heapify(queue)
-    found = []
-    while queue and len(found) < n_visits:
-        far, t, node = heapq.heappop(queue)
+    while queue:
+        far, t, node, level, code = heapq.heappop(queue)
+        tree = forest[t]
         while node >= 0:
             margin = float(margins[t][node])
             near = int(margin > 0)
-            heapq.heappush(queue, (far + margin * margin, t, int(forest[t].children[node, 1 - near])))
-            node = int(forest[t].children[node, near])
-        found.append((t, -1 - node))
-    return found
-
-
-def visits_for_recall(forest: list[Tree], points: np.ndarray, k: int, recall: float, n_asked: int, rng: np.random.Generator) -> int:
-    """Leaves to visit so that this share of the true neighbours of sampled points is among them."""
-    n_leaves = sum(tree.n_leaves for tree in forest)
-    if len(points) < 2:
-        return n_leaves
-    leaves = [leaves_of(tree, points) for tree in forest]
-    first_seen = []
-    for i in rng.choice(len(points), min(n_asked, len(points)), replace=False):
-        scores = points @ points[i]
-        scores[i] = -np.inf
-        place = {visit: n for n, visit in enumerate(visits_of(forest, points[i], n_leaves))}
-        for j in np.argsort(-scores)[: min(k, len(points) - 1)]:
-            first_seen.append(min(place[t, int(at[j])] for t, at in enumerate(leaves)))
-    return int(np.quantile(first_seen, recall, method="higher")) + 1
+            heapq.heappush(queue, (far + margin * margin, t, int(tree.children[node, 1 - near]), 0, 0))
+            node = int(tree.children[node, near])
+        n_levels = len(tree.directions)
+        if n_levels and (t, node) not in below:
+            below[t, node] = tree.directions @ (point - tree.means[-1 - node])
+        for n in range(level, n_levels):
+            margin = float(below[t, node][n])
+            near = int(margin > 0)
+            heapq.heappush(queue, (far + margin * margin, t, node, n + 1, code | (1 - near) << n))
+            code |= near << n
+        yield t, (-1 - node) << n_levels | code
+
+
+def visits_for_recall(forest: list[Tree], asked: np.ndarray, near: list[np.ndarray], recall: float) -> int:
+    """Leaves that each query visits until this share of the asked vectors' neighbours is met."""
+    walks = [visits_of(forest, point) for point in asked]
+    wanted = []
+    for points in near:
+        leaves = [leaves_of(tree, points).tolist() for tree in forest] if len(points) else []
+        wanted.append([{(t, leaf[i]) for t, leaf in enumerate(leaves)} for i in range(len(points))])
+    left = sum(map(len, wanted))
+    most_left, n_visits = (1.0 - recall) * left, 0
+    while left and left > most_left:
+        n_visits += 1
+        visits = [next(walk, None) for walk in walks]
+        wanted = [[places for places in open_ if visit not in places] for open_, visit in zip(wanted, visits)]
+        left = sum(map(len, wanted))
+    return max(1, n_visits)
 
 
 def usable(vector: Column) -> Column:
@@ -153,18 +181,45 @@ def vector_classes(rows: DataFrame, keep: int, id_col: str, vec_col: str) -> Dat
     return classes.select("c", "ids", "v", F.size("v").alias("dim"))
 
 
-def fit(classes: DataFrame, k: int, recall: float, n_sample: int, n_trees: int, leaf_size: int, n_asked: int, seed: int) -> tuple[list[Tree], int, int]:
-    """The forest on the ``n_sample`` classes with the smallest hashes, the leaves to visit and the dimension."""
-    head = classes.orderBy("c").select("dim").first()
-    if head is None:
-        return [], 0, 0
-    sample = classes.where(F.col("dim") == head["dim"]).orderBy(F.xxhash64("c", F.lit(seed)), "c").limit(n_sample)
-    sample = sample.select("c", "v").collect()
+def fit(classes: DataFrame, k: int, recall: float, n_sample: int, n_trees: int, leaf_size: int, n_asked: int, seed: int) -> tuple[list[Tree], int]:
+    """The forest on the ``n_sample`` classes of one dimension with the smallest hashes, and the leaves to visit."""
+    n_classes = classes.count()
+    sample = classes.orderBy(F.xxhash64("c", F.lit(seed)), "c").limit(n_sample).select("c", "v").collect()
     sample.sort(key=lambda r: r["c"])
     points = _unit([r["v"] for r in sample])
     rng = np.random.default_rng(seed)
-    forest = [grow(points, leaf_size, rng) for _ in range(n_trees)]
-    return forest, visits_for_recall(forest, points, k, recall, n_asked, rng), head["dim"]
+    n_levels = max(0, int(np.ceil(np.log2(n_classes / len(points)))))
+    forest = [deepened(grow(points, leaf_size, rng), n_levels, rng) for _ in range(n_trees)]
+    chosen = rng.choice(len(points), min(n_asked, len(points)), replace=False)
+    asked, ids = points[chosen], [sample[i]["c"] for i in chosen]
+    return forest, visits_for_recall(forest, asked, true_neighbours(classes, asked, ids, k), recall)
+
+
+def true_neighbours(classes: DataFrame, asked: np.ndarray, ids: list[int], k: int) -> list[np.ndarray]:
+    """The ``k`` nearest other classes of a few asked ones, by a scan of all classes."""
+    shared = classes.sparkSession.sparkContext.broadcast(asked)  # n_asked vectors
+
+    def best(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = pd.DataFrame({"a": [], "c": [], "score": [], "v": []})
+        for part in frames:
+            if len(part):
+                scores = shared.value @ _unit(part["v"]).T
+                n = min(k + 1, len(part))
+                top = np.argpartition(-scores, n - 1, axis=1)[:, :n]
+                rows = np.repeat(np.arange(len(scores)), n)
+                found = pd.DataFrame({"a": rows, "c": part["c"].to_numpy()[top.ravel()], "score": scores[rows, top.ravel()], "v": part["v"].to_numpy()[top.ravel()]})
+                held = pd.concat([held, found]) if len(held) else found
+                held = held.sort_values(["a", "score"], ascending=[True, False], kind="stable")
+                held = held[held.groupby("a").cumcount() <= k]
+        yield held
+
+    kind = classes.schema["v"].dataType.simpleString()
+    found = classes.select("c", "v").mapInPandas(best, f"a long, c long, score double, v {kind}")
+    nth = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("score"), "c"))
+    rows = found.withColumn("nth", nth).where(F.col("nth") <= k + 1).collect()  # n_asked * (k + 1) at most
+    rows.sort(key=lambda r: r["nth"])
+    near = [[r["v"] for r in rows if r["a"] == a and r["c"] != own][:k] for a, own in enumerate(ids)]
+    return [_unit(vectors) if vectors else np.zeros((0, asked.shape[1])) for vectors in near]
 
 
 def _unit(vectors) -> np.ndarray:
@@ -181,7 +236,7 @@ def best_of(visits: pd.DataFrame, held: pd.DataFrame, n_best: int) -> pd.DataFra
     leaves = leaves[order]
     ids, x = held["c"].to_numpy()[order], np.array([np.asarray(v, np.float64) for v in held["v"]])[order]
     norms = np.sqrt((x * x).sum(axis=1))
-    for leaf, part in visits.groupby("leaf"):
+    for leaf, part in visits.explode("leaves").groupby("leaves"):
         low, high = np.searchsorted(leaves, [leaf, leaf + 1])
         if low == high:
             continue
@@ -210,23 +265,36 @@ def search(
     leaf_size: int = 128,
     n_sample: int = 60_000,
     n_asked: int = 64,
-    query_block: int = 10_000,
     seed: int = 41,
     id_col: str = "vec_id",
     vec_col: str = "embedding",
 ) -> DataFrame:
     """query_id, rank, vec_id and score of the ``k`` nearest rows of each query row by cosine."""
-    spark = rows.sparkSession
     classes = written(vector_classes(rows, k + 1, id_col, vec_col), "ann-classes")
-    forest, n_visits, dim = fit(classes, k, recall, n_sample, n_trees, leaf_size, n_asked, seed)
-    shared = spark.sparkContext.broadcast([(t.normals, t.offsets, t.children, t.n_leaves) for t in forest])  # bounded by the sample
-    classes = classes.where(F.col("dim") == dim)
-
     is_asked = rows.where(is_query).select(F.col(id_col).cast("long").alias("query_id")).where("query_id is not null").distinct()
     asked = written(_asked(rows, is_asked, classes, id_col, vec_col), "ann-asked")
-    queries = classes.join(asked.select(F.col("q").alias("c")).distinct(), "c", "left_semi").select("c", "v")
-    n_slices = max(1, -(-classes.count() // n_sample))
-    n_blocks = max(1, -(-queries.count() // query_block))
+    found = rows.sparkSession.createDataFrame([], "q long, c long, score double")
+    for dim in sorted(r["dim"] for r in classes.select("dim").distinct().collect()):
+        mine = classes.where(F.col("dim") == dim)
+        queries = mine.join(asked.select(F.col("q").alias("c")).distinct(), "c", "left_semi").select("c", "v")
+        forest, n_visits = fit(mine, k, recall, n_sample, n_trees, leaf_size, n_asked, seed)
+        found = found.union(_nearest(mine, queries, forest, n_visits, k))
+    best = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "c"))
+    found = written(found.withColumn("nth", best).where(F.col("nth") <= k + 1).drop("nth"), "ann-found")
+
+    ids = found.join(classes.select("c", "ids"), "c").select("q", "score", F.explode("ids").alias("vec_id"))
+    by_class = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
+    ids = ids.withColumn("nth", F.row_number().over(by_class)).where(F.col("nth") <= k + 1)
+    lists = ids.groupBy("q").agg(F.array_sort(F.collect_list(F.struct("nth", "vec_id", "score"))).alias("near"))
+    own = F.filter("near", lambda x: x["vec_id"] != F.col("query_id"))
+    answers = asked.join(lists, "q").select("query_id", F.posexplode(F.slice(own, 1, k)).alias("pos", "x"))
+    return answers.select("query_id", (F.col("pos") + 1).alias("rank"), F.col("x.vec_id").alias("vec_id"), F.col("x.score").alias("score"))
+
+
+def _nearest(classes: DataFrame, queries: DataFrame, forest: list[Tree], n_visits: int, k: int) -> DataFrame:
+    """q, c and score: the best ``k`` + 1 classes of the leaves that each query visits."""
+    context = classes.sparkSession.sparkContext
+    shared = context.broadcast([astuple(tree) for tree in forest])  # bounded by the sample
 
     def send(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         trees = [Tree(*t) for t in shared.value]
@@ -235,37 +303,27 @@ def search(
                 points = _unit(part["v"])
                 for t, tree in enumerate(trees):
                     leaves = leaves_of(tree, points)
-                    for block in range(n_blocks):
-                        yield pd.DataFrame({"tree": t, "nearby": leaves // LEAVES_TOGETHER, "slice": part["c"].to_numpy() % n_slices, "block": block, "leaf": leaves, "c": part["c"], "v": part["v"]})
+                    yield pd.DataFrame({"tree": t, "nearby": leaves // LEAVES_TOGETHER, "leaf": leaves, "c": part["c"], "v": part["v"]})
 
     def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         trees = [Tree(*t) for t in shared.value]
         for part in frames:
+            rows = []
             for c, v, point in zip(part["c"], part["v"], _unit(part["v"]) if len(part) else ()):
-                found = np.array(visits_of(trees, point, n_visits))
-                for s in range(n_slices):
-                    yield pd.DataFrame({"tree": found[:, 0], "nearby": found[:, 1] // LEAVES_TOGETHER, "slice": s, "block": c % n_blocks, "leaf": found[:, 1], "q": c, "qv": [v] * len(found)})
+                groups: dict[tuple[int, int], list[int]] = {}
+                for t, leaf in islice(visits_of(trees, point), n_visits):
+                    groups.setdefault((t, leaf // LEAVES_TOGETHER), []).append(leaf)
+                rows.extend((t, nearby, leaves, c, v) for (t, nearby), leaves in groups.items())
+            yield pd.DataFrame(rows, columns=["tree", "nearby", "leaves", "q", "qv"])
 
     def rank(visits: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         return best_of(visits, held, k + 1)
 
     kind = classes.schema["v"].dataType.simpleString()
-    columns = "tree int, nearby long, slice long, block long, leaf long"
-    visits = queries.repartition(spark.sparkContext.defaultParallelism).mapInPandas(walk, f"{columns}, q long, qv {kind}")
-    index = classes.select("c", "v").mapInPandas(send, f"{columns}, c long, v {kind}")
-    on = ["tree", "nearby", "slice", "block"]
-    found = visits.groupBy(*on).cogroup(index.groupBy(*on)).applyInPandas(rank, "q long, c long, score double")
-    found = found.groupBy("q", "c").agg(F.max("score").alias("score"))
-    best = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "c"))
-    found = written(found.withColumn("nth", best).where(F.col("nth") <= k + 1).drop("nth"), "ann-found")
-
-    ids = found.join(classes.select("c", "ids"), "c").select("q", "score", F.explode("ids").alias("vec_id"))
-    by_class = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
-    ids = ids.withColumn("nth", F.row_number().over(by_class)).where(F.col("nth") <= k + 1)
-    lists = ids.groupBy("q").agg(F.array_sort(F.collect_list(F.struct("nth", "vec_id", "score"))).alias("near"))
-    own = F.filter("near", lambda x: x["vec_id"] != F.col("query_id"))
-    answers = asked.join(lists, "q").select("query_id", F.posexplode(F.slice(own, 1, k)).alias("pos", "x"))
-    return answers.select("query_id", (F.col("pos") + 1).alias("rank"), F.col("x.vec_id").alias("vec_id"), F.col("x.score").alias("score"))
+    visits = queries.repartition(context.defaultParallelism).mapInPandas(walk, f"tree int, nearby long, leaves array<long>, q long, qv {kind}")
+    index = classes.select("c", "v").mapInPandas(send, f"tree int, nearby long, leaf long, c long, v {kind}")
+    found = visits.groupBy("tree", "nearby").cogroup(index.groupBy("tree", "nearby")).applyInPandas(rank, "q long, c long, score double")
+    return found.groupBy("q", "c").agg(F.max("score").alias("score"))
 
 
 def _asked(rows: DataFrame, is_asked: DataFrame, classes: DataFrame, id_col: str, vec_col: str) -> DataFrame:
