@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -11,22 +10,12 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
+
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = ASCII_UPPER.lower()
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where the session names none (tests, notebooks), a temporary folder is made and set once.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="corpuslab-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cuts the lineage: writes ``df`` as Parquet into the shared folder and reads it again.
 
@@ -107,10 +96,26 @@ def literal_array(values, kind: str) -> Column:
     return F.from_json(F.lit("[" + ",".join(str(v) for v in values) + "]"), f"array<{kind}>")
 
 
-def spread(docs: DataFrame) -> DataFrame:
-    """Deals rows out evenly when the input came in fewer partitions than there are cores.
+def row_key(*columns: Column | str) -> Column:
+    """128 bits that name a row by these columns, as two hashes that differ from the first byte on."""
+    return F.struct(F.xxhash64(F.lit(1), *columns).alias("a"), F.xxhash64(F.lit(2), *columns).alias("b"))
+
+
+def ascii_lower(text: Column) -> Column:
+    """A-Z in lower case; other letters stay."""
+    return F.translate(text, ASCII_UPPER, ASCII_LOWER)
+
+
+#: Bytes of a side that is broadcast, at most.
+BROADCAST_BYTES = 32_000_000
+
+
+def small_or_not(df: DataFrame, *arrays: str) -> DataFrame:
+    """Marked for broadcast if its size, worked out from its rows and the lengths of these arrays, is small; Spark joins by shuffle beyond.
 
-    Text work is CPU-bound, and a small table is often read as one partition.
+    ``df`` should be a table that is written, or made of one: it is read once more for this.
     """
-    sc = docs.sparkSession.sparkContext
-    return docs.repartition(sc.defaultParallelism)
+    held = [F.coalesce(F.sum(F.size(c).cast("long")), F.lit(0)) for c in arrays]
+    n_rows, *n_elements = df.agg(F.count("*"), *held).first()
+    size = n_rows * 24 * (len(df.columns) + 1) + 8 * sum(n_elements)
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df

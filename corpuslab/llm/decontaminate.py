@@ -25,16 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import word_array, written
-
-#: The rows of a side that are broadcast are counted first, and these many at most.
-BROADCAST_ROWS = 200_000
-
-
-def small_or_not(df: DataFrame) -> DataFrame:
-    """Marked for broadcast if it has few rows of a few numbers; Spark joins by shuffle beyond."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
+from .common import removed, row_key, small_or_not, word_array, written
 
 def grams_of(words: Column, k: int) -> Column:
     """Hashes of the k-word shingles of an array of words, by position."""
@@ -78,7 +69,7 @@ def leaks(
         found = part if found is None else found.unionByName(part)
     if found is None:
         kinds = f"doc_id {docs.schema[id_col].dataType.simpleString()}, item_id {items.schema[item_col].dataType.simpleString()}"
-        found = docs.sparkSession.createDataFrame([], f"uid long, {kinds}, start_word int, n_words int, distance int, similarity double")
+        found = docs.sparkSession.createDataFrame([], f"uid struct<a:bigint,b:bigint>, {kinds}, start_word int, n_words int, distance int, similarity double")
     return found
 
 
@@ -88,7 +79,7 @@ def _leaks(docs: DataFrame, bench: DataFrame, k: int, threshold: float, id_col:
     places = bench.select("item", F.explode(F.array_distinct("item_grams")).alias("gram"))
 
     keyed = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    keyed = keyed.withColumn("uid", F.xxhash64("doc_id", "text", F.lit(11)))
+    keyed = keyed.withColumn("uid", row_key("doc_id", "text"))
     # The words are a column of their own: inside a lambda they would be split again for each word.
     keyed = keyed.withColumn("words", word_array(F.lower(F.col("text"))))
     each = keyed.select("uid", F.posexplode(grams_of(F.col("words"), k)).alias("at", "gram"))
@@ -106,7 +97,7 @@ def _leaks(docs: DataFrame, bench: DataFrame, k: int, threshold: float, id_col:
     texts = keyed.join(small_or_not(starts.select("uid").distinct()), "uid")
     texts = texts.dropDuplicates(["uid"])
     texts = texts.select("uid", "doc_id", grams_of(F.col("words"), k).alias("grams"))
-    windows = starts.join(texts, "uid").join(small_or_not(bench), "item")
+    windows = starts.join(texts, "uid").join(small_or_not(bench, "item_grams"), "item")
     windows = windows.withColumn("window", F.slice("grams", F.col("start") + 1, F.size("item_grams")))
     counted = F.aggregate(
         F.array_distinct("item_grams"),
@@ -127,5 +118,5 @@ def _leaks(docs: DataFrame, bench: DataFrame, k: int, threshold: float, id_col:
 def clean_documents(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """The documents that leak no item, in the columns of ``docs``."""
     bad = leaks(docs, items, **options).select(F.col("uid").alias("__uid")).distinct()
-    keyed = docs.withColumn("__uid", F.xxhash64("doc_id", "text", F.lit(11)))
+    keyed = docs.withColumn("__uid", row_key("doc_id", "text"))
     return keyed.join(small_or_not(written(bad, "leak-documents")), "__uid", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -41,11 +41,11 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import arrow_udf, released, removed, small_batches, written
+from .common import arrow_udf, released, removed, row_key, small_batches, written
 from .components import connected_components
 
 #: Segments beyond the fewest that guarantee an agreement: so many may be empty on both sides. Sets
@@ -206,15 +206,10 @@ def jaccard_components(
     return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _row(doc_id: Column, text: Column) -> Column:
-    """128 bits that name a row: ids may be null or repeated."""
-    return F.struct(F.xxhash64(doc_id, text, F.lit(1)).alias("a"), F.xxhash64(doc_id, text, F.lit(2)).alias("b"))
-
-
 def _labelled(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
     """doc_id, row, n (shingles), root (one for each component) and component_id of each row."""
     named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    named = named.withColumn("row", _row(F.col("doc_id"), F.col("text")))
+    named = named.withColumn("row", row_key("doc_id", "text"))
     with small_batches(docs.sparkSession, BATCH):
         keyed = written(named.select("doc_id", "row", _sketcher(k, num, den)("text").alias("s")).select("doc_id", "row", "s.*"), "join-keyed")
     rows = written(keyed.select("doc_id", "row", "n", "class"), "join-rows")
@@ -269,7 +264,7 @@ def class_links(docs: DataFrame, members: DataFrame, facts: DataFrame, k: int, n
 
     involved = of_block.select("x").union(of_block.select("p")).distinct()
     wanted = written(involved, "join-involved").join(facts.select(F.col("c").alias("x"), "class", "n", "row"), "x")
-    texts = docs.select(_row(F.col(id_col), F.col(text_col)).alias("row"), F.col(text_col).alias("text"))
+    texts = docs.select(row_key(id_col, text_col).alias("row"), F.col(text_col).alias("text"))
     # Written before repeated rows are dropped, so that they meet no more than once in a task.
     texts = written(texts.join(wanted.select("row"), "row", "left_semi"), "join-texts")
     released(spark)
@@ -363,7 +358,7 @@ def keep_one(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, id_col: st
     labelled = written(_labelled(docs, k, num, den, id_col, text_col).select("doc_id", "row", "n", "root"), "join-labelled")
     first = labelled.where("n > 0 AND doc_id IS NOT NULL").groupBy("root").agg(F.min(F.struct("doc_id", "row")).alias("first"))
     kept = first.select(F.col("first.row").alias("__row")).union(labelled.where("n = 0 OR doc_id IS NULL").select("row")).distinct()
-    found = docs.withColumn("__row", _row(F.col(id_col), F.col(text_col))).join(kept, "__row", "left_semi")
+    found = docs.withColumn("__row", row_key(id_col, text_col)).join(kept, "__row", "left_semi")
     nth = F.row_number().over(Window.partitionBy("__row").orderBy("__row"))
     found = found.withColumn("__nth", F.when(F.col(id_col).isNull(), 1).otherwise(nth))
     return found.where("__nth = 1").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import word_array, written
+from .common import removed, row_key, word_array, written
 
 
 def line_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -40,7 +40,7 @@ def line_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     lines = F.split(F.col(text_col), "\n", -1)
     return docs.where(F.col(text_col).isNotNull()).select(
         F.col(id_col).alias("doc_id"),
-        F.xxhash64(F.col(id_col), F.col(text_col), F.lit(3)).alias("uid"),
+        row_key(id_col, text_col).alias("uid"),
         F.transform(lines, lambda x: F.xxhash64(x)).alias("hashes"),
         F.transform(lines, lambda x: F.size(word_array(x))).alias("words"),
     ).dropDuplicates(["uid"])
@@ -66,8 +66,8 @@ def fingerprints(lines: DataFrame, gram_words: int, window_words: int) -> DataFr
     return chosen.select("doc_id", "uid", F.col("best.gram").alias("gram"), F.negative("best.at").alias("line")).distinct()
 
 
-def later_grams(lines: DataFrame, gram_words: int) -> DataFrame:
-    """uid, first_line, last_line, and the first place, of each gram of a document that stands earlier.
+def later_grams(lines: DataFrame, gram_words: int) -> tuple[DataFrame, DataFrame]:
+    """The table of all grams, and uid, first_line, last_line, and the first place, of each gram of a document that stands earlier.
 
     Grams are the fewest lines from a line on, or up to a line, that hold ``gram_words`` words, with
     the wordless lines between.
@@ -98,7 +98,7 @@ def later_grams(lines: DataFrame, gram_words: int) -> DataFrame:
     first = grams.groupBy("gram").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "uid", "first_line")).alias("first")).where("copies > 1")
     first = first.select("gram", F.col("first.doc_id").alias("of_id"), F.col("first.uid").alias("of_uid"), F.col("first.first_line").alias("of_line"))
     met = grams.join(first, "gram").where((F.col("uid") != F.col("of_uid")) | (F.col("first_line") != F.col("of_line")))
-    return met.select("uid", "first_line", "last_line", "of_id", "of_line", "n_words")
+    return grams, met.select("uid", "first_line", "last_line", "of_id", "of_line", "n_words")
 
 
 def repeated_runs(docs: DataFrame, gram_words: int = 25, window_words: int = 25, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -135,7 +135,10 @@ def repeated_runs(docs: DataFrame, gram_words: int = 25, window_words: int = 25,
         (F.col("run.first_line") - F.col("offset")).alias("of_line"), "n_words",
     )
     sharing = diagonals.select("uid").union(diagonals.select(F.col("of_uid").alias("uid"))).distinct()
-    return runs.unionByName(later_grams(lines.join(sharing, "uid", "left_semi"), gram_words))
+    grams, later = later_grams(lines.join(sharing, "uid", "left_semi"), gram_words)
+    found = written(runs.unionByName(later), "dedup-found")
+    removed(lines, prints, diagonals, grams)
+    return found
 
 
 def merged(runs: DataFrame) -> DataFrame:
@@ -154,7 +157,7 @@ def dedup_lines(docs: DataFrame, gram_words: int = 25, window_words: int = 25, i
     gone = written(runs.groupBy("uid").agg(F.array_sort(spans).alias("runs")), "dedup-runs")
     keyed = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     # Runs grow with the documents, so both sides are always dealt by document.
-    keyed = keyed.withColumn("uid", F.xxhash64("doc_id", "text", F.lit(3))).join(gone.hint("merge"), "uid", "left")
+    keyed = keyed.withColumn("uid", row_key("doc_id", "text")).join(gone.hint("merge"), "uid", "left")
     return keyed.select("doc_id", *cut(F.col("text"), F.col("runs")))
 
 
