@@ -90,7 +90,8 @@ def emissions(words: list[str], weights: np.ndarray) -> np.ndarray:
 def chains(text: str) -> list[list[str]]:
     found = []
     for line in LINE_BREAKS.split(text.lower()):
-        words = WORD.findall(line)
+        # Numerals such as fractions count as word characters; a word needs a letter.
+        words = [w for w in WORD.findall(line) if w.isalpha() or any(map(str.isalpha, w))]
         found.extend(words[i : i + CHAIN] for i in range(0, len(words), CHAIN))
     return found
 
@@ -255,13 +256,17 @@ class Labeller:
 def train(docs: DataFrame, usable: Callable[[Column], Column], n_per_lang: int = 250, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Field:
     """A field of the ``n_per_lang`` documents of each language with the smallest hashes.
 
-    Ids and languages alone are ranked; texts are read for the chosen rows.
+    Ids and languages alone are ranked; texts are read for the chosen rows. Where ids repeat, as many
+    rows of one are taken as were chosen, so the sample is bounded whatever the ids are.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & usable(F.col("id")))
     first = Window.partitionBy("lang").orderBy(F.xxhash64("id", F.lit(31)), "id")
     chosen = rows.select("id", "lang").withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= n_per_lang)
-    sample = rows.join(F.broadcast(chosen.select("id", "lang").distinct()), ["id", "lang"]).collect()
+    chosen = chosen.groupBy("id", "lang").agg(F.count("*").alias("wanted"))
+    among = F.row_number().over(Window.partitionBy("id", "lang").orderBy(F.xxhash64("text"), "text"))
+    sample = rows.join(F.broadcast(chosen), ["id", "lang"]).withColumn("among", among).where(F.col("among") <= n_per_lang)
+    sample = sample.where("among <= wanted").select("id", "lang", "text").collect()
     sample.sort(key=lambda r: (r["lang"], r["id"], r["text"]))
     return fit([r["text"] for r in sample], [r["lang"] for r in sample])
 
