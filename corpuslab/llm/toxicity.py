@@ -1,9 +1,10 @@
 """Toxicity by a linear classifier over character n-grams scaled by naive Bayes ratios.
 
 A document's features are the distinct character n-grams of its words (with word boundaries, and
-whole words), hashed. A feature's value is its log-count ratio: the log of the number of toxic
-documents that have it over the number to expect at the toxic share, with ``prior`` pseudo-counts
-on both sides, so that rare features stay near 0; ratios below ``least_ratio`` are set to 0. A
+whole words), hashed. A feature's value is its naive Bayes log-count ratio: the log of the share of
+toxic documents that have it over the share of the others that do, with ``prior`` documents that
+have it added to both classes in proportion to their sizes, so that rare features stay near 0.
+Features with a ratio below ``least_ratio`` tell the classes apart too little and are left out. A
 logistic regression is trained on those values by AdaGrad.
 
 The classifier is fitted on a bounded sample: the ``n_train`` labelled documents with the
@@ -27,6 +28,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import arrow_udf, short_batches
 
@@ -92,7 +94,9 @@ def fit(texts: list[str | None], labels: list[int], prior: float = 10.0, least_r
         ids = features(text)
         with_it[ids] += 1.0
         toxic_with_it[ids] += label
-    ratio = np.log((toxic_with_it + prior) / (with_it * (n_toxic / n) + prior))
+    toxic_share = (toxic_with_it + prior * n_toxic / n) / n_toxic
+    other_share = (with_it - toxic_with_it + prior * (n - n_toxic) / n) / (n - n_toxic)
+    ratio = np.log(toxic_share / other_share)
     ratio[np.abs(ratio) < least_ratio] = 0.0
     # A second reading keeps the few features that count, so that memory follows those.
     found = [ids[ratio[ids] != 0.0].astype(np.int32) for ids in (features(t) for t in texts)]
@@ -114,14 +118,19 @@ def fit(texts: list[str | None], labels: list[int], prior: float = 10.0, least_r
 
 
 def train(docs: DataFrame, labels: DataFrame, usable: Callable[[Column], Column], n_train: int = 8_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """A model of the ``n_train`` labelled rows with the smallest hashes among those ``usable`` by id."""
+    """A model of the ``n_train`` labelled rows with the smallest hashes among those ``usable`` by id.
+
+    Where an id has several documents, the one whose text has the smallest hash stands for it.
+    """
     marks = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
     marks = marks.where(F.col("label").isin(0, 1) & usable(F.col("id")))
     chosen = marks.orderBy(F.xxhash64("id", F.lit(29)), "id", "label").limit(n_train)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     # The chosen ids are n_train rows at most, whatever the input.
-    sample = rows.join(F.broadcast(chosen), "id").collect()
-    sample.sort(key=lambda r: (r["id"], r["label"], r["text"] or ""))
+    chosen = chosen.groupBy("id", "label").agg(F.count("*").cast("int").alias("times"))
+    nth = F.row_number().over(Window.partitionBy("id", "label").orderBy(F.xxhash64("text"), "text"))
+    sample = rows.join(F.broadcast(chosen), "id").withColumn("nth", nth).where("nth = 1").select("id", "label", "text", "times").collect()
+    sample = [r for r in sorted(sample, key=lambda r: (r["id"], r["label"])) for _ in range(r["times"])]
     return fit([r["text"] for r in sample], [r["label"] for r in sample])
 
 
