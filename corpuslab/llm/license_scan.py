@@ -4,7 +4,8 @@ All rolling word k-gram hashes of the documents are joined with the positions of
 in the templates. A hit votes for the diagonal ``document position - template position``; a copy
 of a template, however its surroundings move it, puts its votes on one diagonal, and a copy with
 words added or lost puts them on neighbouring ones. Diagonals with enough votes are merged with
-their neighbours and verified: the span's share of the template's grams must reach a threshold.
+their neighbours and verified: grams count only where their words are the template's, and the
+span's share of the template's grams must reach a threshold.
 Phrases (templates of a few words) must match whole, on a single diagonal.
 
 The templates are constants of this module, so the table the hits are joined with is bounded by
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import written
+from .common import ascii_lower, row_key, written
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 K = 2
@@ -67,8 +68,8 @@ TEMPLATES = PHRASES + NOTICES
 
 
 def doc_words(text: Column) -> Column:
-    """Words of a text after lower-casing; null gives an empty array."""
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
+    """Words of a text after lower-casing A-Z; null gives an empty array."""
+    return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
 
 
 def rolling_grams(words: Column, k: int = K) -> Column:
@@ -77,12 +78,17 @@ def rolling_grams(words: Column, k: int = K) -> Column:
     return F.slice(grams, 1, F.greatest(F.size(words) - (k - 1), F.lit(0)))
 
 
+def spelled(grams: Column, words: Column, k: int = K) -> Column:
+    """The same array with the words of each gram."""
+    return F.transform(grams, lambda g: F.struct(g["gram"].alias("gram"), g["at"].alias("at"), F.array_join(F.slice(words, g["at"] + 1, k), " ").alias("said")))
+
+
 def template_grams(spark: SparkSession, templates=TEMPLATES, k: int = K) -> DataFrame:
-    """(t, gram, tpos) of every template gram; as many rows as the constants have words."""
+    """(t, gram, tpos, said) of every template gram; as many rows as the constants have words."""
     rows = ", ".join(f"({t}, '{x.text}')" for t, x in enumerate(templates))
-    table = spark.sql(f"SELECT * FROM VALUES {rows} AS v(t, text)")
-    grams = table.select("t", F.explode(rolling_grams(F.split("text", " "), k)).alias("g"))
-    return grams.select("t", F.col("g.gram").alias("gram"), F.col("g.at").alias("tpos"))
+    table = spark.sql(f"SELECT t, split(text, ' ') AS words FROM VALUES {rows} AS v(t, text)")
+    grams = table.select("t", F.explode(spelled(rolling_grams(F.col("words"), k), F.col("words"), k)).alias("g"))
+    return grams.select("t", F.col("g.gram").alias("gram"), F.col("g.at").alias("tpos"), F.col("g.said").alias("said"))
 
 
 def scan(
@@ -104,15 +110,16 @@ def scan(
     known = [r[0] for r in table.select("gram").distinct().collect()]
     words = docs.select(
         F.col(id_col).alias("doc_id"),
-        F.xxhash64(F.col(id_col), F.col(text_col)).alias("uid"),
+        row_key(id_col, text_col).alias("uid"),
         doc_words(F.col(text_col)).alias("words"),
     )
     hits = F.filter(rolling_grams(F.col("words")), lambda g: g["gram"].isin(known))
-    scanned = words.select("doc_id", "uid", F.size("words").cast("long").alias("n_words"), hits.alias("hits"))
+    scanned = words.select("doc_id", "uid", F.size("words").cast("long").alias("n_words"), spelled(hits, F.col("words")).alias("hits"))
     scanned = written(scanned, "license-hits")
 
-    votes = scanned.select("uid", F.explode("hits").alias("h")).select("uid", F.col("h.gram").alias("gram"), F.col("h.at").alias("at"))
-    votes = votes.join(F.broadcast(table), "gram").withColumn("diagonal", F.col("at") - F.col("tpos"))
+    votes = scanned.select("uid", F.explode("hits").alias("h")).select("uid", F.col("h.gram").alias("gram"), F.col("h.at").alias("at"), F.col("h.said").alias("said"))
+    # Hashes bring grams together, their words decide.
+    votes = votes.join(F.broadcast(table), ["gram", "said"]).withColumn("diagonal", F.col("at") - F.col("tpos"))
     diagonals = votes.groupBy("uid", "t", "diagonal").agg(F.collect_set("tpos").alias("tposs"))
 
     facts = [(x.label, x.phrase, len(x.text.split()) - K + 1) for x in templates]
