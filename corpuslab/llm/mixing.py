@@ -22,10 +22,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import word_count, written
+from .common import removed, word_count, written
 
 #: Buckets of a source's shuffled order and of the virtual times' histogram.
 N_BUCKETS = 4096
+SEED = 17
 
 
 def source_key(source: Column) -> Column:
@@ -85,7 +86,7 @@ def mix(
     docs: DataFrame,
     weights=cyclic_weights,
     passes: int = 3,
-    seed: int = 17,
+    seed: int = SEED,
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
@@ -109,6 +110,7 @@ def mix(
     timed = timed.withColumn("first_time", middle / F.col("weight"))
     timed = timed.withColumn("lap", F.col("source_size") / F.col("weight"))
     timed = written(timed.drop("before", "upto", "bucket"), "mix-timed")
+    removed(queued)
 
     cut = cut_time(timed, passes)
     laps = (F.lit(cut) - F.col("first_time")) / F.nullif(F.col("lap"), F.lit(0.0))
@@ -152,7 +154,7 @@ def cut_time(timed: DataFrame, passes: int) -> float:
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The documents the mix takes, each as often as it is taken, in the columns of ``docs``."""
-    seed = options.get("seed", 17)
+    seed = options.get("seed", SEED)
     plan = mix(docs, **options)
     plan = plan.where("n_passes > 0").select(F.col("order_key").alias("__key"), F.col("source_key").alias("__source"), F.col("n_passes").alias("__passes"))
     keyed = docs.withColumn("__key", order_key("doc_id", "text", seed)).withColumn("__source", source_key(F.col("source")))

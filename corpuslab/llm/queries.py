@@ -22,9 +22,12 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plan = mixing.mix(table(spark, sf_dir, "documents"))
-    copies = plan.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return copies.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("n_passes")).alias("taken"))
+    docs = table(spark, sf_dir, "documents")
+    plan = mixing.mix(docs)
+    # Each row meets its document's plan, so that no task has to write out all repeats of a row.
+    rows = docs.select(F.col("doc_id").alias("id"), mixing.order_key("doc_id", "text", mixing.SEED).alias("key"), mixing.source_key(F.col("source")).alias("of"), mixing.word_count(F.col("text")).alias("words"))
+    met = (F.col("key") == F.col("order_key")) & (F.col("of") == F.col("source_key")) & F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("words") == F.col("size"))
+    return rows.join(plan, met).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("n_passes")).alias("taken"))
 
 
 def op3_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
