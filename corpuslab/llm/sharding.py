@@ -5,13 +5,15 @@ shards); bytes and rows are summed per slot; a small versioned map says which sh
 slot. The records never move between slots, so rebalancing edits the map alone.
 
 Defined cases: a null text counts as empty (size 1, crc32 0); a null id hashes like any value;
-repeated rows fall into the same slot and get places of their own; an empty table gives no rows
-and a map with all slots dealt round robin. Only the named columns are read.
+repeated rows fall into the same slot and get places of their own, while equal texts under other
+ids go to other slots; a record larger than a shard's share makes that shard larger by it; an empty
+table gives no rows and a map with all slots dealt round robin. Only the named columns are read.
 """
 
 from __future__ import annotations
 
 import heapq
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import literal_array
+from .common import literal_array, shared_dir
 
 #: Slots never change once a data set is laid out; 4096 slots hold 25 GB each at 100 TB.
 N_SLOTS = 4096
@@ -167,8 +169,26 @@ def place(records: DataFrame, slot_map: SlotMap, n_rows: dict[int, int]) -> Data
     )
 
 
-def shard_documents(docs: DataFrame, n_shards: int, n_slots: int = N_SLOTS) -> DataFrame:
-    """Every document with its shard, by the law ``bytes`` (near-equal sizes)."""
+def shard_documents(docs: DataFrame, n_shards: int, n_slots: int = N_SLOTS, map_path: str | None = None) -> DataFrame:
+    """Every document with its shard, by the law ``bytes`` (near-equal sizes).
+
+    The map is a table: where ``map_path`` has none, version 1 is planned and stored there; where it
+    has one for another number of shards, the next version is its rebalanced edit; else its last
+    version holds. Shards are read from the stored version. Without a path a new one is taken in
+    the shared folder.
+    """
+    spark = docs.sparkSession
+    path = map_path or f"{shared_dir(spark)}/slot-map-{uuid.uuid4().hex}"
     records = records_of(docs, n_slots=n_slots)
     sizes, n_rows = collect_sizes(records, n_slots)
-    return place(records, plan(sizes, n_shards, n_slots), n_rows)
+    stored = SlotMap.load(spark, path) if map_path and _is_stored(spark, path) else None
+    if stored is None:
+        plan(sizes, n_shards, n_slots).save(spark, path)
+    elif stored.n_shards != n_shards:
+        rebalance(stored, sizes, n_shards).save(spark, path)
+    return place(records, SlotMap.load(spark, path), n_rows)
+
+
+def _is_stored(spark: SparkSession, path: str) -> bool:
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(found)
