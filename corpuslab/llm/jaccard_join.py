@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import arrow_udf, released, removed, row_key, small_batches, written
+from .common import arrow_udf, released, removed, row_key, small_batches, small_or_not, written
 from .components import connected_components
 
 #: Segments beyond the fewest that guarantee an agreement: so many may be empty on both sides. Sets
@@ -56,6 +56,8 @@ DIFFERENCES_PER_SPARE = 8
 BAND_RATIO = 1.25
 #: The keys are joined in so many parts, one after another, which bounds the disk that shuffles take.
 KEY_PARTS = 6
+#: And so are the pairs whose whole sets meet, and the differences to pivots.
+PAIR_PARTS = 4
 #: Distinct words whose hashes a worker keeps.
 WORDS_KEPT = 1 << 17
 #: Rows with sets of shingles that a worker gets at a time.
@@ -262,7 +264,7 @@ def class_links(docs: DataFrame, members: DataFrame, facts: DataFrame, k: int, n
     removed(members)
     regions = of_block.select("x", "p").distinct()
 
-    involved = of_block.select("x").union(of_block.select("p")).distinct()
+    involved = of_block.select("x", F.lit(False).alias("pivot")).union(of_block.select("p", F.lit(True))).groupBy("x").agg(F.max("pivot").alias("pivot"))
     wanted = written(involved, "join-involved").join(facts.select(F.col("c").alias("x"), "class", "n", "row"), "x")
     texts = docs.select(row_key(id_col, text_col).alias("row"), F.col(text_col).alias("text"))
     # Written before repeated rows are dropped, so that they meet no more than once in a task.
@@ -273,18 +275,12 @@ def class_links(docs: DataFrame, members: DataFrame, facts: DataFrame, k: int, n
     removed(texts)
     released(spark)
 
-    xs = sets.select("x", F.col("n").alias("nx"), F.col("set").alias("xset"))
-    ps = sets.select(F.col("x").alias("p"), F.col("n").alias("np"), F.col("set").alias("pset"))
-    placed = regions.join(xs, "x").join(ps, "p")
-    placed = placed.withColumn("d", _differ(num, den)("xset", "pset")).select("x", "p", "nx", "np", "d.*")
-    near = F.expr(f"{den} * (nx - n_own) >= {num} * (np + n_own)")
-    with small_batches(spark, BATCH):
-        placed = written(placed.withColumn("near", near), "join-placed")
-    released(spark)
-
+    regions = written(regions, "join-pairs")
+    parts = [_placed(regions, sets, num, den, part) for part in range(PAIR_PARTS)]
+    placed = reduce(DataFrame.union, parts)
     links = written(placed.where("near").select("x", F.col("p").alias("y")), "join-links")
-    pairs = written(region_pairs(of_block, placed, _roots(links), num, den), "join-candidates")
-    removed(of_block, placed)
+    pairs = region_pairs(of_block, placed, _roots(links), num, den)
+    removed(of_block, regions, *parts)
     released(spark)
     # The partner in each component that shares most subregions first, the others if that is no link.
     best = pairs.groupBy("x", "root_y").agg(F.max(F.struct("shared", F.negative("y").alias("y"))).alias("best"))
@@ -293,16 +289,45 @@ def class_links(docs: DataFrame, members: DataFrame, facts: DataFrame, k: int, n
     return links.union(_verified(rest, sets, num, den))
 
 
+def _placed(regions: DataFrame, sets: DataFrame, num: int, den: int, part: int) -> DataFrame:
+    """Distances and differences of one part of the members to their pivots, and whether they are links."""
+    spark = regions.sparkSession
+    mine = F.pmod(F.xxhash64("x"), F.lit(PAIR_PARTS)) == part
+    xs = sets.where(mine).select("x", F.col("n").alias("nx"), F.col("set").alias("xset"))
+    ps = sets.where("pivot").select(F.col("x").alias("p"), F.col("n").alias("np"), F.col("set").alias("pset"))
+    met = regions.where(mine).join(xs, "x").join(ps, "p")
+    met = met.withColumn("d", _differ(num, den)("xset", "pset")).select("x", "p", "nx", "np", "d.*")
+    near = F.expr(f"{den} * (nx - n_own) >= {num} * (np + n_own)")
+    with small_batches(spark, BATCH):
+        found = written(met.withColumn("near", near), "join-placed")
+    released(spark)
+    return found
+
+
 def region_pairs(of_block: DataFrame, placed: DataFrame, roots: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (x, y) of different components that the differences to their pivots leave possible: x, y, root_y, shared."""
     root = F.coalesce("root", "x").alias("root")
     of_block = of_block.join(roots.withColumnRenamed("node", "x"), "x", "left").select("key", "x", "p", root)
     mixed = of_block.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
     mixed = of_block.join(mixed, "key").select("x", "p", "root").distinct()
-    diffs = placed.join(mixed, ["x", "p"]).select("p", "x", "nx", "n_own", "n_lost", "near", "root", F.posexplode("first").alias("at", "e"))
-    diffs = written(diffs, "join-differences")
+    lists = written(placed.join(mixed, ["x", "p"]), "join-lists")
+    parts = []
+    for part in range(PAIR_PARTS):
+        parts.append(written(_meeting(lists, num, den, part), "join-meetings"))
+        released(placed.sparkSession)
+    found = reduce(DataFrame.union, parts).groupBy("x", "y", "root_y").agg(F.sum("shared").alias("shared"))
+    found = written(found, "join-candidates")
+    removed(lists, *parts)
+    return found
+
+
+def _meeting(lists: DataFrame, num: int, den: int, part: int) -> DataFrame:
+    """x, y, root_y and how many differences to a pivot they share, of one part of the differences."""
+    diffs = lists.select("p", "x", "nx", "n_own", "n_lost", "near", "root", F.posexplode("first").alias("at", "e"))
+    diffs = diffs.where(F.pmod(F.xxhash64("e"), F.lit(PAIR_PARTS)) == part)
     shared = diffs.groupBy("p", "e").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.bool_and("near").alias("all_near"))
-    diffs = diffs.join(shared.where("lo <> hi AND NOT all_near").select("p", "e"), ["p", "e"])
+    shared = written(shared.where("lo <> hi AND NOT all_near").select("p", "e"), "join-subregions")
+    diffs = diffs.join(shared, ["p", "e"])
     a, b = diffs.where("NOT near").alias("a"), diffs.alias("b")
     same = (F.col("a.p") == F.col("b.p")) & (F.col("a.e") == F.col("b.e")) & (F.col("a.root") != F.col("b.root"))
     once = F.col("b.near") | (F.col("a.x") < F.col("b.x"))
@@ -333,19 +358,23 @@ def _between(pairs: DataFrame, roots: DataFrame) -> DataFrame:
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs that are links, by their whole sets."""
     spark = pairs.sparkSession
-    xs = sets.select("x", F.col("n").alias("nx"), F.col("set").alias("xset"))
-    ys = sets.select(F.col("x").alias("y"), F.col("n").alias("ny"), F.col("set").alias("yset"))
-    met = written(pairs, "join-pairs").join(xs, "x").join(ys, "y").withColumn("i", _meeter()("xset", "yset"))
-    with small_batches(spark, BATCH):
-        links = written(met.where(f"{den} * i >= {num} * (nx + ny - i)").select("x", "y"), "join-links")
-    released(spark)
-    return links
+    pairs, links = written(pairs, "join-pairs"), []
+    for part in range(PAIR_PARTS):
+        mine = pairs.where(F.pmod(F.xxhash64("x"), F.lit(PAIR_PARTS)) == part)
+        wanted_x, wanted_y = (small_or_not(mine.select(F.col(c).alias("x")).distinct()) for c in ("x", "y"))
+        xs = sets.join(wanted_x, "x", "left_semi").select("x", F.col("n").alias("nx"), F.col("set").alias("xset"))
+        ys = sets.join(wanted_y, "x", "left_semi").select(F.col("x").alias("y"), F.col("n").alias("ny"), F.col("set").alias("yset"))
+        met = mine.join(xs, "x").join(ys, "y").withColumn("i", _meeter()("xset", "yset"))
+        with small_batches(spark, BATCH):
+            links.append(written(met.where(f"{den} * i >= {num} * (nx + ny - i)").select("x", "y"), "join-links"))
+        released(spark)
+    return reduce(DataFrame.union, links)
 
 
 def _sets_of(wanted: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     """Whole shingle sets of classes, made again from the row of each that was chosen; ``texts`` has each row once."""
-    found = wanted.join(texts, "row").select("x", "n", "class", _set_maker(k)("text").alias("made"))
-    return found.where("made.class = class").select("x", "n", "made.set")
+    found = wanted.join(texts, "row").select("x", "n", "pivot", "class", _set_maker(k)("text").alias("made"))
+    return found.where("made.class = class").select("x", "n", "pivot", "made.set")
 
 
 def keep_one(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
