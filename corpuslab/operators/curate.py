@@ -40,6 +40,39 @@ def validate(pairs: DataFrame, min_question: int = 5, min_answer: int = 1) -> Da
     return issues.select("pair_id", "i.severity", "i.field", "i.message")
 
 
+def distributions(pairs: DataFrame, fields: dict[str, str]) -> DataFrame:
+    """(field, value, n): how often each value of some columns stands, with a default for null."""
+    named = pairs.select(*[F.coalesce(F.col(c).cast("string"), F.lit(default)).alias(c) for c, default in fields.items()])
+    long = named.unpivot([], list(fields), "field", "value")
+    return long.groupBy("field", "value").agg(F.count("*").alias("n"))
+
+
+def duplicate_share(pairs: DataFrame, most: float = 0.1) -> DataFrame:
+    """n, n_duplicates (questions after the first, in any case), their share, and whether that is an error."""
+    q = F.lower(F.trim(F.coalesce("question", F.lit(""))))
+    counted = pairs.groupBy(q.alias("q")).agg(F.count("*").alias("n"))
+    found = counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("n_duplicates"))
+    share = F.coalesce(F.try_divide(F.col("n_duplicates").cast("double"), F.col("n")), F.lit(0.0))
+    return found.select("n", "n_duplicates", F.round(share, 6).alias("share"), (share > most).alias("too_many"))
+
+
+def with_lineage(pairs: DataFrame, created_from: str = "generation", model: str | None = None, chunk_id: str | None = None, chunk_text: str | None = None) -> DataFrame:
+    """Adds ``lineage``: the source chunk's id and a short hash of its text, the model and how the pair was made."""
+    content = F.substring(F.sha2(F.col(chunk_text), 256), 1, 16) if chunk_text else F.lit(None).cast("string")
+    source = F.col(chunk_id).cast("string") if chunk_id else F.lit(None).cast("string")
+    return pairs.withColumn("lineage", F.struct(source.alias("source_chunk_id"), F.lit(model).cast("string").alias("generation_model"), content.alias("chunk_content_hash"), F.lit(created_from).alias("created_from")))
+
+
+def with_missing_hashes(pairs: DataFrame) -> DataFrame:
+    """Fills in content hashes that older pairs lack; those there are stay."""
+    return pairs.withColumn("content_hash", F.coalesce("content_hash", text.content_hash(F.coalesce("question", F.lit("")), F.coalesce("answer", F.lit("")))))
+
+
+def migration_status(pairs: DataFrame) -> DataFrame:
+    """How many pairs have a content hash, and how many do not yet."""
+    return pairs.agg(F.count("content_hash").alias("migrated"), F.count_if(F.col("content_hash").isNull()).alias("pending"))
+
+
 def duplicates(pairs: DataFrame, key: Column) -> DataFrame:
     """All pairs with the id of the first pair of the same key (null for the first itself)."""
     first = F.min("pair_id").over(Window.partitionBy(key))
@@ -97,6 +130,35 @@ def contaminated_ngrams(items: DataFrame, corpus: DataFrame, threshold: float =
     return hits.groupBy("item_id").agg(F.min("doc_id").alias("doc_id"), F.round(F.min_by("overlap", "doc_id"), 6).alias("overlap"))
 
 
+def contamination(items: DataFrame, training: DataFrame, share: float = 0.3, cosine: float | None = None, embedder=None) -> DataFrame:
+    """One row for each contaminated item (pair_id, question, answer): match_type, source and score.
+
+    Three checks, each only on what the one before left: the hashed question, answer or both in the
+    training texts (doc_id, text); character 5-grams of the question, first document by id; and, where
+    a ``cosine`` is given, the nearest training text by embedding. Empty texts match nothing.
+    """
+    hashes = training.where(text.hash_normal(F.col("text")) != "").select(F.sha2(text.hash_normal(F.col("text")), 256).alias("hash")).distinct()
+    parts = F.array(F.col("question"), F.col("answer"), F.concat_ws(" ", F.coalesce("question", F.lit("")), F.coalesce("answer", F.lit(""))))
+    asked = items.select("pair_id", F.explode(parts).alias("part")).where(text.hash_normal(F.col("part")) != "")
+    exact = asked.select("pair_id", F.sha2(text.hash_normal(F.col("part")), 256).alias("hash")).join(hashes, "hash", "left_semi").select("pair_id").distinct()
+    found = exact.select("pair_id", F.lit("exact").alias("match_type"), F.lit(None).cast("long").alias("source"), F.lit(1.0).alias("score"))
+    rest = items.join(exact, "pair_id", "left_anti")
+    grams = contaminated_ngrams(rest.select(F.col("pair_id").alias("item_id"), F.col("question").alias("text")), training, share)
+    grams = grams.select(F.col("item_id").alias("pair_id"), F.lit("ngram").alias("match_type"), F.col("doc_id").alias("source"), F.col("overlap").alias("score"))
+    found = found.unionByName(grams)
+    if cosine is not None:
+        from .retrieval import embed, vector_topk
+
+        rest = rest.join(grams, "pair_id", "left_anti").where(text.hash_normal(F.col("question")) != "")
+        both = rest.select(F.col("pair_id").alias("of"), F.col("question").alias("text"), F.lit(True).alias("asked")).unionByName(training.select(F.col("doc_id").alias("of"), "text", F.lit(False).alias("asked")))
+        # Items and training texts in one numbering: items are the odd numbers.
+        rows = embed(both, "text", embedder=embedder).select((F.col("of") * 2 + F.col("asked").cast("long")).alias("vec_id"), "embedding")
+        near = vector_topk(rows, F.col("vec_id") % 2 != 0, 1, among=F.col("vec_id") % 2 == 0).where(F.col("score") >= cosine)
+        near = near.select(F.floor(F.col("query_id") / 2).cast("long").alias("pair_id"), F.lit("semantic").alias("match_type"), F.floor(F.col("vec_id") / 2).cast("long").alias("source"), "score")
+        found = found.unionByName(near)
+    return found
+
+
 #: Rows of a block of vectors on average.
 BLOCK_ROWS = 2048
 

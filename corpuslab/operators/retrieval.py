@@ -65,19 +65,20 @@ def blocks_for(rows: int, size: int) -> int:
     return max(1, -(-rows // size))
 
 
-def vector_topk(rows: DataFrame, is_query: Column, k: int, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def vector_topk(rows: DataFrame, is_query: Column, k: int, id_col: str = "vec_id", vec_col: str = "embedding", among: Column | None = None) -> DataFrame:
     """query_id, vec_id, score and rank of each query's ``k`` nearest other rows: an exact scan in blocks.
 
     Every block of rows meets every block of queries once, as a matrix product; each keeps the
     ``k`` rows of a query that come first at the precision and in the order of the result. The
-    numbers of blocks follow from the numbers of rows and queries.
+    numbers of blocks follow from the numbers of rows and queries. ``among`` tells which rows can
+    be found, all by default.
     """
-    base = rows.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v"), is_query.alias("asked")).where("id IS NOT NULL")
+    base = rows.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v"), is_query.alias("asked"), (F.lit(True) if among is None else among).alias("held")).where("id IS NOT NULL")
     n, asked = base.agg(F.count("*"), F.count(F.when(F.col("asked"), 1))).first()
     n_blocks, n_groups = blocks_for(n, BLOCK_ROWS), blocks_for(asked, BLOCK_QUERIES)
     dealt = F.xxhash64("id", "v")
     queries = base.where("asked").select(F.col("id").alias("q"), F.col("v").alias("qv"), F.pmod(dealt, F.lit(n_groups)).cast("int").alias("g"), F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("b"))
-    blocks = base.select("id", "v", F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1))).alias("g"), F.pmod(dealt, F.lit(n_blocks)).cast("int").alias("b"))
+    blocks = base.where("held").select("id", "v", F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1))).alias("g"), F.pmod(dealt, F.lit(n_blocks)).cast("int").alias("b"))
 
     def scan(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         if not len(asked) or not len(held):
@@ -162,6 +163,22 @@ def contexts(retrieved: DataFrame) -> DataFrame:
     return joined.select("item_id", F.when(value == "", "No relevant context found.").otherwise(value).alias("context"))
 
 
+def scored_contexts(retrieved: DataFrame) -> DataFrame:
+    """As ``contexts``, each text under its rank and score."""
+    head = F.concat(F.lit("["), F.col("rank").cast("string"), F.format_string("] (score: %.3f)\n", "score"))
+    return contexts(retrieved.withColumn("content", F.concat(head, "content")))
+
+
+def prompt(context: Column, question: Column) -> Column:
+    return F.concat(F.lit("Context:\n"), context, F.lit("\n\nQuestion: "), question, F.lit("\nAnswer:"))
+
+
+def processing_hash(raw_id: Column, embedder: Column, chunking: Column) -> Column:
+    """Eight digits that name how a data set was processed."""
+    parts = F.concat(F.lit("raw:"), raw_id.cast("string"), F.lit("|emb:"), F.coalesce(embedder, F.lit("deferred")), F.lit("|chunk:"), chunking)
+    return F.substring(F.sha2(parts, 256), 1, 8)
+
+
 def config_hash(config: dict, length: int = 16) -> str:
     """A stable name for a configuration, under which derived tables are kept."""
     return hashlib.sha256(json.dumps(config, sort_keys=True).encode()).hexdigest()[:length]

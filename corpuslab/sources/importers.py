@@ -23,8 +23,12 @@ def _blank(c: Column) -> Column:
 
 
 def squad(spark: SparkSession, path: str, with_impossible: bool = False) -> DataFrame:
-    """Questions with an answer; alternatives are the other distinct non-blank answers."""
-    raw = spark.read.schema(SQUAD).json(path, multiLine=True)
+    return squad_pairs(spark.read.text(path, wholetext=True), with_impossible)
+
+
+def squad_pairs(values: DataFrame, with_impossible: bool = True) -> DataFrame:
+    """Questions with an answer; alternatives are the other distinct non-blank answers. ``values`` has whole files."""
+    raw = values.select(F.from_json("value", SQUAD).alias("x")).select("x.*")
     qas = raw.select(F.explode("data").alias("d")).select(F.explode("d.paragraphs").alias("p")).select("p.context", F.explode("p.qas").alias("q"))
     texts = F.filter(F.col("q.answers.text"), lambda t: ~_blank(t))
     impossible = F.coalesce("q.is_impossible", F.lit(False))
@@ -39,8 +43,17 @@ def squad(spark: SparkSession, path: str, with_impossible: bool = False) -> Data
 
 
 def natural_questions(spark: SparkSession, path: str) -> DataFrame:
-    """JSON lines: yes/no answers, short answers by text or token slice, or flat question and answer."""
-    raw = spark.read.schema(NQ).json(path)
+    """JSON lines where a file has more than one and begins with an object, else one JSON value (a list or an object)."""
+    files = spark.read.text(path, wholetext=True)
+    lines = F.filter(F.split("value", "\n"), lambda x: F.trim(x) != "")
+    by_line = (F.size(lines) > 1) & F.startswith(F.ltrim(F.get(lines, F.lit(0))), F.lit("{")) & F.endswith(F.rtrim(F.get(lines, F.lit(0))), F.lit("}"))
+    whole = F.when(F.startswith(F.ltrim("value"), F.lit("[")), F.from_json("value", "array<string>")).otherwise(F.array("value"))
+    return natural_question_pairs(files.select(F.explode(F.when(by_line, lines).otherwise(whole)).alias("value")))
+
+
+def natural_question_pairs(values: DataFrame) -> DataFrame:
+    """Yes/no answers, short answers by text or token slice, or flat question and answer. Broken records give nothing."""
+    raw = values.select(F.from_json("value", NQ).alias("x")).select("x.*")
     note = F.get("annotations", F.lit(0))
     tokens = F.split(F.coalesce("document_text", F.lit("")), r"\s+")
 
@@ -61,12 +74,25 @@ def natural_questions(spark: SparkSession, path: str) -> DataFrame:
 
 def msmarco(spark: SparkSession, path: str) -> DataFrame:
     """JSON lines, or tab-separated query and answer where the file ends in .tsv."""
-    if path.endswith(".tsv"):
-        raw = spark.read.csv(path, sep="\t", schema="query string, answer string")
-        raw = raw.where(~((F.lower("query") == "query") | (F.lower("query") == "question")))
-        raw = raw.select(F.md5("query").alias("query_id"), "query", F.array("answer").alias("answers"), F.lit(None).cast("array<string>").alias("wellFormedAnswers"))
-    else:
-        raw = spark.read.schema(MSMARCO).json(path)
+    if not path.endswith(".tsv"):
+        return msmarco_pairs(spark.read.text(path))
+    # The columns by the names in the first line, by position where it has none.
+    head = (spark.read.text(path).first() or [""])[0].lower().split("\t")
+    asked = next((i for i, name in enumerate(head) if name in ("query", "question")), None)
+    told = next((i for i, name in enumerate(head) if name in ("answer", "answers")), None)
+    named = asked is not None or told is not None
+    raw = spark.read.csv(path, sep="\t", header=named, schema=", ".join(f"c{i} string" for i in range(max(2, len(head)))))
+    q, a = F.col(f"c{asked or 0}"), F.col(f"c{1 if told is None else told}")
+    raw = raw.select(F.md5(q).alias("query_id"), q.alias("query"), F.array(a).alias("answers"), F.lit(None).cast("array<string>").alias("wellFormedAnswers"))
+    return _msmarco(raw)
+
+
+def msmarco_pairs(values: DataFrame) -> DataFrame:
+    """Records of JSON lines; broken ones give nothing."""
+    return _msmarco(values.select(F.from_json("value", MSMARCO).alias("x")).select("x.*"))
+
+
+def _msmarco(raw: DataFrame) -> DataFrame:
 
     def good(answers: Column) -> Column:
         return F.filter(F.coalesce(answers, F.array()), lambda t: ~_blank(t) & (t != NO_ANSWER) & (t != "[]"))
@@ -82,14 +108,14 @@ def msmarco(spark: SparkSession, path: str) -> DataFrame:
 IMPORTERS = {"squad": (squad, (".json",)), "natural_questions": (natural_questions, (".json", ".jsonl")), "msmarco": (msmarco, (".json", ".jsonl", ".tsv"))}
 
 
-def import_pairs(spark: SparkSession, name: str, path: str, answer_type: str | None = None, difficulty: str | None = None, max_pairs: int | None = None) -> DataFrame:
-    """Pairs of a known format with overrides; unknown names and endings raise."""
+def import_pairs(spark: SparkSession, name: str, path: str, answer_type: str | None = None, difficulty: str | None = None, max_pairs: int | None = None, **options) -> DataFrame:
+    """Pairs of a known format with overrides; unknown names and endings raise. ``options`` go to the reader: SQuAD's unanswerable questions come with ``with_impossible=True``."""
     if name not in IMPORTERS:
         raise ValueError(f"unknown importer {name}")
     reader, endings = IMPORTERS[name]
     if not path.endswith(endings):
         raise ValueError(f"{name} reads {', '.join(endings)}")
-    pairs = reader(spark, path)
+    pairs = reader(spark, path, **options)
     if answer_type:
         pairs = pairs.withColumn("answer_type", F.lit(answer_type))
     pairs = pairs.withColumn("difficulty", F.lit(difficulty or "medium"))

@@ -2,14 +2,43 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
+
+
+def upsert_collection(chunks: DataFrame, path: str, collection: str, key: str = "chunk_id") -> None:
+    """Writes chunks that have an embedding into a collection; those of the same key are replaced."""
+    spark = chunks.sparkSession
+    good = chunks.where(F.col("embedding").isNotNull())
+    if not _exists(spark, f"{path}/collection={collection}"):
+        return replace_collection(good, path, collection)
+    old = read_collection(spark, path, collection).drop("collection").join(good.select(key), key, "left_anti")
+    # Written aside first: a partition cannot be read and overwritten at once.
+    staged = f"{shared_dir(spark)}/upsert-{uuid.uuid4().hex}"
+    old.unionByName(good).write.parquet(staged)
+    replace_collection(spark.read.parquet(staged), path, collection)
+
+
+def replace_collection(chunks: DataFrame, path: str, collection: str) -> None:
+    """A collection's partition with these chunks alone; other collections stay."""
+    named = chunks.where(F.col("embedding").isNotNull()).withColumn("collection", F.lit(collection))
+    named.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("collection").parquet(path)
 
-def upsert_collection(chunks: DataFrame, path: str, collection: str) -> None:
-    """Appends chunks that have an embedding to a collection's partition."""
-    good = chunks.where(F.col("embedding").isNotNull()).withColumn("collection", F.lit(collection))
-    good.write.mode("append").partitionBy("collection").parquet(path)
+
+def delete_from_collection(spark: SparkSession, path: str, collection: str, gone: DataFrame, key: str = "chunk_id") -> None:
+    """Drops the chunks whose key is in ``gone``."""
+    staged = f"{shared_dir(spark)}/delete-{uuid.uuid4().hex}"
+    read_collection(spark, path, collection).drop("collection").join(gone.select(key), key, "left_anti").write.parquet(staged)
+    replace_collection(spark.read.parquet(staged), path, collection)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(found)
 
 
 def read_collection(spark: SparkSession, path: str, collection: str) -> DataFrame:
@@ -39,6 +68,46 @@ def write_version(pairs: DataFrame, path: str, version: int, published: bool = F
     return version
 
 
+def list_versions(spark: SparkSession, path: str) -> DataFrame:
+    """version, content_hash and is_published of each version; none where nothing was written."""
+    if not _exists(spark, f"{path}/manifest"):
+        return spark.createDataFrame([], "version int, content_hash string, is_published boolean")
+    rows = spark.read.parquet(f"{path}/manifest")
+    return rows.groupBy("version").agg(F.max("content_hash").alias("content_hash"), F.bool_or("is_published").alias("is_published"))
+
+
+def create_version(pairs: DataFrame, path: str) -> int:
+    """Writes the next version, unless the newest has the same contents; a published set takes no more."""
+    newest = list_versions(pairs.sparkSession, path).agg(F.max("version").alias("version"), F.bool_or("is_published").alias("published")).first()
+    if newest["published"]:
+        raise ValueError("the data set is published; fork it to change it")
+    return write_version(pairs, path, (newest["version"] or 0) + 1)
+
+
+def read_version(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """The pairs of a version, the newest by default."""
+    known = list_versions(spark, path)
+    newest = known.agg(F.max("version")).first()[0]
+    if newest is None or (version is not None and known.where(F.col("version") == version).isEmpty()):
+        raise ValueError(f"version {version} not found" if newest else "no versions exist")
+    return spark.read.parquet(f"{path}/version={version or newest}")
+
+
+def publish(spark: SparkSession, path: str) -> int:
+    """Marks the newest version as published, for good."""
+    newest = list_versions(spark, path).orderBy(F.desc("version")).first()
+    if newest is None:
+        raise ValueError("no versions exist")
+    row = spark.createDataFrame([(newest["version"], newest["content_hash"], True)], "version int, content_hash string, is_published boolean")
+    row.coalesce(1).write.mode("append").parquet(f"{path}/manifest")
+    return newest["version"]
+
+
+def fork(spark: SparkSession, path: str, new_path: str, version: int | None = None) -> int:
+    """A version's pairs as the first version of another data set."""
+    return create_version(read_version(spark, path, version), new_path)
+
+
 def run_csv_rows(results: DataFrame) -> DataFrame:
     """A run's result rows as they are exported: percentages with one place, latency with two."""
 
