@@ -55,9 +55,9 @@ SPARE = 2
 DIFFERENCES_PER_SPARE = 8
 BAND_RATIO = 1.25
 #: The keys are joined in so many parts, one after another, which bounds the disk that shuffles take.
-KEY_PARTS = 6
+KEY_PARTS = 4
 #: And so are the pairs whose whole sets meet, and the differences to pivots.
-PAIR_PARTS = 4
+PAIR_PARTS = 2
 #: Distinct words whose hashes a worker keeps.
 WORDS_KEPT = 1 << 17
 #: Rows with sets of shingles that a worker gets at a time.
@@ -151,7 +151,8 @@ def segment_keys(h: np.ndarray, bands: Bands) -> np.ndarray:
 
 def _sketcher(k: int, num: int, den: int):
     """Size and 128-bit name of a text's set, and the keys of its segments, dealt into ``KEY_PARTS``."""
-    parts = [f"k{i}" for i in range(KEY_PARTS)]
+    n_parts = KEY_PARTS
+    parts = [f"k{i}" for i in range(n_parts)]
 
     def sketch(texts: pd.Series) -> pd.DataFrame:
         bands, rows = Bands(num, den), []
@@ -159,8 +160,8 @@ def _sketcher(k: int, num: int, den: int):
             h = shingles(text, k)
             name = xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None
             keys = segment_keys(h, bands)
-            part = keys.view(np.uint64) % np.uint64(KEY_PARTS)
-            rows.append((len(h), name, *(keys[part == i] for i in range(KEY_PARTS))))
+            part = keys.view(np.uint64) % np.uint64(n_parts)
+            rows.append((len(h), name, *(keys[part == i] for i in range(n_parts))))
         return pd.DataFrame(rows, columns=["n", "class", *parts])
 
     return arrow_udf(sketch, "n long, class binary, " + ", ".join(f"{c} array<long>" for c in parts))
@@ -221,8 +222,8 @@ def _labelled(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_col
     facts = written(facts, "join-facts")
 
     members = blocks(keyed, facts)
-    links = class_links(docs, members, facts, k, num, den, id_col, text_col)
-    labelled = facts.join(_roots(links).withColumnRenamed("node", "c"), "c", "left").select("class", "min_id", F.coalesce("root", "c").alias("root"))
+    roots = class_roots(docs, members, facts, k, num, den, id_col, text_col)
+    labelled = facts.join(roots.withColumnRenamed("node", "c"), "c", "left").select("class", "min_id", F.coalesce("root", "c").alias("root"))
     least = labelled.groupBy("root").agg(F.min("min_id").alias("component_id"))
     components = written(labelled.join(least, "root").select("class", "root", "component_id"), "join-components")
     removed(facts)
@@ -253,8 +254,8 @@ def blocks(keyed: DataFrame, facts: DataFrame) -> DataFrame:
     return named
 
 
-def class_links(docs: DataFrame, members: DataFrame, facts: DataFrame, k: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
-    """Links (x, y) between classes such that components are those of all links. The table ``members`` is deleted."""
+def class_roots(docs: DataFrame, members: DataFrame, facts: DataFrame, k: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
+    """The root of each class that is linked to another (node, root). The table ``members`` is deleted."""
     spark = members.sparkSession
     sizes = members.groupBy("key").agg(F.count("*").alias("size"))
     degree = members.join(sizes, "key").groupBy("c").agg(F.sum("size").alias("degree"))
@@ -279,14 +280,18 @@ def class_links(docs: DataFrame, members: DataFrame, facts: DataFrame, k: int, n
     parts = [_placed(regions, sets, num, den, part) for part in range(PAIR_PARTS)]
     placed = reduce(DataFrame.union, parts)
     links = written(placed.where("near").select("x", F.col("p").alias("y")), "join-links")
-    pairs = region_pairs(of_block, placed, _roots(links), num, den)
+    roots = _roots(links)
+    pairs = region_pairs(of_block, placed, roots, num, den)
     removed(of_block, regions, *parts)
     released(spark)
     # The partner in each component that shares most subregions first, the others if that is no link.
     best = pairs.groupBy("x", "root_y").agg(F.max(F.struct("shared", F.negative("y").alias("y"))).alias("best"))
-    links = links.union(_verified(best.select("x", F.negative("best.y").alias("y")), sets, num, den))
-    rest = _between(pairs.select("x", "y"), _roots(links))
-    return links.union(_verified(rest, sets, num, den))
+    for some in (best.select("x", F.negative("best.y").alias("y")), None):
+        more = _verified(_between(pairs.select("x", "y"), roots) if some is None else some, sets, num, den)
+        if not more.isEmpty():
+            links = links.union(more)
+            roots = _roots(links)
+    return roots
 
 
 def _placed(regions: DataFrame, sets: DataFrame, num: int, den: int, part: int) -> DataFrame:

@@ -147,3 +147,16 @@ def test_stored_map(spark, tmp_path):
 def test_keep_one_of_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long, row string, root long")
     assert jaccard_join.keep_one(docs).columns == docs.columns and jaccard_join.keep_one(docs).count() == 0
+
+
+def test_jaccard_join_in_parts(spark, monkeypatch):
+    """The number of parts changes nothing."""
+    rnd = random.Random(9)
+    base = [f"w{i}" for i in range(60)]
+    texts = [" ".join(x if rnd.random() > 0.03 else f"e{rnd.randrange(9)}" for x in base) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = sorted(map(tuple, jaccard_join.jaccard_components(docs).collect()))
+    monkeypatch.setattr(jaccard_join, "KEY_PARTS", 1)
+    monkeypatch.setattr(jaccard_join, "PAIR_PARTS", 1)
+    assert sorted(map(tuple, jaccard_join.jaccard_components(docs).collect())) == found
+    assert 1 < len({c for *_, c in found}) < 60
