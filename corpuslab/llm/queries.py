@@ -73,6 +73,24 @@ def op10_slot_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), n_shards=16)
 
 
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts of the mix that SQL can work out: sizes and targets."""
+    return op2_mix_sources(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 4).alias("target"))
+
+
+def license_base_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts of the license scan that SQL can work out: the base phrases' places."""
+    return op7_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def shard_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts of the sharding that SQL can work out: sizes, and that shards and places are whole."""
+    rows = op10_slot_sharding(spark, sf_dir)
+    by_shard = rows.groupBy("shard").agg(F.count("*").alias("n"), F.max("slot").alias("top"), F.count_distinct("slot").alias("places"))
+    whole = by_shard.agg(F.bool_and((F.col("top") == F.col("n") - 1) & (F.col("places") == F.col("n"))).alias("gapless"))
+    return rows.select("doc_id", "size", "law").join(F.broadcast(whole))
+
+
 QUERIES = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_mix_sources": op2_mix_sources,
@@ -84,6 +102,23 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_main_text": op9_main_text,
     "op10_slot_sharding": op10_slot_sharding,
+    "mix_targets": mix_targets,
+    "license_base_places": license_base_places,
+    "shard_sizes": shard_sizes,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_AZ = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLE_SQL: dict[str, str] = {
+    "mix_targets": r"""WITH d AS (SELECT doc_id, source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::DOUBLE AS weight FROM d GROUP BY source),
+l AS (SELECT *, 3 * source_size / weight AS bound, (sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM s WINDOW o AS (ORDER BY 3 * source_size / weight, source NULLS FIRST)),
+t AS (SELECT source, source_size, least(3 * source_size::DOUBLE, weight * max(level) FILTER (WHERE level <= bound) OVER ()) AS target FROM l)
+SELECT doc_id, size, source_size, round(target, 4) AS target FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source""",
+    "license_base_places": f"""WITH d AS (SELECT doc_id, regexp_extract_all({_AZ}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+p AS (SELECT doc_id, w, list_filter(range(len(w)), lambda i: w[i + 1] = 'cc' AND w[i + 2] = 'by') AS a, list_filter(range(len(w)), lambda i: w[i + 1] = 'general' AND w[i + 2] = 'public' AND w[i + 3] = 'license') AS b,
+list_filter(range(len(w)), lambda i: w[i + 1] = 'all' AND w[i + 2] = 'rights' AND w[i + 3] = 'reserved') AS c FROM d)
+SELECT doc_id, len(w) AS n_words, len(a) + len(b) + len(c) AS n_base, list_min(list_concat(a, b, c)) AS first_word, list_max(list_concat(a, b, c)) AS last_word,
+array_to_string(list_filter([CASE WHEN len(a) > 0 THEN 'cc-by' END, CASE WHEN len(b) > 0 THEN 'gpl' END, CASE WHEN len(c) > 0 THEN 'reserved' END], lambda x: x IS NOT NULL), ',') AS base_labels FROM p""",
+    "shard_sizes": "SELECT doc_id, strlen(coalesce(text, '')) + 1 AS size, 'bytes' AS law, TRUE AS gapless FROM documents",
+}
