@@ -94,14 +94,13 @@ def rake_keywords(docs: DataFrame, top: int = 15, id_col: str = "doc_id", text_c
     breaks = (F.length("word") < 2) | F.col("word").isin(*STOPWORDS)
     order = Window.partitionBy("doc").orderBy("s", "i")
     islands = words.withColumn("stop", breaks.cast("int")).withColumn("island", F.sum("stop").over(order)).where("stop = 0")
-    phrases = islands.groupBy("doc", "s", "island").agg(
-        F.array_sort(F.collect_list(F.struct("i", "word"))).alias("x"), F.count("*").alias("n")
-    )
-    phrases = phrases.select("doc", "s", "island", F.transform("x", lambda e: e["word"]).alias("words"), "n")
-    each = phrases.select("doc", "s", "island", "n", F.explode("words").alias("word"))
-    scores = each.groupBy("doc", "word").agg((F.sum("n") / F.count("*").cast("double")).alias("word_score"))
-    scored = each.join(scores, ["doc", "word"]).groupBy("doc", "s", "island").agg(F.sum("word_score").alias("score"))
-    joined = phrases.join(scored, ["doc", "s", "island"]).withColumn("phrase", F.array_join("words", " "))
-    unique = joined.groupBy("doc", "phrase").agg(F.round(F.max("score"), 6).alias("score"), F.min(F.struct("s", "island")).alias("first"))
+    # A phrase's length and a word's score are windows inside the document: dealing the words out by
+    # document once serves all steps, and nothing is joined.
+    by_phrase, by_word = Window.partitionBy("doc", "s", "island"), Window.partitionBy("doc", "word")
+    scored = islands.withColumn("n", F.count("*").over(by_phrase))
+    scored = scored.withColumn("word_score", F.sum("n").over(by_word) / F.count("*").over(by_word).cast("double"))
+    said = F.transform(F.array_sort(F.collect_list(F.struct("i", "word"))), lambda e: e["word"])
+    phrases = scored.groupBy("doc", "s", "island").agg(F.sum("word_score").alias("score"), F.array_join(said, " ").alias("phrase"))
+    unique = phrases.groupBy("doc", "phrase").agg(F.round(F.max("score"), 6).alias("score"), F.min(F.struct("s", "island")).alias("first"))
     rank = F.row_number().over(Window.partitionBy("doc").orderBy(F.desc("score"), "first"))
     return unique.withColumn("rank", rank).where(F.col("rank") <= top).select(F.col("doc").alias(id_col), "phrase", "score", "rank")

@@ -13,6 +13,8 @@ from pyspark.sql.window import Window
 
 from ..functions import text
 from ..functions.ranking import global_position
+from .joins import small_side
+from .retrieval import embed, vector_topk
 
 # Question phrases that ask for more than one fact.
 MULTI_HOP = ("and also", "in addition", "as well as", "both", "which of these", "compare", "what are the")
@@ -117,14 +119,16 @@ def contaminated_ngrams(items: DataFrame, corpus: DataFrame, threshold: float =
     An inverted index: grams are joined, and only grams of items reach the join.
     """
     characters = F.filter(F.split(text.hash_normal(F.col("text")), ""), lambda c: c != "")
-    # Sizes are counted from the exploded rows: beside an explode, Spark would work an array's size
-    # out again for each of its elements.
     grams = F.explode(char_grams(F.col("t"), n)).alias("gram")
     a = items.select("item_id", characters.alias("t")).select("item_id", grams)
     b = corpus.select("doc_id", characters.alias("t")).select("doc_id", grams)
     na = a.groupBy("item_id").agg(F.count("*").alias("na"))
+    # While the items are few, the corpus' grams meet them where they are made, and only hits are shuffled.
+    hits = b.join(small_side(a), "gram").groupBy("item_id", "doc_id").agg(F.count("*").alias("hits"))
+    # Sizes are counted from exploded rows: beside an explode, Spark would work an array's size out
+    # again for each of its elements.
     nb = b.groupBy("doc_id").agg(F.count("*").alias("nb"))
-    met = b.join(a, "gram").groupBy("item_id", "doc_id").agg(F.count("*").alias("hits")).join(na, "item_id").join(nb, "doc_id")
+    met = hits.join(na, "item_id").join(nb, "doc_id")
     share = F.col("hits") / F.least("na", "nb").cast("double")
     hits = met.withColumn("overlap", share).where(F.col("overlap") >= threshold)
     return hits.groupBy("item_id").agg(F.min("doc_id").alias("doc_id"), F.round(F.min_by("overlap", "doc_id"), 6).alias("overlap"))
@@ -147,8 +151,6 @@ def contamination(items: DataFrame, training: DataFrame, share: float = 0.3, cos
     grams = grams.select(F.col("item_id").alias("pair_id"), F.lit("ngram").alias("match_type"), F.col("doc_id").alias("source"), F.col("overlap").alias("score"))
     found = found.unionByName(grams)
     if cosine is not None:
-        from .retrieval import embed, vector_topk
-
         rest = rest.join(grams, "pair_id", "left_anti").where(text.hash_normal(F.col("question")) != "")
         both = rest.select(F.col("pair_id").alias("of"), F.col("question").alias("text"), F.lit(True).alias("asked")).unionByName(training.select(F.col("doc_id").alias("of"), "text", F.lit(False).alias("asked")))
         # Items and training texts in one numbering: items are the odd numbers.
