@@ -160,3 +160,17 @@ def test_jaccard_join_in_parts(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "PAIR_PARTS", 1)
     assert sorted(map(tuple, jaccard_join.jaccard_components(docs).collect())) == found
     assert 1 < len({c for *_, c in found}) < 60
+
+
+def test_pipeline_stages_on_odd_tables(spark, sf_dir):
+    """Empty tables pass all stages; where no row has a language, documents with a letter stay."""
+    import corpus_pipeline
+
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([], kind)
+    for name, stage in corpus_pipeline.STAGES:
+        before, docs = docs, stage(spark, docs, sf_dir)
+        assert docs.count() == 0 and (name == "shard" or docs.columns == before.columns)
+    rows = [(1, "some words", None, "a", 1), (2, "12 ½", None, None, 1), (3, None, None, "a", 1), (None, "other", None, None, 1)]
+    kept = corpus_pipeline.identify_language(spark, spark.createDataFrame(rows, kind), sf_dir).collect()
+    assert {r["text"] for r in kept} == {"some words", "other"}
