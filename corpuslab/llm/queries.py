@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, html_main, jaccard_join, language_id, license_scan, line_dedup, mixing, sharding, toxicity
+from . import ann, decontaminate, fill_in_middle, html_main, jaccard_join, language_id, license_scan, line_dedup, mixing, sharding, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,6 +73,10 @@ def op10_slot_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), n_shards=16)
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.digests(fill_in_middle.transform(table(spark, sf_dir, "documents")))
+
+
 def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The parts of the mix that SQL can work out: sizes and targets."""
     return op2_mix_sources(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 4).alias("target"))
@@ -102,6 +106,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_main_text": op9_main_text,
     "op10_slot_sharding": op10_slot_sharding,
+    "op11_fill_in_middle": op11_fill_in_middle,
     "mix_targets": mix_targets,
     "license_base_places": license_base_places,
     "shard_sizes": shard_sizes,
@@ -120,5 +125,12 @@ p AS (SELECT doc_id, w, list_filter(range(len(w)), lambda i: w[i + 1] = 'cc' AND
 list_filter(range(len(w)), lambda i: w[i + 1] = 'all' AND w[i + 2] = 'rights' AND w[i + 3] = 'reserved') AS c FROM d)
 SELECT doc_id, len(w) AS n_words, len(a) + len(b) + len(c) AS n_base, list_min(list_concat(a, b, c)) AS first_word, list_max(list_concat(a, b, c)) AS last_word,
 array_to_string(list_filter([CASE WHEN len(a) > 0 THEN 'cc-by' END, CASE WHEN len(b) > 0 THEN 'gpl' END, CASE WHEN len(c) > 0 THEN 'reserved' END], lambda x: x IS NOT NULL), ',') AS base_labels FROM p""",
+    "op11_fill_in_middle": """WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, ''))::BIGINT AS n, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+h AS (SELECT *, [('0x' || substr(h, 1 + 8 * i, 8))::BIGINT FOR i IN range(4)] AS r FROM d),
+f AS (SELECT *, least(r[1] % (n + 1), r[2] % (n + 1)) AS lo, greatest(r[1] % (n + 1), r[2] % (n + 1)) AS hi,
+CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR r[3] % 100 >= 90 THEN 'plain' WHEN r[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT *, substr(t, 1, lo) AS prefix, substr(t, lo + 1, hi - lo) AS middle, substr(t, hi + 1) AS suffix FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN lo END AS prefix_chars, CASE WHEN form <> 'plain' THEN hi - lo END AS middle_chars,
+sha256(CASE form WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle WHEN 'spm' THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle ELSE t END) AS output_sha256, sha256(t) AS restored_sha256 FROM p""",
     "shard_sizes": "SELECT doc_id, strlen(coalesce(text, '')) + 1 AS size, 'bytes' AS law, TRUE AS gapless FROM documents",
 }
