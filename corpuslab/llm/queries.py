@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, fill_in_middle, html_main, jaccard_join, language_id, license_scan, line_dedup, mixing, sharding, toxicity
+from . import ann, decontaminate, fill_in_middle, html_main, jaccard_join, language_id, license_scan, line_dedup, mixing, sharding, simhash_join, token_alignment, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,6 +77,14 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_in_middle.digests(fill_in_middle.transform(table(spark, sf_dir, "documents")))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align_documents(table(spark, sf_dir, "documents"))
+
+
+def op13_simhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_join.simhash_components(table(spark, sf_dir, "documents"), k=4, radius=4)
+
+
 def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The parts of the mix that SQL can work out: sizes and targets."""
     return op2_mix_sources(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 4).alias("target"))
@@ -107,6 +115,8 @@ QUERIES = {
     "op9_main_text": op9_main_text,
     "op10_slot_sharding": op10_slot_sharding,
     "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_token_alignment": op12_token_alignment,
+    "op13_simhash_join": op13_simhash_join,
     "mix_targets": mix_targets,
     "license_base_places": license_base_places,
     "shard_sizes": shard_sizes,
