@@ -5,14 +5,18 @@ a text-to-tag ratio, its characters over the tags met in it. The ratios are smoo
 Gaussian over neighbouring lines, and lines at or above one standard deviation are the cluster
 of content. The content region is the innermost element that holds nine tenths of that cluster's text;
 in an ``article`` or ``main`` element it is the whole of it, since an article's short lines are
-content too, elsewhere it runs from the first line of the cluster to the last, with the headings
-right above. Scripts, styles, controls and elements that are not shown are left out with all they
+content too, and so it is in any box; in the body it runs from the first line of the cluster, with
+the headings right above, to the end. Scripts, styles, controls and elements that are not shown are left out with all they
 hold. Elements that mark themselves as navigation, header, footer, sidebar, notice, advert, form or
 reader comments, by name, role or class, are weighed: they are left out unless they wrap the page's
-content. A class name or a form does where it is around a main element, the only articles, or
-nearly all text outside links; ``nav``, ``aside``, ``footer`` and their like where a main element
+content. A class name or a form does where it is around a main element, the only articles, or,
+where no article stands outside it, nearly all text outside links; ``nav``, ``aside``, ``footer`` and their like where a main element
 is inside, or where their end tag is missing and they swallowed the only articles or most of the
-text. Class names that tell a state (``has-sidebar``, ``with-menu``) mark nothing.
+text. A class or id marks its element if all its words say so (``comments``, ``ad-banner``,
+``related-posts``, not ``ad-hoc-query`` or ``related-work``), and a header that belongs to an article
+(inside one, or named ``post-header``) is its title; names that tell a state (``has-sidebar``,
+``with-menu``) mark nothing. Inline elements stand in the middle of sentences and are never set
+aside for their names.
 
 An element covers consecutive lines, so it is kept as a range of them: memory and time follow the
 page's length, however deep its elements are nested.
@@ -54,6 +58,15 @@ MARKS = frozenset(
     "footer comment comments reply replies respond disqus social share sharing related recommended newsletter "
     "subscribe subscription signup login search pagination pager toolbar widget widgets skip".split()
 )
+#: Words that may stand beside a mark without giving the name another meaning.
+BESIDE_MARKS = frozenset(
+    "area bar block body bottom box btn button buttons center col column container content form global group holder "
+    "icons inner item items layer left link links list main message news outer page panel place primary right row "
+    "secondary section site slot space stories text thread top trail unit user wrap wrapper zone".split()
+)
+#: Words for an article: a header of that name is its title.
+ARTICLE_WORDS = frozenset("article articles blog entry post posts story".split())
+TITLES = frozenset("header masthead banner".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
 #: After these words a class name tells what the page has, not what the element is.
 STATES = frozenset("has with no without".split())
@@ -61,14 +74,23 @@ STATES = frozenset("has with no without".split())
 WHOLE = frozenset(("html", "body", "main", "article"))
 
 
-def _names_itself(value: str) -> bool:
-    """Whether a class or id names its element as something else than content."""
-    for name in value.lower().split():
+def _names_itself(value: str, within: bool) -> bool:
+    """Whether a class or id names its element as something else than content.
+
+    within: it stands inside an article or main element.
+    """
+    for name in re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value).lower().split():
+        tokens = set()
         for token in re.split(r"[^a-z0-9]+", name):
             if token in STATES:
                 break
-            if token in MARKS:
-                return True
+            if token and not token.isdigit():
+                tokens.add(token)
+        marks = tokens & MARKS
+        if not marks or tokens - MARKS - BESIDE_MARKS - ARTICLE_WORDS:
+            continue
+        if marks - TITLES or not (within or tokens & ARTICLE_WORDS):
+            return True
     return False
 
 
@@ -89,10 +111,9 @@ def _role_of(tag: str, attrs: list, within: bool) -> str:
             return "hidden"
         if name == "role" and value.lower() in ROLES:
             found = "beside"
-        if name in ("class", "id") and not found and _names_itself(value):
+        if name in ("class", "id") and not found and _names_itself(value, within):
             found = "marked"
-    # Inline elements wrap no page.
-    return "hidden" if found and tag not in BLOCKS else found
+    return found if tag in BLOCKS else ""
 
 
 @dataclass
@@ -236,17 +257,21 @@ class _Page(HTMLParser):
             if element.role == "beside" and (element.mains[1] > element.mains[0] or (not element.closed and swallowed(element))):
                 cover(element, -1)
         upto = np.concatenate([[0], np.cumsum(np.where(beside_lines.depth() == 0, plain, 0))])
-        rest, outside = None, False
+        cores = [box for box in self.boxes if box.tag in ("article", "main")]
+        rest, outside, apart = None, False, False
         for element in self.weighed:
             if element.role != "marked":
                 continue
             if rest is None:
                 rest = int(plain[over_lines.depth() == 0].sum())
                 outside = bool((over_articles.depth() == 0).any())
+                # An article of its own, with text, that no element set aside is around.
+                free = np.concatenate([[0], np.cumsum(np.where(over_lines.depth() == 0, plain, 0))])
+                apart = any(free[box.lines[1]] > free[box.lines[0]] for box in cores)
             mine = int(upto[element.lines[1]] - upto[element.lines[0]])
             most = 2 * mine > upto[-1] and mine >= 9 * rest
             has_article = element.articles[1] > element.articles[0]
-            if element.mains[1] > element.mains[0] or most or (has_article and not outside and mine >= rest):
+            if element.mains[1] > element.mains[0] or (most and not apart) or (has_article and not outside and mine >= rest):
                 cover(element, -1)
                 rest = None
         return over_lines.depth() == 0
@@ -301,16 +326,16 @@ def main_text(html: str | None, sigma: float = 1.0) -> str:
     whole = next((box for box in page.boxes if box.tag in ("article", "main") and 2 * held(box) > upto[-1]), None)
     if whole is not None:
         return text_of(lines[(whole.lines[0] <= lines) & (lines < whole.lines[1])])
-    first, last = 0, len(page.texts)
+    first, last, boxed = 0, len(page.texts), False
     for box in page.boxes:
         if 10 * held(box) >= 9 * upto[-1]:
             first, last = box.lines
+            boxed = box.tag != "body"
     inside = lines[(first <= lines) & (lines < last)]
-    chosen = np.flatnonzero(core[inside])
-    start, stop = chosen[0], chosen[-1]
+    start = 0 if boxed else np.flatnonzero(core[inside])[0]
     while start and page.heading[inside[start - 1]]:
         start -= 1
-    return text_of(inside[start : stop + 1])
+    return text_of(inside[start:])
 
 
 def _extract(html: pd.Series) -> pd.Series:

@@ -37,6 +37,19 @@ def test_depth_costs_no_more_than_length():
         ("<p>before <![foo[ x ]]> after</p>", "before after"),
         ("<article><h2>Head</h2><p>Long paragraph of an article with many words in it.</p><p>Hi.</p><table><tr><td>cell</td></tr></table></article>", "Head\n\nLong paragraph of an article with many words in it.\n\nHi.\n\ncell"),
         ("<body><div class=header>Site</div><div><h1>Title</h1><p>A body text that goes on for a while, without tags.</p></div><div class='related posts'><a>x</a></div></body>", "Title\n\nA body text that goes on for a while, without tags."),
+        ("<article><p>One sentence of news.</p></article><div class=comments>" + "<p>What a reader has to say about that, at length.</p>" * 20 + "</div>", "One sentence of news."),
+        ("<article><div class='article-header'><h1>Title</h1><p>Lead.</p></div><p>Text of the article, and more of it.</p></article>", "Title\n\nLead.\n\nText of the article, and more of it."),
+        ("<div><div class=post-header><h1>Title</h1></div><p>Text of the post, which goes on for some time.</p></div>", "Title\n\nText of the post, which goes on for some time."),
+        ("<article><header><h1>Title</h1></header><p>Text of the article, and more of it.</p></article>", "Title\n\nText of the article, and more of it."),
+        ("<article><div class=ad-hoc-query><p>Asked now and then.</p></div><div class=related-work><p>Others did it too.</p></div><p class=social-science>A field.</p><p>Text, and more of it.</p></article>", "Asked now and then.\n\nOthers did it too.\n\nA field.\n\nText, and more of it."),
+        ("<article><div class='ad slot-1'><p>Buy.</p></div><div id=adBanner>Buy now.</div><p>Text, and more of it.</p><div class='related-posts'><p>Else.</p></div><div class=post-comments><p>I say.</p></div></article>", "Text, and more of it."),
+        ("<article><p>Intro <span class=share>share of market</span> text, and <em class=ad>more</em>.</p></article>", "Intro share of market text, and more."),
+        ("<body><div><p>A long first paragraph that makes up nearly all of what is said on this page.</p><ul><li>first of the list</li><li>second</li></ul><p>End.</p></div></body>", "A long first paragraph that makes up nearly all of what is said on this page.\n\nfirst of the list\n\nsecond\n\nEnd."),
+        ("<body><p>A long first paragraph that makes up nearly all of what is said on this page.</p><ul><li>first of the list</li><li>second</li></ul><p>End.</p><footer>f</footer></body>", "A long first paragraph that makes up nearly all of what is said on this page.\n\nfirst of the list\n\nsecond\n\nEnd."),
+        ("<main><div class='site has-sidebar'><p>Text of the page, and more of it.</p><div class=comments><p>a</p></div><div class=comments><p>a</p></div></div></main>", "Text of the page, and more of it."),
+        ("<div class=comments><article><p>A reader's own words, quite a few.</p></article></div><article><p>News.</p></article>", "News."),
+        (None, ""),
+        ("<div class=comments><p>Nothing but what readers say.</p></div>", "Nothing but what readers say."),
     ],
 )
 def test_labelled_pages(page, expected):
