@@ -1,27 +1,24 @@
 """SimHash near-duplicates within a Hamming radius, by tables of distances to reference fingerprints.
 
-The references are the 32 Hadamard words of 31 positions, laid on each half of a fingerprint (bit 0
-of a half carries no position): 64 distances a fingerprint, precomputed. What the join uses of them:
-
-1. A linked pair (at most 4 bits apart) differs by at most 2 positions in one half. Two flipped
-   positions a and b leave the distances to all references i with parity(i & (a ^ b)) = c as they
-   were, and a single one a leaves them, halved, equal where parity(i & a) = c. So in that half the
-   pair agrees on the halved distances to one of 62 sets of 16 references. A fingerprint is dealt
-   into a block for each set and its distances, and no link is lost.
-2. In a block of up to ``PAIR_BLOCK`` fingerprints, pairs are formed, those whose largest coordinate
-   difference of the tables is beyond the radius are discarded (the triangle inequality), and the
-   survivors verified.
-3. In larger blocks no pairs are formed. Their fingerprints meet at references halfway between
-   them: two linked fingerprints have one at most 2 bits from both, which differs from each in bits
-   that differ within their block, and two fingerprints that share one are linked, by the triangle
-   inequality again. So each gives the references around it, 2081 at most, and every one that
-   several share links them with the least of them. The rows made grow in proportion to the
-   fingerprints however large a block is.
+The references are the 64 Hadamard words; each fingerprint's distances to all of them are worked out
+once and go with it. By the triangle inequality two fingerprints differ by no more in any of these
+coordinates than from each other. Only distinct fingerprints are joined; copies are one.
+
+1. Search: a linked pair (at most 4 bits apart) differs by at most 2 bits in one half, so there is a
+   reference at most 1 bit from both in that half: a fingerprint gives its two halves and the words
+   1 bit from each, 66 references, and those that share one share a block. No link is lost.
+2. In a block of up to ``BLOCK`` fingerprints, pairs whose largest coordinate difference is beyond
+   the radius are discarded, and the survivors verified. A block gives a spanning forest of its
+   links, so rows and comparisons are bounded for each member.
+3. In larger blocks no pairs are looked at. Two linked fingerprints have a reference halfway: at most
+   2 bits from both, and differing from each in bits that differ within the block. Two that share
+   one are linked, by the triangle inequality again. So each gives the references around it, 2081
+   at most, and every one that several share links them with the least of them. The work grows in
+   proportion to the fingerprints however large a block is.
 4. Links are joined to components.
 
-Only distinct fingerprints are joined; copies, however many, are one. Unrelated fingerprints share
-a block with a chance of 2.3e-7 a half, so blocks of more than ``PAIR_BLOCK`` by chance need tens of
-millions of distinct fingerprints and more; step 3 then takes them, still in proportion.
+Unrelated fingerprints share a block with a chance of 2.5e-7, so each meets one other in four
+million; blocks of more than ``BLOCK`` by chance need billions of them, and step 3 then takes them.
 
 Defined cases: words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z; a text with fewer words
 than a shingle is one shingle; null and wordless texts have the fingerprint zero and link like any
@@ -34,28 +31,23 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import TEXTS_PER_BATCH, arrow_udf, removed, small_batches, small_or_not, written
 from .components import connected_components
 
 SEED = 42
-#: Fingerprints of a block up to which pairs are formed.
-PAIR_BLOCK = 16
+#: Fingerprints of a block that are compared with each other.
+BLOCK = 256
+#: Keys that a task makes, on average.
+KEYS_PER_TASK = 500_000
 #: Hashes whose bits are counted at a time, so that memory does not follow the length of a text.
 HASHES_AT_A_TIME = 1 << 15
 
-HALF, POSITIONS = 32, 31
-#: Parities of reference and position numbers; row i holds the word of reference i, column 0 no position.
-WORDS = np.array([[(i & j).bit_count() & 1 for j in range(HALF)] for i in range(HALF)])
-_SIGNS = (1 - 2 * WORDS[:, 1:].T).astype(np.float32)
-_WEIGHTS = WORDS.sum(axis=1).astype(np.float32)
-#: The sets of 16 references: those i with parity(i & u) = c.
-SETS = np.stack([WORDS[u] == c for u in range(1, HALF) for c in (0, 1)], axis=1)
-_ODD = np.random.default_rng(SEED).integers(1 << 62, size=HALF, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_FACTORS = np.where(SETS, _ODD[:, None], np.uint64(0))
-_NAMES = np.random.default_rng(SEED + 1).integers(1 << 63, size=2 * SETS.shape[1], dtype=np.uint64)
+BITS, HALF = 64, 32
+#: Row i holds the bits of reference i: the parities of i & j.
+REFERENCES = np.array([[(i & j).bit_count() & 1 for j in range(BITS)] for i in range(BITS)], np.float32)
 
 
 def fingerprint(text: str | None, k: int) -> int:
@@ -82,18 +74,43 @@ def bits_of(prints: np.ndarray) -> np.ndarray:
 
 
 def distance_table(prints: np.ndarray) -> np.ndarray:
-    """Distances of each fingerprint to the 64 references, as bytes."""
-    bits = bits_of(prints).astype(np.float32)
-    halves = [bits[:, at + 1 : at + HALF] @ _SIGNS + _WEIGHTS for at in (0, HALF)]
-    return np.concatenate(halves, axis=1).astype(np.uint8)
-
-
-def block_keys(table: np.ndarray) -> np.ndarray:
-    """The keys of each fingerprint's 124 blocks, by its halved distances to each set of references."""
-    halved = (table >> 1).astype(np.uint64)
-    sums = np.concatenate([halved[:, :HALF] @ _FACTORS, halved[:, HALF:] @ _FACTORS], axis=1)
-    keys = (sums ^ (sums >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + _NAMES
-    return (keys ^ (keys >> np.uint64(32))).view(np.int64)
+    """Distances of each fingerprint to the references, as bytes."""
+    return (bits_of(prints).astype(np.float32) @ (1 - 2 * REFERENCES.T) + REFERENCES.sum(axis=1)).astype(np.uint8)
+
+
+def block_keys(fingerprint: Column) -> Column:
+    """The references at most 1 bit from either half of a fingerprint: bit 32 tells the half."""
+    one_bit = [0, *(1 << i for i in range(HALF))]
+    halves = (fingerprint.bitwiseAND(F.lit((1 << HALF) - 1)), F.shiftrightunsigned(fingerprint, HALF).bitwiseOR(F.lit(1 << HALF)))
+    return F.array(*[half.bitwiseXOR(F.lit(b).cast("long")) for half in halves for b in one_bit])
+
+
+def linked(prints: np.ndarray, tables: np.ndarray, radius: int) -> np.ndarray:
+    """Which fingerprints of a block are within the radius of which."""
+    near = np.ones((len(prints), len(prints)), bool)
+    for coordinate in tables.T.astype(np.int16):
+        near &= np.abs(coordinate[:, None] - coordinate[None, :]) <= radius
+    x, y = np.nonzero(np.triu(near, 1))
+    within = np.bitwise_count(prints[x].view(np.uint64) ^ prints[y].view(np.uint64)) <= radius
+    near[:] = False
+    near[x[within], y[within]] = near[y[within], x[within]] = True
+    return near
+
+
+def spanning_links(prints: np.ndarray, near: np.ndarray) -> list[tuple[int, int]]:
+    """Links that join all that links join, one for each fingerprint at most."""
+    found, new = [], np.ones(len(prints), bool)
+    for start in range(len(prints)):
+        if not new[start]:
+            continue
+        new[start], waiting = False, [start]
+        while waiting:
+            x = waiting.pop()
+            for y in np.flatnonzero(near[x] & new).tolist():
+                new[y] = False
+                waiting.append(y)
+                found.append((int(prints[y]), int(prints[x])))
+    return found
 
 
 def references_around(fingerprint: int, mask: int, radius: int) -> np.ndarray:
@@ -116,19 +133,24 @@ def _fingerprinter(k: int):
 
 
 def _tables():
-    def of(prints: pd.Series) -> pd.DataFrame:
-        table = distance_table(prints.to_numpy(np.int64))
-        return pd.DataFrame({"distances": [row.tobytes() for row in table], "keys": list(block_keys(table))})
+    def of(prints: pd.Series) -> pd.Series:
+        return pd.Series([row.tobytes() for row in distance_table(prints.to_numpy(np.int64))])
+
+    return arrow_udf(of, "binary")
 
-    return arrow_udf(of, "distances binary, keys array<long>")
 
+def _links_of(radius: int):
+    """The spanning links of each block, given as lists of its fingerprints and their tables."""
 
-def _within(radius: int):
-    def within(xs: pd.Series, ys: pd.Series) -> pd.Series:
-        x, y = (np.frombuffer(b"".join(s), np.uint8).reshape(-1, 2 * HALF).astype(np.int16) for s in (xs, ys))
-        return pd.Series(np.abs(x - y).max(axis=1, initial=0) <= radius)
+    def of(blocks: pd.Series, tables: pd.Series) -> pd.Series:
+        found = []
+        for prints, table in zip(blocks, tables):
+            prints = np.asarray(prints, np.int64)
+            near = linked(prints, np.frombuffer(b"".join(table), np.uint8).reshape(-1, BITS), radius)
+            found.append([{"x": x, "y": y} for x, y in spanning_links(prints, near)])
+        return pd.Series(found)
 
-    return arrow_udf(within, "boolean")
+    return arrow_udf(of, "array<struct<x: long, y: long>>")
 
 
 def _around(radius: int):
@@ -163,27 +185,31 @@ def simhash_components(docs: DataFrame, k: int = 4, radius: int = 4, id_col: str
 def links(prints: DataFrame, radius: int = 4) -> DataFrame:
     """Links x, y between distinct fingerprints (column ``print``) that join all that are within the radius of each other.
 
-    Every row is a pair within the radius; of many that are all within it of each other, each is
-    linked with the least.
+    Every row is a pair within the radius; those of a block are a spanning forest of its links.
     """
     if radius not in (2, 4):
         raise ValueError("the radius must be 2 or 4")
     spark = prints.sparkSession
-    keyed = written(prints.withColumn("t", _tables()("print")).select("print", "t.*"), "simhash-keyed")
-    placed = keyed.select("print", "distances", F.explode("keys").alias("key"))
-    shared = placed.groupBy("key").agg(F.min("print").alias("lo"), F.max("print").alias("hi")).where("lo < hi").select("key")
+    n_tasks = max(spark.sparkContext.defaultParallelism, -(-prints.count() * 66 // KEYS_PER_TASK))
+    tables = prints.repartition(n_tasks, "print").withColumn("distances", _tables()("print"))
+    tables = written(tables, "simhash-tables")
+    placed = tables.withColumn("key", F.explode(block_keys(F.col("print"))))
+    shared = placed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     shared = written(shared, "simhash-shared")
-    members = written(placed.join(small_or_not(shared), "key"), "simhash-members")
-    removed(keyed, shared)
+    members = written(placed.join(small_or_not(shared.select("key")), "key"), "simhash-members")
+    removed(tables, shared)
 
     differing = F.expr("bit_or(print) & ~bit_and(print)").alias("mask")
     blocks = members.groupBy("key").agg(F.count("*").alias("size"), differing, F.bit_xor(F.xxhash64("print")).alias("of"))
     # Blocks of the same members are one block.
     blocks = blocks.groupBy("size", "mask", "of").agg(F.min("key").alias("key"))
     blocks = written(blocks.select("key", "size", "mask"), "simhash-blocks")
-    small = members.join(small_or_not(blocks.where(F.col("size") <= PAIR_BLOCK).select("key")), "key")
-    found = [written(_verified(small, radius), "simhash-near")]
-    large = members.select("key", "print").join(small_or_not(blocks.where(F.col("size") > PAIR_BLOCK).select("key", "mask")), "key")
+    small = members.join(small_or_not(blocks.where(F.col("size") <= BLOCK).select("key")), "key")
+    small = small.groupBy("key").agg(F.collect_list(F.struct("print", "distances")).alias("m"))
+    with small_batches(spark, TEXTS_PER_BATCH):
+        near = small.select(F.explode(_links_of(radius)("m.print", "m.distances")).alias("l")).select("l.*").distinct()
+        found = [written(near, "simhash-near")]
+    large = members.select("key", "print").join(small_or_not(blocks.where(F.col("size") > BLOCK).select("key", "mask")), "key")
     large = written(large.groupBy("print").agg(F.bit_or("mask").alias("mask")), "simhash-large")
     if not large.isEmpty():
         found.append(written(_halfway(large, radius), "simhash-halfway"))
@@ -191,14 +217,6 @@ def links(prints: DataFrame, radius: int = 4) -> DataFrame:
     return found[0] if len(found) == 1 else found[0].union(found[1])
 
 
-def _verified(members: DataFrame, radius: int) -> DataFrame:
-    """The pairs of each block that the distance tables leave possible and that are within the radius."""
-    a, b = (members.select("key", F.col("print").alias(p), F.col("distances").alias(f"of_{p}")) for p in "xy")
-    pairs = a.join(b, "key").where("x < y")
-    likely = pairs.where(_within(radius)("of_x", "of_y"))
-    return likely.where(F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= radius).select("x", "y").distinct()
-
-
 def _halfway(large: DataFrame, radius: int) -> DataFrame:
     """Links of fingerprints that share a reference halfway between them, with the least that shares it."""
     with small_batches(large.sparkSession, TEXTS_PER_BATCH):

@@ -44,21 +44,26 @@ def test_fingerprints(spark):
     assert [sj.fingerprint(t, 4) & (2**64 - 1) for t in texts] == [by_hand(t) for t in texts]
 
 
-def test_linked_pairs_share_a_block():
+def test_linked_pairs_share_a_block(spark):
     """Whatever up to four bits differ; and no pair within the radius differs by more in any distance."""
     rnd = random.Random(3)
     pairs = []
-    for _ in range(4000):
+    for _ in range(2000):
         x = rnd.getrandbits(64) if rnd.random() < 0.9 else rnd.choice((0, 2**64 - 1))
         y = x
         for b in rnd.sample(range(64), rnd.randint(1, 4)):
             y ^= 1 << b
-        pairs.append((x, y))
-    for b in (0, 32):
-        pairs += [(0, 1 << b), (0, 1 << b | 2), (7, 7 ^ (1 << b))]
-    x, y = (sj.distance_table(np.array(side, np.uint64).view(np.int64)) for side in zip(*pairs))
-    assert (sj.block_keys(x) == sj.block_keys(y)).any(axis=1).all()
+        pairs.append((signed(x), signed(y)))
+    frame = spark.createDataFrame(pairs, "x long, y long")
+    keys = frame.select(F.arrays_overlap(sj.block_keys(F.col("x")), sj.block_keys(F.col("y"))).alias("meet"), sj.block_keys(F.col("x")).alias("k"))
+    assert all(r["meet"] and len(set(r["k"])) == 66 for r in keys.collect())
+    x, y = (sj.distance_table(np.array(side, np.int64)) for side in zip(*pairs))
     assert np.abs(x.astype(int) - y.astype(int)).max() == 4
+    apart = [(bin(a & (2**64 - 1)).count("1")) for a, _ in pairs]
+    assert (x[:, 0] == apart).all()
+    # Of unrelated pairs the tables leave few.
+    far = sj.distance_table(np.array([signed(rnd.getrandbits(64)) for _ in pairs], np.int64))
+    assert (np.abs(x.astype(int) - far).max(axis=1) <= 4).mean() < 0.01
 
 
 def test_references_around():
@@ -67,11 +72,11 @@ def test_references_around():
     assert len(sj.references_around(5, -1, 2)) == 2081
 
 
-@pytest.mark.parametrize("pair_block", [2, 16])
+@pytest.mark.parametrize("block", [2, 16, 256])
 @pytest.mark.parametrize("radius", [2, 4])
-def test_links_brute_force(spark, monkeypatch, pair_block, radius):
-    """Chains, dense families (larger than a block of pairs) and strangers; every link is one."""
-    monkeypatch.setattr(sj, "PAIR_BLOCK", pair_block)
+def test_links_brute_force(spark, monkeypatch, block, radius):
+    """Chains, dense families (larger than a block that is compared) and strangers; every link is one."""
+    monkeypatch.setattr(sj, "BLOCK", block)
     rnd = random.Random(radius)
     prints = {rnd.getrandbits(64) for _ in range(300)} | {0, 2**64 - 1, 2**63}
     for _ in range(6):
