@@ -26,6 +26,7 @@ task, with some 50 bytes for each of its own.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -44,6 +45,8 @@ BYTES_AT_A_TIME = 1 << 21
 PAIRS_AT_A_TIME = 1 << 21
 #: Pairs that are broadcast, at most: some 32 bytes each.
 FREQUENT_PAIRS = 500_000
+# Fixed value: the pattern by which byte-level vocabularies part a text before they merge.
+BYTE_LEVEL_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Bits of a B id in a pair.
 B_BITS = 20
 
@@ -77,15 +80,33 @@ class Side:
 
 @lru_cache(maxsize=2)
 def side_a(path: str) -> Side:
+    """The byte-level vocabulary of a JSON file.
+
+    Where its ids follow its merges they are ranks, by which tiktoken merges the same pairs in the
+    same order, in a third of the time; other vocabularies are left to tokenizers.
+    """
+    with open(path, encoding="utf-8") as f:
+        model, letters = json.load(f), byte_letters()
+    spelled = {bytes(letters[c] for c in token): i for token, i in model["model"]["vocab"].items()}
+    special = {t["content"].encode() for t in model["added_tokens"]}
+    found = [b""] * (1 + max(*spelled.values(), *(t["id"] for t in model["added_tokens"])))
+    for token, i in spelled.items():
+        found[i] = token
+    pairs = [m.split(" ") if isinstance(m, str) else m for m in model["model"]["merges"]]
+    merged = [spelled[bytes(letters[c] for c in "".join(pair))] for pair in pairs]
+    plain = model["pre_tokenizer"].get("type") == "ByteLevel" and not model["pre_tokenizer"]["add_prefix_space"] and model["normalizer"] is None
+    if plain and merged == list(range(256, 256 + len(merged))):
+        from tiktoken import Encoding
+
+        ranks = {token: i for token, i in spelled.items() if token not in special}
+        loaded = Encoding("a", pat_str=BYTE_LEVEL_WORDS, mergeable_ranks=ranks, special_tokens={})
+        return Side(lambda texts: [loaded.encode_ordinary(" " + t) for t in texts], found)
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    loaded, letters = Tokenizer.from_file(path), byte_letters()
-    loaded.encode_special_tokens = True
-    found = [b""] * loaded.get_vocab_size()
-    for token, i in loaded.get_vocab().items():
-        found[i] = bytes(letters[c] for c in token)
-    return Side(lambda texts: [e.ids for e in loaded.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)], found)
+    whole = Tokenizer.from_file(path)
+    whole.encode_special_tokens = True
+    return Side(lambda texts: [e.ids for e in whole.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)], found)
 
 
 @lru_cache(maxsize=2)

@@ -106,6 +106,18 @@ def test_brute_force(spark, monkeypatch, small):
     assert sorted(str(tuple(r)) for r in found) == sorted(map(str, by_hand(rows)))
 
 
+def test_ids_are_those_of_the_file(sf_dir):
+    """Whichever library merges: the ids are those that tokenizers gives for the JSON file."""
+    import duckdb
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(PATHS.a)
+    whole.encode_special_tokens = True
+    held = [t for (t,) in duckdb.sql(f"SELECT text FROM '{sf_dir}/documents.parquet'").fetchall()] + texts(400, 5)
+    held += ["'s'LL ", "\x1c\x1d a", "a" * 100_000, " " * 5000 + "x", "\U0001f600" * 300, "\U0001d7d8\u0661", "\u3000x", "\r\n \r\n"]
+    assert [list(x) for x in ta.side_a(PATHS.a).encode(held)] == [whole.encode(" " + t, add_special_tokens=False).ids for t in held]
+
+
 def test_pairs_in_slices(monkeypatch):
     """The products of groups, some ids at a time, are those of whole groups."""
     held = [t for t in texts(40, 2) if t]
