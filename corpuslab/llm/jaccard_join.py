@@ -18,6 +18,11 @@ The Jaccard distance is a metric, and so is |x ^ y|, the size of the symmetric d
    is beyond the radius), so x and y are in the subregion of a first difference they share. What
    stands before that difference on either side is no part of the other, which bounds |x ^ y| from
    below: pairs beyond the radius by that bound are never formed, nor are pairs of one component.
+   "First" may mean any order that a region's members share. It is that of hashes, until more than
+   ``CROWD`` members meet in one subregion (a family around a text that the pivot itself departs
+   from: all members share the pivot's departures). Such a region is taken in the order of its own
+   differences instead, common ones last, so that members meet in what is rare among them, and the
+   pairs formed grow in proportion to the members.
    The rest is verified on the whole sets, for each class the likeliest partner in a component
    first, and others only where that leaves them apart.
 
@@ -41,7 +46,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -58,6 +63,10 @@ BAND_RATIO = 1.25
 KEY_PARTS = 4
 #: And so are the pairs whose whole sets meet, and the differences to pivots.
 PAIR_PARTS = 2
+#: Members of a subregion beyond which its region is taken with rare differences first.
+CROWD = 64
+#: Differences are common that more than ``CROWD`` members share, and more than one in so many: few enough for a list of each region.
+COMMON_SHARE = 64
 #: Distinct words whose hashes a worker keeps.
 WORDS_KEPT = 1 << 17
 #: Rows with sets of shingles that a worker gets at a time.
@@ -191,6 +200,28 @@ def _differ(num: int, den: int):
     return arrow_udf(differ, "n_own long, n_lost long, first array<long>")
 
 
+def _all_differences():
+    """The whole symmetric difference of two sets."""
+
+    def differ(xs: pd.Series, ps: pd.Series) -> pd.Series:
+        return pd.Series([np.setxor1d(np.asarray(x), np.asarray(p), assume_unique=True) for x, p in zip(xs, ps)])
+
+    return arrow_udf(differ, "array<long>")
+
+
+def _rare_before_common(num: int, den: int):
+    """The first of a set's differences, by hash, those in the second list last."""
+
+    def order(sizes: pd.Series, differences: pd.Series, common: pd.Series) -> pd.Series:
+        found = []
+        for n, all_of, known in zip(sizes, differences, common):
+            late = np.isin(np.asarray(all_of), np.asarray(known))
+            found.append(np.concatenate([all_of[~late], all_of[late]])[: n * (den - num) // num + 1])
+        return pd.Series(found)
+
+    return arrow_udf(order, "array<long>")
+
+
 def _meeter():
     def meet(xs: pd.Series, ys: pd.Series) -> pd.Series:
         return pd.Series([len(np.intersect1d(np.asarray(x), np.asarray(y), assume_unique=True)) for x, y in zip(xs, ys)], dtype="int64")
@@ -266,31 +297,33 @@ def class_roots(docs: DataFrame, members: DataFrame, facts: DataFrame, k: int, n
     regions = of_block.select("x", "p").distinct()
 
     involved = of_block.select("x", F.lit(False).alias("pivot")).union(of_block.select("p", F.lit(True))).groupBy("x").agg(F.max("pivot").alias("pivot"))
-    wanted = written(involved, "join-involved").join(facts.select(F.col("c").alias("x"), "class", "n", "row"), "x")
+    involved = written(involved, "join-involved")
+    wanted = involved.join(facts.select(F.col("c").alias("x"), "class", "n", "row"), "x")
     texts = docs.select(row_key(id_col, text_col).alias("row"), F.col(text_col).alias("text"))
     # Written before repeated rows are dropped, so that they meet no more than once in a task.
     texts = written(texts.join(wanted.select("row"), "row", "left_semi"), "join-texts")
     released(spark)
     with small_batches(spark, BATCH):
         sets = written(_sets_of(wanted, texts.dropDuplicates(["row"]), k), "join-sets")
-    removed(texts)
+    removed(texts, involved)
     released(spark)
 
     regions = written(regions, "join-pairs")
     parts = [_placed(regions, sets, num, den, part) for part in range(PAIR_PARTS)]
     placed = reduce(DataFrame.union, parts)
-    links = written(placed.where("near").select("x", F.col("p").alias("y")), "join-links")
+    links = [written(placed.where("near").select("x", F.col("p").alias("y")), "join-links")]
     roots = _roots(links)
-    pairs = region_pairs(of_block, placed, roots, num, den)
+    pairs = region_pairs(of_block, placed, roots, sets, num, den)
     removed(of_block, regions, *parts)
     released(spark)
     # The partner in each component that shares most subregions first, the others if that is no link.
     best = pairs.groupBy("x", "root_y").agg(F.max(F.struct("shared", F.negative("y").alias("y"))).alias("best"))
     for some in (best.select("x", F.negative("best.y").alias("y")), None):
         more = _verified(_between(pairs.select("x", "y"), roots) if some is None else some, sets, num, den)
-        if not more.isEmpty():
-            links = links.union(more)
+        links += more
+        if not all(m.isEmpty() for m in more):
             roots = _roots(links)
+    removed(sets, pairs, *links)
     return roots
 
 
@@ -309,47 +342,82 @@ def _placed(regions: DataFrame, sets: DataFrame, num: int, den: int, part: int)
     return found
 
 
-def region_pairs(of_block: DataFrame, placed: DataFrame, roots: DataFrame, num: int, den: int) -> DataFrame:
+def region_pairs(of_block: DataFrame, placed: DataFrame, roots: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (x, y) of different components that the differences to their pivots leave possible: x, y, root_y, shared."""
+    spark = placed.sparkSession
     root = F.coalesce("root", "x").alias("root")
     of_block = of_block.join(roots.withColumnRenamed("node", "x"), "x", "left").select("key", "x", "p", root)
     mixed = of_block.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
     mixed = of_block.join(mixed, "key").select("x", "p", "root").distinct()
     lists = written(placed.join(mixed, ["x", "p"]), "join-lists")
-    parts = []
+    crowded = written(_subregions(lists.select("p", "near", "root", F.explode("first").alias("e"))).where(F.col("n") > CROWD).select("p").distinct(), "join-crowded")
+    # At the first difference that both have, what stands before it is only x's or only y's. What
+    # follows differs by no less than its numbers do: own and lost differences apart.
+    own = F.expr("abs(a.n_own - a.at - b.n_own + b.at) + abs(a.n_lost - b.n_lost)")
+    lost = F.expr("abs(a.n_own + a.n_lost - a.at - b.n_own - b.n_lost + b.at)")
+    roomy, parts = lists.join(small_or_not(crowded), "p", "left_anti"), []
     for part in range(PAIR_PARTS):
-        parts.append(written(_meeting(lists, num, den, part), "join-meetings"))
-        released(placed.sparkSession)
+        parts.append(written(_meeting(roomy, F.when(F.col("a.at") < F.col("a.n_own"), own).otherwise(lost), num, den, part), "join-meetings"))
+        released(spark)
+    if not crowded.isEmpty():
+        ordered = _rare_first(lists.join(small_or_not(crowded), "p", "left_semi"), sets, num, den)
+        for part in range(PAIR_PARTS):
+            parts.append(written(_meeting(ordered, lost, num, den, part), "join-meetings"))
+            released(spark)
+        removed(ordered)
     found = reduce(DataFrame.union, parts).groupBy("x", "y", "root_y").agg(F.sum("shared").alias("shared"))
     found = written(found, "join-candidates")
-    removed(lists, *parts)
+    removed(lists, crowded, *parts)
+    return found
+
+
+def _subregions(diffs: DataFrame) -> DataFrame:
+    """(p, e) and n, the number of members, of each subregion that can hold a pair."""
+    shared = diffs.groupBy("p", "e").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.bool_and("near").alias("all_near"), F.count("*").alias("n"))
+    return shared.where("lo <> hi AND NOT all_near").select("p", "e", "n")
+
+
+def _rare_first(lists: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Members of crowded regions with their first differences, those that many members share last."""
+    spark = lists.sparkSession
+    xs = sets.select("x", F.col("set").alias("xset"))
+    ps = sets.where("pivot").select(F.col("x").alias("p"), F.col("set").alias("pset"))
+    whole = lists.drop("first").join(xs, "x").join(ps, "p").withColumn("all", _all_differences()("xset", "pset")).drop("xset", "pset")
+    with small_batches(spark, BATCH):
+        whole = written(whole, "join-differences")
+    sizes = whole.groupBy("p").agg(F.count("*").alias("size"))
+    counts = whole.select("p", F.explode("all").alias("e")).groupBy("p", "e").agg(F.count("*").alias("n")).where(F.col("n") > CROWD)
+    common = counts.join(sizes, "p").where(F.col("n") * COMMON_SHARE > F.col("size")).groupBy("p").agg(F.collect_list("e").alias("common"))
+    common = written(common, "join-common")
+    ordered = whole.join(small_or_not(common, "common"), "p", "left")
+    first = _rare_before_common(num, den)("nx", "all", F.coalesce("common", F.array().cast("array<long>")))
+    with small_batches(spark, BATCH):
+        found = written(ordered.withColumn("first", first).drop("all", "common"), "join-ordered")
+    removed(whole, common)
     return found
 
 
-def _meeting(lists: DataFrame, num: int, den: int, part: int) -> DataFrame:
-    """x, y, root_y and how many differences to a pivot they share, of one part of the differences."""
+def _meeting(lists: DataFrame, follows: Column, num: int, den: int, part: int) -> DataFrame:
+    """x, y, root_y and how many first differences to a pivot they share, of one part of the differences.
+
+    ``follows`` bounds from below how much a and b differ after a difference both have.
+    """
     diffs = lists.select("p", "x", "nx", "n_own", "n_lost", "near", "root", F.posexplode("first").alias("at", "e"))
     diffs = diffs.where(F.pmod(F.xxhash64("e"), F.lit(PAIR_PARTS)) == part)
-    shared = diffs.groupBy("p", "e").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.bool_and("near").alias("all_near"))
-    shared = written(shared.where("lo <> hi AND NOT all_near").select("p", "e"), "join-subregions")
+    shared = written(_subregions(diffs).select("p", "e"), "join-subregions")
     diffs = diffs.join(shared, ["p", "e"])
     a, b = diffs.where("NOT near").alias("a"), diffs.alias("b")
     same = (F.col("a.p") == F.col("b.p")) & (F.col("a.e") == F.col("b.e")) & (F.col("a.root") != F.col("b.root"))
     once = F.col("b.near") | (F.col("a.x") < F.col("b.x"))
     sizes = F.expr(f"{den} * least(a.nx, b.nx) >= {num} * greatest(a.nx, b.nx)")
-    # At the first difference that both have, what stands before it is only x's or only y's. What
-    # follows differs by no less than its numbers do: own and lost differences apart.
-    own = F.expr("abs(a.n_own - a.at - b.n_own + b.at) + abs(a.n_lost - b.n_lost)")
-    lost = F.expr("abs(a.n_own + a.n_lost - a.at - b.n_own - b.n_lost + b.at)")
-    least = F.col("a.at") + F.col("b.at") + F.when(F.col("a.at") < F.col("a.n_own"), own).otherwise(lost)
-    within = least * (den + num) <= (F.col("a.nx") + F.col("b.nx")) * (den - num)
+    within = (F.col("a.at") + F.col("b.at") + follows) * (den + num) <= (F.col("a.nx") + F.col("b.nx")) * (den - num)
     met = a.join(b, same & once & sizes & within)
     met = met.select(F.col("a.x").alias("x"), F.col("b.x").alias("y"), F.col("b.root").alias("root_y"))
     return met.groupBy("x", "y", "root_y").agg(F.count("*").alias("shared"))
 
 
-def _roots(links: DataFrame) -> DataFrame:
-    return connected_components(links, "x", "y")
+def _roots(links: list[DataFrame]) -> DataFrame:
+    return connected_components(reduce(DataFrame.union, links), "x", "y")
 
 
 def _between(pairs: DataFrame, roots: DataFrame) -> DataFrame:
@@ -360,8 +428,8 @@ def _between(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return pairs.join(of_x, "x", "left").join(of_y, "y", "left").where(apart).drop("rx", "ry")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs that are links, by their whole sets."""
+def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> list[DataFrame]:
+    """The pairs that are links, by their whole sets, in parts."""
     spark = pairs.sparkSession
     pairs, links = written(pairs, "join-pairs"), []
     for part in range(PAIR_PARTS):
@@ -373,7 +441,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
         with small_batches(spark, BATCH):
             links.append(written(met.where(f"{den} * i >= {num} * (nx + ny - i)").select("x", "y"), "join-links"))
         released(spark)
-    return reduce(DataFrame.union, links)
+    removed(pairs)
+    return links
 
 
 def _sets_of(wanted: DataFrame, texts: DataFrame, k: int) -> DataFrame:
