@@ -38,13 +38,13 @@ def syllables(word: Column) -> Column:
     return F.when(F.length(word) <= 3, 1).otherwise(F.greatest(runs, F.lit(1)))
 
 
-def half_up(value: Column) -> Column:
-    """Two places, half up on the binary value; the same arithmetic in any engine."""
-    return F.floor(value * 100.0 + 0.5) / F.lit(100.0)
+def two_places(value: Column) -> Column:
+    """Two places, half to even on the hundredfold value; the same arithmetic in any engine."""
+    return F.rint(value * 100.0) / F.lit(100.0)
 
 
 def text_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Counts and readability of each document, rounded to two places (half up)."""
+    """Counts and readability of each document, rounded to two places (half to even)."""
     words = docs.select(
         F.col(id_col),
         F.length(text_col).alias("char_count"),
@@ -68,9 +68,9 @@ def text_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.col("char_count").cast("long").alias("char_count"),
         F.col("sentence_count").cast("long").alias("sentence_count"),
         F.col("syllable_count").cast("long").alias("syllable_count"),
-        half_up(F.coalesce(F.try_divide(F.col("letters").cast("double"), F.col("word_count")), F.lit(0.0))).alias("avg_word_length"),
-        half_up(F.when(none, 0.0).otherwise(ease)).alias("flesch_ease"),
-        half_up(F.when(none, 0.0).otherwise(grade)).alias("fk_grade"),
+        two_places(F.coalesce(F.try_divide(F.col("letters").cast("double"), F.col("word_count")), F.lit(0.0))).alias("avg_word_length"),
+        two_places(F.when(none, 0.0).otherwise(ease)).alias("flesch_ease"),
+        two_places(F.when(none, 0.0).otherwise(grade)).alias("fk_grade"),
     )
 
 

@@ -153,10 +153,9 @@ def contamination(items: DataFrame, training: DataFrame, share: float = 0.3, cos
     if cosine is not None:
         rest = rest.join(grams, "pair_id", "left_anti").where(text.hash_normal(F.col("question")) != "")
         both = rest.select(F.col("pair_id").alias("of"), F.col("question").alias("text"), F.lit(True).alias("asked")).unionByName(training.select(F.col("doc_id").alias("of"), "text", F.lit(False).alias("asked")))
-        # Items and training texts in one numbering: items are the odd numbers.
-        rows = embed(both, "text", embedder=embedder).select((F.col("of") * 2 + F.col("asked").cast("long")).alias("vec_id"), "embedding")
-        near = vector_topk(rows, F.col("vec_id") % 2 != 0, 1, among=F.col("vec_id") % 2 == 0).where(F.col("score") >= cosine)
-        near = near.select(F.floor(F.col("query_id") / 2).cast("long").alias("pair_id"), F.lit("semantic").alias("match_type"), F.floor(F.col("vec_id") / 2).cast("long").alias("source"), "score")
+        rows = embed(both, "text", embedder=embedder)
+        near = vector_topk(rows, F.col("asked"), 1, id_col="of", among=~F.col("asked"), exclude_self=False).where(F.col("score") >= cosine)
+        near = near.select(F.col("query_id").alias("pair_id"), F.lit("semantic").alias("match_type"), F.col("vec_id").alias("source"), "score")
         found = found.unionByName(near)
     return found
 

@@ -34,16 +34,9 @@ STEPS = {
 }
 
 
-def load(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def load(spark: SparkSession, path: str, pages_of=None) -> tuple[DataFrame, DataFrame]:
     """Documents (source, file_type, content) of a folder, and the files that could not be taken (source, error)."""
-    blobs = files.read_blobs(spark, path)
-    docs = None
-    for reader in (files.read_text, files.read_json):
-        part = reader(spark, path).select("source", "file_type", "content")
-        docs = part if docs is None else docs.unionByName(part)
-    unread = blobs.where("error IS NULL").where(~F.col("file_type").isin("txt", "md", "json"))
-    broken = blobs.where("error IS NOT NULL").select("source", "error")
-    return docs, broken.unionByName(unread.select("source", F.concat(F.lit("no reader for "), "file_type").alias("error")))
+    return files.read_documents(spark, path, pages_of)
 
 
 def clean(docs: DataFrame, steps: tuple[str, ...]) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from functools import lru_cache
 from typing import Protocol
 
 import numpy as np
@@ -24,6 +25,11 @@ class Embedder(Protocol):
     def __call__(self, texts: list[str]) -> np.ndarray: ...
 
 
+@lru_cache(maxsize=1 << 16)
+def _word_hash(word: str) -> int:
+    return int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
+
+
 class HashedWords:
     """The default embedder: signed hashed bag of words, unit length. No model, no claim of quality."""
 
@@ -33,9 +39,8 @@ class HashedWords:
     def __call__(self, texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), self.dim))
         for row, value in zip(out, texts):
-            for word in (value or "").lower().split():
-                h = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
-                row[h % self.dim] += 1.0 if h >> 63 else -1.0
+            h = np.fromiter(map(_word_hash, (value or "").lower().split()), np.uint64)
+            np.add.at(row, (h % np.uint64(self.dim)).astype(np.int64), np.where(h >> np.uint64(63), 1.0, -1.0))
         return out / np.maximum(np.sqrt((out * out).sum(axis=1, keepdims=True)), 1e-12)
 
 
@@ -66,13 +71,14 @@ def blocks_for(rows: int, size: int) -> int:
     return max(1, -(-rows // size))
 
 
-def vector_topk(rows: DataFrame, is_query: Column, k: int, id_col: str = "vec_id", vec_col: str = "embedding", among: Column | None = None) -> DataFrame:
+def vector_topk(rows: DataFrame, is_query: Column, k: int, id_col: str = "vec_id", vec_col: str = "embedding", among: Column | None = None, exclude_self: bool = True) -> DataFrame:
     """query_id, vec_id, score and rank of each query's ``k`` nearest other rows: an exact scan in blocks.
 
     Every block of rows meets every block of queries once, as a matrix product; each keeps the
     ``k`` rows of a query that come first at the precision and in the order of the result. The
     numbers of blocks follow from the numbers of rows and queries. ``among`` tells which rows can
-    be found, all by default.
+    be found, all by default. Where queries are not among them, an equal id names another row
+    (``exclude_self=False``).
     """
     base = rows.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v"), is_query.alias("asked"), (F.lit(True) if among is None else among).alias("held")).where("id IS NOT NULL")
     n, asked = base.agg(F.count("*"), F.count(F.when(F.col("asked"), 1))).first()
@@ -92,12 +98,12 @@ def vector_topk(rows: DataFrame, is_query: Column, k: int, id_col: str = "vec_id
         scores = unit(asked["qv"]) @ unit(held["v"]).T
         ids, parts = held["id"].to_numpy(), []
         for q, row in zip(asked["q"], np.round(scores, 6)):
-            best = np.lexsort((ids, -row, ids == q))[:k]
+            best = np.lexsort((ids, -row, exclude_self & (ids == q)))[:k]
             parts.append(pd.DataFrame({"q": q, "id": ids[best], "score": row[best]}))
         return pd.concat(parts)
 
     met = queries.groupBy("g", "b").cogroup(blocks.groupBy("g", "b")).applyInPandas(scan, "q long, id long, score double")
-    met = met.where("q <> id").withColumn("score", F.round("score", 6))
+    met = (met.where("q <> id") if exclude_self else met).withColumn("score", F.round("score", 6))
     order = Window.partitionBy("q").orderBy(F.desc("score"), "id")
     top = met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return top.select(F.col("q").alias("query_id"), F.col("id").alias("vec_id"), "score", "rank")

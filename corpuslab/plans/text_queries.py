@@ -119,9 +119,9 @@ WITH a AS (SELECT doc_id, length(text) AS c, {_WORDS} AS ws,
 b AS (SELECT *, len(ws) AS n, coalesce(list_sum(list_transform(ws, lambda w: length(w))), 0) AS l,
   coalesce(list_sum(list_transform(ws, lambda w: {_SYLLABLES})), 0) AS y FROM a)
 SELECT doc_id, n::BIGINT AS word_count, c::BIGINT AS char_count, s::BIGINT AS sentence_count, y::BIGINT AS syllable_count,
-  floor((CASE WHEN n = 0 THEN 0 ELSE l::DOUBLE / n END) * 100::DOUBLE + 0.5::DOUBLE) / 100::DOUBLE AS avg_word_length,
-  floor((CASE WHEN n = 0 OR s = 0 THEN 0 ELSE least(100, greatest(0, 206.835::DOUBLE - 1.015::DOUBLE * (n::DOUBLE / s) - 84.6::DOUBLE * (y::DOUBLE / n))) END) * 100::DOUBLE + 0.5::DOUBLE) / 100::DOUBLE AS flesch_ease,
-  floor((CASE WHEN n = 0 OR s = 0 THEN 0 ELSE greatest(0, 0.39::DOUBLE * (n::DOUBLE / s) + 11.8::DOUBLE * (y::DOUBLE / n) - 15.59::DOUBLE) END) * 100::DOUBLE + 0.5::DOUBLE) / 100::DOUBLE AS fk_grade FROM b""")
+  round_even((CASE WHEN n = 0 THEN 0 ELSE l::DOUBLE / n END) * 100::DOUBLE, 0) / 100::DOUBLE AS avg_word_length,
+  round_even((CASE WHEN n = 0 OR s = 0 THEN 0 ELSE least(100, greatest(0, 206.835::DOUBLE - 1.015::DOUBLE * (n::DOUBLE / s) - 84.6::DOUBLE * (y::DOUBLE / n))) END) * 100::DOUBLE, 0) / 100::DOUBLE AS flesch_ease,
+  round_even((CASE WHEN n = 0 OR s = 0 THEN 0 ELSE greatest(0, 0.39::DOUBLE * (n::DOUBLE / s) + 11.8::DOUBLE * (y::DOUBLE / n) - 15.59::DOUBLE) END) * 100::DOUBLE, 0) / 100::DOUBLE AS fk_grade FROM b""")
 def text_statistics(spark, sf_dir):
     return docmeta.text_statistics(spread_table(spark, sf_dir, "documents"))
 

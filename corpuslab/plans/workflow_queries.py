@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from string import ascii_lowercase, ascii_uppercase
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -31,11 +33,11 @@ def validation_distributions(spark, sf_dir):
     return curate.distributions(_typed(spark, sf_dir), {"answer_type": "abstractive", "difficulty": "medium", "is_answerable": "true"})
 
 
-@query(f"""WITH {PAIRS}, d AS (SELECT row_number() OVER (PARTITION BY lower(trim(question)) ORDER BY pair_id) AS nth FROM (SELECT pair_id, question FROM pairs UNION ALL SELECT pair_id + 500, upper(question) FROM pairs WHERE conv_id % 3 = 0))
+@query(f"""WITH {PAIRS}, d AS (SELECT row_number() OVER (PARTITION BY lower(trim(question)) ORDER BY pair_id) AS nth FROM (SELECT pair_id, question FROM pairs UNION ALL SELECT pair_id + 500, translate(question, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') FROM pairs WHERE conv_id % 3 = 0))
 SELECT count(*) AS n, count(*) FILTER (WHERE nth > 1) AS n_duplicates, round(count(*) FILTER (WHERE nth > 1) / count(*)::DOUBLE, 6) AS share, count(*) FILTER (WHERE nth > 1) / count(*)::DOUBLE > 0.1 AS too_many FROM d""")
 def duplicate_share(spark, sf_dir):
     pairs = pairs_of(spark, sf_dir).select("pair_id", "question", "conv_id")
-    return curate.duplicate_share(pairs.unionByName(pairs.where("conv_id % 3 = 0").withColumn("question", F.upper("question"))))
+    return curate.duplicate_share(pairs.unionByName(pairs.where("conv_id % 3 = 0").withColumn("question", F.translate("question", ascii_lowercase, ascii_uppercase))))
 
 
 @query(f"""WITH {PAIRS} SELECT pair_id, conv_id::VARCHAR AS source_chunk_id, substr(sha256(answer), 1, 16) AS chunk_content_hash, 'import' AS created_from FROM pairs""")

@@ -6,39 +6,57 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-
-from ..session import shared_dir
+from pyspark.sql.window import Window
 
 
 def upsert_collection(chunks: DataFrame, path: str, collection: str, key: str = "chunk_id") -> None:
-    """Writes chunks that have an embedding into a collection; those of the same key are replaced."""
+    """Writes chunks that have an embedding into a collection; those of the same key are replaced.
+
+    Of chunks with the same key in one batch one stays, that whose row has the smallest hash.
+    """
     spark = chunks.sparkSession
-    good = chunks.where(F.col("embedding").isNotNull())
+    good = _first_of_each(chunks.where(F.col("embedding").isNotNull()), key)
     if not _exists(spark, f"{path}/collection={collection}"):
         return replace_collection(good, path, collection)
     old = read_collection(spark, path, collection).drop("collection").join(good.select(key), key, "left_anti")
-    # Written aside first: a partition cannot be read and overwritten at once.
-    staged = f"{shared_dir(spark)}/upsert-{uuid.uuid4().hex}"
-    old.unionByName(good).write.parquet(staged)
-    replace_collection(spark.read.parquet(staged), path, collection)
+    _swap(old.unionByName(good), path, collection)
+
+
+def _first_of_each(chunks: DataFrame, key: str) -> DataFrame:
+    least = F.row_number().over(Window.partitionBy(key).orderBy(F.xxhash64(*[F.to_json(F.struct("*"))])))
+    return chunks.withColumn("__nth", least).where("__nth = 1").drop("__nth")
 
 
 def replace_collection(chunks: DataFrame, path: str, collection: str) -> None:
-    """A collection's partition with these chunks alone; other collections stay."""
-    named = chunks.where(F.col("embedding").isNotNull()).withColumn("collection", F.lit(collection))
-    named.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("collection").parquet(path)
+    """A collection's partition with these chunks alone; other collections stay, and so does nothing of this one where there are none."""
+    _swap(chunks.where(F.col("embedding").isNotNull()), path, collection)
 
 
 def delete_from_collection(spark: SparkSession, path: str, collection: str, gone: DataFrame, key: str = "chunk_id") -> None:
     """Drops the chunks whose key is in ``gone``."""
-    staged = f"{shared_dir(spark)}/delete-{uuid.uuid4().hex}"
-    read_collection(spark, path, collection).drop("collection").join(gone.select(key), key, "left_anti").write.parquet(staged)
-    replace_collection(spark.read.parquet(staged), path, collection)
+    _swap(read_collection(spark, path, collection).drop("collection").join(gone.select(key), key, "left_anti"), path, collection)
+
+
+def _swap(chunks: DataFrame, path: str, collection: str) -> None:
+    """Writes a collection aside (it cannot be read and overwritten at once), then puts it in the place of the old one.
+
+    An empty collection is a folder with an empty file, so that its columns stay known.
+    """
+    spark = chunks.sparkSession
+    staged, place = f"{path}/_staged-{uuid.uuid4().hex}", f"{path}/collection={collection}"
+    chunks.drop("collection").write.parquet(staged)
+    files, (new, old) = _files(spark, path), (spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p) for p in (staged, place))
+    files.delete(old, True)
+    if not files.rename(new, old):
+        raise OSError(f"{staged} could not be moved to {place}")
+
+
+def _files(spark: SparkSession, path: str):
+    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
-    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(found)
+    return _files(spark, path).exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path))
 
 
 def read_collection(spark: SparkSession, path: str, collection: str) -> DataFrame:
@@ -52,12 +70,7 @@ def write_version(pairs: DataFrame, path: str, version: int, published: bool = F
     sums = [F.count("*"), F.bit_xor(F.xxhash64(*rows)), F.bit_xor(F.xxhash64(F.lit(7), *rows)), F.sum(F.crc32(*rows))]
     digest = pairs.agg(F.sha2(F.concat_ws("|", *[x.cast("string") for x in sums]), 256)).first()[0]
     manifest = f"{path}/manifest"
-    try:
-        known = spark.read.parquet(manifest).orderBy(F.desc("version")).collect()
-    except Exception as e:  # the first version: there is no manifest yet
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        known = []
+    known = spark.read.parquet(manifest).orderBy(F.desc("version")).collect() if _exists(spark, manifest) else []
     if known and known[0]["content_hash"] == digest:
         return known[0]["version"]
     if any(r["version"] == version and r["is_published"] for r in known):
