@@ -5,14 +5,13 @@ Pairs are rows (pair_id, question, answer); pair_id gives the order in which "fi
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text
 from ..functions.ranking import global_position
+from .cosine_join import similar_vectors  # noqa: F401
 from .joins import small_side
 from .retrieval import embed, vector_topk
 
@@ -160,38 +159,6 @@ def contamination(items: DataFrame, training: DataFrame, share: float = 0.3, cos
     return found
 
 
-#: Rows of a block of vectors on average.
-BLOCK_ROWS = 2048
-
-
-def similar_vectors(rows: DataFrame, threshold: float, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """Pairs i < j of rows with a cosine of at least ``threshold``: a stated all-pairs operator, in blocks.
-
-    Rows are dealt into blocks by hash; each pair of blocks meets once, as one matrix product. The
-    number of blocks follows from the number of rows, so that a product is bounded.
-    """
-    base = rows.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v")).where("id IS NOT NULL")
-    n_blocks = max(1, -(-base.count() // BLOCK_ROWS))
-    base = base.withColumn("b", F.pmod(F.xxhash64("id", "v"), F.lit(n_blocks)).cast("int"))
-    spread = base.select("id", "v", "b", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("o"))
-    spread = spread.select("id", "v", "b", F.least("b", "o").alias("lo"), F.greatest("b", "o").alias("hi"))
-
-    def meet(part: pd.DataFrame) -> pd.DataFrame:
-        x = np.array([np.asarray(v, np.float64) for v in part["v"]])
-        x /= np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-300)
-        ids, blocks = part["id"].to_numpy(), part["b"].to_numpy()
-        lo, hi = part["lo"].iat[0], part["hi"].iat[0]
-        left, right = np.flatnonzero(blocks == lo), np.flatnonzero(blocks == hi)
-        scores = x[left] @ x[right].T
-        i, j = np.nonzero(scores >= threshold - 1e-9)
-        a, b, s = ids[left[i]], ids[right[j]], scores[i, j]
-        keep = a < b if lo == hi else a != b
-        return pd.DataFrame({"i": np.minimum(a, b)[keep], "j": np.maximum(a, b)[keep], "score": s[keep]})
-
-    met = spread.groupBy("lo", "hi").applyInPandas(meet, "i long, j long, score double")
-    return met.withColumn("score", F.round("score", 6)).where(F.col("score") >= threshold)
-
-
 def answer_type(question: Column, answer: Column, context: Column) -> Column:
     a, q = F.trim(F.lower(answer)), F.lower(question)
     words = F.size(F.filter(F.split(answer, r"\s+"), lambda x: x != ""))

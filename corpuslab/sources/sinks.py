@@ -45,7 +45,12 @@ def _swap(chunks: DataFrame, path: str, collection: str) -> None:
     spark = chunks.sparkSession
     staged, place = f"{path}/_staged-{uuid.uuid4().hex}", f"{path}/collection={collection}"
     chunks.drop("collection").write.parquet(staged)
-    files, (new, old) = _files(spark, path), (spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p) for p in (staged, place))
+    put_in_place(spark, staged, place)
+
+
+def put_in_place(spark: SparkSession, staged: str, place: str) -> None:
+    """Moves a written folder to a place, whose old contents go."""
+    files, (new, old) = _files(spark, place), (spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p) for p in (staged, place))
     files.delete(old, True)
     if not files.rename(new, old):
         raise OSError(f"{staged} could not be moved to {place}")
