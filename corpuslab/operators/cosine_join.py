@@ -124,7 +124,7 @@ def meetings(at: DataFrame) -> DataFrame:
     return homes.join(near.groupBy("cell", "ring").agg(F.count("*").alias("others")), ["cell", "ring"])
 
 
-def similar_vectors(rows: DataFrame, threshold: float, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def similar_vectors(rows: DataFrame, threshold: float, id_col: str = "vec_id", vec_col: str = "embedding", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Pairs i < j of rows with a cosine of at least ``threshold``, and their score, rounded to six places.
 
     All pairs are output, however many there are. A zero vector has a cosine of 0 with every other.
@@ -132,7 +132,7 @@ def similar_vectors(rows: DataFrame, threshold: float, id_col: str = "vec_id", v
     at = placed(rows, threshold - 1e-6, id_col, vec_col)
     # No more rows than there are cells and rings.
     sizes = F.broadcast(meetings(at).select(
-        "cell", "ring", F.ceil(F.col("homes") / BLOCK_ROWS).cast("int").alias("na"), F.ceil(F.col("others") / BLOCK_ROWS).cast("int").alias("nb")
+        "cell", "ring", F.ceil(F.col("homes") / block_rows).cast("int").alias("na"), F.ceil(F.col("others") / block_rows).cast("int").alias("nb")
     ))
     block = F.xxhash64("id", "v")
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))

@@ -5,14 +5,15 @@ Pairs are rows (pair_id, question, answer); pair_id gives the order in which "fi
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text
 from ..functions.ranking import global_position
-from .cosine_join import similar_vectors  # noqa: F401
-from .joins import small_side
+from . import cosine_join
+from .postings import first_overlaps
 from .retrieval import embed, vector_topk
 
 # Question phrases that ask for more than one fact.
@@ -102,35 +103,26 @@ def contaminated_exact(pairs: DataFrame, training: DataFrame) -> DataFrame:
     return keys(pairs).join(keys(training).select("hash").distinct(), "hash", "left_semi").select("pair_id").distinct()
 
 
-def char_grams(norm: Column, n: int = 5) -> Column:
-    """Distinct n-grams of an array of characters.
+def char_grams(text: Column, n: int = 5) -> Column:
+    """Distinct n-grams of a text's characters. A set of slices in Python: expressions would count characters anew for each gram."""
 
-    ``norm`` must be a column, not an expression, which would be worked out again for each gram.
-    """
-    # Characters by position: a substring would be counted from the start of the text each time.
-    grams = F.transform(norm, lambda c, i: F.concat(c, *[F.get(norm, i + j) for j in range(1, n)]))
-    return F.array_distinct(F.filter(grams, lambda g: g.isNotNull()))
+    def grams(texts: pd.Series) -> pd.Series:
+        return pd.Series([list({t[i : i + n] for i in range(len(t) - n + 1)}) if t else [] for t in texts])
+
+    return F.pandas_udf(grams, "array<string>").asNondeterministic()(text)
 
 
 def contaminated_ngrams(items: DataFrame, corpus: DataFrame, threshold: float = 0.3, n: int = 5) -> DataFrame:
     """First corpus document (by id) whose grams overlap an item's by ``threshold`` of the smaller set.
 
-    An inverted index: grams are joined, and only grams of items reach the join.
+    A prefix filter over posting lists, rare grams first, see ``postings``.
     """
-    characters = F.filter(F.split(text.hash_normal(F.col("text")), ""), lambda c: c != "")
-    grams = F.explode(char_grams(F.col("t"), n)).alias("gram")
-    a = items.select("item_id", characters.alias("t")).select("item_id", grams)
-    b = corpus.select("doc_id", characters.alias("t")).select("doc_id", grams)
-    na = a.groupBy("item_id").agg(F.count("*").alias("na"))
-    # While the items are few, the corpus' grams meet them where they are made, and only hits are shuffled.
-    hits = b.join(small_side(a), "gram").groupBy("item_id", "doc_id").agg(F.count("*").alias("hits"))
-    # Sizes are counted from exploded rows: beside an explode, Spark would work an array's size out
-    # again for each of its elements.
-    nb = b.groupBy("doc_id").agg(F.count("*").alias("nb"))
-    met = hits.join(na, "item_id").join(nb, "doc_id")
-    share = F.col("hits") / F.least("na", "nb").cast("double")
-    hits = met.withColumn("overlap", share).where(F.col("overlap") >= threshold)
-    return hits.groupBy("item_id").agg(F.min("doc_id").alias("doc_id"), F.round(F.min_by("overlap", "doc_id"), 6).alias("overlap"))
+
+    def grams(rows: DataFrame, id_col: str) -> DataFrame:
+        whole = rows.select(id_col, char_grams(text.hash_normal(F.col("text")), n).alias("g"))
+        return whole.select(id_col, F.size("g").alias("n"), F.explode("g").alias("e"))
+
+    return first_overlaps(grams(items, "item_id").drop("n"), grams(corpus, "doc_id"), threshold)
 
 
 def contamination(items: DataFrame, training: DataFrame, share: float = 0.3, cosine: float | None = None, embedder=None) -> DataFrame:
@@ -159,6 +151,15 @@ def contamination(items: DataFrame, training: DataFrame, share: float = 0.3, cos
     return found
 
 
+#: Rows of a block of vectors on average.
+BLOCK_ROWS = cosine_join.BLOCK_ROWS
+
+
+def similar_vectors(rows: DataFrame, threshold: float, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """Pairs i < j of rows with a cosine of at least ``threshold``: all of them, pruned by angles to pivots."""
+    return cosine_join.similar_vectors(rows, threshold, id_col, vec_col, BLOCK_ROWS)
+
+
 def answer_type(question: Column, answer: Column, context: Column) -> Column:
     a, q = F.trim(F.lower(answer)), F.lower(question)
     words = F.size(F.filter(F.split(answer, r"\s+"), lambda x: x != ""))

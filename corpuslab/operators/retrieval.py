@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import word_set
-from .joins import small_side
+from .postings import top_overlaps
 
 
 class Embedder(Protocol):
@@ -154,15 +154,11 @@ def maxsim(candidates: DataFrame, tokens: DataFrame) -> DataFrame:
 def overlap_search(items: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """The ``k`` documents that hold most of an item's distinct words: item_id, doc_id, hits, n_words, rank.
 
-    Words of the items are joined with words of the documents, so only shared words meet; while the
-    items are few, they meet where the documents are read, and only counts by item and document
-    are shuffled.
+    Words that very many documents hold pair no items with documents, see ``postings``.
     """
-    a = items.select("item_id", word_set(F.col("text")).alias("w")).select("item_id", F.size("w").alias("n_words"), F.explode("w").alias("word"))
-    b = docs.select("doc_id", F.explode(word_set(F.col("text"))).alias("word"))
-    hits = b.join(small_side(a), "word").groupBy("item_id", "n_words", "doc_id").agg(F.count("*").alias("hits"))
-    order = Window.partitionBy("item_id").orderBy(F.desc("hits"), "doc_id")
-    return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    a = items.select("item_id", F.explode(word_set(F.col("text"))).alias("e"))
+    b = docs.select("doc_id", F.explode(word_set(F.col("text"))).alias("e"))
+    return top_overlaps(a, b, k)
 
 
 def contexts(retrieved: DataFrame) -> DataFrame:

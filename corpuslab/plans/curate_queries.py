@@ -97,9 +97,13 @@ def contamination_exact(spark, sf_dir):
     return curate.contaminated_exact(pairs.where("pair_id % 1000 < 500"), pairs.where("pair_id % 1000 >= 500"))
 
 
-@query()
+_GRAMS = "SELECT {0}, unnest(list_distinct(list_transform(range(1, len(c) - 3), lambda i: array_to_string(c[i:i + 4], '')))) AS g FROM (SELECT {0}, string_split(" + _N.format("text") + ", '') AS c FROM {1}) WHERE len(c) > 4"
+
+
+@query(f"""WITH a AS ({_GRAMS.format('item_id', 'benchmark')}), b AS ({_GRAMS.format('doc_id', 'documents')}), na AS (SELECT item_id, count(*) AS na FROM a GROUP BY item_id), nb AS (SELECT doc_id, count(*) AS nb FROM b GROUP BY doc_id),
+h AS (SELECT item_id, doc_id, count(*) AS hits FROM a JOIN b USING (g) GROUP BY item_id, doc_id), o AS (SELECT item_id, doc_id, hits / least(na, nb)::DOUBLE AS overlap FROM h JOIN na USING (item_id) JOIN nb USING (doc_id))
+SELECT item_id, min(doc_id) AS doc_id, round(arg_min(overlap, doc_id), 6) AS overlap FROM o WHERE overlap >= 0.3::DOUBLE GROUP BY item_id""")
 def contamination_ngram(spark, sf_dir):
-    """Too slow in SQL on whole tables; a test holds it against brute force."""
     return curate.contaminated_ngrams(table(spark, sf_dir, "benchmark"), spread_table(spark, sf_dir, "documents"))
 
 

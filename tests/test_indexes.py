@@ -88,10 +88,9 @@ def test_token_index(spark, tmp_path):
 
 
 @pytest.mark.parametrize("threshold", [0.95, 0.5, 0.0, -0.2])
-def test_cosine_join_brute_force(spark, monkeypatch, threshold):
-    monkeypatch.setattr(cosine_join, "BLOCK_ROWS", 50)
+def test_cosine_join_brute_force(spark, threshold):
     rows = clustered(300, dim=6, spread=0.4, seed=3) + [(1000, [0.0] * 6), (1001, [1.0] + [0.0] * 5), (1002, [2.0] + [0.0] * 5), (1003, None)]
-    got = cosine_join.similar_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), threshold).collect()
+    got = cosine_join.similar_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), threshold, block_rows=50).collect()
     known = [(i, v) for i, v in rows if v is not None]
     x = np.array([v for _, v in known])
     x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
