@@ -16,11 +16,18 @@ ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = ASCII_UPPER.lower()
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+#: Rows of a file where ``written`` is told their number.
+ROWS_A_FILE = 50_000
+
+
+def written(df: DataFrame, name: str, about: int | None = None) -> DataFrame:
     """Cuts the lineage: writes ``df`` as Parquet into the shared folder and reads it again.
 
-    A lost executor then costs a re-read of the table, never the work before it.
+    A lost executor then costs a re-read of the table, never the work before it. Where the number
+    of rows is known (``about``), small tables get few files, however many the shuffle partitions.
     """
+    if about is not None:
+        df = df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-about // ROWS_A_FILE)))
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     found = df.sparkSession.read.schema(df.schema).parquet(path)

@@ -61,6 +61,8 @@ DIFFERENCES_PER_SPARE = 8
 BAND_RATIO = 1.25
 #: The keys are joined in so many parts, one after another, which bounds the disk that shuffles take.
 KEY_PARTS = 4
+#: Keys of a row that others share, about.
+KEYS_A_ROW = 8
 #: And so are the pairs whose whole sets meet, and the differences to pivots.
 PAIR_PARTS = 2
 #: Members of a subregion beyond which its region is taken with rare differences first.
@@ -246,22 +248,23 @@ def _labelled(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_col
     named = named.withColumn("row", row_key("doc_id", "text"))
     with small_batches(docs.sparkSession, BATCH):
         keyed = written(named.select("doc_id", "row", _sketcher(k, num, den)("text").alias("s")).select("doc_id", "row", "s.*"), "join-keyed")
+    n_rows = keyed.count()
     rows = written(keyed.select("doc_id", "row", "n", "class"), "join-rows")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("least")
     facts = rows.where("n > 0").groupBy("class", "n").agg(least)
     facts = facts.select(F.monotonically_increasing_id().alias("c"), "class", "n", F.col("least.doc_id").alias("min_id"), F.col("least.row").alias("row"))
-    facts = written(facts, "join-facts")
+    facts = written(facts, "join-facts", n_rows)
 
-    members = blocks(keyed, facts)
+    members = blocks(keyed, facts, n_rows)
     roots = class_roots(docs, members, facts, k, num, den, id_col, text_col)
     labelled = facts.join(roots.withColumnRenamed("node", "c"), "c", "left").select("class", "min_id", F.coalesce("root", "c").alias("root"))
     least = labelled.groupBy("root").agg(F.min("min_id").alias("component_id"))
-    components = written(labelled.join(least, "root").select("class", "root", "component_id"), "join-components")
+    components = written(labelled.join(least, "root").select("class", "root", "component_id"), "join-components", n_rows)
     removed(facts)
     return rows.join(components, "class", "left")
 
 
-def blocks(keyed: DataFrame, facts: DataFrame) -> DataFrame:
+def blocks(keyed: DataFrame, facts: DataFrame, n_rows: int) -> DataFrame:
     """The members (key, c) of each block of two classes or more; blocks with the same members are one block.
 
     Until the members are known, 64 bits stand for a class: should two classes share them, a block
@@ -272,14 +275,14 @@ def blocks(keyed: DataFrame, facts: DataFrame) -> DataFrame:
     for part in range(KEY_PARTS):
         some = keyed.select(F.xxhash64("class").alias("h"), F.explode(f"k{part}").alias("key"))
         shared = some.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select("key")
-        parts.append(written(some.join(shared, "key").distinct(), "join-shared"))
+        parts.append(written(some.join(shared, "key").distinct(), "join-shared", n_rows * KEYS_A_ROW // KEY_PARTS))
         released(spark)
     removed(keyed)
     members = reduce(DataFrame.union, parts)
     alike = members.groupBy("key").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("h")).alias("a"), F.bit_xor(F.xxhash64("h", F.lit(1))).alias("b"))
     alike = alike.groupBy("size", "a", "b").agg(F.min("key").alias("key")).select("key")
     named = members.join(alike, "key").join(facts.select(F.xxhash64("class").alias("h"), "c"), "h").select("key", "c")
-    named = written(named, "join-members")
+    named = written(named, "join-members", sum(p.count() for p in parts))
     removed(*parts)
     released(spark)
     return named
@@ -288,38 +291,41 @@ def blocks(keyed: DataFrame, facts: DataFrame) -> DataFrame:
 def class_roots(docs: DataFrame, members: DataFrame, facts: DataFrame, k: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
     """The root of each class that is linked to another (node, root). The table ``members`` is deleted."""
     spark = members.sparkSession
+    n_members = members.count()
     sizes = members.groupBy("key").agg(F.count("*").alias("size"))
     degree = members.join(sizes, "key").groupBy("c").agg(F.sum("size").alias("degree"))
     pivots = members.join(degree, "c").groupBy("key").agg(F.max(F.struct("degree", F.negative("c").alias("c"))).alias("top"))
     placed = members.join(pivots.select("key", F.negative("top.c").alias("p")), "key").where("c <> p")
-    of_block = written(placed.select("key", F.col("c").alias("x"), "p"), "join-regions")
+    of_block = written(placed.select("key", F.col("c").alias("x"), "p"), "join-regions", n_members)
     removed(members)
     regions = of_block.select("x", "p").distinct()
 
     involved = of_block.select("x", F.lit(False).alias("pivot")).union(of_block.select("p", F.lit(True))).groupBy("x").agg(F.max("pivot").alias("pivot"))
-    involved = written(involved, "join-involved")
+    involved = written(involved, "join-involved", n_members)
     wanted = involved.join(facts.select(F.col("c").alias("x"), "class", "n", "row"), "x")
     texts = docs.select(row_key(id_col, text_col).alias("row"), F.col(text_col).alias("text"))
     # Written before repeated rows are dropped, so that they meet no more than once in a task.
     texts = written(texts.join(wanted.select("row"), "row", "left_semi"), "join-texts")
     released(spark)
     with small_batches(spark, BATCH):
-        sets = written(_sets_of(wanted, texts.dropDuplicates(["row"]), k), "join-sets")
+        sets = written(_sets_of(wanted, texts.dropDuplicates(["row"]), k), "join-sets", n_members)
     removed(texts, involved)
     released(spark)
 
-    regions = written(regions, "join-pairs")
-    parts = [_placed(regions, sets, num, den, part) for part in range(PAIR_PARTS)]
+    regions = written(regions, "join-pairs", n_members)
+    n_placed = regions.count()
+    parts = [_placed(regions, sets, num, den, part, n_placed) for part in range(PAIR_PARTS)]
     placed = reduce(DataFrame.union, parts)
-    links = [written(placed.where("near").select("x", F.col("p").alias("y")), "join-links")]
+    links = [written(placed.where("near").select("x", F.col("p").alias("y")), "join-links", n_placed)]
     roots = _roots(links)
     pairs = region_pairs(of_block, placed, roots, sets, num, den)
     removed(of_block, regions, *parts)
     released(spark)
+    n_pairs = pairs.count()
     # The partner in each component that shares most subregions first, the others if that is no link.
     best = pairs.groupBy("x", "root_y").agg(F.max(F.struct("shared", F.negative("y").alias("y"))).alias("best"))
     for some in (best.select("x", F.negative("best.y").alias("y")), None):
-        more = _verified(_between(pairs.select("x", "y"), roots) if some is None else some, sets, num, den)
+        more = _verified(_between(pairs.select("x", "y"), roots) if some is None else some, sets, num, den, n_pairs)
         links += more
         if not all(m.isEmpty() for m in more):
             roots = _roots(links)
@@ -327,7 +333,7 @@ def class_roots(docs: DataFrame, members: DataFrame, facts: DataFrame, k: int, n
     return roots
 
 
-def _placed(regions: DataFrame, sets: DataFrame, num: int, den: int, part: int) -> DataFrame:
+def _placed(regions: DataFrame, sets: DataFrame, num: int, den: int, part: int, about: int) -> DataFrame:
     """Distances and differences of one part of the members to their pivots, and whether they are links."""
     spark = regions.sparkSession
     mine = F.pmod(F.xxhash64("x"), F.lit(PAIR_PARTS)) == part
@@ -337,36 +343,37 @@ def _placed(regions: DataFrame, sets: DataFrame, num: int, den: int, part: int)
     met = met.withColumn("d", _differ(num, den)("xset", "pset")).select("x", "p", "nx", "np", "d.*")
     near = F.expr(f"{den} * (nx - n_own) >= {num} * (np + n_own)")
     with small_batches(spark, BATCH):
-        found = written(met.withColumn("near", near), "join-placed")
+        found = written(met.withColumn("near", near), "join-placed", about)
     released(spark)
     return found
 
 
 def region_pairs(of_block: DataFrame, placed: DataFrame, roots: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (x, y) of different components that the differences to their pivots leave possible: x, y, root_y, shared."""
-    spark = placed.sparkSession
+    spark, n_placed = placed.sparkSession, placed.count()
     root = F.coalesce("root", "x").alias("root")
     of_block = of_block.join(roots.withColumnRenamed("node", "x"), "x", "left").select("key", "x", "p", root)
     mixed = of_block.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
     mixed = of_block.join(mixed, "key").select("x", "p", "root").distinct()
-    lists = written(placed.join(mixed, ["x", "p"]), "join-lists")
-    crowded = written(_subregions(lists.select("p", "near", "root", F.explode("first").alias("e"))).where(F.col("n") > CROWD).select("p").distinct(), "join-crowded")
+    lists = written(placed.join(mixed, ["x", "p"]), "join-lists", n_placed)
+    n_lists = lists.count()
+    crowded = written(_subregions(lists.select("p", "near", "root", F.explode("first").alias("e"))).where(F.col("n") > CROWD).select("p").distinct(), "join-crowded", n_lists)
     # At the first difference that both have, what stands before it is only x's or only y's. What
     # follows differs by no less than its numbers do: own and lost differences apart.
     own = F.expr("abs(a.n_own - a.at - b.n_own + b.at) + abs(a.n_lost - b.n_lost)")
     lost = F.expr("abs(a.n_own + a.n_lost - a.at - b.n_own - b.n_lost + b.at)")
     roomy, parts = lists.join(small_or_not(crowded), "p", "left_anti"), []
     for part in range(PAIR_PARTS):
-        parts.append(written(_meeting(roomy, F.when(F.col("a.at") < F.col("a.n_own"), own).otherwise(lost), num, den, part), "join-meetings"))
+        parts.append(written(_meeting(roomy, F.when(F.col("a.at") < F.col("a.n_own"), own).otherwise(lost), num, den, part), "join-meetings", n_lists))
         released(spark)
     if not crowded.isEmpty():
         ordered = _rare_first(lists.join(small_or_not(crowded), "p", "left_semi"), sets, num, den)
         for part in range(PAIR_PARTS):
-            parts.append(written(_meeting(ordered, lost, num, den, part), "join-meetings"))
+            parts.append(written(_meeting(ordered, lost, num, den, part), "join-meetings", n_lists))
             released(spark)
         removed(ordered)
     found = reduce(DataFrame.union, parts).groupBy("x", "y", "root_y").agg(F.sum("shared").alias("shared"))
-    found = written(found, "join-candidates")
+    found = written(found, "join-candidates", sum(p.count() for p in parts))
     removed(lists, crowded, *parts)
     return found
 
@@ -379,20 +386,20 @@ def _subregions(diffs: DataFrame) -> DataFrame:
 
 def _rare_first(lists: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Members of crowded regions with their first differences, those that many members share last."""
-    spark = lists.sparkSession
+    spark, n_lists = lists.sparkSession, lists.count()
     xs = sets.select("x", F.col("set").alias("xset"))
     ps = sets.where("pivot").select(F.col("x").alias("p"), F.col("set").alias("pset"))
     whole = lists.drop("first").join(xs, "x").join(ps, "p").withColumn("all", _all_differences()("xset", "pset")).drop("xset", "pset")
     with small_batches(spark, BATCH):
-        whole = written(whole, "join-differences")
+        whole = written(whole, "join-differences", n_lists)
     sizes = whole.groupBy("p").agg(F.count("*").alias("size"))
     counts = whole.select("p", F.explode("all").alias("e")).groupBy("p", "e").agg(F.count("*").alias("n")).where(F.col("n") > CROWD)
     common = counts.join(sizes, "p").where(F.col("n") * COMMON_SHARE > F.col("size")).groupBy("p").agg(F.collect_list("e").alias("common"))
-    common = written(common, "join-common")
+    common = written(common, "join-common", n_lists)
     ordered = whole.join(small_or_not(common, "common"), "p", "left")
     first = _rare_before_common(num, den)("nx", "all", F.coalesce("common", F.array().cast("array<long>")))
     with small_batches(spark, BATCH):
-        found = written(ordered.withColumn("first", first).drop("all", "common"), "join-ordered")
+        found = written(ordered.withColumn("first", first).drop("all", "common"), "join-ordered", n_lists)
     removed(whole, common)
     return found
 
@@ -404,7 +411,7 @@ def _meeting(lists: DataFrame, follows: Column, num: int, den: int, part: int) -
     """
     diffs = lists.select("p", "x", "nx", "n_own", "n_lost", "near", "root", F.posexplode("first").alias("at", "e"))
     diffs = diffs.where(F.pmod(F.xxhash64("e"), F.lit(PAIR_PARTS)) == part)
-    shared = written(_subregions(diffs).select("p", "e"), "join-subregions")
+    shared = written(_subregions(diffs).select("p", "e"), "join-subregions", lists.count())
     diffs = diffs.join(shared, ["p", "e"])
     a, b = diffs.where("NOT near").alias("a"), diffs.alias("b")
     same = (F.col("a.p") == F.col("b.p")) & (F.col("a.e") == F.col("b.e")) & (F.col("a.root") != F.col("b.root"))
@@ -428,10 +435,11 @@ def _between(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return pairs.join(of_x, "x", "left").join(of_y, "y", "left").where(apart).drop("rx", "ry")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> list[DataFrame]:
+def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int, about: int) -> list[DataFrame]:
     """The pairs that are links, by their whole sets, in parts."""
     spark = pairs.sparkSession
-    pairs, links = written(pairs, "join-pairs"), []
+    pairs, links = written(pairs, "join-pairs", about), []
+    n_pairs = pairs.count()
     for part in range(PAIR_PARTS):
         mine = pairs.where(F.pmod(F.xxhash64("x"), F.lit(PAIR_PARTS)) == part)
         wanted_x, wanted_y = (small_or_not(mine.select(F.col(c).alias("x")).distinct()) for c in ("x", "y"))
@@ -439,7 +447,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> list[Dat
         ys = sets.join(wanted_y, "x", "left_semi").select(F.col("x").alias("y"), F.col("n").alias("ny"), F.col("set").alias("yset"))
         met = mine.join(xs, "x").join(ys, "y").withColumn("i", _meeter()("xset", "yset"))
         with small_batches(spark, BATCH):
-            links.append(written(met.where(f"{den} * i >= {num} * (nx + ny - i)").select("x", "y"), "join-links"))
+            links.append(written(met.where(f"{den} * i >= {num} * (nx + ny - i)").select("x", "y"), "join-links", n_pairs))
         released(spark)
     removed(pairs)
     return links
