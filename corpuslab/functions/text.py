@@ -82,6 +82,33 @@ def apply_pattern(text: Column, pattern: str) -> Column:
     return F.regexp_replace(text, pattern, "") if _compiles(pattern) else text
 
 
+def apply_untrusted_pattern(text: Column, pattern: str, replacement: str = "", seconds: float = 1.0) -> Column:
+    """An untrusted pattern's matches are replaced, in each text within a time limit.
+
+    A text that takes longer (a pattern may take exponential time) stays as it is, and so do all
+    where the pattern is invalid. Runs in Python, whose ``regex`` module can be interrupted.
+    """
+    import regex
+
+    try:
+        regex.compile(pattern)
+    except regex.error:
+        return text
+
+    def replace(texts: pd.Series) -> pd.Series:
+        compiled = regex.compile(pattern)
+
+        def one(value: str | None) -> str | None:
+            try:
+                return None if value is None else compiled.sub(replacement, value, timeout=seconds)
+            except TimeoutError:
+                return value
+
+        return texts.map(one)
+
+    return F.pandas_udf(replace, "string")(text)
+
+
 def strip_page_numbers(text: Column) -> Column:
     text = F.regexp_replace(text, r"\n\s*\d+\s*\n", "\n")
     return F.regexp_replace(text, r"(?m)^\s*\d+\s*$", "")

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.cell_index import CellIndex
+from ..operators.substring_index import SubstringIndex
 from ..session import shared_dir
 from .base import query, table
 
@@ -62,3 +65,17 @@ def token_index_updates(spark, sf_dir):
     again = rows.where("owner % 6 = 0").withColumn("embedding", F.transform("embedding", lambda x: -x))
     index.add(again, owner_col="owner")
     return _found(index, rows)
+
+
+_PAGES = " UNION ALL ".join(
+    f"SELECT * FROM (SELECT '{p}' AS pattern, doc_id, left(text, 100) AS content, length(text) AS full_length, count(*) OVER () AS total FROM documents WHERE contains(lower(text), lower('{p}')) ORDER BY doc_id LIMIT 5 OFFSET 3)"
+    for p in ("Ability", "ing the", "qu", "not there at all")
+)
+
+
+@query(_PAGES)
+def substring_pages(spark, sf_dir):
+    """Pages of substring searches by trigram lists: a rarer pattern, a common one, one too short, and one that nothing holds."""
+    index = SubstringIndex.create(table(spark, sf_dir, "documents"), scratch(spark, "trigrams"))
+    pages = [index.page(p, 3, 5, 100).select(F.lit(p).alias("pattern"), "*") for p in ("Ability", "ing the", "qu", "not there at all")]
+    return reduce(DataFrame.unionByName, [p.select("pattern", "doc_id", "content", "full_length", "total") for p in pages])

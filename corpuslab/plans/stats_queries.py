@@ -92,3 +92,17 @@ def bootstrap_ci(spark, sf_dir):
         F.col("label").alias("group"), (F.row_number().over(order) - 1).cast("long").alias("ix"), F.get("embedding", F.lit(0)).cast("double").alias("value")
     )
     return stats.bootstrap_ci(rows)
+
+
+@query("""WITH p AS (SELECT label * 100 + vec_id % 40 AS "group", embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b FROM embeddings),
+f AS (SELECT "group", count(*) AS n, avg(b - a) AS m, stddev_samp(b - a) AS sd FROM p GROUP BY "group"), t AS (SELECT "group", n, (n - 1)::BIGINT AS df, CASE WHEN n > 1 AND sd > 0 THEN m / (sd / sqrt(n)) ELSE 0 END AS t FROM f),
+o AS (SELECT *, atan(abs(t) / sqrt(df)) AS o FROM t),
+q AS (SELECT *, CASE WHEN t = 0 THEN 0 WHEN df % 2 = 0 THEN sin(o) * list_sum(list_transform(range(df // 2), lambda k: exp(lgamma(k + 0.5) - lgamma(0.5) - lgamma(k + 1)) * cos(o) ** (2 * k)))
+ WHEN df = 1 THEN 2 * o / pi() ELSE 2 / pi() * (o + sin(o) * list_sum(list_transform(range((df - 1) // 2), lambda k: exp(lgamma(k + 1) + lgamma(1.5) - lgamma(k + 1.5)) * cos(o) ** (2 * k + 1)))) END AS inside FROM o)
+SELECT "group", n, round(t, 6) AS t, round(CASE WHEN t = 0 THEN 1 ELSE 1 - inside END, 6) AS p FROM q""")
+def small_t_tests(spark, sf_dir):
+    """Groups of few pairs: the exact tail. The SQL sums the finite series of whole degrees of freedom instead."""
+    pairs = table(spark, sf_dir, "embeddings").select(
+        (F.col("label") * 100 + F.col("vec_id") % 40).alias("group"), F.get("embedding", F.lit(0)).cast("double").alias("a"), F.get("embedding", F.lit(1)).cast("double").alias("b")
+    )
+    return stats.paired_t_test(pairs)

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpuslab.operators import cosine_join
+from corpuslab.operators import substring_index
 from corpuslab.operators.cell_index import CellIndex
 
 
@@ -113,3 +114,17 @@ def test_cosine_join_prunes_clusters(spark):
 
 def test_empty_join(spark):
     assert cosine_join.similar_vectors(spark.createDataFrame([], "vec_id long, embedding array<double>"), 0.5).count() == 0
+
+
+def test_substring_index(spark, tmp_path):
+    texts = [f"Document {i} of the Größe {'xyz' if i % 40 == 0 else 'abc'} with 100% and _under_" for i in range(200)] + ["", None, "xy"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    index = substring_index.SubstringIndex.create(docs, str(tmp_path / "s"))
+    for pattern in ("XYZ", "größe xyz", "xy", "of the", "100%", "_under_", "nt 17", "nothing", "", "c with", "\\", "."):
+        found = {r["doc_id"] for r in index.search(pattern).collect()}
+        assert found == {i for i, t in enumerate(texts) if t is not None and pattern.lower() in t.lower()} or (pattern == "" and len(found) == 203)
+    assert index.candidates("xyz").count() == 5 and index.candidates("of the") is None and index.candidates("nothing").count() == 0
+    plan = index.candidates("xyz")._jdf.queryExecution().toString()
+    assert "PartitionFilters: [bucket" in plan or "PartitionFilters: [isnotnull(bucket" in plan
+    page = index.page("document", 10, 5, 8).orderBy("doc_id").collect()
+    assert [(r["doc_id"], r["content"], r["total"]) for r in page] == [(i, "Document", 200) for i in range(10, 15)]

@@ -153,3 +153,24 @@ def test_vectors_in_bounded_blocks(spark, monkeypatch):
     scores = {(r["query_id"], r["doc_id"]): r["score"] for r in retrieval.maxsim(asked, tokens).collect()}
     part = {"a": x[:90], "b": x[90:]}
     assert all(abs(scores[q, d] - (part[q] @ part[d].T).max(axis=1).sum()) < 1e-5 for q in "ab" for d in "ab") and len(scores) == 4
+
+
+def test_incomplete_beta_as_an_expression(spark):
+    """The fold over columns agrees with the loop, over the whole range of parameters."""
+    rows = [(a, b, x) for a in (0.5, 1.0, 2.5, 17.0, 50.0) for b in (0.5, 1.0, 3.0, 40.0) for x in (0.0, 1e-6, 0.05, 0.3, 0.5, 0.77, 0.999, 1.0)]
+    got = spark.createDataFrame(rows, "a double, b double, x double").withColumn("i", stats.incomplete_beta_column(F.col("a"), F.col("b"), F.col("x"))).collect()
+    assert len(got) == len(rows) and all(abs(r["i"] - stats.incomplete_beta(r["a"], r["b"], r["x"])) < 1e-9 for r in got)
+    few = spark.createDataFrame([(0.0, 0), (None, 3), (2.0, 1), (2.0, 5), (2.0, 300)], "t double, df int").select(stats.t_p_value(F.col("t"), F.col("df")).alias("p")).collect()
+    assert few[0]["p"] is None and few[1]["p"] is None
+    assert [round(r["p"], 4) for r in few[2:]] == [0.2952, 0.1019, 0.0455]
+
+
+def test_untrusted_patterns_are_interrupted(spark):
+    """A pattern of exponential time leaves its row as it is, in bounded time; other rows are replaced."""
+    import time
+
+    rows = spark.createDataFrame([("a" * 60 + "!",), ("aaab",), (None,)], "t string")
+    began = time.time()
+    got = [r[0] for r in rows.coalesce(1).select(text.apply_untrusted_pattern(F.col("t"), r"(a|aa)+b|(a|a)+\$", "X", 0.3)).collect()]
+    assert got == ["a" * 60 + "!", "X", None] and time.time() - began < 30
+    assert [r[0] for r in rows.select(text.apply_untrusted_pattern(F.col("t"), "(")).collect()] == [r[0] for r in rows.collect()]
