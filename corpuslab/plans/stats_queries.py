@@ -106,3 +106,15 @@ def small_t_tests(spark, sf_dir):
         (F.col("label") * 100 + F.col("vec_id") % 40).alias("group"), F.get("embedding", F.lit(0)).cast("double").alias("a"), F.get("embedding", F.lit(1)).cast("double").alias("b")
     )
     return stats.paired_t_test(pairs)
+
+
+@query(f"""WITH v AS (SELECT label AS "group", vec_id AS ix, embedding[1]::DOUBLE AS value FROM embeddings), d0 AS (SELECT *, unnest(range(1000)) AS r FROM v),
+d1 AS (SELECT *, (42 * 42 + {stats.ROUNDS[0][0]} * ix % {stats.PRIME} + {stats.ROUNDS[0][1]} * r % {stats.PRIME} + {stats.ROUNDS[0][2]}) % {stats.PRIME} AS h1 FROM d0),
+d2 AS (SELECT *, (h1 * h1 + {stats.ROUNDS[1][0]} * ix % {stats.PRIME} + {stats.ROUNDS[1][1]} * r % {stats.PRIME} + {stats.ROUNDS[1][2]}) % {stats.PRIME} AS h2 FROM d1),
+d3 AS (SELECT *, (h2 * h2 + {stats.ROUNDS[2][0]} * ix % {stats.PRIME} + {stats.ROUNDS[2][1]} * r % {stats.PRIME} + {stats.ROUNDS[2][2]}) % {stats.PRIME} AS h3 FROM d2),
+w AS (SELECT *, {" + ".join(f"(h3 >= {t})::INT" for t in stats.TAKEN)} AS w FROM d3), m AS (SELECT "group", r, sum(w * value) / sum(w) AS m FROM w GROUP BY "group", r)
+SELECT "group", round(mean, 6) AS mean, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high, round(stddev_pop(m), 6) AS std_error
+FROM m JOIN (SELECT "group", avg(value) AS mean FROM v GROUP BY "group") USING ("group") GROUP BY "group", mean""")
+def poisson_bootstrap(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").select(F.col("label").alias("group"), F.col("vec_id").alias("ix"), F.get("embedding", F.lit(0)).cast("double").alias("value"))
+    return stats.poisson_bootstrap(rows)

@@ -174,3 +174,21 @@ def test_untrusted_patterns_are_interrupted(spark):
     got = [r[0] for r in rows.coalesce(1).select(text.apply_untrusted_pattern(F.col("t"), r"(a|aa)+b|(a|a)+\$", "X", 0.3)).collect()]
     assert got == ["a" * 60 + "!", "X", None] and time.time() - began < 30
     assert [r[0] for r in rows.select(text.apply_untrusted_pattern(F.col("t"), "(")).collect()] == [r[0] for r in rows.collect()]
+
+
+def test_poisson_bootstrap(spark):
+    """Weights are Poisson(1) and unrelated; the interval is that of the textbook; parts of any size agree."""
+    import numpy as np
+
+    w = stats.resample_weights(np.arange(3000), 400, 42)
+    assert abs(w.mean() - 1) < 0.01 and abs(w.var() - 1) < 0.02
+    assert np.abs(np.corrcoef(w[:50])[np.triu_indices(50, 1)]).max() < 0.3 and np.abs(np.corrcoef(w.T[:50])[np.triu_indices(50, 1)]).max() < 0.1
+    rng = np.random.default_rng(1)
+    values = rng.normal(5, 2, 2000)
+    rows = [("a", i, float(v)) for i, v in enumerate(values)] + [("b", 0, 1.0), ("c", 0, None)]
+    df = spark.createDataFrame(rows, "group string, ix long, value double")
+    got = {r["group"]: r for r in stats.poisson_bootstrap(df.repartition(7)).collect()}
+    assert set(got) == {"a", "b"} and got["b"]["low"] == got["b"]["high"] == 1.0
+    se = values.std() / np.sqrt(len(values))
+    assert abs(got["a"]["std_error"] / se - 1) < 0.1 and abs((got["a"]["high"] - got["a"]["low"]) / (2 * 1.96 * se) - 1) < 0.12
+    assert {r["group"]: r for r in stats.poisson_bootstrap(df.coalesce(1)).collect()} == got
