@@ -16,18 +16,20 @@ ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = ASCII_UPPER.lower()
 
 
-#: Rows of a file where ``written`` is told their number.
-ROWS_A_FILE = 50_000
+#: Rows of a file where ``written`` is told their number, and up to how many it deals them out for that.
+ROWS_A_FILE, MOST_DEALT = 50_000, 4_000_000
 
 
 def written(df: DataFrame, name: str, about: int | None = None) -> DataFrame:
     """Cuts the lineage: writes ``df`` as Parquet into the shared folder and reads it again.
 
     A lost executor then costs a re-read of the table, never the work before it. Where the number
-    of rows is known (``about``), small tables get few files, however many the shuffle partitions.
+    of rows is known (``about``), small tables of narrow rows are dealt into few files, however many
+    the shuffle partitions. (``coalesce`` would run the work before in those few tasks, each of which
+    keeps the sort buffers of all its partitions.)
     """
-    if about is not None:
-        df = df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-about // ROWS_A_FILE)))
+    if about is not None and about <= MOST_DEALT:
+        df = df.repartition(-(-about // ROWS_A_FILE) or 1)
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     found = df.sparkSession.read.schema(df.schema).parquet(path)

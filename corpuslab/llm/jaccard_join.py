@@ -60,11 +60,11 @@ SPARE = 2
 DIFFERENCES_PER_SPARE = 8
 BAND_RATIO = 1.25
 #: The keys are joined in so many parts, one after another, which bounds the disk that shuffles take.
-KEY_PARTS = 4
+KEY_PARTS = 8
 #: Keys of a row that others share, about.
 KEYS_A_ROW = 8
 #: And so are the pairs whose whole sets meet, and the differences to pivots.
-PAIR_PARTS = 2
+PAIR_PARTS = 4
 #: Members of a subregion beyond which its region is taken with rare differences first.
 CROWD = 64
 #: Differences are common that more than ``CROWD`` members share, and more than one in so many: few enough for a list of each region.
@@ -308,13 +308,13 @@ def class_roots(docs: DataFrame, members: DataFrame, facts: DataFrame, k: int, n
     texts = written(texts.join(wanted.select("row"), "row", "left_semi"), "join-texts")
     released(spark)
     with small_batches(spark, BATCH):
-        sets = written(_sets_of(wanted, texts.dropDuplicates(["row"]), k), "join-sets", n_members)
+        sets = written(_sets_of(wanted, texts.dropDuplicates(["row"]), k), "join-sets")
     removed(texts, involved)
     released(spark)
 
     regions = written(regions, "join-pairs", n_members)
     n_placed = regions.count()
-    parts = [_placed(regions, sets, num, den, part, n_placed) for part in range(PAIR_PARTS)]
+    parts = [_placed(regions, sets, num, den, part) for part in range(PAIR_PARTS)]
     placed = reduce(DataFrame.union, parts)
     links = [written(placed.where("near").select("x", F.col("p").alias("y")), "join-links", n_placed)]
     roots = _roots(links)
@@ -333,7 +333,7 @@ def class_roots(docs: DataFrame, members: DataFrame, facts: DataFrame, k: int, n
     return roots
 
 
-def _placed(regions: DataFrame, sets: DataFrame, num: int, den: int, part: int, about: int) -> DataFrame:
+def _placed(regions: DataFrame, sets: DataFrame, num: int, den: int, part: int) -> DataFrame:
     """Distances and differences of one part of the members to their pivots, and whether they are links."""
     spark = regions.sparkSession
     mine = F.pmod(F.xxhash64("x"), F.lit(PAIR_PARTS)) == part
@@ -343,19 +343,19 @@ def _placed(regions: DataFrame, sets: DataFrame, num: int, den: int, part: int,
     met = met.withColumn("d", _differ(num, den)("xset", "pset")).select("x", "p", "nx", "np", "d.*")
     near = F.expr(f"{den} * (nx - n_own) >= {num} * (np + n_own)")
     with small_batches(spark, BATCH):
-        found = written(met.withColumn("near", near), "join-placed", about)
+        found = written(met.withColumn("near", near), "join-placed")
     released(spark)
     return found
 
 
 def region_pairs(of_block: DataFrame, placed: DataFrame, roots: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (x, y) of different components that the differences to their pivots leave possible: x, y, root_y, shared."""
-    spark, n_placed = placed.sparkSession, placed.count()
+    spark = placed.sparkSession
     root = F.coalesce("root", "x").alias("root")
     of_block = of_block.join(roots.withColumnRenamed("node", "x"), "x", "left").select("key", "x", "p", root)
     mixed = of_block.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
     mixed = of_block.join(mixed, "key").select("x", "p", "root").distinct()
-    lists = written(placed.join(mixed, ["x", "p"]), "join-lists", n_placed)
+    lists = written(placed.join(mixed, ["x", "p"]), "join-lists")
     n_lists = lists.count()
     crowded = written(_subregions(lists.select("p", "near", "root", F.explode("first").alias("e"))).where(F.col("n") > CROWD).select("p").distinct(), "join-crowded", n_lists)
     # At the first difference that both have, what stands before it is only x's or only y's. What
@@ -387,11 +387,12 @@ def _subregions(diffs: DataFrame) -> DataFrame:
 def _rare_first(lists: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Members of crowded regions with their first differences, those that many members share last."""
     spark, n_lists = lists.sparkSession, lists.count()
-    xs = sets.select("x", F.col("set").alias("xset"))
-    ps = sets.where("pivot").select(F.col("x").alias("p"), F.col("set").alias("pset"))
+    xs = sets.join(small_or_not(lists.select("x").distinct()), "x", "left_semi").select("x", F.col("set").alias("xset"))
+    ps = sets.where("pivot").select(F.col("x").alias("p"), F.col("set").alias("pset")).join(small_or_not(lists.select("p").distinct()), "p", "left_semi")
     whole = lists.drop("first").join(xs, "x").join(ps, "p").withColumn("all", _all_differences()("xset", "pset")).drop("xset", "pset")
     with small_batches(spark, BATCH):
-        whole = written(whole, "join-differences", n_lists)
+        whole = written(whole, "join-differences")
+    released(spark)
     sizes = whole.groupBy("p").agg(F.count("*").alias("size"))
     counts = whole.select("p", F.explode("all").alias("e")).groupBy("p", "e").agg(F.count("*").alias("n")).where(F.col("n") > CROWD)
     common = counts.join(sizes, "p").where(F.col("n") * COMMON_SHARE > F.col("size")).groupBy("p").agg(F.collect_list("e").alias("common"))
@@ -399,7 +400,7 @@ def _rare_first(lists: DataFrame, sets: DataFrame, num: int, den: int) -> DataFr
     ordered = whole.join(small_or_not(common, "common"), "p", "left")
     first = _rare_before_common(num, den)("nx", "all", F.coalesce("common", F.array().cast("array<long>")))
     with small_batches(spark, BATCH):
-        found = written(ordered.withColumn("first", first).drop("all", "common"), "join-ordered", n_lists)
+        found = written(ordered.withColumn("first", first).drop("all", "common"), "join-ordered")
     removed(whole, common)
     return found
 
