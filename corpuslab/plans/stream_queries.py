@@ -29,3 +29,10 @@ def dedup_stream(spark, sf_dir):
     events = streams.read_events(spark, f"{sf_dir}/events.parquet").withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1))))
     out = streams.run_to_end(streams.first_of_each(events, "event_id"), "dedup")
     return out.groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id, nullif(min(doc_id) OVER (PARTITION BY sha256(text)), doc_id) AS duplicate_of FROM documents")
+def ingest_documents(spark, sf_dir):
+    """Documents as a stream; contents are kept in keyed state."""
+    stream = streams.first_of_content(streams.read_table(spark, f"{sf_dir}/documents.parquet"))
+    return streams.run_to_end(stream, "ingest", timers=True).select("doc_id", "duplicate_of")

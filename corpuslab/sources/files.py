@@ -44,7 +44,7 @@ def decoded(content: Column) -> Column:
     return F.when(F.is_valid_utf8(content.cast("string")), F.decode(content, "UTF-8")).otherwise(F.decode(content, "ISO-8859-1"))
 
 
-def read_blobs(spark: SparkSession, path: str) -> DataFrame:
+def read_blobs(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Raw files with hash, size and type. Oversized files carry an error instead of failing the job; files of no bytes are skipped."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return raw.select(

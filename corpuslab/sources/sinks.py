@@ -16,7 +16,7 @@ def upsert_collection(chunks: DataFrame, path: str, collection: str, key: str =
     """
     spark = chunks.sparkSession
     good = _first_of_each(chunks.where(F.col("embedding").isNotNull()), key)
-    if not _exists(spark, f"{path}/collection={collection}"):
+    if not exists(spark, f"{path}/collection={collection}"):
         return replace_collection(good, path, collection)
     old = read_collection(spark, path, collection).drop("collection").join(good.select(key), key, "left_anti")
     _swap(old.unionByName(good), path, collection)
@@ -60,7 +60,7 @@ def _files(spark: SparkSession, path: str):
     return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     return _files(spark, path).exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path))
 
 
@@ -75,7 +75,7 @@ def write_version(pairs: DataFrame, path: str, version: int, published: bool = F
     sums = [F.count("*"), F.bit_xor(F.xxhash64(*rows)), F.bit_xor(F.xxhash64(F.lit(7), *rows)), F.sum(F.crc32(*rows))]
     digest = pairs.agg(F.sha2(F.concat_ws("|", *[x.cast("string") for x in sums]), 256)).first()[0]
     manifest = f"{path}/manifest"
-    known = spark.read.parquet(manifest).orderBy(F.desc("version")).collect() if _exists(spark, manifest) else []
+    known = spark.read.parquet(manifest).orderBy(F.desc("version")).collect() if exists(spark, manifest) else []
     if known and known[0]["content_hash"] == digest:
         return known[0]["version"]
     if any(r["version"] == version and r["is_published"] for r in known):
@@ -88,7 +88,7 @@ def write_version(pairs: DataFrame, path: str, version: int, published: bool = F
 
 def list_versions(spark: SparkSession, path: str) -> DataFrame:
     """version, content_hash and is_published of each version; none where nothing was written."""
-    if not _exists(spark, f"{path}/manifest"):
+    if not exists(spark, f"{path}/manifest"):
         return spark.createDataFrame([], "version int, content_hash string, is_published boolean")
     rows = spark.read.parquet(f"{path}/manifest")
     return rows.groupBy("version").agg(F.max("content_hash").alias("content_hash"), F.bool_or("is_published").alias("is_published"))
