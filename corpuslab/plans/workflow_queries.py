@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from pyspark.sql.window import Window
 
 from ..operators import answers, curate, retrieval, runs, stats
 from ..sources import importers
+from ..session import shared_dir
 from .base import query, spread_table, table
 from .curate_queries import PAIRS, pairs_of
 from .eval_queries import RUNS, SEARCH, _CONTEXT, K, judged, scored_runs
@@ -241,36 +243,52 @@ def answer_correctness(spark, sf_dir):
     return answers.answer_correctness(pairs.select(F.col("pair_id").alias("item_id"), "answer", F.coalesce(other, F.col("answer")).alias("reference")))
 
 
-# Inline files of the three import formats, and the pairs they hold, worked out by hand.
-SQUAD_FILE = """{"data": [{"title": "t", "paragraphs": [{"context": "Paris is in France.", "qas": [
-{"id": "a", "question": " Where is Paris? ", "is_impossible": false, "answers": [{"text": "France"}, {"text": "in France"}, {"text": "France"}, {"text": " "}]},
-{"id": "b", "question": "Who?", "is_impossible": true, "answers": []}, {"id": "c", "question": "  ", "answers": [{"text": "x"}]}, {"id": "d", "question": "None?", "answers": []}]}]}]}"""
-NQ_FILE = """{"question_text": "is it so", "example_id": 1, "annotations": [{"yes_no_answer": "YES", "short_answers": []}]}
-{"question_text": "which words", "document_text": "the quick brown fox", "example_id": 2, "annotations": [{"yes_no_answer": "NONE", "short_answers": [{"start_token": 1, "end_token": 3}, {"text": "fox"}]}]}
-{"question": "flat", "answer": "yes it is", "example_id": 3}"""
-MSMARCO_FILE = """{"query_id": 1, "query": "q one", "answers": ["No Answer Present."], "wellFormedAnswers": ["It is well."]}
-{"query_id": 2, "query": "q two", "answers": ["two", " ", "zwei"]}
-{"query_id": 3, "query": "q three", "answers": ["No Answer Present."], "wellFormedAnswers": "[]"}"""
-
-
-def _pairs_sql(rows) -> str:
-    return "SELECT source_id, question, expected_answer, n_alternatives, answer_type FROM (VALUES " + ", ".join(str(r) for r in rows) + ") v(source_id, question, expected_answer, n_alternatives, answer_type)"
+# Files of the three import formats, made of conversations, and read back by the importers.
+_IMPORTED = "SELECT source_id, question, expected_answer, n_alternatives, answer_type FROM imported WHERE trim(question) <> '' AND trim(expected_answer) <> ''"
 
 
 def _counted(pairs):
     return pairs.select("source_id", "question", "expected_answer", F.size("alternative_answers").alias("n_alternatives"), "answer_type")
 
 
-@query(_pairs_sql([("a", "Where is Paris?", "France", 1, "extractive"), ("b", "Who?", "[UNANSWERABLE]", 0, "extractive")]))
-def import_squad(spark, sf_dir):
-    return _counted(importers.squad_pairs(spark.createDataFrame([(SQUAD_FILE,)], "value string")))
+def _lines(spark, rows, name):
+    """Rows as a folder of JSON lines."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    rows.select(F.to_json(F.struct("*"))).write.text(path)
+    return path
 
 
-@query(_pairs_sql([("1", "is it so", "yes", 0, "yes_no"), ("2", "which words", "quick brown", 1, "extractive"), ("3", "flat", "yes it is", 0, "extractive")]))
-def import_natural_questions(spark, sf_dir):
-    return _counted(importers.natural_question_pairs(spark.createDataFrame([(x,) for x in NQ_FILE.split("\n")], "value string")))
+@query(f"""WITH {PAIRS}, imported AS (SELECT pair_id::VARCHAR AS source_id, trim(question) AS question, CASE WHEN pair_id % 7 = 0 THEN '[UNANSWERABLE]' ELSE answer END AS expected_answer, CASE WHEN pair_id % 7 = 0 THEN 0 ELSE 1 END AS n_alternatives, 'extractive' AS answer_type FROM pairs) {_IMPORTED}""")
+def import_squad(spark, sf_dir):
+    """One file for each conversation: unanswerable questions, and answers that are given twice or blank."""
+    told = F.array(*[F.struct(x.alias("text")) for x in (F.col("answer"), F.lit(" "), F.concat("answer", F.lit("!")), F.col("answer"))])
+    asked = F.struct(F.col("pair_id").cast("string").alias("id"), F.concat(F.lit(" "), "question", F.lit("  ")).alias("question"), (F.col("pair_id") % 7 == 0).alias("is_impossible"), told.alias("answers"))
+    files = pairs_of(spark, sf_dir).groupBy("conv_id").agg(F.collect_list(asked).alias("qas"))
+    page = F.struct(F.array(F.struct(F.col("conv_id").cast("string").alias("title"), F.array(F.struct(F.lit("context").alias("context"), "qas")).alias("paragraphs"))).alias("data"))
+    return _counted(importers.squad_pairs(files.select(F.to_json(page).alias("value"))))
 
 
-@query(_pairs_sql([("1", "q one", "It is well.", 0, "abstractive"), ("2", "q two", "two", 1, "abstractive")]))
+@query(rf"""WITH {PAIRS}, imported AS (SELECT pair_id::VARCHAR AS source_id, trim(question) AS question, CASE pair_id % 3 WHEN 0 THEN 'yes' WHEN 1 THEN array_to_string(list_slice(regexp_split_to_array(answer, '\s+'), 1, 2), ' ') ELSE answer END AS expected_answer,
+CASE WHEN pair_id % 3 = 1 THEN 1 ELSE 0 END AS n_alternatives, CASE WHEN pair_id % 3 = 0 THEN 'yes_no' ELSE 'extractive' END AS answer_type FROM pairs) {_IMPORTED}""")
+def import_natural_questions(spark, sf_dir):
+    """A third answered yes, a third by tokens of the document and by text, a third flat."""
+    kind, spans = F.col("pair_id") % 3, "array<struct<text:string,start_token:int,end_token:int>>"
+    short = F.array(F.struct(F.lit(None).cast("string").alias("text"), F.lit(0).alias("start_token"), F.lit(2).alias("end_token")), F.struct(F.col("question").alias("text"), F.lit(0).alias("start_token"), F.lit(0).alias("end_token")))
+    notes = F.when(kind == 0, F.array(F.struct(F.lit("YES").alias("yes_no_answer"), F.array().cast(spans).alias("short_answers"))))
+    notes = notes.when(kind == 1, F.array(F.struct(F.lit("NONE").alias("yes_no_answer"), short.cast(spans).alias("short_answers"))))
+    rows = pairs_of(spark, sf_dir).select(
+        F.col("pair_id").alias("example_id"), F.when(kind < 2, F.col("question")).alias("question_text"), F.when(kind == 2, F.col("question")).alias("question"),
+        F.when(kind == 1, F.col("answer")).alias("document_text"), F.when(kind == 2, F.col("answer")).alias("answer"), notes.alias("annotations"),
+    )
+    return _counted(importers.natural_questions(spark, _lines(spark, rows, "natural-questions")))
+
+
+@query(f"""WITH {PAIRS}, imported AS (SELECT pair_id::VARCHAR AS source_id, trim(question) AS question, answer AS expected_answer, CASE WHEN pair_id % 3 = 1 THEN 1 ELSE 0 END AS n_alternatives, 'abstractive' AS answer_type FROM pairs WHERE pair_id % 3 < 2) {_IMPORTED}""")
 def import_msmarco(spark, sf_dir):
-    return _counted(importers.msmarco_pairs(spark.createDataFrame([(x,) for x in MSMARCO_FILE.split("\n")], "value string")))
+    """A third with a well-formed answer alone, a third with several, a third with none."""
+    kind, none = F.col("pair_id") % 3, F.lit(importers.NO_ANSWER)
+    rows = pairs_of(spark, sf_dir).select(
+        F.col("pair_id").alias("query_id"), F.col("question").alias("query"), F.when(kind == 1, F.array("answer", F.lit(" "), "question")).otherwise(F.array(none)).alias("answers"),
+        F.when(kind == 0, F.array("answer")).otherwise(F.array(F.lit("[]"))).alias("wellFormedAnswers"),
+    )
+    return _counted(importers.msmarco(spark, _lines(spark, rows, "msmarco")))
