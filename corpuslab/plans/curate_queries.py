@@ -97,7 +97,7 @@ def contamination_exact(spark, sf_dir):
     return curate.contaminated_exact(pairs.where("pair_id % 1000 < 500"), pairs.where("pair_id % 1000 >= 500"))
 
 
-_GRAMS = "SELECT {0}, unnest(list_distinct(list_transform(range(1, len(c) - 3), lambda i: array_to_string(c[i:i + 4], '')))) AS g FROM (SELECT {0}, string_split(" + _N.format("text") + ", '') AS c FROM {1}) WHERE len(c) > 4"
+_GRAMS = "SELECT DISTINCT {0}, substr(t, i, 5) AS g FROM (SELECT {0}, t, unnest(range(1, length(t) - 3)) AS i FROM (SELECT {0}, " + _N.format("text") + " AS t FROM {1}) WHERE length(t) > 4)"
 
 
 @query(f"""WITH a AS ({_GRAMS.format('item_id', 'benchmark')}), b AS ({_GRAMS.format('doc_id', 'documents')}), na AS (SELECT item_id, count(*) AS na FROM a GROUP BY item_id), nb AS (SELECT doc_id, count(*) AS nb FROM b GROUP BY doc_id),
