@@ -31,11 +31,11 @@ REPLACEMENTS = (
     ("–", "-"),
     ("—", "-"),
     ("…", "..."),
-    (" ", " "),
-    (" ", " "),
-    (" ", " "),
-    (" ", " "),
-    ("﻿", ""),
+    ("\u00a0", " "),
+    ("\u2002", " "),
+    ("\u2003", " "),
+    ("\u2009", " "),
+    ("\ufeff", ""),
 )
 #: Python's white space: Java's Unicode class and four separators that it leaves out.
 SPACES = r"(?U)[\s\x1c-\x1f]+"
