@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
-import pandas as pd
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .retrieval import Embedder, cosine, embed
+from .blocks import texts_to_rows
+from .retrieval import Embedder, HashedWords
 
 # Separators from coarse to fine.
 SEPARATORS = ("\n\n", "\n", " ", "")
@@ -83,27 +84,65 @@ def chunk(docs: DataFrame, config: ChunkConfig, id_col: str = "doc_id", text_col
     else:
         cut = {"fixed": fixed_chunks, "recursive": recursive_chunks}[config.method]
 
-        def split(texts: pd.Series) -> pd.Series:
-            return texts.map(lambda t: cut(t, config.size, config.overlap))
-
-        rows = docs.select(id_col, F.posexplode(F.pandas_udf(split, "array<string>")(F.col(text_col))).alias("chunk_ix", "content"))
+        rows = texts_to_rows(docs, id_col, F.col(text_col), lambda texts: _numbered([cut(t, config.size, config.overlap) for t in texts]), _CHUNK)
     return rows.select("*", F.lit(config.method).alias("method"), F.lit(config.size).alias("size"), F.lit(config.overlap).alias("overlap"))
 
 
+_CHUNK = "chunk_ix int, content string"
+
+
+def _numbered(lists: list[list[str]]) -> tuple[list[int], list]:
+    """Which list each chunk is of, its place there, and itself."""
+    return [at for at, x in enumerate(lists) for _ in x], [[n for x in lists for n in range(len(x))], [c for x in lists for c in x]]
+
+
+#: Sentences that are embedded at a time.
+SENTENCES = 4096
+
+
+def _dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Dot products row by row, added up in the order of the components."""
+    return np.add.accumulate(a * b, axis=1)[:, -1]
+
+
+def _gaps(sentences: list[str], model: Embedder) -> np.ndarray:
+    """The cosine distance of each sentence to the one before; 1 where a norm is 0. The first one's means nothing."""
+    gaps, before = [], None
+    for at in range(0, len(sentences), SENTENCES):
+        v = np.asarray(model(sentences[at : at + SENTENCES]), np.float64)
+        b = np.concatenate([v[:1] if before is None else before, v[:-1]])
+        norms = np.sqrt(_dots(v, v)) * np.sqrt(_dots(b, b))
+        gaps.append(1.0 - np.divide(_dots(v, b), norms, out=np.zeros(len(v)), where=norms != 0))
+        before = v[-1:]
+    return np.concatenate(gaps) if gaps else np.zeros(0)
+
+
+def _percentile(values: np.ndarray, share: float) -> float:
+    """As Spark's ``percentile``."""
+    ordered, position = np.sort(values), (len(values) - 1) * share
+    low, high = math.floor(position), math.ceil(position)
+    if ordered[low] == ordered[high]:
+        return float(ordered[low])
+    return float((high - position) * ordered[low] + (position - low) * ordered[high])
+
+
 def semantic(docs: DataFrame, max_size: int, id_col: str, text_col: str, embedder: Embedder | None = None, percentile: float = 0.95) -> DataFrame:
-    """Sentences part where the distance to the next is above the document's percentile; long parts are cut again."""
-    sentences = docs.select(F.col(id_col).alias("doc"), F.posexplode(F.split(text_col, r"(?<=[.?!])\s+")).alias("s", "sentence"))
-    vectors = embed(sentences, "sentence", "v", embedder)
-    order = Window.partitionBy("doc").orderBy("s")
-    gaps = vectors.withColumn("before", F.lag("v").over(order))
-    gaps = gaps.withColumn("gap", F.when(F.col("before").isNotNull(), 1.0 - cosine(F.col("v"), F.col("before")))).drop("v", "before")
-    limits = gaps.groupBy("doc").agg(F.percentile("gap", F.lit(percentile)).alias("limit"))
-    marked = gaps.join(limits, "doc").withColumn("part", F.sum(F.coalesce((F.col("gap") > F.col("limit")).cast("int"), F.lit(0))).over(order))
-    parts = marked.groupBy("doc", "part").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("s", "sentence"))), lambda x: x["sentence"]), " ").alias("content"))
-
-    def cut(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [t] if len(t) <= max_size else recursive_chunks(t, max_size, 0))
-
-    pieces = parts.select("doc", "part", F.posexplode(F.pandas_udf(cut, "array<string>")("content")).alias("n", "content"))
-    ix = F.row_number().over(Window.partitionBy("doc").orderBy("part", "n")) - 1
-    return pieces.select(F.col("doc").alias(id_col), ix.alias("chunk_ix"), "content")
+    """Sentences part where the distance to the next is above the document's percentile; long parts are cut again.
+
+    A document is cut where it is read: nothing is shuffled, and rows of one id are cut each by itself.
+    """
+    model = embedder or HashedWords()
+
+    def cut(sentences: list[str], gaps: np.ndarray) -> list[str]:
+        far = gaps[1:] > _percentile(gaps[1:], percentile) if len(gaps) > 1 else np.zeros(0, bool)
+        at = [0, *(np.flatnonzero(far) + 1).tolist(), len(sentences)]
+        parts = [" ".join(sentences[a:b]) for a, b in zip(at, at[1:])]
+        return [c for p in parts for c in ([p] if len(p) <= max_size else recursive_chunks(p, max_size, 0))]
+
+    def rows_of(lists: list) -> tuple[list[int], list]:
+        gaps = _gaps([s for x in lists for s in x], model)
+        at = np.cumsum([0, *map(len, lists)])
+        return _numbered([cut(x, gaps[a:b]) for x, a, b in zip(lists, at, at[1:])])
+
+    split = F.split(text_col, r"(?<=[.?!])\s+")
+    return texts_to_rows(docs.where(F.col(text_col).isNotNull()), id_col, split, rows_of, _CHUNK)
