@@ -15,7 +15,7 @@ import zlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .curate import char_grams
+from .curate import gram_rows
 from .postings import stored
 
 #: Folders of posting lists.
@@ -40,7 +40,7 @@ class SubstringIndex:
 
     @classmethod
     def create(cls, docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> SubstringIndex:
-        grams = docs.select(F.col(id_col).alias("doc_id"), F.explode(char_grams(F.lower(text_col), 3)).alias("gram")).withColumn("bucket", bucket_of(F.col("gram")))
+        grams = gram_rows(docs, id_col, F.lower(text_col), 3).withColumnRenamed(id_col, "doc_id").withColumn("bucket", bucket_of(F.col("gram")))
         lists = grams.repartition("bucket", "gram").sortWithinPartitions("bucket", "gram", "doc_id")
         lists.write.partitionBy("bucket").parquet(f"{path}/lists")
         written = docs.sparkSession.read.parquet(f"{path}/lists")
