@@ -15,14 +15,17 @@ fewest comparisons by the sample's own angles. The result is exact with any.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of a block of vectors on average.
-BLOCK_ROWS = 2048
+from . import blocks
+
+#: Rows of a block of vectors, at most.
+BLOCK_ROWS = blocks.ROWS
 #: Vectors that pivots are chosen by.
 SAMPLE_ROWS = 2048
 #: Numbers of pivots that are tried.
@@ -132,7 +135,7 @@ def similar_vectors(rows: DataFrame, threshold: float, id_col: str = "vec_id", v
     at = placed(rows, threshold - 1e-6, id_col, vec_col)
     # No more rows than there are cells and rings.
     sizes = F.broadcast(meetings(at).select(
-        "cell", "ring", F.ceil(F.col("homes") / block_rows).cast("int").alias("na"), F.ceil(F.col("others") / block_rows).cast("int").alias("nb")
+        "cell", "ring", blocks.blocks_of(F.col("homes"), block_rows).alias("na"), blocks.blocks_of(F.col("others"), block_rows).alias("nb")
     ))
     block = F.xxhash64("id", "v")
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -140,21 +143,17 @@ def similar_vectors(rows: DataFrame, threshold: float, id_col: str = "vec_id", v
     others = at.withColumn("of", F.col("ring")).withColumn("ring", F.explode(F.array(F.col("of") - 1, F.col("of"), F.col("of") + 1)))
     others = others.join(sizes, ["cell", "ring"]).withColumn("b", F.pmod(block, F.col("nb")).cast("int")).withColumn("a", spread("na"))
     kind = rows.schema[id_col].dataType.simpleString()
-    nothing = pd.DataFrame({"i": [], "j": [], "score": []})
-
-    def meet(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        if not len(x) or not len(y):
-            return nothing
-        scores = _units(x["v"]) @ _units(y["v"]).T
-        i, j = np.nonzero(scores >= threshold - 1e-6)
-        a, b, s = x["id"].to_numpy()[i], y["id"].to_numpy()[j], scores[i, j]
-        # Two homes of one cell meet twice.
-        keep = np.where(y["is_home"].to_numpy()[j], a < b, a != b)
-        return pd.DataFrame({"i": np.minimum(a, b)[keep], "j": np.maximum(a, b)[keep], "score": s[keep]})
-
-    left = homes.select("id", "v", "cell", "ring", "a", "b")
-    right = others.select("id", "v", "is_home", *[F.col(c).alias(f"{c}_") for c in ("cell", "ring", "a", "b")])
-    # Both sides come of the same table: new names tell their columns apart.
-    left, right = left.toDF(*left.columns), right.toDF(*right.columns)
-    met = left.groupBy("cell", "ring", "a", "b").cogroup(right.groupBy("cell_", "ring_", "a_", "b_")).applyInPandas(meet, f"i {kind}, j {kind}, score double")
+
+    def meet(x: pd.DataFrame, y: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        of_x, of_y = _units(x["v"]), _units(y["v"])
+        ids, others, at_home = x["id"].to_numpy(), y["id"].to_numpy(), y["is_home"].to_numpy(bool)
+        for some in blocks.slices(len(of_x), len(of_y)):
+            scores = of_x[some] @ of_y.T
+            i, j = np.nonzero(scores >= threshold - 1e-6)
+            a, b, s = ids[some][i], others[j], scores[i, j]
+            # Two homes of one cell meet twice.
+            keep = np.where(at_home[j], a < b, a != b)
+            yield pd.DataFrame({"i": np.minimum(a, b)[keep], "j": np.maximum(a, b)[keep], "score": s[keep]})
+
+    met = blocks.meet(homes.select("id", "v", "cell", "ring", "a", "b"), others.select("id", "v", "is_home", "cell", "ring", "a", "b"), ["cell", "ring", "a", "b"], meet, f"i {kind}, j {kind}, score double")
     return met.withColumn("score", F.round("score", 6)).where(F.col("score") >= threshold)
