@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import fixed_places
 from . import stats
 
 RUN = "id string, name string, created_at string, eval_dataset_id string, config map<string,string>, metrics map<string,double>, results array<struct<query:string,ground_truth:string,predicted_answer:string,score:double,scores:map<string,double>,latency:double,error:string>>"
@@ -36,7 +37,7 @@ def comparison_summary(compared: DataFrame, alpha: float = 0.05) -> DataFrame:
     sure, d = F.col("significant"), F.col("difference")
     status = F.when(d > 0, "improved").when(d < 0, "degraded").otherwise("unchanged")
     line = F.concat(
-        F.lit("  - "), F.col("group").cast("string"), F.format_string(": %.3f -> %.3f (", "mean_a", "mean_b"), status,
+        F.lit("  - "), F.col("group").cast("string"), F.lit(": "), fixed_places(F.col("mean_a"), 3), F.lit(" -> "), fixed_places(F.col("mean_b"), 3), F.lit(" ("), status,
         F.when(sure, " (significant)").otherwise(""), F.concat(F.lit(", "), "effect", F.lit(" effect")), F.lit(")"),
     )
     counted = compared.agg(
@@ -54,13 +55,13 @@ def csv_summary(aggregates: DataFrame) -> DataFrame:
     """The summary block under an exported run: one row for each label."""
 
     def percent(name: str) -> Column:
-        return F.format_string("%.1f%%", F.coalesce(F.col(name), F.lit(0.0)) * 100.0)
+        return F.concat(fixed_places(F.coalesce(F.col(name), F.lit(0.0)) * 100.0, 1), F.lit("%"))
 
-    rows = (("Context Precision", percent("context_precision")), ("Precision@K", percent("precision_at_k")), ("Recall@K", percent("recall_at_k")), ("Avg Latency", F.format_string("%.2fs", F.coalesce("avg_latency", F.lit(0.0)))))
+    rows = (("Context Precision", percent("context_precision")), ("Precision@K", percent("precision_at_k")), ("Recall@K", percent("recall_at_k")), ("Avg Latency", F.concat(fixed_places(F.coalesce("avg_latency", F.lit(0.0)), 2), F.lit("s"))))
     return aggregates.select("run", F.inline(F.array(*[F.struct(F.lit(i).alias("place"), F.lit(n).alias("label"), v.alias("value")) for i, (n, v) in enumerate(rows)])))
 
 
 def bench_csv_rows(results: DataFrame, scores: list[str]) -> DataFrame:
     """Result rows as the benchmark script exports them: percentages without a sign, empty where there is no value."""
-    values = [F.when(F.col(c).isNull(), "").otherwise(F.format_string("%.1f", F.col(c) * 100.0)).alias(c) for c in scores]
-    return results.select("run", "item_id", *values, F.when(F.col("latency").isNull(), "").otherwise(F.format_string("%.3f", "latency")).alias("latency"))
+    values = [F.when(F.col(c).isNull(), "").otherwise(fixed_places(F.col(c) * 100.0, 1)).alias(c) for c in scores]
+    return results.select("run", "item_id", *values, F.when(F.col("latency").isNull(), "").otherwise(fixed_places(F.col("latency"), 3)).alias("latency"))

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.text import fixed_places
+
 
 def upsert_collection(chunks: DataFrame, path: str, collection: str, key: str = "chunk_id") -> None:
     """Writes chunks that have an embedding into a collection; those of the same key are replaced.
@@ -130,10 +132,10 @@ def run_csv_rows(results: DataFrame) -> DataFrame:
     """A run's result rows as they are exported: percentages with one place, latency with two."""
 
     def percent(name: str):
-        return F.format_string("%.1f%%", F.coalesce(F.col(name), F.lit(0.0)) * 100.0).alias(name)
+        return F.concat(fixed_places(F.coalesce(F.col(name), F.lit(0.0)) * 100.0, 1), F.lit("%")).alias(name)
 
     jaccard = F.coalesce(F.nullif(F.coalesce("jaccard", F.lit(0.0)), F.lit(0.0)), F.coalesce("score", F.lit(0.0)))
     return results.select(
-        "query", "predicted_answer", "ground_truth", F.format_string("%.1f%%", jaccard * 100.0).alias("jaccard"),
-        percent("context_precision"), percent("precision_at_k"), percent("recall_at_k"), F.format_string("%.2f", "latency").alias("latency"),
+        "query", "predicted_answer", "ground_truth", F.concat(fixed_places(jaccard * 100.0, 1), F.lit("%")).alias("jaccard"),
+        percent("context_precision"), percent("precision_at_k"), percent("recall_at_k"), fixed_places(F.col("latency"), 2).alias("latency"),
     )
