@@ -192,7 +192,12 @@ def metric_distribution(spark, sf_dir):
 @query(f"""WITH {SEARCH}, {RUNS}, u AS (SELECT run, 'precision_at_k' AS metric, avg(precision_at_k) AS v FROM scored GROUP BY run UNION ALL SELECT run, 'jaccard', avg(jaccard) FROM scored GROUP BY run)
 SELECT metric, first(run ORDER BY v DESC, run) AS best_run, first(run ORDER BY v, run) AS worst_run, round((max(v) - min(v)) * 100, 4) AS spread FROM u GROUP BY metric""")
 def run_spread(spark, sf_dir):
-    long = scored_runs(spark, sf_dir).unpivot("run", ["precision_at_k", "jaccard"], "metric", "v").groupBy("run", "metric").agg(F.avg("v").alias("v"))
+    return spread_of(scored_runs(spark, sf_dir).unpivot("run", ["precision_at_k", "jaccard"], "metric", "v"))
+
+
+def spread_of(scores: DataFrame) -> DataFrame:
+    """Best and worst run of each metric, of (run, metric, v). Means are exact: those that are equal tie in any order of addition."""
+    long = scores.groupBy("run", "metric").agg(F.avg(F.col("v").cast("decimal(24,18)")).cast("double").alias("v"))
     return long.groupBy("metric").agg(F.min_by("run", F.struct(-F.col("v"), "run")).alias("best_run"), F.min_by("run", F.struct("v", "run")).alias("worst_run"), F.round((F.max("v") - F.min("v")) * 100, 4).alias("spread"))
 
 
