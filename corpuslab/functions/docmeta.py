@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import math
+import re
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from ..operators.blocks import texts_to_rows
 
 # Marker words of languages; ASCII ones, since words are ASCII letters.
 MARKERS = {
@@ -84,23 +89,42 @@ def detect_language(words: Column) -> Column:
     )
 
 
-def rake_keywords(docs: DataFrame, top: int = 15, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """RAKE phrases: (doc, phrase, score, rank). Ties keep the order of first appearance.
+_LETTERS, _STOPS = re.compile("[a-z]+"), frozenset(STOPWORDS)
+
+
+def rake(sentences: list[str], top: int) -> list[tuple[str, float]]:
+    """The best phrases of one document's lower-case sentences, and their scores.
 
-    Phrases are islands between stop words inside a sentence; all steps are keyed by document.
+    Phrases are islands between stop words inside a sentence. A word scores the mean length of its
+    phrases, a phrase the sum of its words. Ties keep the order of first appearance.
     """
-    sentences = docs.select(F.col(id_col).alias("doc"), F.posexplode(F.split(F.lower(text_col), "[.!?\\n]")).alias("s", "sentence"))
-    words = sentences.select("doc", "s", F.posexplode(F.regexp_extract_all("sentence", F.lit("[a-z]+"), F.lit(0))).alias("i", "word"))
-    breaks = (F.length("word") < 2) | F.col("word").isin(*STOPWORDS)
-    order = Window.partitionBy("doc").orderBy("s", "i")
-    islands = words.withColumn("stop", breaks.cast("int")).withColumn("island", F.sum("stop").over(order)).where("stop = 0")
-    # A phrase's length and a word's score are windows inside the document: dealing the words out by
-    # document once serves all steps, and nothing is joined.
-    by_phrase, by_word = Window.partitionBy("doc", "s", "island"), Window.partitionBy("doc", "word")
-    scored = islands.withColumn("n", F.count("*").over(by_phrase))
-    scored = scored.withColumn("word_score", F.sum("n").over(by_word) / F.count("*").over(by_word).cast("double"))
-    said = F.transform(F.array_sort(F.collect_list(F.struct("i", "word"))), lambda e: e["word"])
-    phrases = scored.groupBy("doc", "s", "island").agg(F.sum("word_score").alias("score"), F.array_join(said, " ").alias("phrase"))
-    unique = phrases.groupBy("doc", "phrase").agg(F.round(F.max("score"), 6).alias("score"), F.min(F.struct("s", "island")).alias("first"))
-    rank = F.row_number().over(Window.partitionBy("doc").orderBy(F.desc("score"), "first"))
-    return unique.withColumn("rank", rank).where(F.col("rank") <= top).select(F.col("doc").alias(id_col), "phrase", "score", "rank")
+    islands: dict[tuple[int, int], list[str]] = {}
+    breaks = 0
+    for s, sentence in enumerate(sentences):
+        for word in _LETTERS.findall(sentence):
+            if len(word) < 2 or word in _STOPS:
+                breaks += 1
+            else:
+                islands.setdefault((s, breaks), []).append(word)
+    lengths, counts = Counter(), Counter()
+    for words in islands.values():
+        for word in words:
+            lengths[word] += len(words)
+            counts[word] += 1
+    best: dict[str, float] = {}
+    for words in islands.values():
+        phrase = " ".join(words)
+        best[phrase] = max(best.get(phrase, 0.0), sum(lengths[w] / counts[w] for w in words))
+    rounded = [(phrase, math.floor(score * 1e6 + 0.5) / 1e6) for phrase, score in best.items()]
+    return sorted(rounded, key=lambda x: -x[1])[:top]
+
+
+def rake_keywords(docs: DataFrame, top: int = 15, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """RAKE phrases: (doc, phrase, score, rank), document by document where they are read; nothing is shuffled."""
+
+    def rows_of(lists: list) -> tuple[list[int], list]:
+        found = [(at, *x, n + 1) for at, sentences in enumerate(lists) if sentences for n, x in enumerate(rake(sentences, top))]
+        return [x[0] for x in found], [[x[i] for x in found] for i in (1, 2, 3)]
+
+    sentences = F.split(F.lower(text_col), "[.!?\\n]")
+    return texts_to_rows(docs, id_col, sentences, rows_of, "phrase string, score double, rank int")
