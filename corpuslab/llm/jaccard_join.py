@@ -65,6 +65,10 @@ KEY_PARTS = 8
 KEYS_A_ROW = 8
 #: And so are the pairs whose whole sets meet, and the differences to pivots.
 PAIR_PARTS = 4
+#: 64-bit words of the shortest list of parities, which is the one that goes with each member of a block.
+FOLD = 8
+#: Members of a block up to which its pairs are compared by their parities, which gives a class so many partners a block at most.
+SMALL_BLOCK = 64
 #: Members of a subregion beyond which its region is taken with rare differences first.
 CROWD = 64
 #: Differences are common that more than ``CROWD`` members share, and more than one in so many: few enough for a list of each region.
@@ -160,8 +164,37 @@ def segment_keys(h: np.ndarray, bands: Bands) -> np.ndarray:
     return np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
 
 
+def parities(h: np.ndarray) -> bytes:
+    """Whether each of a power of two of buckets (as many as shingles, or up to twice that) holds an odd number of a set's hashes.
+
+    Buckets go by the low bits, so that a longer list folds into a shorter one, down to ``FOLD`` words.
+    Two sets' lists differ in no more places than the sets have different elements.
+    """
+    n_buckets = max(64 * FOLD, 1 << (len(h) - 1).bit_length()) if len(h) else 64 * FOLD
+    counts = np.bincount((h & np.uint64(n_buckets - 1)).astype(np.int64), minlength=n_buckets)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def _parities_apart():
+    """In how many places two lists of parities differ, the longer one folded."""
+
+    def apart(xs: pd.Series, ys: pd.Series) -> pd.Series:
+        found = np.zeros(len(xs), np.int64)
+        xs, ys = xs.to_numpy(), ys.to_numpy()
+        lengths = pd.DataFrame({"x": [len(x) for x in xs], "y": [len(y) for y in ys]})
+        for (x, y), at in lengths.groupby(["x", "y"]).indices.items():
+            folded = [
+                np.bitwise_xor.reduce(np.frombuffer(b"".join(some[at]), np.uint64).reshape(len(at), -1, min(x, y) // 8), axis=1)
+                for some in (xs, ys)
+            ]
+            found[at] = np.bitwise_count(folded[0] ^ folded[1]).sum(axis=1, dtype=np.int64)
+        return pd.Series(found)
+
+    return arrow_udf(apart, "long")
+
+
 def _sketcher(k: int, num: int, den: int):
-    """Size and 128-bit name of a text's set, and the keys of its segments, dealt into ``KEY_PARTS``."""
+    """Size, 128-bit name and parities of a text's set, and the keys of its segments, dealt into ``KEY_PARTS``."""
     n_parts = KEY_PARTS
     parts = [f"k{i}" for i in range(n_parts)]
 
@@ -172,10 +205,12 @@ def _sketcher(k: int, num: int, den: int):
             name = xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None
             keys = segment_keys(h, bands)
             part = keys.view(np.uint64) % np.uint64(n_parts)
-            rows.append((len(h), name, *(keys[part == i] for i in range(n_parts))))
-        return pd.DataFrame(rows, columns=["n", "class", *parts])
+            odd = parities(h)
+            fold = np.bitwise_xor.reduce(np.frombuffer(odd, np.int64).reshape(-1, FOLD), axis=0)
+            rows.append((len(h), name, odd, fold, *(keys[part == i] for i in range(n_parts))))
+        return pd.DataFrame(rows, columns=["n", "class", "odd", "fold", *parts])
 
-    return arrow_udf(sketch, "n long, class binary, " + ", ".join(f"{c} array<long>" for c in parts))
+    return arrow_udf(sketch, "n long, class binary, odd binary, fold array<long>, " + ", ".join(f"{c} array<long>" for c in parts))
 
 
 def _set_maker(k: int):
@@ -250,9 +285,9 @@ def _labelled(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_col
         keyed = written(named.select("doc_id", "row", _sketcher(k, num, den)("text").alias("s")).select("doc_id", "row", "s.*"), "join-keyed")
     n_rows = keyed.count()
     rows = written(keyed.select("doc_id", "row", "n", "class"), "join-rows")
-    least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("least")
-    facts = rows.where("n > 0").groupBy("class", "n").agg(least)
-    facts = facts.select(F.monotonically_increasing_id().alias("c"), "class", "n", F.col("least.doc_id").alias("min_id"), F.col("least.row").alias("row"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "odd", "fold")).alias("least")
+    facts = keyed.where("n > 0").groupBy("class", "n").agg(least)
+    facts = facts.select(F.monotonically_increasing_id().alias("c"), "class", "n", F.col("least.doc_id").alias("min_id"), "least.row", "least.odd", "least.fold")
     facts = written(facts, "join-facts", n_rows)
 
     members = blocks(keyed, facts, n_rows)
@@ -265,7 +300,7 @@ def _labelled(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_col
 
 
 def blocks(keyed: DataFrame, facts: DataFrame, n_rows: int) -> DataFrame:
-    """The members (key, c) of each block of two classes or more; blocks with the same members are one block.
+    """The members (key, c, n) of each block of two classes or more, and the block's size; blocks with the same members are one block.
 
     Until the members are known, 64 bits stand for a class: should two classes share them, a block
     has a member too many, which costs a comparison. The table ``keyed`` is deleted.
@@ -273,15 +308,16 @@ def blocks(keyed: DataFrame, facts: DataFrame, n_rows: int) -> DataFrame:
     spark = keyed.sparkSession
     parts = []
     for part in range(KEY_PARTS):
-        some = keyed.select(F.xxhash64("class").alias("h"), F.explode(f"k{part}").alias("key"))
+        # Dealt out by key first: counting and joining then read the same shuffle.
+        some = keyed.select(F.xxhash64("class").alias("h"), F.explode(f"k{part}").alias("key")).repartition("key")
         shared = some.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select("key")
         parts.append(written(some.join(shared, "key").distinct(), "join-shared", n_rows * KEYS_A_ROW // KEY_PARTS))
         released(spark)
     removed(keyed)
     members = reduce(DataFrame.union, parts)
     alike = members.groupBy("key").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("h")).alias("a"), F.bit_xor(F.xxhash64("h", F.lit(1))).alias("b"))
-    alike = alike.groupBy("size", "a", "b").agg(F.min("key").alias("key")).select("key")
-    named = members.join(alike, "key").join(facts.select(F.xxhash64("class").alias("h"), "c"), "h").select("key", "c")
+    alike = alike.groupBy("size", "a", "b").agg(F.min("key").alias("key")).select("key", "size")
+    named = members.join(alike, "key").join(facts.select(F.xxhash64("class").alias("h"), "c", "n"), "h").select("key", "size", "c", "n")
     named = written(named, "join-members", sum(p.count() for p in parts))
     removed(*parts)
     released(spark)
@@ -292,15 +328,21 @@ def class_roots(docs: DataFrame, members: DataFrame, facts: DataFrame, k: int, n
     """The root of each class that is linked to another (node, root). The table ``members`` is deleted."""
     spark = members.sparkSession
     n_members = members.count()
+    odds = facts.select(F.col("c").alias("x"), "n", "odd", "fold")
+    close = small_block_pairs(members, odds, num, den)
+    n_close = close.count()
+    members, all_members = members.where(F.col("size") > SMALL_BLOCK).select("key", "c"), members
     sizes = members.groupBy("key").agg(F.count("*").alias("size"))
     degree = members.join(sizes, "key").groupBy("c").agg(F.sum("size").alias("degree"))
     pivots = members.join(degree, "c").groupBy("key").agg(F.max(F.struct("degree", F.negative("c").alias("c"))).alias("top"))
     placed = members.join(pivots.select("key", F.negative("top.c").alias("p")), "key").where("c <> p")
     of_block = written(placed.select("key", F.col("c").alias("x"), "p"), "join-regions", n_members)
-    removed(members)
+    removed(all_members)
     regions = of_block.select("x", "p").distinct()
 
-    involved = of_block.select("x", F.lit(False).alias("pivot")).union(of_block.select("p", F.lit(True))).groupBy("x").agg(F.max("pivot").alias("pivot"))
+    in_regions = of_block.select("x", F.lit(False).alias("pivot")).union(of_block.select("p", F.lit(True)))
+    ends = close.select("x", F.lit(False)).union(close.select("y", F.lit(False)))
+    involved = in_regions.union(ends).groupBy("x").agg(F.max("pivot").alias("pivot"))
     involved = written(involved, "join-involved", n_members)
     wanted = involved.join(facts.select(F.col("c").alias("x"), "class", "n", "row"), "x")
     texts = docs.select(row_key(id_col, text_col).alias("row"), F.col(text_col).alias("text"))
@@ -317,15 +359,24 @@ def class_roots(docs: DataFrame, members: DataFrame, facts: DataFrame, k: int, n
     parts = [_placed(regions, sets, num, den, part) for part in range(PAIR_PARTS)]
     placed = reduce(DataFrame.union, parts)
     links = [written(placed.where("near").select("x", F.col("p").alias("y")), "join-links", n_placed)]
+    # Of the pairs of small blocks, every class with the closest of its partners first: one comparison a class.
+    either = close.union(close.select("y", "x", "apart"))
+    closest = either.groupBy("x").agg(F.min(F.struct("apart", "y")).alias("best")).select(F.least("x", "best.y").alias("x"), F.greatest("x", "best.y").alias("y"))
+    links += _verified(closest.distinct(), sets, num, den, n_close)
     roots = _roots(links)
-    pairs = region_pairs(of_block, placed, roots, sets, num, den)
+    far = region_pairs(of_block, placed, roots, sets, num, den)
     removed(of_block, regions, *parts)
     released(spark)
+    far = _possible(far, odds, num, den).select("x", "y", "root_y", "shared")
+    near = _between(close, roots).select("x", "y", "root_y", F.negative("apart").alias("shared"))
+    with small_batches(spark, BATCH):
+        pairs = written(far.union(near), "join-possible", n_close)
+    removed(close)
     n_pairs = pairs.count()
     # The partner in each component that shares most subregions first, the others if that is no link.
     best = pairs.groupBy("x", "root_y").agg(F.max(F.struct("shared", F.negative("y").alias("y"))).alias("best"))
     for some in (best.select("x", F.negative("best.y").alias("y")), None):
-        more = _verified(_between(pairs.select("x", "y"), roots) if some is None else some, sets, num, den, n_pairs)
+        more = _verified(_between(pairs.select("x", "y"), roots).select("x", "y") if some is None else some, sets, num, den, n_pairs)
         links += more
         if not all(m.isEmpty() for m in more):
             roots = _roots(links)
@@ -333,6 +384,32 @@ def class_roots(docs: DataFrame, members: DataFrame, facts: DataFrame, k: int, n
     return roots
 
 
+def small_block_pairs(members: DataFrame, odds: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (x, y) of the members of small blocks that their sizes and parities leave possible, and in how many parities they differ (apart)."""
+    spark, n_members = members.sparkSession, members.count()
+    small = members.where(F.col("size") <= SMALL_BLOCK).select("key", "c", "n").join(odds.select(F.col("x").alias("c"), "fold"), "c")
+    a, b = small.alias("a"), small.alias("b")
+    sizes = F.expr(f"{den} * least(a.n, b.n) >= {num} * greatest(a.n, b.n)")
+    apart = " + ".join(f"bit_count(a.fold[{i}] ^ b.fold[{i}])" for i in range(FOLD))
+    close = F.expr(f"({apart}) * {den + num} <= (a.n + b.n) * {den - num}")
+    met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.c") < F.col("b.c")) & sizes & close)
+    met = written(met.select(F.col("a.c").alias("x"), F.col("b.c").alias("y")).distinct(), "join-met", n_members)
+    released(spark)
+    with small_batches(spark, BATCH):
+        found = written(_possible(met, odds, num, den).select("x", "y", "apart"), "join-close", n_members)
+    removed(met)
+    released(spark)
+    return found
+
+
+def _possible(pairs: DataFrame, odds: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs that may be links by their parities, and in how many of these they differ (apart)."""
+    xs = odds.select("x", F.col("n").alias("nx"), F.col("odd").alias("xodd"))
+    ys = odds.select(F.col("x").alias("y"), F.col("n").alias("ny"), F.col("odd").alias("yodd"))
+    met = pairs.join(xs, "x").join(ys, "y").withColumn("apart", _parities_apart()("xodd", "yodd")).drop("xodd", "yodd")
+    return met.where(f"apart * {den + num} <= (nx + ny) * {den - num}")
+
+
 def _placed(regions: DataFrame, sets: DataFrame, num: int, den: int, part: int) -> DataFrame:
     """Distances and differences of one part of the members to their pivots, and whether they are links."""
     spark = regions.sparkSession
@@ -433,7 +510,7 @@ def _between(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     of_x = roots.select(F.col("node").alias("x"), F.col("root").alias("rx"))
     of_y = roots.select(F.col("node").alias("y"), F.col("root").alias("ry"))
     apart = F.coalesce("rx", "x") != F.coalesce("ry", "y")
-    return pairs.join(of_x, "x", "left").join(of_y, "y", "left").where(apart).drop("rx", "ry")
+    return pairs.join(of_x, "x", "left").join(of_y, "y", "left").where(apart).withColumn("root_y", F.coalesce("ry", "y")).drop("rx", "ry")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int, about: int) -> list[DataFrame]:
