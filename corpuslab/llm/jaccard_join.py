@@ -9,7 +9,10 @@ The Jaccard distance is a metric, and so is |x ^ y|, the size of the symmetric d
    window of its upper edge. The range of shingle hashes is cut into more segments than a linked
    pair's symmetric difference can touch, so a linked pair agrees on a whole segment; classes
    that agree on a segment share a block.
-3. Every block, of whatever size, has a pivot, the member that agrees with most others, and a
+   Pairs of blocks of up to ``SMALL_BLOCK`` members are told apart by the parities of hash buckets:
+   two lists of parities differ in no more places than the sets in elements. What remains is
+   verified on the whole sets, for each class its closest partner first.
+3. Every larger block has a pivot, the member that agrees with most others, and a
    pivot's region holds the members of its blocks: a class on several boundaries is copied into
    several regions. Each member's exact distance to the pivot is worked out, and members within
    the radius are linked with it, one link each. Where a region still holds members of different
